@@ -110,7 +110,29 @@ VIEW_SQL = {
 }
 
 
+VIEW_DEPS: dict[str, tuple[str, ...]] = {}
+
+
+def add_view_sql(name: str, sql: str, deps: tuple[str, ...] = ()) -> None:
+    """Declare a derived oracle view (a CTE over the canonical views)."""
+    VIEW_SQL[name] = sql
+    VIEW_DEPS[name] = tuple(deps)
+
+
 def with_views(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with the canonical views it uses as CTEs (oracle side)."""
-    ctes = ",\n".join(f"{n} as ({VIEW_SQL[n]})" for n in names)
+    """Prefix ``sql`` with the views it uses (and their dependencies) as CTEs."""
+    order: list[str] = []
+
+    def visit(n: str) -> None:
+        for d in VIEW_DEPS.get(n, ()):
+            visit(d)
+        if n not in order:
+            order.append(n)
+
+    for n in names:
+        visit(n)
+    ctes = ",\n".join(f"{n} as ({VIEW_SQL[n]})" for n in order)
+    body = sql.lstrip()
+    if body[:5].lower() == "with ":
+        return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{sql}"
