@@ -1 +1,80 @@
-"""Registered queries."""
+"""Registered alert queries (J13-J16) over the 1 h increase of the event counters."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from feedpulse.operators import alerts as A
+from feedpulse.operators import timeseries as J
+from feedpulse.plans.q_timeseries import KEYS, STEP, W, spark_samples
+from feedpulse.plans.registry import register
+from feedpulse.plans.views import add_view_sql, with_views
+
+# Rules evaluated here: (alertname, severity, threshold on increase[1h], hold seconds).
+RULES = [("EventBurst", "warning", 4.0, 1800), ("EventBurst", "critical", 5.0, 1800)]
+
+
+def _rule_sql(name: str, sev: str, thr: float, hold: int) -> str:
+    return f"""(with tr as (select event_type, t, increase from inc1h where increase > {thr}),
+      r as (select *, t // {STEP} - row_number() over (partition by event_type order by t) as g from tr),
+      r2 as (select *, min(t) over (partition by event_type, g) as st, max(t) over (partition by event_type, g) as en
+             from r)
+    select event_type, t, case when t - st >= {hold} then 'firing' else 'pending' end as state,
+           st as active_since, increase, '{name}' as alertname, '{sev}' as severity, event_type as component from r2
+    union all
+    select event_type, max(en) + {STEP}, 'resolved', min(st), null, '{name}', '{sev}', event_type from r2
+    where en - st >= {hold} group by event_type, g)"""
+
+
+add_view_sql("alerts", " union all ".join(_rule_sql(*r) for r in RULES), ("inc1h",))
+
+
+def alert_table(spark, sf):
+    inc = J.increase(spark_samples(spark, sf), KEYS, W, STEP).select(*KEYS, "t", "increase")
+    parts = [A.alerts(inc, KEYS, "increase", ">", thr, hold, STEP, name, {"severity": sev})
+             .withColumn("component", F.col("event_type"))
+             for name, sev, thr, hold in RULES]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("alert_states", with_views("select * from alerts", "alerts"))
+def q_alert_states(spark, sf):
+    return alert_table(spark, sf)
+
+
+@register("alert_routes", with_views(
+    """with a as (select * from alerts where state = 'firing'),
+       m as (select a.alertname, a.severity, a.component, a.t, a.state,
+                    case when a.severity = 'critical' then 'critical-alerts'
+                         when a.severity = 'warning' then 'warning-alerts' end as receiver from a)
+    select * from m where receiver is not null
+    union all select alertname, severity, component, t, state, 'default' from m where receiver is null""", "alerts"))
+def q_alert_routes(spark, sf):
+    a = alert_table(spark, sf).where(F.col("state") == "firing").withColumn("alert_type", F.lit(None).cast("string"))
+    return A.route(a, A.routes_frame(spark), ["severity", "alert_type"],
+                   ["alertname", "severity", "component", "t", "state"])
+
+
+@register("alert_groups", with_views(
+    f"""with f as (select alertname, severity, component, t, count(*) as alerts from alerts where state = 'firing'
+                  group by 1, 2, 3, 4),
+       g as (select *, t // {STEP} - row_number() over (partition by alertname, severity, component order by t) as gid
+             from f),
+       s as (select *, min(t) over (partition by alertname, severity, component, gid) as st from g),
+       k as (select *, (t - st) // {A.REPEAT_INTERVAL} as kk,
+                    lag((t - st) // {A.REPEAT_INTERVAL}) over (partition by alertname, severity, component, gid order by t) as pk
+             from s)
+    select alertname, severity, component, t as notify_at, alerts from k where pk is null or kk > pk""", "alerts"))
+def q_alert_groups(spark, sf):
+    return A.group_alerts(alert_table(spark, sf), STEP)
+
+
+@register("alert_inhibit", with_views(
+    """select * from alerts a where not (severity = 'warning' and exists (
+        select 1 from alerts c where c.severity = 'critical' and c.state = 'firing' and c.t = a.t
+          and coalesce(c.alertname, '') = coalesce(a.alertname, '') and coalesce(c.component, '') = coalesce(a.component, '')))""",
+    "alerts"))
+def q_alert_inhibit(spark, sf):
+    return A.inhibit(alert_table(spark, sf))
