@@ -39,13 +39,14 @@ def fit_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
 
 
 def apply_index(df: DataFrame, dictionary: DataFrame, col: str, out: str = "idx",
-                cold_flag: str | None = "is_cold_start") -> DataFrame:
+                cold_flag: str | None = "is_cold_start", value_col: str = "idx",
+                dict_key: str | None = None) -> DataFrame:
     """Look values up in a fitted dictionary; unseen -> 0 and flagged cold.
 
     A left equi-join: Spark broadcasts the dictionary only when its measured
     size is under the broadcast threshold, otherwise shuffles both sides.
     """
-    d = dictionary.select(F.col(col).alias("__k"), F.col(out).alias("__v"))
+    d = dictionary.select(F.col(dict_key or col).alias("__k"), F.col(value_col).alias("__v"))
     j = df.join(d, df[col].cast("string") == d["__k"], "left")
     j = j.withColumn(out, F.coalesce(F.col("__v"), F.lit(0)))
     if cold_flag:

@@ -1 +1,224 @@
-"""Registered queries."""
+"""Registered evaluation queries (E8-E12, oracle-checked) and model queries."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from feedpulse.functions import text as X
+from feedpulse.operators import evaluate as E
+from feedpulse.operators import features as D
+from feedpulse.operators import train as TR
+from feedpulse.operators import scoring as SC
+from feedpulse.operators.kpi import scalar_join
+from feedpulse.operators.split import split_random, split_stratified
+from feedpulse.operators.trend import trend_daily
+from feedpulse.plans.q_features import _KEYS
+from feedpulse.plans.q_text import sql_clean_trend
+from feedpulse.plans.registry import register
+from feedpulse.plans.views import add_view_sql, day_from_no, emails, interactions, reviews, with_views
+from feedpulse.session import scratch_path
+
+
+def rule_eval(spark, sf):
+    r = reviews(spark, sf)
+    return r.select("doc_id", "label", F.lower(X.rule_sentiment(X.clean_trend("text"))).alias("prediction"))
+
+
+add_view_sql("rule_eval", f"""select doc_id, label,
+    case when contains({sql_clean_trend('text')}, 'yếu') then 'negative' else 'positive' end as prediction
+    from reviews""", ("reviews",))
+add_view_sql("pclass", """with conf as (select label as l, prediction as p, count(*) as n from rule_eval group by 1, 2),
+    t as (select l as cls, sum(n) as support, sum(case when l = p then n end) as tp from conf group by l),
+    pr as (select p as cls, sum(n) as predicted from conf group by p),
+    j as (select coalesce(t.cls, pr.cls) as cls, coalesce(support, 0) as support, coalesce(tp, 0) as tp,
+                 coalesce(predicted, 0) as predicted from t full outer join pr on t.cls = pr.cls),
+    k as (select *, case when predicted > 0 then tp / predicted else 0.0 end as precision,
+                    case when support > 0 then tp / support else 0.0 end as recall from j)
+    select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end as f1
+    from k""", ("rule_eval",))
+
+
+@register("per_class_rule", with_views(
+    "select cls, support, tp, predicted, round(precision, 6) as precision, round(recall, 6) as recall, "
+    "round(f1, 6) as f1 from pclass", "pclass"))
+def q_per_class(spark, sf):
+    from feedpulse.plans.q_kpi import round_doubles
+    return round_doubles(E.per_class(rule_eval(spark, sf)))
+
+
+@register("eval_rule_sentiment", with_views(
+    """select round((select avg(case when prediction = label then 1.0 else 0.0 end) from rule_eval), 6) as accuracy,
+       round(sum(f1 * support) / sum(support), 6) as weighted_f1 from pclass""", "pclass", "rule_eval"))
+def q_eval_rule(spark, sf):
+    ev = rule_eval(spark, sf)
+    out = scalar_join(E.accuracy(ev), E.weighted_f1(ev))
+    return out.select(F.round("accuracy", 6).alias("accuracy"), F.round("weighted_f1", 6).alias("weighted_f1"))
+
+
+add_view_sql("isplit2", f"""select *, cast(('0x' || substr(md5(concat_ws('|', '42', l_orderkey, l_linenumber,
+    l_partkey, l_suppkey, l_extendedprice)), 1, 8)) as bigint) < {int(0.2 * (1 << 32))} as is_test
+    from interactions""", ("interactions",))
+add_view_sql("baseline", """with tr as (select * from isplit2 where not is_test),
+    im as (select item_id, avg(rating) as m from tr group by item_id),
+    g as (select avg(rating) as gm from tr)
+    select t.rating as label, coalesce(im.m, g.gm) as prediction
+    from isplit2 t left join im on t.item_id = im.item_id, g where t.is_test""", ("isplit2",))
+
+
+def baseline_eval(spark, sf):
+    s = split_random(interactions(spark, sf), _KEYS, 0.2, 42)
+    tr = s.where(~F.col("is_test"))
+    item_mean = tr.groupBy("item_id").agg(F.avg("rating").alias("__m"))
+    gm = tr.agg(F.avg("rating").alias("__gm"))
+    te = scalar_join(s.where("is_test").join(item_mean, "item_id", "left"), gm)
+    return te.select(F.col("rating").alias("label"), F.coalesce("__m", "__gm").alias("prediction"))
+
+
+@register("regression_baseline", with_views(
+    "select round(sqrt(avg((prediction - label) * (prediction - label))), 6) as rmse, "
+    "round(avg(abs(prediction - label)), 6) as mae from baseline", "baseline"))
+def q_regression(spark, sf):
+    m = E.regression_metrics(baseline_eval(spark, sf))
+    return m.select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"))
+
+
+def _metric_rows(spark, sf):
+    ev = rule_eval(spark, sf)
+    acc = E.accuracy(ev).select(F.lit("sentiment").alias("model"), F.lit("accuracy").alias("metric"),
+                                F.col("accuracy").alias("value"))
+    rm = E.regression_metrics(baseline_eval(spark, sf)).select(
+        F.lit("rating").alias("model"), F.lit("rmse").alias("metric"), F.col("rmse").alias("value"))
+    return acc.unionByName(rm)
+
+
+@register("promote", with_views(
+    """select model, metric, round(value, 6) as value, op, threshold,
+       case when op = '>=' then value >= threshold when op = '<' then value < threshold end as promote from (
+      select 'sentiment' as model, 'accuracy' as metric,
+             (select avg(case when prediction = label then 1.0 else 0.0 end) from rule_eval) as value, '>=' as op,
+             0.6::double as threshold
+      union all select 'rating', 'rmse', (select sqrt(avg((prediction - label) * (prediction - label))) from baseline),
+             '<', 2.0::double) m""", "rule_eval", "baseline"))
+def q_promote(spark, sf):
+    p = E.promote(_metric_rows(spark, sf), E.rules_frame(spark))
+    return p.select("model", "metric", F.round("value", 6).alias("value"), "op", "threshold", "promote")
+
+
+@register("run_log_roundtrip", with_views(
+    """select 'accuracy' as key, round(avg(case when prediction = label then 1.0 else 0.0 end), 6) as value,
+       cast(0 as bigint) as step from rule_eval""", "rule_eval"))
+def q_run_log(spark, sf):
+    root = scratch_path(spark, "runs")
+    ev = rule_eval(spark, sf)
+    run_id = E.log_run(spark, root, "sentiment_rules", {"source": "reviews", "sf": sf},
+                       E.metrics_long(E.accuracy(ev).select(F.round("accuracy", 6).alias("accuracy"))))
+    return spark.read.parquet(f"{root}/run_metrics").where(F.col("run_id") == run_id).select("key", "value", "step")
+
+
+add_view_sql("rule_feed", f"""select date '2024-01-01' + day_no as date,
+    case when contains(c, 'pin') then 'Battery' when contains(c, 'ship') then 'Shipping' else 'Other' end as topic,
+    case when contains(c, 'yếu') then 'Negative' else 'Positive' end as sentiment
+    from (select day_no, {sql_clean_trend('text')} as c from reviews) t""", ("reviews",))
+
+
+@register("scored_feed_trend", with_views(
+    """select date, topic, count(*) filter (where sentiment = 'Negative') as Negative,
+       count(*) filter (where sentiment = 'Positive') as Positive,
+       count(*) filter (where sentiment = 'Neutral') as Neutral, count(*) as total_volume,
+       count(*) filter (where sentiment = 'Negative') / count(*) as negative_rate
+    from rule_feed group by date, topic""", "rule_feed"))
+def q_scored_feed_trend(spark, sf):
+    feed = reviews(spark, sf).select(day_from_no(F.col("day_no")).alias("date"),
+                                     X.clean_trend("text").alias("clean_text"))
+    return trend_daily(SC.score_feed(feed))
+
+
+# ---------------------------------------------------------------- fitted models (rows-only checks)
+
+def _review_split(spark, sf, label="label"):
+    r = reviews(spark, sf)
+    return split_stratified(r, ["doc_id"], label, 0.2, 42)
+
+
+@register("sentiment_model_scores")
+def q_sentiment_model(spark, sf):
+    s = _review_split(spark, sf)
+    model = TR.train_logistic(s.where(~F.col("is_test")), TR.TextModelSpec(max_features=TR.SENTIMENT_TERMS))
+    return SC.score_sentiment(s.where("is_test").select("doc_id", "text", "label"), model) \
+        .select("doc_id", "label", "sentiment", "confidence")
+
+
+@register("topic_model_scores")
+def q_topic_model(spark, sf):
+    s = _review_split(spark, sf, "topic")
+    spec = TR.TextModelSpec(label_col="topic", max_features=TR.TOPIC_TERMS)
+    model = TR.train_linear_log(s.where(~F.col("is_test")), spec, max_iter=50, parallelism=8)
+    return SC.score_topic(s.where("is_test").select("doc_id", "text", F.col("topic").alias("true_topic")), model) \
+        .select("doc_id", "true_topic", "topic", "confidence")
+
+
+def _email_features(spark, sf):
+    e = emails(spark, sf).withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")) \
+                         .withColumn("y", X.spam_target("label", "one_vs_rest"))
+    e = split_stratified(e, ["doc_id"], "y", 0.2, 42)
+    toks = e.select("doc_id", D.ngrams(D.remove_stop(D.tokens(X.clean_words(X.null_text("text")))), 2).alias("toks"))
+    train_docs = toks.join(e.where(~F.col("is_test")).select("doc_id"), "doc_id")
+    vocab = D.fit_vocab(train_docs, "doc_id", "toks", TR.EMAIL_MIN_DF, TR.EMAIL_TERMS)
+    n = train_docs.agg(F.count(F.lit(1)).alias("n"))
+    long = D.tfidf(toks, vocab, "doc_id", "toks", n)
+    return e, long
+
+
+@register("email_model_scores")
+def q_email_model(spark, sf):
+    e, long = _email_features(spark, sf)
+    tr = e.where(~F.col("is_test")).select("doc_id", "y")
+    w, b, _ = TR.train_modified_huber(long.join(tr.select("doc_id"), "doc_id"), tr, max_epochs=30)
+    test = e.where("is_test").select("doc_id", "conv_id", "turn", "label")
+    return SC.score_email(test, long, w, b)
+
+
+@register("email_epoch_log")
+def q_email_epochs(spark, sf):
+    """Ten epochs, weighted F1 on the test rows logged per epoch to the run tables."""
+    e, long = _email_features(spark, sf)
+    tr = e.where(~F.col("is_test")).select("doc_id", "y")
+    te = e.where("is_test").select("doc_id", "y")
+    root = scratch_path(spark, "runs")
+    run_id = E.log_run(spark, root, "email_tracking", {"epochs": 10, "alpha": TR.LINEAR_ALPHA})
+    rows = []
+
+    def log(epoch, w, b, loss):
+        sc = TR.score_linear(long, w, b).join(te, "doc_id")
+        f1 = E.weighted_f1(sc.select(F.col("prediction").alias("prediction"), F.col("y").alias("label")))
+        rows.append(f1.select(F.lit("weighted_f1").alias("key"), F.col("weighted_f1").alias("value"),
+                              F.lit(epoch).cast("bigint").alias("step"))
+                      .unionByName(f1.select(F.lit("train_loss").alias("key"), F.lit(float(loss)).alias("value"),
+                                             F.lit(epoch).cast("bigint").alias("step"))))
+
+    TR.train_modified_huber(long.join(tr.select("doc_id"), "doc_id"), tr, max_epochs=10, on_epoch=log)
+    metrics = reduce(lambda a, b: a.unionByName(b), rows)
+    metrics.select(F.lit(run_id).alias("run_id"), "key", "value", "step") \
+           .write.mode("append").parquet(f"{root}/run_metrics")
+    return spark.read.parquet(f"{root}/run_metrics").where(F.col("run_id") == run_id)
+
+
+@register("rating_model_scores")
+def q_rating_model(spark, sf):
+    s = split_random(interactions(spark, sf), _KEYS, 0.2, 42)
+    tr = s.where(~F.col("is_test"))
+    users = D.fit_index(tr, "user_id", "user_idx")
+    items = D.fit_index(tr, "item_id", "item_idx")
+    tr = tr.withColumn("text", F.lit("")).withColumn("full_description", X.full_description())
+    tr = D.apply_index(tr, users, "user_id", "user_idx", None, value_col="user_idx")
+    tr = D.apply_index(tr, items, "item_id", "item_idx", None, value_col="item_idx")
+    tr = tr.withColumn("user_idx", F.col("user_idx").cast("double")).withColumn("item_idx", F.col("item_idx").cast("double"))
+    spec = TR.TextModelSpec(text_col="full_description", label_col="rating", doc_col="__row",
+                            max_features=TR.RATING_TERMS, stop=True)
+    tr = tr.withColumn("__row", F.monotonically_increasing_id()).withColumn("rating", F.col("rating").cast("double"))
+    model = TR.train_gbt(tr, spec)
+    test = s.where("is_test").select("user_id", F.col("item_id").alias("product_id"), "title", "name",
+                                     "manufacturer", "categories", "rating", "l_orderkey", "l_linenumber")
+    return SC.score_rating(test, model, users, items)
