@@ -1 +1,99 @@
-"""Registered queries."""
+"""Registered source / sink round trips (A1-A8, A10, A11) over the given tables."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from feedpulse.functions.schema import normalize_columns
+from feedpulse.operators.trend import trend_daily
+from feedpulse.plans.registry import register
+from feedpulse.plans.views import feedback, with_views
+from feedpulse.session import scratch_path
+from feedpulse.sources import io as IO
+from feedpulse.sources.tables import table
+
+DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                           T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+                           T.StructField("n_chars", T.LongType())])
+
+
+def _dir(spark, sf, name):
+    return scratch_path(spark, f"io/{name}/{hashlib.md5(sf.encode()).hexdigest()[:8]}")
+
+
+@register("csv_roundtrip", "select doc_id, text, lang, source, n_chars from documents")
+def q_csv_roundtrip(spark, sf):
+    d = _dir(spark, sf, "csv_roundtrip")
+    IO.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), d)
+    return IO.read_csv_folder(spark, d, DOC_SCHEMA)
+
+
+@register("csv_union_by_name", """select doc_id, text, lang, source,
+    case when lang in ('en', 'fr') then n_chars end as n_chars from documents""")
+def q_csv_union(spark, sf):
+    d = _dir(spark, sf, "csv_union")
+    docs = table(spark, sf, "documents")
+    a = docs.where(F.col("lang").isin("en", "fr")).select("doc_id", "text", "lang", "source", "n_chars")
+    b = docs.where(~F.col("lang").isin("en", "fr")).select("source", "lang", "doc_id", "text")
+    IO.write_csv(a, f"{d}/part_a")
+    IO.write_csv(b, f"{d}/part_b")
+    # both writers' files end up in one folder listing via a glob over the two sub-folders
+    return IO.read_csv_folder(spark, d, DOC_SCHEMA, pattern="part_*/*.csv")
+
+
+@register("csv_column_subset", "select text, source from documents")
+def q_csv_subset(spark, sf):
+    d = _dir(spark, sf, "csv_roundtrip_subset")
+    IO.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), d)
+    return IO.read_csv_folder(spark, d, DOC_SCHEMA, columns=["text", "source"])
+
+
+_CUBE = """select date, topic,
+  count(*) filter (where sentiment = 'Negative') as negative,
+  count(*) filter (where sentiment = 'Positive') as positive,
+  count(*) filter (where sentiment = 'Neutral') as neutral,
+  count(*) as total_volume,
+  count(*) filter (where sentiment = 'Negative') / count(*) as negative_rate
+  from feedback where date is not null group by date, topic"""
+
+
+@register("parquet_zone_roundtrip", with_views(_CUBE, "feedback"))
+def q_zone(spark, sf):
+    d = _dir(spark, sf, "zone")
+    IO.write_zone(normalize_columns(trend_daily(feedback(spark, sf))), d)
+    return IO.read_zone(spark, d)
+
+
+@register("read_any", "select event_type, count(*) as n from events group by event_type")
+def q_read_any(spark, sf):
+    return IO.read_any(spark, f"{sf}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("gold_partition_overwrite", with_views(_CUBE, "feedback"))
+def q_gold(spark, sf):
+    d = _dir(spark, sf, "gold")
+    cube = normalize_columns(trend_daily(feedback(spark, sf)))
+    # first run writes every day with zeroed counts, the second rewrites each day it carries
+    IO.write_gold(cube.withColumn("negative", F.lit(0).cast("bigint")), d)
+    IO.write_gold(cube, d)
+    return IO.read_zone(spark, d).select("date", "topic", "negative", "positive", "neutral", "total_volume",
+                                         "negative_rate")
+
+
+@register("batch_summary", "select count(*) as total_rows, count(distinct cast(ts as date)) as total_days from events")
+def q_batch_summary(spark, sf):
+    return IO.batch_summary(table(spark, sf, "events"), "ts")
+
+
+@register("latin1_fallback")
+def q_latin1(spark, sf):
+    """A Latin-1 written copy and a UTF-8 copy of the documents read back with detected encodings."""
+    d = _dir(spark, sf, "latin1")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    IO.write_csv(docs.where(F.col("lang") == "fr"), f"{d}/latin", encoding="ISO-8859-1")
+    IO.write_csv(docs.where(F.col("lang") != "fr"), f"{d}/utf8")
+    parts = [IO.read_csv_any_encoding(spark, f"{d}/{sub}", DOC_SCHEMA) for sub in ("latin", "utf8")]
+    return IO.union_by_name(parts)
