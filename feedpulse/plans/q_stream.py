@@ -1 +1,101 @@
-"""Registered queries."""
+"""Registered streaming queries (K1-K6): run to completion, compared with batch SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from feedpulse.functions import text as X
+from feedpulse.operators import timeseries as J
+from feedpulse.plans.q_text import sql_clean_trend
+from feedpulse.plans.q_timeseries import KEYS, STEP, W, spark_samples
+from feedpulse.plans.registry import register
+from feedpulse.plans.views import DAY_ZERO, NEGATIVE_BELOW, POSITIVE_BELOW, with_views
+from feedpulse.session import scratch_path
+from feedpulse.sources.tables import table
+from feedpulse.streaming import streams as K
+
+
+def _run_dir(spark, name):
+    # a fresh sink and checkpoint per run: the query re-reads the whole input
+    base = scratch_path(spark, f"stream/{name}/{uuid.uuid4().hex[:12]}")
+    return f"{base}/out", f"{base}/ckpt"
+
+
+def event_stream(spark, sf):
+    return K.stream_feed(spark, sf, K.EVENT_SCHEMA, glob="events.parquet")
+
+
+def _feedback_stream(spark, sf):
+    e = event_stream(spark, sf)
+    return e.select("event_id", "ts", F.col("event_type").alias("topic"),
+                    F.when(F.col("value") < NEGATIVE_BELOW, "Negative").when(F.col("value") < POSITIVE_BELOW, "Positive")
+                     .otherwise("Neutral").alias("sentiment"))
+
+
+@register("stream_ingest", "select event_id, event_type, value from events")
+def q_stream_ingest(spark, sf):
+    out, ck = _run_dir(spark, "ingest")
+    return K.run_available(event_stream(spark, sf).select("event_id", "event_type", "value"), out, ck)
+
+
+_CUBE = """select date, topic,
+  count(*) filter (where sentiment = 'Negative') as Negative,
+  count(*) filter (where sentiment = 'Positive') as Positive,
+  count(*) filter (where sentiment = 'Neutral') as Neutral, count(*) as total_volume,
+  count(*) filter (where sentiment = 'Negative') / count(*) as negative_rate
+  from feedback where date is not null group by date, topic"""
+
+
+@register("stream_trend_daily", with_views(_CUBE, "feedback"))
+def q_stream_trend(spark, sf):
+    out, ck = _run_dir(spark, "trend")
+    return K.run_available(K.stream_trend(_feedback_stream(spark, sf)), out, ck, mode="complete")
+
+
+@register("stream_trend_watermarked")
+def q_stream_trend_append(spark, sf):
+    """K4: append mode, 1 day lateness: only days closed by the watermark are emitted."""
+    out, ck = _run_dir(spark, "trend_append")
+    return K.run_available(K.stream_trend(_feedback_stream(spark, sf), late_delay="1 day"), out, ck, mode="append")
+
+
+@register("stream_rates_5m", """select epoch_us(ts) // 15000000 * 15 - j * 15 as window_start, event_type, count(*) as n,
+    count(*) / 300.0 as rate
+    from events, range(0, 20) r(j) group by 1, 2""")
+def q_stream_rates(spark, sf):
+    out, ck = _run_dir(spark, "rates")
+    return K.run_available(K.stream_rates(event_stream(spark, sf), ["event_type"]), out, ck, mode="complete")
+
+
+@register("stream_alert_hold")
+def q_stream_alerts(spark, sf):
+    """K5: the hold state machine over a file stream of 1 h increases, one file per day."""
+    base = scratch_path(spark, f"stream/alert_input/{uuid.uuid4().hex[:12]}")
+    inc = J.increase(spark_samples(spark, sf), KEYS, W, STEP)
+    (inc.select(F.col("event_type"), "t", F.col("increase").alias("value"),
+                F.to_date(F.from_unixtime("t")).alias("day"))
+        .write.mode("overwrite").partitionBy("day").parquet(base))
+    src = (spark.readStream.schema("event_type string, t long, value double, day date")
+                .option("maxFilesPerTrigger", "8").parquet(base))
+    out, ck = _run_dir(spark, "alerts")
+    return K.run_available(K.stream_alerts(src, "event_type", 4.0, 1800, STEP), out, ck)
+
+
+@register("stream_score_rules", f"""select cast(date '{DAY_ZERO}' + cast(d.doc_id % 30 as int) as date) as date,
+       case when contains(c, 'pin') then 'Battery' when contains(c, 'ship') then 'Shipping' else 'Other' end as topic,
+       count(*) as n
+    from (select doc_id, {sql_clean_trend('text')} as c from documents) d join labels l on d.doc_id = l.doc_id
+    group by 1, 2""")
+def q_stream_score(spark, sf):
+    docs = K.stream_feed(spark, sf, "doc_id bigint, text string, lang string, source string, n_chars bigint",
+                         glob="documents.parquet")
+    labels = table(spark, sf, "labels").select("doc_id")
+    d = docs.join(labels, "doc_id").select(
+        F.date_add(F.lit(DAY_ZERO).cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
+        X.clean_trend("text").alias("clean_text"))
+    scored = K.stream_score(d)
+    agg = scored.groupBy("date", "topic").agg(F.count(F.lit(1)).alias("n"))
+    out, ck = _run_dir(spark, "score")
+    return K.run_available(agg, out, ck, mode="complete")
