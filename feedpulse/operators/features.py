@@ -62,11 +62,19 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 1)
 
 
-def remove_stop(toks: Column | str, stop: tuple[str, ...] | None = None) -> Column:
-    """Drop stop words, keep order and repeats."""
-    toks = F.col(toks) if isinstance(toks, str) else toks
-    sw = F.array(*[F.lit(w) for w in (stop if stop is not None else english_stop_words())])
-    return F.filter(toks, lambda t: ~F.array_contains(sw, t))
+def stop_remover(input_col: str, output_col: str, stop: tuple[str, ...] | None = None):
+    """D5 as an ML stage: hash-set lookup in the JVM, order and repeats kept."""
+    from pyspark.ml.feature import StopWordsRemover
+    words = list(stop if stop is not None else english_stop_words())
+    return StopWordsRemover(inputCol=input_col, outputCol=output_col, stopWords=words, caseSensitive=True)
+
+
+def remove_stop(df: DataFrame, col: str, out: str | None = None, stop: tuple[str, ...] | None = None) -> DataFrame:
+    """Drop stop words from an array column of lower-case tokens."""
+    out = out or col
+    tmp = "__nostop"
+    d = stop_remover(col, tmp, stop).transform(df)
+    return d.drop(col).withColumnRenamed(tmp, out) if out == col else d.withColumnRenamed(tmp, out)
 
 
 def ngrams(toks: Column | str, n_max: int = 2) -> Column:

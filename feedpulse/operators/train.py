@@ -27,17 +27,24 @@ LINEAR_ALPHA = 1e-4
 GBT_TREES, GBT_RATE, GBT_DEPTH, GBT_SEED = 100, 0.1, 5, 42
 
 
-def _token_stage(text_col: str, out: str, stop: bool, grams: int) -> SQLTransformer:
-    """Tokens (and stop words / n-grams) as a SQL stage, so the fitted pipeline carries them."""
-    expr = f"regexp_extract_all(lower(coalesce(`{text_col}`, '')), '{D.TOKEN_PATTERN.replace(chr(92), chr(92) * 2)}', 1)"
+def _token_stages(text_col: str, out: str, stop: bool, grams: int) -> list:
+    """Tokens, stop words and n-grams as pipeline stages, so the fitted pipeline carries them."""
+    pat = D.TOKEN_PATTERN.replace(chr(92), chr(92) * 2)
+    raw = out if not (stop or grams > 1) else "__raw_tokens"
+    stages = [SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(coalesce(`{text_col}`, '')), "
+                                       f"'{pat}', 1) AS `{raw}` FROM __THIS__")]
+    cur = raw
     if stop:
-        sw = ", ".join("'" + w.replace("'", "\\'") + "'" for w in D.english_stop_words())
-        expr = f"filter({expr}, t -> not array_contains(array({sw}), t))"
+        nxt = out if grams == 1 else "__stop_tokens"
+        stages.append(D.stop_remover(cur, nxt))
+        cur = nxt
     if grams == 2:
-        expr = (f"concat({expr}, slice(transform(arrays_zip(slice({expr}, 1, 1073741824), "
-                f"slice({expr}, 2, 1073741824)), s -> concat_ws(' ', s['0'], s['1'])), 1, "
-                f"greatest(size({expr}) - 1, 0)))")
-    return SQLTransformer(statement=f"SELECT *, {expr} AS `{out}` FROM __THIS__")
+        t = f"`{cur}`"
+        stages.append(SQLTransformer(statement=(
+            f"SELECT *, concat({t}, slice(transform(arrays_zip(slice({t}, 1, 1073741824) AS a, "
+            f"slice({t}, 2, 1073741824) AS b), s -> concat_ws(' ', s.a, s.b)), 1, greatest(size({t}) - 1, 0))) "
+            f"AS `{out}` FROM __THIS__")))
+    return stages
 
 
 @dataclass
@@ -54,11 +61,11 @@ class TextModelSpec:
 
 def fit_text_features(df: DataFrame, spec: TextModelSpec):
     """Fit the vocabulary on ``df`` and return (stages, vocab, n_docs)."""
-    tok = _token_stage(spec.text_col, "__tokens", spec.stop, spec.grams)
-    toks = tok.transform(df.select(spec.doc_col, spec.text_col))
-    vocab = D.fit_vocab(toks, spec.doc_col, "__tokens", spec.min_df, spec.max_features).cache()
+    toks = Pipeline(stages=_token_stages(spec.text_col, "__tokens", spec.stop, spec.grams)).fit(df)
+    tokenised = toks.transform(df.select(spec.doc_col, spec.text_col))
+    vocab = D.fit_vocab(tokenised, spec.doc_col, "__tokens", spec.min_df, spec.max_features).cache()
     n_docs = df.count()
-    stages = [tok] + D.vectorizer_stages(vocab, "__tokens", "features", n_docs)
+    stages = list(toks.stages) + D.vectorizer_stages(vocab, "__tokens", "features", n_docs)
     return stages, vocab, n_docs
 
 

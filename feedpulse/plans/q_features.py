@@ -20,7 +20,7 @@ def _stop_sql() -> str:
 def review_tokens(spark, sf, stop: bool = False, grams: int = 1):
     r = reviews(spark, sf).select("doc_id", D.tokens("text").alias("toks"))
     if stop:
-        r = r.withColumn("toks", D.remove_stop("toks"))
+        r = D.remove_stop(r, "toks")
     if grams > 1:
         r = r.withColumn("toks", D.ngrams("toks", grams))
     return r

@@ -163,7 +163,8 @@ def _email_features(spark, sf):
     e = emails(spark, sf).withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")) \
                          .withColumn("y", X.spam_target("label", "one_vs_rest"))
     e = split_stratified(e, ["doc_id"], "y", 0.2, 42)
-    toks = e.select("doc_id", D.ngrams(D.remove_stop(D.tokens(X.clean_words(X.null_text("text")))), 2).alias("toks"))
+    toks = e.select("doc_id", D.tokens(X.clean_words(X.null_text("text"))).alias("toks"))
+    toks = D.remove_stop(toks, "toks").select("doc_id", D.ngrams("toks", 2).alias("toks"))
     train_docs = toks.join(e.where(~F.col("is_test")).select("doc_id"), "doc_id")
     vocab = D.fit_vocab(train_docs, "doc_id", "toks", TR.EMAIL_MIN_DF, TR.EMAIL_TERMS)
     n = train_docs.agg(F.count(F.lit(1)).alias("n"))

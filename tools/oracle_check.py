@@ -6,7 +6,6 @@ Compares column names, row count and the sorted rows (doubles rounded to 6).
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 
@@ -14,34 +13,12 @@ sys.path.insert(0, ".")
 
 import duckdb  # noqa: E402
 
+from feedpulse.plans.compare import rows_of  # noqa: E402
 from feedpulse.plans.registry import ORACLE, QUERIES, load_all  # noqa: E402
 from feedpulse.session import build_session  # noqa: E402
 from feedpulse.sources.tables import TABLES  # noqa: E402
 
 
-def norm(v):
-    if v is None:
-        return (0, "")
-    if isinstance(v, bool):
-        return (1, str(int(v)))
-    if isinstance(v, float):
-        if math.isnan(v):
-            return (2, "nan")
-        return (1, f"{round(v, 6):.6f}")
-    if isinstance(v, int):
-        return (1, f"{float(v):.6f}")
-    if hasattr(v, "isoformat"):
-        return (3, v.isoformat()[:26])
-    if isinstance(v, (list, tuple)):
-        return (4, str([norm(x) for x in v]))
-    return (5, str(v))
-
-
-def rows_of(cols, records):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted(tuple(norm(r[i]) for i in order) for r in records)
-
-
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
