@@ -5,8 +5,9 @@ Inputs use the dashboard's lower-case names:
   ratings:    product_id, predicted_rating, [user_id], [date]
   emails:     label, is_spam, [date]
 
-Global scalars (mean, max date, ...) are one-row aggregates attached with a
-broadcast equi-join on a constant key; nothing is collected to the driver.
+Global scalars (mean, max date, ...) are one-row aggregates attached as
+uncorrelated scalar subqueries; nothing is collected to the driver and no
+row is paired with another.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ SPAM_SPIKE_NOTE = "High Spam Volume Spike"
 
 
 def scalar_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast hash join)."""
-    k = "__one"
-    return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k)
-              .drop(k))
+    """Attach the columns of a one-row aggregate to every row as scalar subqueries.
+
+    Uncorrelated scalar subqueries run once and are inlined as values (no join,
+    no nested loop); subqueries over the same aggregate are merged by Catalyst.
+    """
+    return df.select("*", *[one_row.select(F.col(f"`{c}`")).scalar().alias(c) for c in one_row.columns])
 
 
 # ---------------------------------------------------------------- trend KPIs
@@ -133,7 +135,7 @@ def weekly_drift(r: DataFrame, key: str = "product_id", value: str = "predicted_
     two = ranked.agg(F.max(F.when(F.col("__rk") == 1, F.col("__wk"))).alias("__w1"),
                      F.max(F.when(F.col("__rk") == 2, F.col("__wk"))).alias("__w0")) \
                 .where(F.col("__w0").isNotNull())
-    j = scalar_join(d, two)
+    j = scalar_join(d, two).where(F.col("__w0").isNotNull())
     g = j.groupBy(key).agg(F.avg(F.when(F.col("__wk") == F.col("__w1"), F.col(value))).alias("__last"),
                            F.avg(F.when(F.col("__wk") == F.col("__w0"), F.col(value))).alias("__prev"))
     drift = F.when(F.col("__last").isNotNull() & F.col("__prev").isNotNull() & (F.col("__prev") != 0),
