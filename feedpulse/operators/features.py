@@ -118,11 +118,14 @@ def fit_vocab(df: DataFrame, doc: str, terms: str, min_df: int = 1, k: int | Non
     return v.join(dense_index(v.select("term"), "term", "idx"), "term")
 
 
-def tfidf(df: DataFrame, vocab: DataFrame, doc: str, terms: str, n_docs: DataFrame | None = None) -> DataFrame:
+def tfidf(df: DataFrame, vocab: DataFrame, doc: str, terms: str, n_docs: DataFrame | None = None,
+          vocab_bounded: bool = True) -> DataFrame:
     """Tf * (ln((1 + n) / (1 + df)) + 1), L2-normalised per document (long form).
 
     ``n_docs`` is a one-row frame with column ``n`` (documents the vocabulary
-    was fitted on); by default the documents of ``df``.
+    was fitted on); by default the documents of ``df``. ``vocab_bounded`` says
+    the vocabulary was cut to max_features terms, which makes it safe to
+    broadcast; otherwise the join is left to the planner's size estimate.
     """
     if n_docs is None:
         n_docs = df.agg(F.count(F.lit(1)).alias("n"))
@@ -132,7 +135,7 @@ def tfidf(df: DataFrame, vocab: DataFrame, doc: str, terms: str, n_docs: DataFra
         .select("term", "idx", (F.log((1 + F.col("__n")) / (1 + F.col("__df"))) + 1).alias("idf"))
     tc = term_counts(df, doc, terms)
     # the vocabulary holds at most max_features rows: a proven broadcast bound when k is set
-    w = tc.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    w = tc.join(F.broadcast(idf) if vocab_bounded else idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return w.select(doc, "term", "idx", "tf", (F.col("w") / norm).alias("weight"))
 

@@ -318,3 +318,21 @@ def test_weighted_f1_zero_division(spark):
     # class a: p = 2/3, r = 1, f1 = 0.8 (support 2); class b: f1 = 0 (support 1)
     assert math.isclose(f1, 0.8 * 2 / 3)
     assert math.isclose(E.accuracy(df).first()[0], 2 / 3)
+
+
+# ------------------------------------------------------------------ files
+
+def test_csv_folder_skips_unreadable_and_unions_by_name(spark, tmp_path):
+    from feedpulse.sources import io as IO
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text('text,label\n"hello, ""world""\nline two",spam\n', encoding="utf-8")
+    (folder / "b.csv").write_text("label,extra\nham,1\n", encoding="utf-8")
+    (folder / "c.csv").write_bytes(b"")  # empty: skipped by the listing
+    df = IO.read_csv_folder(spark, str(folder), skip_bad=True)
+    rows = {(r["text"], r["label"], r["extra"]) for r in df.collect()}
+    assert rows == {('hello, "world"\nline two', "spam", None), (None, "ham", "1")}
+    assert IO.rejected_files(spark, str(folder)) == 0
+    only = IO.read_csv_folder(spark, str(folder), columns=["label"])
+    assert sorted(r[0] for r in only.collect()) == ["ham", "spam"]
+    assert IO.read_any(spark, str(folder / "a.csv")).count() == 1
