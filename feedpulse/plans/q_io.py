@@ -88,7 +88,9 @@ def q_batch_summary(spark, sf):
     return IO.batch_summary(table(spark, sf, "events"), "ts")
 
 
-@register("latin1_fallback")
+@register("latin1_fallback", """select doc_id,
+    case when lang = 'fr' then regexp_replace(text, '[^\\x{00}-\\x{ff}]', '?', 'g') else text end as text,
+    lang, source, n_chars from documents""")
 def q_latin1(spark, sf):
     """A Latin-1 written copy and a UTF-8 copy of the documents read back with detected encodings."""
     d = _dir(spark, sf, "latin1")

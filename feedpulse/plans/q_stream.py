@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedpulse.functions import text as X
 from feedpulse.operators import timeseries as J
+from feedpulse.plans import q_alerts  # noqa: F401  (declares the alerts oracle view)
 from feedpulse.plans.q_text import sql_clean_trend
 from feedpulse.plans.q_timeseries import KEYS, STEP, W, spark_samples
 from feedpulse.plans.registry import register
@@ -54,7 +55,9 @@ def q_stream_trend(spark, sf):
     return K.run_available(K.stream_trend(_feedback_stream(spark, sf)), out, ck, mode="complete")
 
 
-@register("stream_trend_watermarked")
+@register("stream_trend_watermarked", with_views(
+    "select * from (" + _CUBE + ") c where cast(date + 1 as timestamp) <= "
+    "(select max(ts) - interval 1 day from events)", "feedback"))
 def q_stream_trend_append(spark, sf):
     """K4: append mode, 1 day lateness: only days closed by the watermark are emitted."""
     out, ck = _run_dir(spark, "trend_append")
@@ -69,7 +72,8 @@ def q_stream_rates(spark, sf):
     return K.run_available(K.stream_rates(event_stream(spark, sf), ["event_type"]), out, ck, mode="complete")
 
 
-@register("stream_alert_hold")
+@register("stream_alert_hold", with_views(
+    "select event_type as series, t, state, active_since from alerts where severity = 'warning'", "alerts"))
 def q_stream_alerts(spark, sf):
     """K5: the hold state machine over a file stream of 1 h increases, one file per day."""
     base = scratch_path(spark, f"stream/alert_input/{uuid.uuid4().hex[:12]}")
