@@ -97,8 +97,13 @@ def ngrams(toks: Column | str, n_max: int = 2) -> Column:
 # ------------------------------------------------------------------ vocabulary / tf-idf
 
 def term_counts(df: DataFrame, doc: str, terms: str) -> DataFrame:
-    """(doc, term, tf) for every term occurrence; keyed by doc so no hot key."""
-    return (df.select(doc, F.explode(terms).alias("term"))
+    """(doc, term, tf) for every term occurrence; keyed by doc so no hot key.
+
+    ``explode_outer`` + a null filter: a plain ``explode`` makes Catalyst infer
+    ``size(tokens) > 0`` and push it below joins, re-running the tokenizer
+    expression on every input row.
+    """
+    return (df.select(doc, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
               .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
