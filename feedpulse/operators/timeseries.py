@@ -84,10 +84,17 @@ def agg_by(df: DataFrame, by: Sequence[str], value: str, how: str = "sum", out:
     return df.groupBy("t", *by).agg(fn(value).alias(out or value))
 
 
-def match(df: DataFrame, matchers: Mapping[str, str]) -> DataFrame:
-    """Label matchers; ``"=v"`` exact, ``"!=v"`` not equal, ``"=~re"`` anchored regex, ``"!~re"``."""
+def match(df: DataFrame, matchers: Mapping[str, str], labels_map: str | None = None) -> DataFrame:
+    """Label matchers; ``"=v"`` exact, ``"!=v"`` not equal, ``"=~re"`` anchored regex, ``"!~re"``.
+
+    Labels are columns, or keys of a ``map<string,string>`` column when ``labels_map`` is given
+    (a missing label matches as the empty string, as in the reference's engine).
+    """
     for label, m in matchers.items():
-        c = F.col(label).cast("string")
+        if labels_map:
+            c = F.coalesce(F.element_at(F.col(labels_map), F.lit(label)), F.lit(""))
+        else:
+            c = F.col(label).cast("string")
         if m.startswith("=~"):
             cond = c.rlike(f"^(?:{m[2:]})$")
         elif m.startswith("!~"):

@@ -322,3 +322,16 @@ def q_filter_metrics(spark, sf):
              .otherwise("batch_purchase_total"))
     m = table(spark, sf, "events").select(name.alias("metric"))
     return M.filter_metrics(M.counter(M.filter_metrics(m, static={}), ["metric"]))
+
+
+@register("match_map_labels", """select endpoint, count(*) as value from (
+    select '/' || event_type as endpoint, case when event_type = 'error' then '500' else '200' end as status
+    from events) r where regexp_full_match(status, '(?:5..)') group by endpoint""")
+def q_match_map(spark, sf):
+    """J4 on a label map: request samples carrying {endpoint, status} labels, 5xx only."""
+    e = table(spark, sf, "events")
+    labels = F.create_map(F.lit("endpoint"), F.concat(F.lit("/"), F.col("event_type")),
+                          F.lit("status"), F.when(F.col("event_type") == "error", "500").otherwise("200"))
+    s = e.select(labels.alias("labels"))
+    m = J.match(s, {"status": "=~5.."}, labels_map="labels")
+    return M.counter(m.select(F.element_at("labels", "endpoint").alias("endpoint")), ["endpoint"])

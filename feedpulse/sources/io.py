@@ -53,12 +53,15 @@ def _header_columns(line: str) -> list[str]:
 
 def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | None = None,
                     columns: Sequence[str] | None = None, skip_bad: bool = False,
-                    encoding: str = "UTF-8", pattern: str = "*.csv") -> DataFrame:
+                    encoding: str = "UTF-8", pattern: str = "*.csv",
+                    corrupt_col: str | None = None) -> DataFrame:
     """Every CSV of a folder, union by column name (missing -> null).
 
     Files sharing a header are read by one reader (all columns string unless
     ``schema`` names them); ``columns`` prunes to a subset; ``skip_bad`` skips
     unreadable files (``ignoreCorruptFiles``) -- see ``rejected_files``.
+    ``corrupt_col`` keeps rows that do not fit the schema, with their raw text
+    in that column (``columnNameOfCorruptRecord``) instead of failing.
     """
     groups: OrderedDict[tuple[str, ...], list[str]] = OrderedDict()
     for f in list_files(spark, folder, pattern):
@@ -72,7 +75,11 @@ def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | Non
     parts = []
     for header, files in groups.items():
         sch = T.StructType([typed.get(c, T.StructField(c, T.StringType())) for c in header])
+        if corrupt_col:
+            sch = sch.add(T.StructField(corrupt_col, T.StringType()))
         r = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).schema(sch)
+        if corrupt_col:
+            r = r.option("columnNameOfCorruptRecord", corrupt_col)
         if skip_bad:
             r = r.option("ignoreCorruptFiles", "true")
         parts.append(r.csv(files))

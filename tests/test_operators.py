@@ -336,3 +336,19 @@ def test_csv_folder_skips_unreadable_and_unions_by_name(spark, tmp_path):
     only = IO.read_csv_folder(spark, str(folder), columns=["label"])
     assert sorted(r[0] for r in only.collect()) == ["ham", "spam"]
     assert IO.read_any(spark, str(folder / "a.csv")).count() == 1
+
+
+def test_corrupt_rows_kept_and_map_matchers(spark, tmp_path):
+    from pyspark.sql import types as T_
+    from feedpulse.sources import io as IO
+    folder = tmp_path / "raw2"
+    folder.mkdir()
+    (folder / "a.csv").write_text("n,label\n1,spam\nnot-a-number,ham\n", encoding="utf-8")
+    sch = T_.StructType([T_.StructField("n", T_.IntegerType()), T_.StructField("label", T_.StringType())])
+    rows = IO.read_csv_folder(spark, str(folder), sch, corrupt_col="_corrupt").orderBy("label").collect()
+    assert rows[0]["n"] is None and rows[0]["_corrupt"] == "not-a-number,ham" and rows[1]["n"] == 1
+    df = spark.createDataFrame([({"status": "503"}, 1.0), ({"status": "200"}, 2.0), ({}, 3.0)],
+                               "labels map<string,string>, v double")
+    got = [r["v"] for r in J.match(df, {"status": "=~5.."}, labels_map="labels").collect()]
+    assert got == [1.0]
+    assert sorted(r["v"] for r in J.match(df, {"status": "!=200"}, labels_map="labels").collect()) == [1.0, 3.0]
