@@ -125,17 +125,14 @@ def weekly_drift(r: DataFrame, key: str = "product_id", value: str = "predicted_
     """H8: % change of each product's mean between the last two weeks present.
 
     Weeks run Monday..Sunday. A product missing in either week, or with a
-    previous mean of 0, gets 0. No rows when fewer than two weeks exist.
+    previous mean of 0, gets 0. No rows when fewer than two weeks exist. The two
+    weeks are nested scalar subqueries (latest week, latest week before it).
     """
     d = r.where(F.col("date").isNotNull()).withColumn(
         "__wk", F.date_trunc("week", F.col("date").cast("timestamp")))
-    weeks = d.select("__wk").distinct()
-    # one row per week present: a bounded table
-    ranked = weeks.withColumn("__rk", F.row_number().over(Window.orderBy(F.desc("__wk"))))
-    two = ranked.agg(F.max(F.when(F.col("__rk") == 1, F.col("__wk"))).alias("__w1"),
-                     F.max(F.when(F.col("__rk") == 2, F.col("__wk"))).alias("__w0")) \
-                .where(F.col("__w0").isNotNull())
-    j = scalar_join(d, two).where(F.col("__w0").isNotNull())
+    w1 = d.agg(F.max("__wk")).scalar()
+    w0 = d.where(F.col("__wk") < w1).agg(F.max("__wk")).scalar()
+    j = d.select("*", w1.alias("__w1"), w0.alias("__w0")).where(F.col("__w0").isNotNull())
     g = j.groupBy(key).agg(F.avg(F.when(F.col("__wk") == F.col("__w1"), F.col(value))).alias("__last"),
                            F.avg(F.when(F.col("__wk") == F.col("__w0"), F.col(value))).alias("__prev"))
     drift = F.when(F.col("__last").isNotNull() & F.col("__prev").isNotNull() & (F.col("__prev") != 0),
@@ -239,22 +236,23 @@ def spam_spikes(e: DataFrame, k: float = SPIKE_K) -> DataFrame:
 
 
 def label_share(e: DataFrame, label: str = "label") -> DataFrame:
-    """Share of each label in % (1 decimal) and the most frequent label flag."""
+    """Share of each label in % (1 decimal) and the most frequent label flag.
+
+    The total and the top label (largest count, ties by label) are scalar
+    subqueries over the per-label counts.
+    """
     c = e.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    # one row per label: windows over the label table only
-    tot = F.sum("n").over(Window.partitionBy())
-    rk = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("label")))
-    return c.select("label", "n", F.round(F.col("n") / tot * 100, 1).alias("pct"),
-                    (rk == 1).alias("is_top"))
+    tot = c.agg(F.sum("n")).scalar()
+    top = c.agg(F.min_by("label", F.struct(-F.col("n"), F.col("label")))).scalar()
+    return c.select("label", "n", F.round(F.col("n") / tot * 100, 1).alias("pct"), (F.col("label") == top).alias("is_top"))
 
 
 def top_n_others(share: DataFrame, n: int = 5, value: str = "pct") -> DataFrame:
-    """The n largest labels, the rest summed into ``Others`` (kept when > 0)."""
-    rk = F.row_number().over(Window.orderBy(F.desc(value), F.asc("label")))
-    ranked = share.select("label", F.col(value).cast("double").alias(value), rk.alias("__rk"))
-    top = ranked.where(F.col("__rk") <= n).select("label", value)
-    rest = (ranked.where(F.col("__rk") > n).agg(F.sum(value).alias(value))
-                  .where(F.col(value) > 0).select(F.lit("Others").alias("label"), value))
+    """The n largest labels (ties by label), the rest summed into ``Others`` (kept when > 0)."""
+    s = share.select("label", F.col(value).cast("double").alias(value))
+    top = s.orderBy(F.desc(value), F.asc("label")).limit(n)
+    rest = (s.join(top.select("label"), "label", "left_anti").agg(F.sum(value).alias(value))
+              .where(F.col(value) > 0).select(F.lit("Others").alias("label"), value))
     return top.unionByName(rest)
 
 
