@@ -60,17 +60,19 @@ def _hold_fn(threshold: float, hold: int, step: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run_start, last_t = (state.get if state.exists else (None, None))
         rows = []
-        for pdf in pdfs:
-            for t, v in sorted(zip(pdf["t"].tolist(), pdf["value"].tolist())):
-                if v > threshold:
-                    if run_start is None or last_t is None or t != last_t + step:
-                        run_start = t
-                    last_t = t
-                    rows.append((key[0], t, "firing" if t - run_start >= hold else "pending", run_start))
-                else:
-                    if run_start is not None and last_t is not None and last_t - run_start >= hold:
-                        rows.append((key[0], last_t + step, "resolved", run_start))
-                    run_start, last_t = None, None
+        batch = sorted((t, v) for pdf in pdfs for t, v in zip(pdf["t"].tolist(), pdf["value"].tolist()))
+        for t, v in batch:  # one group's rows of this micro-batch, in time order
+            gap = last_t is not None and t != last_t + step
+            if run_start is not None and (gap or v <= threshold):
+                # the run ends: by a false value or by a missing instant
+                if last_t - run_start >= hold:
+                    rows.append((key[0], last_t + step, "resolved", run_start))
+                run_start, last_t = None, None
+            if v > threshold:
+                if run_start is None:
+                    run_start = t
+                last_t = t
+                rows.append((key[0], t, "firing" if t - run_start >= hold else "pending", run_start))
         state.update((run_start, last_t))
         yield pd.DataFrame(rows, columns=["series", "t", "state", "active_since"])
 
@@ -81,7 +83,10 @@ def stream_alerts(expr: DataFrame, key: str, threshold: float, hold: int, step:
     """K5: stateful alert hold per series over a stream of expression values ``(key, t, value)``.
 
     State per series is two numbers (run start, last instant), kept by Spark's
-    state store and checkpointed with the query.
+    state store and checkpointed with the query. Contract: the instants of one
+    series arrive in time order across micro-batches (an evaluation stream
+    produces them so); inside a micro-batch any order is fine. A missing
+    instant ends a run; a fired run then reports ``resolved`` at last + step.
     """
     fn = _hold_fn(threshold, hold, step)
     return (expr.select(F.col(key).alias("series"), "t", F.col("value").cast("double").alias("value"))
