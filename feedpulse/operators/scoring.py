@@ -77,8 +77,7 @@ def score_email(df: DataFrame, weights_long: DataFrame, w: dict, b: float, doc:
 
 def score_rating(df: DataFrame, model, user_dict: DataFrame, item_dict: DataFrame) -> DataFrame:
     """predicted rating per (user, product); unseen ids -> index 0 and cold start."""
-    from feedpulse.plans.q_schema import SCORING_RENAME
-    d = S.rename_aliases(df, SCORING_RENAME)
+    d = S.rename_aliases(df, S.SCORING_RENAME)
     for c in ("title", "text", "name", "manufacturer", "categories"):
         if c not in d.columns:
             d = d.withColumn(c, F.lit(""))

@@ -9,26 +9,7 @@ from feedpulse.plans.registry import register
 from feedpulse.plans.views import emails, interactions, reviews, with_views
 from feedpulse.sources.tables import table
 
-# The recommender job's alias lists (first present wins; Q3 adds product_id).
-RECSYS_ALIASES = {
-    "user_id": ["reviews.username", "user_id"],
-    "item_id": ["asins", "item_id", "product_id"],
-    "rating": ["reviews.rating", "rating"],
-    "title": ["reviews.title", "title"],
-    "text": ["reviews.text", "text"],
-    "name": ["name"],
-    "manufacturer": ["manufacturer"],
-    "categories": ["categories"],
-}
-RECSYS_TEXT_DEFAULTS = {"text": "", "title": "", "name": "", "manufacturer": "", "categories": "",
-                        "user_id": None, "item_id": None, "rating": None}
-# The scoring service's many-to-one rename.
-SCORING_RENAME = {
-    "reviews.username": "user_id", "username": "user_id",
-    "asins": "product_id", "product_id": "product_id", "item_id": "product_id",
-    "reviews.title": "title", "title": "title",
-    "reviews.text": "text", "text": "text",
-}
+RECSYS_ALIASES, RECSYS_TEXT_DEFAULTS, SCORING_RENAME = S.RECSYS_ALIASES, S.RECSYS_TEXT_DEFAULTS, S.SCORING_RENAME
 
 
 @register("resolve_recsys", with_views(
