@@ -135,7 +135,8 @@ def train_modified_huber(weights_long: DataFrame, labels: DataFrame, doc: str =
                          patience: int = 5, valid: DataFrame | None = None, on_epoch=None):
     """Full-batch gradient descent of a linear model under the modified Huber loss.
 
-    ``weights_long``: tf-idf rows (doc, idx, weight); ``labels``: (doc, y) with y in {0, 1}.
+    ``weights_long``: tf-idf rows (doc, idx, weight) of the training and validation
+    documents; ``labels``: (doc, y) with y in {0, 1} for the training documents only.
     Each epoch is two joins and two aggregates over the long form: margins per
     document, then gradient per term. The weight vector (<= max_features
     entries) is the only thing brought to the driver, once per epoch.
@@ -176,6 +177,8 @@ def train_modified_huber(weights_long: DataFrame, labels: DataFrame, doc: str =
         if valid is not None:
             vl = score_linear(x, w, b, doc).join(valid.select(doc, (F.col("y") * 2 - 1).cast("double").alias("__y")), doc)
             vloss = vl.agg(F.avg(modified_huber_loss(F.col("__y") * F.col("margin")))).first()[0]
+            if vloss is None:
+                continue
             if vloss < best - 1e-9:
                 best, best_state, since = vloss, (dict(w), b), 0
             else:

@@ -175,8 +175,12 @@ def _email_features(spark, sf):
 @register("email_model_scores")
 def q_email_model(spark, sf):
     e, long = _email_features(spark, sf)
-    tr = e.where(~F.col("is_test")).select("doc_id", "y")
-    w, b, _ = TR.train_modified_huber(long.join(tr.select("doc_id"), "doc_id"), tr, max_epochs=30)
+    # early stopping as in the reference: hold out a tenth of the training rows
+    tr_all = split_random(e.where(~F.col("is_test")).select("doc_id", "y"), ["doc_id"], 0.1, 7, out="is_valid")
+    tr = tr_all.where(~F.col("is_valid")).select("doc_id", "y")
+    valid = tr_all.where("is_valid").select("doc_id", "y")
+    w, b, _ = TR.train_modified_huber(long.join(tr_all.select("doc_id"), "doc_id"), tr, max_epochs=30,
+                                      valid=valid, patience=5)
     test = e.where("is_test").select("doc_id", "conv_id", "turn", "label")
     return SC.score_email(test, long, w, b)
 
