@@ -222,7 +222,8 @@ def q_rating_model(spark, sf):
     tr = tr.withColumn("user_idx", F.col("user_idx").cast("double")).withColumn("item_idx", F.col("item_idx").cast("double"))
     spec = TR.TextModelSpec(text_col="full_description", label_col="rating", doc_col="__row",
                             max_features=TR.RATING_TERMS, stop=True)
-    tr = tr.withColumn("__row", F.monotonically_increasing_id()).withColumn("rating", F.col("rating").cast("double"))
+    # a deterministic row key (the line-item key), so a retried task rebuilds the same ids
+    tr = tr.withColumn("__row", F.xxhash64(*_KEYS)).withColumn("rating", F.col("rating").cast("double"))
     model = TR.train_gbt(tr, spec)
     test = s.where("is_test").select("user_id", F.col("item_id").alias("product_id"), "title", "name",
                                      "manufacturer", "categories", "rating", "l_orderkey", "l_linenumber")
