@@ -141,18 +141,19 @@ def weekly_drift(r: DataFrame, key: str = "product_id", value: str = "predicted_
 
 
 def describe_ratings(r: DataFrame, value: str = "predicted_rating") -> DataFrame:
-    """H9: count, mean, std, min, quartiles (exact, linear) and max in one aggregate.
+    """H9: count, mean, std, min, quartiles (exact, linear) and max.
 
-    ``percentile`` keeps a value->count map, so memory follows the number of
-    distinct ratings, not the number of rows.
+    The moments are one aggregate; the quartiles come from ``exact_quantiles``
+    (distributed by value range), attached as scalar subqueries.
     """
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    from feedpulse.operators.ordering import exact_quantiles
+    q = exact_quantiles(r, value, (0.25, 0.5, 0.75))
     a = r.agg(F.count(value).alias("rating_count"), F.avg(value).alias("rating_mean"),
               F.stddev_samp(value).alias("rating_std"), F.min(value).cast("double").alias("rating_min"),
-              q.alias("__q"), F.max(value).cast("double").alias("rating_max"))
+              F.max(value).cast("double").alias("rating_max"))
     return a.select("rating_count", "rating_mean", "rating_std", "rating_min",
-                    F.col("__q")[0].alias("rating_q25"), F.col("__q")[1].alias("rating_q50"),
-                    F.col("__q")[2].alias("rating_q75"), "rating_max")
+                    q.select("q0").scalar().alias("rating_q25"), q.select("q1").scalar().alias("rating_q50"),
+                    q.select("q2").scalar().alias("rating_q75"), "rating_max")
 
 
 def user_volatility(r: DataFrame, user: str = "user_id", value: str = "predicted_rating") -> DataFrame:

@@ -352,3 +352,14 @@ def test_corrupt_rows_kept_and_map_matchers(spark, tmp_path):
     got = [r["v"] for r in J.match(df, {"status": "=~5.."}, labels_map="labels").collect()]
     assert got == [1.0]
     assert sorted(r["v"] for r in J.match(df, {"status": "!=200"}, labels_map="labels").collect()) == [1.0, 3.0]
+
+
+def test_exact_quantiles_match_numpy_with_hot_value(spark):
+    import numpy as np
+    from feedpulse.operators.ordering import exact_quantiles
+    rng = np.random.default_rng(3)
+    vals = list(rng.normal(3.0, 1.0, 3000)) + [4.0] * 1500  # one value holds a third of the rows
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = exact_quantiles(df, "x", (0.0, 0.25, 0.5, 0.9, 1.0), partitions=7).first()
+    want = np.quantile(np.array(vals), [0.0, 0.25, 0.5, 0.9, 1.0])
+    assert all(math.isclose(g, w, rel_tol=1e-12) for g, w in zip(got, want))
