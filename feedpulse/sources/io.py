@@ -137,10 +137,16 @@ def read_any(spark: SparkSession, path: str, **csv_kw) -> DataFrame:
 
 
 def detect_encodings(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Per file, UTF-8 when its bytes are valid UTF-8, else ISO-8859-1 (a Spark job over the files)."""
-    b = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return b.select("path", F.when(F.expr("is_valid_utf8(cast(content as string))"), "UTF-8")
-                             .otherwise("ISO-8859-1").alias("encoding"))
+    """Per file, UTF-8 when every line is valid UTF-8, else ISO-8859-1.
+
+    A line-split text scan (the text source keeps the raw bytes), one flag per
+    line, aggregated per file: large files are split across tasks instead of
+    being loaded whole.
+    """
+    t = spark.read.option("pathGlobFilter", pattern).text(folder)
+    per_file = (t.select(F.input_file_name().alias("path"), F.expr("is_valid_utf8(value)").alias("ok"))
+                 .groupBy("path").agg(F.min(F.col("ok").cast("int")).alias("ok")))
+    return per_file.select("path", F.when(F.col("ok") == 1, "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
 def read_csv_any_encoding(spark: SparkSession, folder: str, schema: T.StructType | None = None,
