@@ -143,3 +143,8 @@ def null_nonfinite(c: Column | str) -> Column:
     """NaN / +-Inf -> null, so results are JSON-safe."""
     x = _c(c)
     return F.when(is_finite(x), x)
+
+
+def rule_labels(clean: Column | str) -> Column:
+    """Keyword (topic, sentiment) as a struct."""
+    return F.struct(rule_topic(clean).alias("topic"), rule_sentiment(clean).alias("sentiment"))

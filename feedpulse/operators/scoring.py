@@ -61,11 +61,9 @@ def score_sentiment(df: DataFrame, model, text_aliases=SCORE_TEXT_ALIASES) -> Da
                       F.coalesce(conf, F.lit(MISSING_PROBABILITY)).alias("confidence"))
 
 
-def score_email(df: DataFrame, weights_long: DataFrame, w: dict, b: float, doc: str = "doc_id") -> DataFrame:
-    """spam / ham label, flag, confidence and (when present) a date."""
-    from feedpulse.operators.train import score_linear
-    s = score_linear(weights_long, w, b, doc)
-    out = df.join(s, doc, "left")
+def score_email(df: DataFrame, model) -> DataFrame:
+    """spam / ham label, flag, confidence and (when present) a date, from a ``LinearTextModel``."""
+    out = model.transform(df)
     is_spam = F.coalesce(F.col("prediction") == 1, F.lit(False))
     cols = [*df.columns, X.spam_label(is_spam).alias("label_pred"), is_spam.alias("is_spam_pred"),
             binary_confidence(F.coalesce(F.col("probability"), F.lit(MISSING_PROBABILITY))).alias("confidence")]

@@ -231,3 +231,27 @@ def record(df: DataFrame, path: str, name: str) -> DataFrame:
     """Materialise a recorded series as Parquet (partitioned by name) and read it back."""
     df.withColumn("record", F.lit(name)).write.mode("overwrite").partitionBy("record").parquet(path)
     return df.sparkSession.read.parquet(path).where(F.col("record") == name).drop("record")
+
+
+def avg_over_time(samples: DataFrame, keys: Sequence[str], w: int, step: int, **kw) -> DataFrame:
+    """J8 under its PromQL name."""
+    return over_time(samples, keys, w, step, "avg", **kw)
+
+
+def used_pct(used: Column | str, total: Column | str) -> Column:
+    """Memory or disk used / total in % (null when the total is 0)."""
+    u = F.col(used) if isinstance(used, str) else used
+    t = F.col(total) if isinstance(total, str) else total
+    return F.when(t != 0, u / t * 100)
+
+
+def uptime(t: Column | str, boot_epoch: Column | str) -> Column:
+    """Seconds since boot at instant t."""
+    tt = F.col(t) if isinstance(t, str) else t
+    b = F.col(boot_epoch) if isinstance(boot_epoch, str) else boot_epoch
+    return tt - b
+
+
+def utilisation(idle_rate: DataFrame, total_rate: DataFrame, on: Sequence[str], idle: str, total: str) -> DataFrame:
+    """CPU busy % from idle and total time rates (``busy_pct``)."""
+    return busy_pct(idle_rate, total_rate, on, idle, total)

@@ -41,8 +41,8 @@ def _token_stages(text_col: str, out: str, stop: bool, grams: int) -> list:
     if grams == 2:
         t = f"`{cur}`"
         stages.append(SQLTransformer(statement=(
-            f"SELECT *, concat({t}, slice(transform(arrays_zip(slice({t}, 1, 1073741824) AS a, "
-            f"slice({t}, 2, 1073741824) AS b), s -> concat_ws(' ', s.a, s.b)), 1, greatest(size({t}) - 1, 0))) "
+            f"SELECT *, concat({t}, slice(transform(arrays_zip(slice({t}, 1, 1073741824), "
+            f"slice({t}, 2, 1073741824)), s -> concat_ws(' ', s['0'], s['1'])), 1, greatest(size({t}) - 1, 0))) "
             f"AS `{out}` FROM __THIS__")))
     return stages
 
@@ -152,7 +152,7 @@ def train_modified_huber(weights_long: DataFrame, labels: DataFrame, doc: str =
     b = 0.0
     best, best_state, since = float("inf"), ({}, 0.0), 0
     history = []
-    for epoch in range(1, max_epochs + 1):
+    for epoch in range(1, max_epochs + 1):  # max_epochs = 0: no training, zero weights
         wdf = spark.createDataFrame([(int(k), float(v)) for k, v in w.items()] or [(-1, 0.0)], "idx int, w double")
         margin = (x.join(F.broadcast(wdf), "idx", "left")
                    .groupBy(doc).agg(F.sum(F.col("weight") * F.coalesce(F.col("w"), F.lit(0.0))).alias("__f")))
@@ -197,3 +197,117 @@ def score_linear(weights_long: DataFrame, w: dict, b: float, doc: str = "doc_id"
                      .groupBy(doc).agg((F.sum(F.col("weight") * F.coalesce(F.col("w"), F.lit(0.0))) + F.lit(b)).alias("margin")))
     return f.withColumn("prediction", (F.col("margin") >= 0).cast("int")) \
             .withColumn("probability", (F.least(F.greatest(F.col("margin"), F.lit(-1.0)), F.lit(1.0)) + 1) / 2)
+
+
+# ---------------------------------------------------------------- linear text model (E4/E5/E6 entry points)
+
+@dataclass
+class LinearTextModel:
+    """A fitted modified-Huber text model: vocabulary (<= max_features rows), weights, bias."""
+    spec: TextModelSpec
+    vocab: DataFrame
+    n_docs: int
+    weights: dict
+    bias: float
+
+    def features(self, df: DataFrame) -> DataFrame:
+        toks = Pipeline(stages=_token_stages(self.spec.text_col, "__tokens", self.spec.stop, self.spec.grams)) \
+            .fit(df).transform(df.select(self.spec.doc_col, self.spec.text_col))
+        n = df.sparkSession.range(1).select(F.lit(self.n_docs).alias("n"))
+        return D.tfidf(toks, self.vocab, self.spec.doc_col, "__tokens", n)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Rows of ``df`` with margin, prediction (0/1) and probability."""
+        s = score_linear(self.features(df), self.weights, self.bias, self.spec.doc_col)
+        out = df.join(s, self.spec.doc_col, "left")
+        return out.withColumn("margin", F.coalesce("margin", F.lit(self.bias))) \
+                  .withColumn("prediction", F.coalesce("prediction", (F.lit(self.bias) >= 0).cast("int"))) \
+                  .withColumn("probability", F.coalesce("probability",
+                              (F.least(F.greatest(F.lit(self.bias), F.lit(-1.0)), F.lit(1.0)) + 1) / 2))
+
+    def save(self, path: str) -> None:
+        """E14 for this model: vocabulary and weights as Parquet, scalars as a one-row table."""
+        spark = self.vocab.sparkSession
+        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+        spark.createDataFrame([(int(k), float(v)) for k, v in self.weights.items()] or [(-1, 0.0)],
+                              "idx int, w double").write.mode("overwrite").parquet(f"{path}/weights")
+        spark.createDataFrame([(self.n_docs, self.bias, self.spec.text_col, self.spec.doc_col, self.spec.stop,
+                                self.spec.grams)],
+                              "n_docs long, bias double, text_col string, doc_col string, stop boolean, grams int") \
+             .write.mode("overwrite").parquet(f"{path}/meta")
+
+    @staticmethod
+    def load(spark, path: str) -> "LinearTextModel":
+        m = spark.read.parquet(f"{path}/meta").first()
+        w = {int(r["idx"]): r["w"] for r in spark.read.parquet(f"{path}/weights").collect() if r["idx"] >= 0}
+        spec = TextModelSpec(text_col=m["text_col"], doc_col=m["doc_col"], stop=m["stop"], grams=m["grams"])
+        return LinearTextModel(spec, spark.read.parquet(f"{path}/vocab"), m["n_docs"], w, m["bias"])
+
+
+def _fit_huber(train: DataFrame, spec: TextModelSpec, max_epochs: int, valid_frac: float | None,
+               on_epoch=None, seed: int = 42) -> LinearTextModel:
+    from feedpulse.operators.split import split_random
+    d = train.select(spec.doc_col, spec.text_col, F.col(spec.label_col).cast("int").alias("y"))
+    valid = None
+    if valid_frac:
+        d = split_random(d, [spec.doc_col], valid_frac, seed, out="__valid")
+        valid = d.where("__valid").select(spec.doc_col, "y")
+        fit = d.where(~F.col("__valid"))
+    else:
+        fit = d
+    toks = Pipeline(stages=_token_stages(spec.text_col, "__tokens", spec.stop, spec.grams)).fit(d) \
+        .transform(d.select(spec.doc_col, spec.text_col))
+    fit_toks = toks.join(fit.select(spec.doc_col), spec.doc_col)
+    vocab = D.fit_vocab(fit_toks, spec.doc_col, "__tokens", spec.min_df, spec.max_features).cache()
+    n_docs = fit.count()
+    n = d.sparkSession.range(1).select(F.lit(n_docs).alias("n"))
+    long = D.tfidf(toks, vocab, spec.doc_col, "__tokens", n)
+    w, b, _ = train_modified_huber(long, fit.select(spec.doc_col, "y"), spec.doc_col, max_epochs=max_epochs,
+                                   valid=valid, on_epoch=on_epoch)
+    return LinearTextModel(spec, vocab, n_docs, w, b)
+
+
+def train_linear(train: DataFrame, spec: TextModelSpec, loss: str = "log", max_iter: int = 100,
+                 valid_frac: float | None = 0.1):
+    """A linear text classifier; ``loss='log'`` (one-vs-rest logistic, a PipelineModel)
+    or ``loss='modified_huber'`` (binary 0/1 labels, early stopping on a ``valid_frac`` hold-out)."""
+    if loss == "log":
+        return train_linear_log(train, spec, max_iter=max_iter)
+    if loss == "modified_huber":
+        return _fit_huber(train, spec, max_iter, valid_frac)
+    raise ValueError(f"unknown loss {loss}")
+
+
+def train_epochs(train: DataFrame, test: DataFrame, spec: TextModelSpec, epochs: int = 10):
+    """``epochs`` full passes; after each, weighted F1 on ``test`` and the training loss.
+
+    Returns the model and a metrics DataFrame ``(key, value, step)`` ready for ``log_run``.
+    """
+    from functools import reduce
+    from feedpulse.operators.evaluate import weighted_f1
+    rows = []
+    test_lab = test.select(spec.doc_col, F.col(spec.label_col).cast("int").alias("label"))
+    holder = {}
+
+    def log(epoch, w, b, loss):
+        model = LinearTextModel(spec, holder["vocab"], holder["n"], w, b)
+        sc = model.transform(test.select(spec.doc_col, spec.text_col)).join(test_lab, spec.doc_col)
+        f1 = weighted_f1(sc.select("prediction", "label"))
+        rows.append(f1.select(F.lit("weighted_f1").alias("key"), F.col("weighted_f1").alias("value"),
+                              F.lit(epoch).cast("bigint").alias("step"))
+                      .unionByName(f1.select(F.lit("train_loss").alias("key"), F.lit(float(loss)).alias("value"),
+                                             F.lit(epoch).cast("bigint").alias("step"))))
+
+    # the vocabulary is needed by the epoch callback; fit it first, then train with logging
+    base = _fit_huber(train, spec, 0, None)
+    holder.update(vocab=base.vocab, n=base.n_docs)
+    model = _fit_huber_with_vocab(train, spec, base, epochs, log)
+    return model, reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def _fit_huber_with_vocab(train: DataFrame, spec: TextModelSpec, base: LinearTextModel, epochs: int, on_epoch):
+    d = train.select(spec.doc_col, spec.text_col, F.col(spec.label_col).cast("int").alias("y"))
+    long = base.features(d)
+    w, b, _ = train_modified_huber(long, d.select(spec.doc_col, "y"), spec.doc_col, max_epochs=epochs,
+                                   on_epoch=on_epoch)
+    return LinearTextModel(spec, base.vocab, base.n_docs, w, b)

@@ -159,54 +159,33 @@ def q_topic_model(spark, sf):
         .select("doc_id", "true_topic", "topic", "confidence")
 
 
-def _email_features(spark, sf):
-    e = emails(spark, sf).withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")) \
-                         .withColumn("y", X.spam_target("label", "one_vs_rest"))
-    e = split_stratified(e, ["doc_id"], "y", 0.2, 42)
-    toks = e.select("doc_id", D.tokens(X.clean_words(X.null_text("text"))).alias("toks"))
-    toks = D.remove_stop(toks, "toks").select("doc_id", D.ngrams("toks", 2).alias("toks"))
-    train_docs = toks.join(e.where(~F.col("is_test")).select("doc_id"), "doc_id")
-    vocab = D.fit_vocab(train_docs, "doc_id", "toks", TR.EMAIL_MIN_DF, TR.EMAIL_TERMS)
-    n = train_docs.agg(F.count(F.lit(1)).alias("n"))
-    long = D.tfidf(toks, vocab, "doc_id", "toks", n)
-    return e, long
+def _email_frame(spark, sf):
+    e = (emails(spark, sf).withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+                          .withColumn("y", X.spam_target("label", "one_vs_rest"))
+                          .withColumn("clean", X.clean_words(X.null_text("text"))))
+    return split_stratified(e, ["doc_id"], "y", 0.2, 42)
+
+
+EMAIL_SPEC = TR.TextModelSpec(text_col="clean", label_col="y", doc_col="doc_id", max_features=TR.EMAIL_TERMS,
+                              min_df=TR.EMAIL_MIN_DF, stop=True, grams=2)
 
 
 @register("email_model_scores")
 def q_email_model(spark, sf):
-    e, long = _email_features(spark, sf)
-    # early stopping as in the reference: hold out a tenth of the training rows
-    tr_all = split_random(e.where(~F.col("is_test")).select("doc_id", "y"), ["doc_id"], 0.1, 7, out="is_valid")
-    tr = tr_all.where(~F.col("is_valid")).select("doc_id", "y")
-    valid = tr_all.where("is_valid").select("doc_id", "y")
-    w, b, _ = TR.train_modified_huber(long.join(tr_all.select("doc_id"), "doc_id"), tr, max_epochs=30,
-                                      valid=valid, patience=5)
-    test = e.where("is_test").select("doc_id", "conv_id", "turn", "label")
-    return SC.score_email(test, long, w, b)
+    e = _email_frame(spark, sf)
+    # early stopping as in the reference: a tenth of the training rows is held out
+    model = TR.train_linear(e.where(~F.col("is_test")), EMAIL_SPEC, loss="modified_huber", max_iter=30)
+    test = e.where("is_test").select("doc_id", "conv_id", "turn", "label", "clean")
+    return SC.score_email(test, model).drop("clean")
 
 
 @register("email_epoch_log")
 def q_email_epochs(spark, sf):
-    """Ten epochs, weighted F1 on the test rows logged per epoch to the run tables."""
-    e, long = _email_features(spark, sf)
-    tr = e.where(~F.col("is_test")).select("doc_id", "y")
-    te = e.where("is_test").select("doc_id", "y")
+    """Ten epochs, weighted F1 on the test rows and the training loss logged per epoch."""
+    e = _email_frame(spark, sf)
+    _, metrics = TR.train_epochs(e.where(~F.col("is_test")), e.where("is_test"), EMAIL_SPEC, epochs=10)
     root = scratch_path(spark, "runs")
-    run_id = E.log_run(spark, root, "email_tracking", {"epochs": 10, "alpha": TR.LINEAR_ALPHA})
-    rows = []
-
-    def log(epoch, w, b, loss):
-        sc = TR.score_linear(long, w, b).join(te, "doc_id")
-        f1 = E.weighted_f1(sc.select(F.col("prediction").alias("prediction"), F.col("y").alias("label")))
-        rows.append(f1.select(F.lit("weighted_f1").alias("key"), F.col("weighted_f1").alias("value"),
-                              F.lit(epoch).cast("bigint").alias("step"))
-                      .unionByName(f1.select(F.lit("train_loss").alias("key"), F.lit(float(loss)).alias("value"),
-                                             F.lit(epoch).cast("bigint").alias("step"))))
-
-    TR.train_modified_huber(long.join(tr.select("doc_id"), "doc_id"), tr, max_epochs=10, on_epoch=log)
-    metrics = reduce(lambda a, b: a.unionByName(b), rows)
-    metrics.select(F.lit(run_id).alias("run_id"), "key", "value", "step") \
-           .write.mode("append").parquet(f"{root}/run_metrics")
+    run_id = E.log_run(spark, root, "email_tracking", {"epochs": 10, "alpha": TR.LINEAR_ALPHA}, metrics)
     return spark.read.parquet(f"{root}/run_metrics").where(F.col("run_id") == run_id)
 
 

@@ -183,3 +183,17 @@ def write_gold(df: DataFrame, path: str, partition: str = "date") -> None:
         df.write.mode("overwrite").partitionBy(partition).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def decode_text(b: str) -> "F.Column":
+    """A7 per value: a binary column -> text, UTF-8 when valid, else ISO-8859-1."""
+    valid = F.expr(f"is_valid_utf8(cast(`{b}` as string))")
+    return F.when(valid, F.decode(F.col(b), "UTF-8")).otherwise(F.decode(F.col(b), "ISO-8859-1"))
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """A9 for a whole result: NaN / +-Inf -> null in every float and double column."""
+    from feedpulse.functions.text import null_nonfinite
+    return df.select(*[null_nonfinite(F.col(f"`{f.name}`")).alias(f.name)
+                       if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])

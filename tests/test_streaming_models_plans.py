@@ -139,3 +139,22 @@ def test_stream_hold_matches_batch_on_gaps(spark):
             for r in A.alerts(e, ["k"], "value", ">", 2.0, 120, step, "X").collect()}
     # the stream cannot know the data ended; the batch closes the last run only if it fired
     assert got == want
+
+
+def test_linear_text_model_learns_and_round_trips(spark):
+    rows = [(i, ("win free money prize now " if i % 3 == 0 else "meeting agenda notes team ") + f"w{i}", int(i % 3 == 0))
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    spec = TR.TextModelSpec(text_col="text", label_col="y", doc_col="doc_id", max_features=50, grams=2)
+    m = TR.train_linear(df, spec, loss="modified_huber", max_iter=20, valid_frac=None)
+    acc = m.transform(df).select((F.col("prediction") == F.col("y")).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert acc == 1.0
+    path = scratch_path(spark, f"tests/linear-{uuid.uuid4().hex}")
+    m.save(path)
+    back = TR.LinearTextModel.load(spark, path)
+    a = sorted(map(tuple, m.transform(df).select("doc_id", "prediction").collect()))
+    b = sorted(map(tuple, back.transform(df).select("doc_id", "prediction").collect()))
+    assert a == b
+    _, metrics = TR.train_epochs(df, df, spec, epochs=3)
+    steps = sorted(r["step"] for r in metrics.where(F.col("key") == "weighted_f1").collect())
+    assert steps == [1, 2, 3]
