@@ -103,3 +103,15 @@ def q_stream_score(spark, sf):
     agg = scored.groupBy("date", "topic").agg(F.count(F.lit(1)).alias("n"))
     out, ck = _run_dir(spark, "score")
     return K.run_available(agg, out, ck, mode="complete")
+
+
+@register("stream_csv_ingest", "select doc_id, text, lang, source, n_chars from documents")
+def q_stream_csv(spark, sf):
+    """K1 for the nightly CSV drops: documents written as CSV files, picked up by a file stream."""
+    from feedpulse.sources import io as IO
+    base = scratch_path(spark, f"stream/csv_input/{uuid.uuid4().hex[:12]}")
+    IO.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), base)
+    src = K.stream_feed(spark, base, "doc_id bigint, text string, lang string, source string, n_chars bigint",
+                        glob="*.csv", fmt="csv")
+    out, ck = _run_dir(spark, "csv_ingest")
+    return K.run_available(src, out, ck)

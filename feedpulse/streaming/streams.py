@@ -29,7 +29,8 @@ def stream_feed(spark: SparkSession, folder: str, schema: str, glob: str | None
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
     if fmt == "csv":
-        r = r.option("header", "true").option("multiLine", "true").option("escape", '"')
+        from feedpulse.sources.io import CSV_OPTIONS
+        r = r.options(**CSV_OPTIONS)
     return r.load(folder)
 
 
