@@ -141,16 +141,21 @@ def weekly_drift(r: DataFrame, key: str = "product_id", value: str = "predicted_
 
 
 def describe_ratings(r: DataFrame, value: str = "predicted_rating") -> DataFrame:
-    """H9: count, mean, std, min, quartiles (exact, linear) and max.
+    """H9: count, mean, sample std, min, quartiles (exact, linear) and max.
 
-    The moments are one aggregate; the quartiles come from ``exact_quantiles``
-    (distributed by value range), attached as scalar subqueries.
+    Everything is computed from one table of distinct ratings and their counts
+    (``ranged_value_counts``), so the input is read once; the quartiles pick
+    ranks from cumulative counts, distributed by value range.
     """
-    from feedpulse.operators.ordering import exact_quantiles
-    q = exact_quantiles(r, value, (0.25, 0.5, 0.75))
-    a = r.agg(F.count(value).alias("rating_count"), F.avg(value).alias("rating_mean"),
-              F.stddev_samp(value).alias("rating_std"), F.min(value).cast("double").alias("rating_min"),
-              F.max(value).cast("double").alias("rating_max"))
+    from feedpulse.operators.ordering import quantiles_from_counts, ranged_value_counts
+    rc = ranged_value_counts(r, value)
+    n = F.sum("__c")
+    mean = rc.agg(F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).scalar()
+    var = F.sum(F.col("__c") * (F.col("__v") - mean) * (F.col("__v") - mean)) / (n - 1)
+    a = rc.agg(n.alias("rating_count"), mean.alias("rating_mean"),
+               F.when(n > 1, F.sqrt(var)).alias("rating_std"),
+               F.min("__v").alias("rating_min"), F.max("__v").alias("rating_max"))
+    q = quantiles_from_counts(rc, (0.25, 0.5, 0.75))
     return a.select("rating_count", "rating_mean", "rating_std", "rating_min",
                     q.select("q0").scalar().alias("rating_q25"), q.select("q1").scalar().alias("rating_q50"),
                     q.select("q2").scalar().alias("rating_q75"), "rating_max")

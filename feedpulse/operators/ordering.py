@@ -60,39 +60,54 @@ def dense_index(values: DataFrame, col: str, out: str = "idx",
                   .select(col, (F.col("__off") + F.col("__local") - 1).cast("int").alias(out)))
 
 
-def exact_quantiles(values: DataFrame, col: str, qs, partitions: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation (rank q * (n - 1)), fully distributed.
+def ranged_value_counts(values: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
+    """Distinct values of ``col`` with their counts (``__v``, ``__c``), range-partitioned (``__pid``).
 
-    Values are counted, range-partitioned, and given their cumulative count
-    (running sum inside each range partition plus the count of all lower
-    partitions). Each quantile then picks the one value whose count range holds
-    its rank. No task holds more than one range of distinct values, unlike a
-    single-task percentile merge. Returns one row with columns ``q0, q1, ...``.
+    Checkpointed to the shared folder, so every later use sees the same
+    range assignment even after a lost executor.
     """
     spark = values.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = (values.select(F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
                 .groupBy("__v").agg(F.count(F.lit(1)).alias("__c")))
-    ranged = (vc.repartitionByRange(n_parts, "__v").withColumn("__pid", F.spark_partition_id())
-                .checkpoint(eager=True))
+    return (vc.repartitionByRange(n_parts, "__v").withColumn("__pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+
+
+def quantiles_from_counts(ranged: DataFrame, qs) -> DataFrame:
+    """Exact quantiles (linear, rank q * (n - 1)) from ``ranged_value_counts``.
+
+    Each value gets its cumulative count: a running sum inside its range
+    partition plus the count of all lower partitions; every rank of every
+    quantile is then picked in one pass. Returns one row ``q0, q1, ...``.
+    """
     sizes = ranged.groupBy("__pid").agg(F.sum("__c").alias("__n"))
     prior = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range partition: a bounded table, safe to window globally
     offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
     local = Window.partitionBy("__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     cum = (ranged.withColumn("__lb", F.coalesce(F.sum("__c").over(local), F.lit(0)))
-                 .join(F.broadcast(offsets), "__pid")  # one row per range partition
+                 .join(F.broadcast(offsets), "__pid")
                  .select("__v", "__c", (F.col("__off") + F.col("__lb")).alias("__before")))
-    total = vc.agg(F.sum("__c")).scalar()
+    total = ranged.agg(F.sum("__c")).scalar()
 
-    def at(rank):
-        hit = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c"))
-        return cum.where(hit).agg(F.max("__v")).scalar()
+    def hit(rank):
+        return (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c"))
 
-    out = []
-    one = vc.agg(F.count(F.lit(1)).alias("__k"))
+    picks, parts = [], []
     for i, q in enumerate(qs):
         pos = F.lit(float(q)) * (total - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
-        v_lo, v_hi = at(lo), at(hi)
-        out.append((v_lo + (v_hi - v_lo) * (pos - lo)).alias(f"q{i}"))
-    return one.select(*out)
+        picks += [F.max(F.when(hit(lo), F.col("__v"))).alias(f"__lo{i}"),
+                  F.max(F.when(hit(hi), F.col("__v"))).alias(f"__hi{i}")]
+        parts.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (pos - lo)).alias(f"q{i}"))
+    return cum.agg(*picks).select(*parts)
+
+
+def exact_quantiles(values: DataFrame, col: str, qs, partitions: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, fully distributed.
+
+    Values are counted and range-partitioned; no task holds more than one range
+    of distinct values, unlike a single-task percentile merge.
+    """
+    return quantiles_from_counts(ranged_value_counts(values, col, partitions), qs)
