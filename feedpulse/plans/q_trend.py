@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from feedpulse.operators import trend as T
 from feedpulse.plans.registry import register
