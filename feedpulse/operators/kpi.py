@@ -378,3 +378,58 @@ def top_negative_reviews(df: DataFrame, k: int = 10, score: str = "confidence",
     """The k negative rows with the strongest score (top-k, ties by key)."""
     o = F.asc(score) if ascending else F.desc(score)
     return df.where(F.lower(F.col("sentiment")) == "negative").orderBy(o, F.asc(key)).limit(k)
+
+
+# ---------------------------------------------------------------- dashboard composition
+
+def email_kpis(e: DataFrame) -> dict[str, DataFrame]:
+    """Email KPIs of an uploaded frame: spam rate and label shares always; the daily spam
+    volume and spam spikes only when a date-like column exists (Q17)."""
+    from feedpulse.functions import schema as S
+    e = S.normalize_columns(e)
+    out: dict[str, DataFrame] = {}
+    date_src = S.first_present(e.columns, ("date", "timestamp"), contains=True)
+    if date_src is not None:
+        e = S.drop_null(e.withColumn("date", S.to_ts(F.col(f"`{date_src}`"))), ["date"])
+    if "is_spam" in e.columns:
+        e = e.withColumn("is_spam", S.to_flag("is_spam"))
+        out["spam_rate"] = spam_rate(e)
+        if date_src is not None:
+            out["spam_daily"] = spam_daily(e)
+            out["spam_spikes"] = spam_spikes(e)
+    if "label" in e.columns:
+        out["label_share"] = label_share(e)
+        out["label_top5"] = top_n_others(out["label_share"], 5)
+    return out
+
+
+def dashboard(ratings: DataFrame, cube: DataFrame, emails: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The KPI dashboard: trend, rating and email KPIs plus rule insights, one DataFrame each.
+
+    Inputs use the dashboard's column names in any case (they are lower-cased);
+    numeric columns are cast leniently (B8) and dates parsed leniently (B7).
+    """
+    from feedpulse.functions import schema as S
+    cube = S.normalize_columns(cube)
+    cube = cube.select(S.to_ts("date").cast("date").alias("date"), F.col("topic").cast("string").alias("topic"),
+                       *[S.to_num(c, 0.0).alias(c) for c in ("negative", "positive", "neutral", "total_volume")
+                         if c in cube.columns])
+    for c in ("negative", "positive", "neutral"):
+        if c not in cube.columns:
+            cube = cube.withColumn(c, F.lit(0.0))
+    ratings = S.normalize_columns(ratings)
+    ratings = ratings.withColumn("predicted_rating", S.to_num("predicted_rating"))
+    if "user_id" in ratings.columns:
+        ratings = ratings.withColumn("user_id", F.col("user_id").cast("string"))
+    daily = daily_volume(cube)
+    stats = topic_stats(cube)
+    out = {"daily_volume": daily, "spikes": spikes(daily), "topic_stats": stats, "top_negative": top_negative(stats),
+           "topic_growth": topic_growth(cube), "product_stats": product_stats(ratings),
+           "risky_products": risky_products(product_stats(ratings)), "overall": overall(ratings, cube),
+           "rating_hist": rating_hist(ratings), "rating_kde": rating_kde(ratings)}
+    if emails is not None:
+        out.update(email_kpis(emails))
+    out["insights"] = insights(ratings, cube, S.normalize_columns(emails).withColumn(
+        "is_spam", S.to_flag("is_spam")) if emails is not None and "is_spam" in [c.lower() for c in emails.columns]
+        else None)
+    return out

@@ -103,3 +103,29 @@ def test_trend_demo_sample(spark):
     assert got == {(8, "Battery"): (1, 0, 1), (8, "Other"): (0, 3, 3),
                    (7, "Battery"): (0, 1, 1), (7, "Shipping"): (0, 1, 1), (7, "Other"): (0, 2, 2),
                    (6, "Battery"): (0, 1, 1), (6, "Other"): (0, 3, 3)}
+
+
+def test_dashboard_without_email_dates_skips_daily_spam_only(spark):
+    ratings = spark.createDataFrame([("p", "4.5", "u1"), ("q", "2.0", "u1"), ("q", "x", "u2")],
+                                    "PRODUCT_ID string, Predicted_Rating string, user_id string")
+    cube = spark.createDataFrame([("2024-01-01", "a", "5", "5", "10"), ("2024-01-02", "a", "1", "1", "2")],
+                                 "date string, topic string, negative string, positive string, total_volume string")
+    mails = spark.createDataFrame([("spam", "true"), ("ham", "0"), ("ham", "False")], "label string, is_spam string")
+    d = K.dashboard(ratings, cube, mails)
+    assert "spam_daily" not in d and "spam_spikes" not in d                    # Q17
+    assert d["spam_rate"].first()["spam_count"] == 1
+    assert {r["product_id"] for r in d["risky_products"].collect()} == {"q"}
+    assert d["overall"].first()["total_volume"] == 12.0
+    assert {r["rule"] for r in d["insights"].collect()} >= {"avg_rating", "neg_rate", "worst_topic", "spam_rate"}
+    dated = K.email_kpis(mails.withColumn("sent_timestamp", F.lit("2024-01-01T10:00:00Z")))
+    assert set(dated) >= {"spam_daily", "spam_spikes"}
+
+
+def test_trend_report_api_shape(spark):
+    raw = spark.createDataFrame([("2024-01-01T10:00:00Z", "pin yếu"), ("2024-01-01T11:00:00Z", "ship ok"),
+                                 ("2024-01-01T12:00:00Z", "pin yếu"), ("junk", "pin")], "time string, content string")
+    cube, summary = T.trend_report(raw)
+    rows = {(r["date"], r["topic"]): r["negative_rate"] for r in cube.collect()}
+    assert rows == {("2024-01-01", "Battery"): 1.0, ("2024-01-01", "Shipping"): 0.0}
+    s = summary.first()
+    assert (s["total_records"], s["total_days"]) == (3, 1)
