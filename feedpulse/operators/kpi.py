@@ -108,8 +108,11 @@ def topic_growth(cube: DataFrame, k: int | None = TOP_GROWTH_K, days: int = 7) -
 # ---------------------------------------------------------------- rating KPIs
 
 def product_stats(r: DataFrame, key: str = "product_id", value: str = "predicted_rating") -> DataFrame:
-    """H6: mean, count, sample std and % of rows >= 4 per product (one aggregate)."""
-    return r.groupBy(key).agg(
+    """H6: mean, count, sample std and % of rows >= 4 per product (one aggregate).
+
+    Rows without a product id form no group (as a dashboard group-by drops them).
+    """
+    return r.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.avg(value).alias("avg_rating"),
         F.count(value).alias("review_count"),
         F.stddev_samp(value).alias("rating_std"),

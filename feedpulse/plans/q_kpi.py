@@ -65,7 +65,7 @@ add_view_sql("growth", """select topic,
 add_view_sql("pstats", """select product_id, avg(predicted_rating) as avg_rating,
   count(predicted_rating) as review_count, stddev_samp(predicted_rating) as rating_std,
   avg(case when predicted_rating >= 4.0 then 1.0 else 0.0 end) * 100 as pct_ge_4
-  from ratings group by product_id""", ("ratings",))
+  from ratings where product_id is not null group by product_id""", ("ratings",))
 add_view_sql("overall", """select avg_rating, total_negative, total_volume,
   total_negative / total_volume * 100 as avg_neg_rate
   from (select avg(predicted_rating) as avg_rating from ratings) a,
