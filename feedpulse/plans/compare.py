@@ -35,3 +35,13 @@ def connect_duckdb(sf_dir: str):
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     return con
+
+
+# Spark simple type names -> DuckDB type names, for schema comparison
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+                 "array<string>": "VARCHAR[]", "float": "FLOAT", "smallint": "SMALLINT"}
+
+
+def spark_types(df) -> dict:
+    return {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}

@@ -37,7 +37,7 @@ add_view_sql("rgram", """select doc_id, case when len(toks) >= 2
 
 def _vocab_sql(src: str, min_df: int, k: int) -> str:
     return f"""select term, tf, df, cast(row_number() over (order by term) - 1 as int) as idx from (
-        select term, sum(tf) as tf, count(*) as df from (
+        select term, cast(sum(tf) as bigint) as tf, count(*) as df from (
             select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from {src}) e
             group by doc_id, term) c
         group by term having count(*) >= {min_df} order by tf desc, term limit {k}) v"""

@@ -44,12 +44,13 @@ add_view_sql("ratings", """select item_id as product_id, cast(rating as double)
   user_id, date from interactions""", ("interactions",))
 add_view_sql("mails", """select conv_id, turn, label, is_spam, date '2024-01-01' + day_no as date
   from emails""", ("emails",))
-add_view_sql("daily", "select date, sum(total_volume) as total_volume from cube where date is not null group by date",
+add_view_sql("daily", "select date, cast(sum(total_volume) as bigint) as total_volume from cube where date is not null group by date",
              ("cube",))
 add_view_sql("tstats", """select topic, negative, total_volume, positive,
   case when total_volume > 0 then negative / total_volume * 100 else 0.0 end as neg_rate,
   (case when total_volume > 0 then negative / total_volume * 100 else 0.0 end) * total_volume as severity
-  from (select topic, sum(negative) as negative, sum(total_volume) as total_volume, sum(positive) as positive
+  from (select topic, cast(sum(negative) as bigint) as negative, cast(sum(total_volume) as bigint) as total_volume,
+              cast(sum(positive) as bigint) as positive
         from cube group by topic) s""", ("cube",))
 add_view_sql("growth", """select topic,
    cast(case when nr > 0 and np > 0 then r - p else 0 end as double) as growth,
@@ -69,7 +70,8 @@ add_view_sql("pstats", """select product_id, avg(predicted_rating) as avg_rating
 add_view_sql("overall", """select avg_rating, total_negative, total_volume,
   total_negative / total_volume * 100 as avg_neg_rate
   from (select avg(predicted_rating) as avg_rating from ratings) a,
-       (select sum(negative) as total_negative, greatest(coalesce(sum(total_volume), 0), 1) as total_volume
+       (select cast(sum(negative) as bigint) as total_negative,
+               cast(greatest(coalesce(sum(total_volume), 0), 1) as bigint) as total_volume
         from cube) b""", ("ratings", "cube"))
 add_view_sql("spike_days", """select date, total_volume from daily,
   (select avg(total_volume) as m, stddev_samp(total_volume) as s from daily) st

@@ -29,8 +29,9 @@ add_view_sql("rule_eval", f"""select doc_id, label,
     case when contains({sql_clean_trend('text')}, 'yếu') then 'negative' else 'positive' end as prediction
     from reviews""", ("reviews",))
 add_view_sql("pclass", """with conf as (select label as l, prediction as p, count(*) as n from rule_eval group by 1, 2),
-    t as (select l as cls, sum(n) as support, sum(case when l = p then n end) as tp from conf group by l),
-    pr as (select p as cls, sum(n) as predicted from conf group by p),
+    t as (select l as cls, cast(sum(n) as bigint) as support, cast(sum(case when l = p then n end) as bigint) as tp
+           from conf group by l),
+    pr as (select p as cls, cast(sum(n) as bigint) as predicted from conf group by p),
     j as (select coalesce(t.cls, pr.cls) as cls, coalesce(support, 0) as support, coalesce(tp, 0) as tp,
                  coalesce(predicted, 0) as predicted from t full outer join pr on t.cls = pr.cls),
     k as (select *, case when predicted > 0 then tp / predicted else 0.0 end as precision,

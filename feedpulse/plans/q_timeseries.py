@@ -30,7 +30,7 @@ def _bucket(ts: str = "ts") -> str:
 
 def _increase_sql(w: int, src: str = "samples") -> str:
     k = w // STEP
-    return f"""select event_type, t, sum(d) as increase, sum(n) as samples from (
+    return f"""select event_type, t, sum(d) as increase, cast(sum(n) as bigint) as samples from (
       select event_type, b + j * {STEP} as t, d, n from (
         select event_type, b, sum(d) as d, count(*) as n from (
           select event_type, {_bucket()} as b,

@@ -33,9 +33,9 @@ def volume_by_day(spark, sf):
 
 @register("pivot_sentiment", with_views(
     """select date, topic,
-      coalesce(sum(volume) filter (where sentiment = 'Negative'), 0) as Negative,
-      coalesce(sum(volume) filter (where sentiment = 'Positive'), 0) as Positive,
-      coalesce(sum(volume) filter (where sentiment = 'Neutral'), 0) as Neutral
+      cast(coalesce(sum(volume) filter (where sentiment = 'Negative'), 0) as bigint) as Negative,
+      cast(coalesce(sum(volume) filter (where sentiment = 'Positive'), 0) as bigint) as Positive,
+      cast(coalesce(sum(volume) filter (where sentiment = 'Neutral'), 0) as bigint) as Neutral
     from (select date, topic, sentiment, count(*) as volume from feedback
           where date is not null group by 1, 2, 3) group by date, topic""", "feedback"))
 def pivot_sentiment(spark, sf):

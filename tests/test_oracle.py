@@ -5,7 +5,7 @@ The same comparison runs at sf0.01 with ``python tools/oracle_check.py``.
 
 import pytest
 
-from feedpulse.plans.compare import connect_duckdb, rows_of
+from feedpulse.plans.compare import connect_duckdb, rows_of, spark_types
 from feedpulse.plans.registry import ORACLE, QUERIES, load_all
 
 from conftest import SF_SMALL
@@ -26,6 +26,8 @@ def test_matches_duckdb(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     cols = df.columns
     got = rows_of(cols, [tuple(r) for r in df.collect()])
+    rel = con.sql(ORACLE[name])
+    assert spark_types(df) == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     cur = con.execute(ORACLE[name])
     ocols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(ocols)
