@@ -46,19 +46,28 @@ def _vocab_sql(src: str, min_df: int, k: int) -> str:
 add_view_sql("vocab3000", _vocab_sql("rtok", 1, 3000), ("rtok",))
 
 
-@register("tokens", with_views("select doc_id, toks from rtok", "rtok"))
+def _flat_sql(src: str) -> str:
+    """Token arrays shown losslessly as '|'-joined text (tokens never contain '|') plus their count."""
+    return f"select doc_id, array_to_string(toks, '|') as toks, cast(len(toks) as int) as n_tokens from {src}"
+
+
+def _flat(df):
+    return df.select("doc_id", F.array_join("toks", "|").alias("toks"), F.size("toks").alias("n_tokens"))
+
+
+@register("tokens", with_views(_flat_sql("rtok"), "rtok"))
 def q_tokens(spark, sf):
-    return review_tokens(spark, sf)
+    return _flat(review_tokens(spark, sf))
 
 
-@register("remove_stop", with_views("select doc_id, toks from rstop", "rstop"))
+@register("remove_stop", with_views(_flat_sql("rstop"), "rstop"))
 def q_remove_stop(spark, sf):
-    return review_tokens(spark, sf, stop=True)
+    return _flat(review_tokens(spark, sf, stop=True))
 
 
-@register("ngrams", with_views("select doc_id, toks from rgram", "rgram"))
+@register("ngrams", with_views(_flat_sql("rgram"), "rgram"))
 def q_ngrams(spark, sf):
-    return review_tokens(spark, sf, stop=True, grams=2)
+    return _flat(review_tokens(spark, sf, stop=True, grams=2))
 
 
 @register("fit_vocab", with_views("select * from vocab3000", "vocab3000"))
@@ -137,8 +146,9 @@ def q_split_stratified_topic(spark, sf):
 
 
 @register("clean_then_tokens", with_views(
-    f"""select doc_id, regexp_extract_all(lower(c), '{_TOK}', 1) as toks
-    from (select doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_{X.WS}]', '', 'g') as c from reviews) t""",
+    f"""select doc_id, array_to_string(t, '|') as toks, cast(len(t) as int) as n_tokens from (
+      select doc_id, regexp_extract_all(lower(c), '{_TOK}', 1) as t
+      from (select doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_{X.WS}]', '', 'g') as c from reviews) r) x""",
     "reviews"))
 def q_clean_then_tokens(spark, sf):
-    return reviews(spark, sf).select("doc_id", D.tokens(X.clean_words("text")).alias("toks"))
+    return _flat(reviews(spark, sf).select("doc_id", D.tokens(X.clean_words("text")).alias("toks")))
