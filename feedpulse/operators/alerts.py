@@ -111,3 +111,42 @@ def inhibit(alerts_df: DataFrame, equal: Sequence[str] = INHIBIT_EQUAL,
     kept_targets = a.where(tgt_mask).join(src, keys, "left_anti")
     others = a.where(~tgt_mask | F.col(target[0]).isNull())
     return kept_targets.unionByName(others).drop(*[f"__eq_{c}" for c in equal])
+
+
+# The alert rules (name, severity, expression shape, metric, operator,
+# threshold, hold in seconds). The expression shape names the operator of
+# ``timeseries`` that computes the value; metrics are bound by the caller (Q19).
+ALERT_RULES = [
+    ("ModelServiceDown", "critical", "gauge", "up", "==", 0.0, 60),
+    ("HighModelErrorRate", "critical", "rate_5m", "model_prediction_errors_total", ">", 0.1, 300),
+    ("ModelLoadFailures", "critical", "increase_10m", "model_load_failure_total", ">", 0.0, 120),
+    ("RedisConnectionDown", "critical", "gauge", "infra_redis_connected", "==", 0.0, 60),
+    ("MinIOConnectionDown", "critical", "gauge", "infra_minio_connected", "==", 0.0, 60),
+    ("HighModelLatency", "warning", "histogram_quantile_0.95_5m", "model_prediction_latency_seconds", ">", 2.0, 600),
+    ("LowModelConfidence", "warning", "avg_over_time_1h", "model_sentiment_confidence_score", "<", 0.6, 1800),
+    ("HighMemoryUsage", "warning", "gauge_gib", "system_memory_usage_bytes", ">", 8.0, 600),
+    ("HighCPUUsage", "warning", "gauge", "system_cpu_usage_percent", ">", 80.0, 900),
+    ("HighBatchProcessingFailureRate", "warning", "ratio_5m", "batch_processing_count_total{status=failed}/all", ">", 0.05, 900),
+    ("SentimentModelSlow", "warning", "rate_5m", "model_sentiment_prediction_count", "<", 1.0, 600),
+    ("EmailModelSpamDetectionIssues", "warning", "ratio_5m", "spam/(spam+ham)", "<", 0.1, 1800),
+    ("RecSysHighColdStartRate", "warning", "ratio_5m", "model_recsys_cold_start_total/predictions", ">", 0.5, 1200),
+    ("HighAPIRequestRate", "warning", "rate_5m", "api_request_count_total", ">", 100.0, 300),
+    ("HighAPIErrorRate", "warning", "ratio_5m", "api_request_count_total{status=~5..}/all", ">", 0.05, 600),
+    ("HighModelLoadTime", "warning", "hist_mean_5m", "model_load_duration_seconds", ">", 30.0, 900),
+    ("PrometheusConfigurationError", "critical", "gauge", "prometheus_config_last_reload_successful", "==", 0.0, 300),
+    ("SentimentTrendAnomaly", "warning", "offset_delta_1h_2h_1h", "model_sentiment_prediction_count{negative}", ">", 0.5, 1800),
+    ("TopicClassificationImbalance", "warning", "imbalance", "model_topic_prediction_count", ">", 2.0, 3600),
+    ("RecSysRatingDistributionAnomaly", "warning", "target_deviation_3_1h", "model_recsys_predicted_rating", ">", 1.0, 1800),
+]
+
+
+def rules_frame(spark: SparkSession, rules=ALERT_RULES) -> DataFrame:
+    return spark.createDataFrame(
+        rules, "alertname string, severity string, shape string, metric string, op string, threshold double, "
+               "hold long")
+
+
+def evaluate_rule(expr: DataFrame, keys: Sequence[str], value: str, rule, step: int) -> DataFrame:
+    """J13 for one rule row: its operator, threshold and hold applied to a bound expression frame."""
+    name, severity, _shape, _metric, op, threshold, hold = rule
+    return alerts(expr, keys, value, op, threshold, hold, step, name, {"severity": severity})

@@ -78,3 +78,29 @@ def q_alert_groups(spark, sf):
     "alerts"))
 def q_alert_inhibit(spark, sf):
     return A.inhibit(alert_table(spark, sf))
+
+
+_ERROR_RULE = next(r for r in A.ALERT_RULES if r[0] == "HighAPIErrorRate")
+
+
+@register("rule_error_share", with_views(
+    f"""with x as (select 'all' as scope, e.t, e.rate / a.rate as share
+                  from (select t, rate from rate1h where event_type = 'error') e
+                  join (select t, sum(rate) as rate from rate1h group by t) a on e.t = a.t where a.rate <> 0),
+       tr as (select * from x where share {_ERROR_RULE[4]} {_ERROR_RULE[5]}),
+       r as (select *, t // {STEP} - row_number() over (partition by scope order by t) as g from tr),
+       r2 as (select *, min(t) over (partition by scope, g) as st, max(t) over (partition by scope, g) as en from r)
+    select scope, t, case when t - st >= {_ERROR_RULE[6]} then 'firing' else 'pending' end as state,
+           st as active_since, round(share, 9) as share, '{_ERROR_RULE[0]}' as alertname,
+           '{_ERROR_RULE[1]}' as severity from r2
+    union all
+    select scope, max(en) + {STEP}, 'resolved', min(st), null, '{_ERROR_RULE[0]}', '{_ERROR_RULE[1]}' from r2
+    where en - st >= {_ERROR_RULE[6]} group by scope, g""", "rate1h"))
+def q_rule_error_share(spark, sf):
+    """A rule of the rule table (5xx share > 5 % held 10 min) bound to the error share of the events."""
+    r = J.rate(spark_samples(spark, sf), KEYS, W, STEP)
+    num = J.match(r, {"event_type": "error"}).select("t", "rate")
+    share = J.ratio(num, J.agg_by(r, [], "rate", "sum"), ["t"], "rate", "rate", out="share") \
+        .where(F.col("share").isNotNull()).withColumn("scope", F.lit("all"))
+    out = A.evaluate_rule(share, ["scope"], "share", _ERROR_RULE, STEP)
+    return out.withColumn("share", F.round("share", 9))

@@ -363,3 +363,11 @@ def test_exact_quantiles_match_numpy_with_hot_value(spark):
     got = exact_quantiles(df, "x", (0.0, 0.25, 0.5, 0.9, 1.0), partitions=7).first()
     want = np.quantile(np.array(vals), [0.0, 0.25, 0.5, 0.9, 1.0])
     assert all(math.isclose(g, w, rel_tol=1e-12) for g, w in zip(got, want))
+
+
+def test_rule_table_and_rule_evaluation(spark):
+    assert len(A.ALERT_RULES) == 20 and A.rules_frame(spark).count() == 20
+    rule = next(r for r in A.ALERT_RULES if r[0] == "HighAPIErrorRate")
+    expr = spark.createDataFrame([("api", t, 0.2) for t in range(0, 1200, 300)], "k string, t long, share double")
+    got = {(r["t"], r["state"]) for r in A.evaluate_rule(expr, ["k"], "share", rule, 300).collect()}
+    assert got == {(0, "pending"), (300, "pending"), (600, "firing"), (900, "firing"), (1200, "resolved")}
