@@ -210,3 +210,30 @@ def q_rating_model(spark, sf):
     test = s.where("is_test").select("user_id", F.col("item_id").alias("product_id"), "title", "name",
                                      "manufacturer", "categories", "rating", "l_orderkey", "l_linenumber")
     return SC.score_rating(test, model, users, items)
+
+
+add_view_sql("upload", """select strftime(date '2024-01-01' + cast(d.doc_id % 30 as int), '%Y-%m-%d') || 'T10:00:00Z' as created_at,
+    d.text as comment from documents d join labels l on d.doc_id = l.doc_id""")
+
+
+@register("trend_report_upload", with_views(
+    f"""with s as (select cast(created_at[1:10] as date) as date,
+          case when contains(c, 'pin') then 'Battery' when contains(c, 'ship') then 'Shipping' else 'Other' end as topic,
+          case when contains(c, 'yếu') then 'Negative' else 'Positive' end as sentiment
+        from (select created_at, {sql_clean_trend("coalesce(comment, 'nan')")} as c from upload) u)
+    select strftime(date, '%Y-%m-%d') as date, topic,
+       count(*) filter (where sentiment = 'Negative') as Negative,
+       count(*) filter (where sentiment = 'Positive') as Positive,
+       count(*) filter (where sentiment = 'Neutral') as Neutral, count(*) as total_volume,
+       round(count(*) filter (where sentiment = 'Negative') / count(*), 2) as negative_rate
+    from s group by date, topic""", "upload"))
+def q_trend_report_upload(spark, sf):
+    """G + F7 end to end: an upload-shaped frame (created_at text, comment) through ``trend_report``."""
+    from feedpulse.operators.trend import trend_report
+    from feedpulse.sources.tables import table
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    raw = d.select(F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")),
+                                          "yyyy-MM-dd"), F.lit("T10:00:00Z")).alias("created_at"),
+                   F.col("text").alias("comment"))
+    cube, _ = trend_report(raw)
+    return cube
