@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedpulse.session import ensure_checkpoint_dir
+
 
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   bucket: Column, out: str = "value") -> DataFrame:
@@ -45,6 +47,7 @@ def dense_index(values: DataFrame, col: str, out: str = "idx",
     values into one task.
     """
     d = values.select(col).where(F.col(col).isNotNull()).distinct()
+    ensure_checkpoint_dir(values.sparkSession)
     n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (d.repartitionByRange(n, F.col(col))
                .withColumn("__pid", F.spark_partition_id()))
@@ -67,6 +70,7 @@ def ranged_value_counts(values: DataFrame, col: str, partitions: int | None = No
     range assignment even after a lost executor.
     """
     spark = values.sparkSession
+    ensure_checkpoint_dir(spark)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = (values.select(F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
                 .groupBy("__v").agg(F.count(F.lit(1)).alias("__c")))
