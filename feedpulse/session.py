@@ -25,13 +25,34 @@ DEFAULTS = {
 }
 
 
+# Settings for a large cluster (~100 TB inputs): start with many shuffle partitions and let
+# AQE coalesce them towards the advisory size; split skewed partitions; larger file splits.
+CLUSTER_DEFAULTS = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def build_session(master: str | None = None, app: str = "feedpulse",
-                  shuffle_partitions: int | None = None) -> SparkSession:
-    master = master or os.environ.get("FEEDPULSE_MASTER", "local[8]")
-    b = SparkSession.builder.master(master).appName(app)
+                  shuffle_partitions: int | None = None, profile: str | None = None) -> SparkSession:
+    """Local by default; ``profile='cluster'`` (or FEEDPULSE_PROFILE=cluster) adds CLUSTER_DEFAULTS
+    and leaves the master to spark-submit."""
+    profile = profile or os.environ.get("FEEDPULSE_PROFILE", "local")
+    b = SparkSession.builder.appName(app)
+    if profile != "cluster":
+        b = b.master(master or os.environ.get("FEEDPULSE_MASTER", "local[8]"))
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
-    b = b.config("spark.driver.memory", os.environ.get("FEEDPULSE_DRIVER_MEM", "16g"))
+    if profile == "cluster":
+        for k, v in CLUSTER_DEFAULTS.items():
+            b = b.config(k, v)
+    if profile != "cluster":
+        b = b.config("spark.driver.memory", os.environ.get("FEEDPULSE_DRIVER_MEM", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
