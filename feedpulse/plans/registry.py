@@ -14,8 +14,9 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        if name in QUERIES:
-            raise ValueError(f"duplicate query {name}")
+        old = QUERIES.get(name)
+        if old is not None and (old.__module__, old.__qualname__) != (fn.__module__, fn.__qualname__):
+            raise ValueError(f"duplicate query {name}")  # a module re-import re-registers itself
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
