@@ -152,3 +152,25 @@ def q_split_stratified_topic(spark, sf):
     "reviews"))
 def q_clean_then_tokens(spark, sf):
     return _flat(reviews(spark, sf).select("doc_id", D.tokens(X.clean_words("text")).alias("toks")))
+
+
+@register("tfidf_vectors", with_views(
+    """select c.doc_id, v.idx,
+       round(c.tf * (ln((1 + n) / (1 + v.df)) + 1)
+             / sqrt(sum(power(c.tf * (ln((1 + n) / (1 + v.df)) + 1), 2)) over (partition by c.doc_id)), 6) as weight
+    from (select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from rtok) e
+          group by doc_id, term) c
+    join vocab3000 v on c.term = v.term, (select count(*) as n from rtok) nd""", "vocab3000", "rtok"))
+def q_tfidf_vectors(spark, sf):
+    """D8/D9 vector form: the Spark ML stages a model is fitted on give the SQL tf-idf weights."""
+    from pyspark.ml.functions import vector_to_array
+    toks = review_tokens(spark, sf)
+    vocab = D.fit_vocab(toks, "doc_id", "toks", min_df=1, k=3000)
+    n_docs = toks.count()
+    stages = D.vectorizer_stages(vocab, "toks", "features", n_docs)
+    v = toks
+    for st in stages:
+        v = st.transform(v)
+    arr = v.select("doc_id", F.posexplode(vector_to_array("features")).alias("idx", "weight"))
+    return arr.where(F.col("weight") != 0).select("doc_id", F.col("idx").cast("int").alias("idx"),
+                                                   F.round("weight", 6).alias("weight"))
