@@ -174,3 +174,13 @@ def q_tfidf_vectors(spark, sf):
     arr = v.select("doc_id", F.posexplode(vector_to_array("features")).alias("idx", "weight"))
     return arr.where(F.col("weight") != 0).select("doc_id", F.col("idx").cast("int").alias("idx"),
                                                    F.round("weight", 6).alias("weight"))
+
+
+@register("pipeline_tokens", with_views(_flat_sql("rgram"), "rgram"))
+def q_pipeline_tokens(spark, sf):
+    """The token stages stored inside fitted pipelines (stop words, bigrams) equal the column functions."""
+    from pyspark.ml import Pipeline
+    from feedpulse.operators.train import _token_stages
+    r = reviews(spark, sf).select("doc_id", "text")
+    model = Pipeline(stages=_token_stages("text", "toks", stop=True, grams=2)).fit(r)
+    return _flat(model.transform(r).select("doc_id", "toks"))
