@@ -371,3 +371,21 @@ def test_rule_table_and_rule_evaluation(spark):
     expr = spark.createDataFrame([("api", t, 0.2) for t in range(0, 1200, 300)], "k string, t long, share double")
     got = {(r["t"], r["state"]) for r in A.evaluate_rule(expr, ["k"], "share", rule, 300).collect()}
     assert got == {(0, "pending"), (300, "pending"), (600, "firing"), (900, "firing"), (1200, "resolved")}
+
+
+def test_small_public_helpers(spark):
+    from feedpulse.sources import io as IO
+    df = spark.createDataFrame([(float("nan"), 1.0, bytearray("é".encode("utf-8"))),
+                                (float("inf"), 2.0, bytearray("é".encode("latin-1")))], "a double, b double, raw binary")
+    safe = IO.json_safe(df.drop("raw")).collect()
+    assert [r["a"] for r in safe] == [None, None] and [r["b"] for r in safe] == [1.0, 2.0]
+    assert [r[0] for r in df.select(IO.decode_text("raw")).collect()] == ["é", "é"]
+    r = spark.createDataFrame([("pin yếu",), ("ship nhanh",)], "c string").select(X.rule_labels("c").alias("x")).collect()
+    assert [(x["x"]["topic"], x["x"]["sentiment"]) for x in r] == [("Battery", "Negative"), ("Shipping", "Positive")]
+    g = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 10), "s", 2.0), (dt.datetime(2024, 1, 1, 0, 20), "s", 4.0)],
+                              "ts timestamp, k string, value double")
+    avg = {r["t"]: r["avg_over_time"] for r in J.avg_over_time(g, ["k"], 3600, 900).collect()}
+    assert set(avg.values()) >= {3.0} and min(avg) % 900 == 0
+    u = spark.createDataFrame([(3.0, 4.0, 1000, 400)], "used double, total double, t long, boot long") \
+        .select(J.used_pct("used", "total").alias("p"), J.uptime("t", "boot").alias("up")).first()
+    assert (u["p"], u["up"]) == (75.0, 600)
