@@ -80,15 +80,73 @@ def _hold_fn(threshold: float, hold: int, step: int):
     return fn
 
 
-def stream_alerts(expr: DataFrame, key: str, threshold: float, hold: int, step: int) -> DataFrame:
+def _hold_fn_event_time(threshold: float, hold: int, step: int):
+    """K5 with out-of-order input: instants wait in state until the watermark passes them.
+
+    State: (run start, last instant, JSON list of waiting (t, value) pairs). The list
+    holds at most the instants inside the lateness bound. An event-time timeout wakes
+    the series when the watermark passes its next waiting instant or its next grid
+    instant, so a missing instant ends a run even without new rows for the series.
+    """
+    import json
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run_start, last_t, buf = state.get if state.exists else (None, None, "[]")
+        waiting = json.loads(buf)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                waiting += [[int(t), float(v)] for t, v in zip(pdf["t"].tolist(), pdf["value"].tolist())]
+        wm = state.getCurrentWatermarkMs() // 1000
+        ready = sorted(p for p in waiting if p[0] <= wm)
+        waiting = [p for p in waiting if p[0] > wm]
+        rows = []
+        for t, v in ready:
+            gap = last_t is not None and t != last_t + step
+            if run_start is not None and (gap or v <= threshold):
+                if last_t - run_start >= hold:
+                    rows.append((key[0], last_t + step, "resolved", run_start))
+                run_start, last_t = None, None
+            if v > threshold:
+                if run_start is None:
+                    run_start = t
+                last_t = t
+                rows.append((key[0], t, "firing" if t - run_start >= hold else "pending", run_start))
+        if last_t is not None and last_t + step <= wm:
+            # the watermark passed the next instant and no row came for it: the run ends
+            if last_t - run_start >= hold:
+                rows.append((key[0], last_t + step, "resolved", run_start))
+            run_start, last_t = None, None
+        state.update((run_start, last_t, json.dumps(waiting)))
+        wake = [p[0] for p in waiting] + ([last_t + step] if last_t is not None else [])
+        if wake:
+            state.setTimeoutTimestamp(min(wake) * 1000)
+        yield pd.DataFrame(rows, columns=["series", "t", "state", "active_since"])
+
+    return fn
+
+
+def stream_alerts(expr: DataFrame, key: str, threshold: float, hold: int, step: int,
+                  late_delay: str | None = None) -> DataFrame:
     """K5: stateful alert hold per series over a stream of expression values ``(key, t, value)``.
 
     State per series is two numbers (run start, last instant), kept by Spark's
-    state store and checkpointed with the query. Contract: the instants of one
-    series arrive in time order across micro-batches (an evaluation stream
-    produces them so); inside a micro-batch any order is fine. A missing
+    state store and checkpointed with the query. Without ``late_delay`` the
+    instants of one series must arrive in time order across micro-batches (an
+    evaluation stream produces them so); inside a micro-batch any order is fine.
+    With ``late_delay`` (event-time mode) instants may arrive out of order within
+    that bound and are released in order as the watermark passes them. A missing
     instant ends a run; a fired run then reports ``resolved`` at last + step.
     """
+    if late_delay is not None:
+        # event-time mode: out-of-order instants within ``late_delay`` are put in order first
+        e = (expr.select(F.col(key).alias("series"), "t", F.col("value").cast("double").alias("value"),
+                         F.timestamp_seconds("t").alias("__ts"))
+                 .withWatermark("__ts", late_delay))
+        return (e.groupBy("series")
+                 .applyInPandasWithState(_hold_fn_event_time(threshold, hold, step),
+                                         "series string, t long, state string, active_since long",
+                                         "run_start long, last_t long, waiting string", "append",
+                                         GroupStateTimeout.EventTimeTimeout))
     fn = _hold_fn(threshold, hold, step)
     return (expr.select(F.col(key).alias("series"), "t", F.col("value").cast("double").alias("value"))
                 .groupBy("series")

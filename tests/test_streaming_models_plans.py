@@ -158,3 +158,25 @@ def test_linear_text_model_learns_and_round_trips(spark):
     _, metrics = TR.train_epochs(df, df, spec, epochs=3)
     steps = sorted(r["step"] for r in metrics.where(F.col("key") == "weighted_f1").collect())
     assert steps == [1, 2, 3]
+
+
+def test_event_time_hold_orders_late_instants(spark):
+    out, ck, base = _dirs(spark)
+    step = 60
+    vals = [(0, 5.0), (60, 5.0), (120, 5.0), (240, 5.0), (300, 5.0), (360, 5.0), (420, 1.0), (480, 5.0)]
+    base_t = 1_704_067_200  # 2024-01-01: the first watermark is epoch 0, so toy times near 0 would be late
+    vals = [(base_t + t, v) for t, v in vals]
+    arrivals = [[240, 300], [0, 60, 120], [360, 420, 480], [10000]]  # out of order, then a later instant
+    arrivals = [[base_t + t for t in a] for a in arrivals]
+    allv = dict(vals + [(base_t + 10000, 0.0)])
+    got = set()
+    for times in arrivals:
+        spark.createDataFrame([("s", t, allv[t]) for t in times], "k string, t long, value double").coalesce(1) \
+            .write.mode("append").parquet(f"{base}/in")
+        src = spark.readStream.schema("k string, t long, value double").parquet(f"{base}/in")
+        res = K.run_available(K.stream_alerts(src, "k", 2.0, 120, step, late_delay="10 minutes"), out, ck)
+        got = {tuple(r) for r in res.collect()}
+    e = spark.createDataFrame([("s", t, v) for t, v in allv.items()], "k string, t long, value double")
+    want = {(r["k"], r["t"], r["state"], r["active_since"])
+            for r in A.alerts(e, ["k"], "value", ">", 2.0, 120, step, "X").collect()}
+    assert got == want
