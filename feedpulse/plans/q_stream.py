@@ -115,3 +115,16 @@ def q_stream_csv(spark, sf):
                         glob="*.csv", fmt="csv")
     out, ck = _run_dir(spark, "csv_ingest")
     return K.run_available(src, out, ck)
+
+
+@register("stream_trend_gold", with_views(_CUBE, "feedback"))
+def q_stream_trend_gold(spark, sf):
+    """K2 with the production sink: update mode, changed (day, topic) partitions rewritten."""
+    out, ck = _run_dir(spark, "trend_gold")
+    events = K.stream_feed(spark, sf, K.EVENT_SCHEMA, glob="events.parquet", max_files=1)
+    fb = events.select("ts", F.col("event_type").alias("topic"),
+                       F.when(F.col("value") < NEGATIVE_BELOW, "Negative")
+                        .when(F.col("value") < POSITIVE_BELOW, "Positive").otherwise("Neutral").alias("sentiment"))
+    K.run_update_to_gold(K.stream_trend(fb), out, ck)
+    return spark.read.parquet(out).select("date", "topic", "Negative", "Positive", "Neutral", "total_volume",
+                                          "negative_rate")

@@ -174,13 +174,14 @@ def batch_summary(df: DataFrame, date_col: str | None = None) -> DataFrame:
     return df.agg(*aggs)
 
 
-def write_gold(df: DataFrame, path: str, partition: str = "date") -> None:
-    """Overwrite only the partitions (days) present in ``df`` (dynamic partition overwrite)."""
+def write_gold(df: DataFrame, path: str, partition: str | Sequence[str] = "date") -> None:
+    """Overwrite only the partitions present in ``df`` (dynamic partition overwrite)."""
     spark = df.sparkSession
+    cols = [partition] if isinstance(partition, str) else list(partition)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        df.write.mode("overwrite").partitionBy(partition).parquet(path)
+        df.write.mode("overwrite").partitionBy(*cols).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 

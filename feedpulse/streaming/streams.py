@@ -178,3 +178,24 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     q = q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path)
+
+
+def run_update_to_gold(df: DataFrame, path: str, checkpoint: str, keys=("date", "topic"),
+                       available_now: bool = True):
+    """K2 sink for long-running streams: update mode, each micro-batch rewrites only the
+    gold partitions of the (day, topic) rows it changed (dynamic partition overwrite).
+
+    State stays bounded because the watermark evicts closed days; the gold table always
+    holds the latest counts. Returns the streaming query (finished when ``available_now``).
+    """
+    from feedpulse.sources.io import write_gold
+
+    def write(batch: DataFrame, _epoch: int) -> None:
+        write_gold(batch, path, list(keys))
+
+    q = (df.writeStream.outputMode("update").foreachBatch(write)
+           .option("checkpointLocation", checkpoint))
+    q = (q.trigger(availableNow=True) if available_now else q).start()
+    if available_now:
+        q.awaitTermination()
+    return q

@@ -180,3 +180,16 @@ def test_event_time_hold_orders_late_instants(spark):
     want = {(r["k"], r["t"], r["state"], r["active_since"])
             for r in A.alerts(e, ["k"], "value", ">", 2.0, 120, step, "X").collect()}
     assert got == want
+
+
+def test_update_mode_gold_rewrites_changed_partitions(spark):
+    out, ck, base = _dirs(spark)
+    schema = "ts timestamp, topic string, sentiment string"
+    first = [(dt.datetime(2024, 1, 1, 9), "a", "Negative"), (dt.datetime(2024, 1, 1, 10), "b", "Positive")]
+    second = [(dt.datetime(2024, 1, 1, 11), "a", "Positive"), (dt.datetime(2024, 1, 2, 9), "a", "Neutral")]
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        K.run_update_to_gold(K.stream_trend(K.stream_feed(spark, f"{base}/in", schema)), out, ck)
+    got = {(r["date"], r["topic"]): (r["Negative"], r["Positive"], r["Neutral"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(dt.date(2024, 1, 1), "a"): (1, 1, 0), (dt.date(2024, 1, 1), "b"): (0, 1, 0),
+                   (dt.date(2024, 1, 2), "a"): (0, 0, 1)}
