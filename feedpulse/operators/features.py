@@ -145,8 +145,11 @@ def tfidf(df: DataFrame, vocab: DataFrame, doc: str, terms: str, n_docs: DataFra
     return w.select(doc, "term", "idx", "tf", (F.col("w") / norm).alias("weight"))
 
 
+MAX_VECTOR_TERMS = 1 << 20
+
+
 def vectorizer_stages(vocab: DataFrame, input_col: str, output_col: str = "features",
-                      n_docs: int | None = None):
+                      n_docs: int | None = None, max_terms: int = MAX_VECTOR_TERMS):
     """D8/D9 vector form: Spark ML stages reproducing the smoothed tf-idf.
 
     The vocabulary (at most max_features terms) is brought to the driver once
@@ -156,6 +159,9 @@ def vectorizer_stages(vocab: DataFrame, input_col: str, output_col: str = "featu
     from pyspark.ml.linalg import Vectors
     import math
 
+    size = vocab.count()
+    if size > max_terms:  # checked before anything is brought to the driver
+        raise ValueError(f"vocabulary of {size} terms exceeds {max_terms}; fit it with max_features")
     rows = vocab.select("term", "df", "idx").orderBy("idx").collect()
     terms = [r["term"] for r in rows]
     if n_docs is None:
