@@ -29,7 +29,7 @@ MARKERS = {
 }
 SKIP = {"topic_model_scores", "email_model_scores", "email_epoch_log", "rating_model_scores",
         "sentiment_model_scores", "stream_ingest", "stream_trend_daily", "stream_trend_watermarked",
-        "stream_rates_5m", "stream_alert_hold", "stream_score_rules"}
+        "stream_rates_5m", "stream_alert_hold", "stream_score_rules", "stream_csv_ingest", "stream_trend_gold"}
 
 
 def main() -> None:
