@@ -237,3 +237,26 @@ def q_trend_report_upload(spark, sf):
                    F.col("text").alias("comment"))
     cube, _ = trend_report(raw)
     return cube
+
+
+@register("rating_cold_start", with_views(
+    """with tr as (select * from isplit2 where not is_test),
+       u as (select user_id, cast(dense_rank() over (order by user_id) - 1 as int) as user_idx
+             from (select distinct user_id from tr) x),
+       i as (select item_id, cast(dense_rank() over (order by item_id) - 1 as int) as item_idx
+             from (select distinct item_id from tr) y)
+    select t.l_orderkey, t.l_linenumber, t.l_partkey, coalesce(u.user_idx, 0) as user_idx,
+           coalesce(i.item_idx, 0) as item_idx, (u.user_id is null) or (i.item_id is null) as is_cold_start
+    from isplit2 t left join u on t.user_id = u.user_id left join i on t.item_id = i.item_id
+    where t.is_test""", "isplit2"))
+def q_rating_cold_start(spark, sf):
+    """Id features of the scoring path; unseen user or item -> index 0 and cold start."""
+    s = split_random(interactions(spark, sf), _KEYS, 0.2, 42)
+    tr = s.where(~F.col("is_test"))
+    users = D.fit_index(tr, "user_id", "user_idx")
+    items = D.fit_index(tr, "item_id", "item_idx")
+    test = s.where("is_test").select("l_orderkey", "l_linenumber", "l_partkey", "user_id", "item_id")
+    d = D.apply_index(test, users, "user_id", "user_idx", "__cu", value_col="user_idx")
+    d = D.apply_index(d, items, "item_id", "item_idx", "__ci", value_col="item_idx")
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "user_idx", "item_idx",
+                    (F.col("__cu") | F.col("__ci")).alias("is_cold_start"))
