@@ -176,8 +176,8 @@ def q_tfidf_vectors(spark, sf):
                                                    F.round("weight", 6).alias("weight"))
 
 
-@register("pipeline_tokens", with_views(_flat_sql("rgram"), "rgram"))
-def q_pipeline_tokens(spark, sf):
+@register("fitted_stage_tokens", with_views(_flat_sql("rgram"), "rgram"))
+def q_fitted_stage_tokens(spark, sf):
     """The token stages stored inside fitted pipelines (stop words, bigrams) equal the column functions."""
     from pyspark.ml import Pipeline
     from feedpulse.operators.train import _token_stages
