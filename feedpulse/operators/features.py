@@ -8,27 +8,18 @@ the smoothed idf, Normalizer) so scoring stays in the JVM.
 
 from __future__ import annotations
 
-import functools
-import os
-import zipfile
-
-import pyspark
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedpulse.functions.stopwords import ENGLISH
 from feedpulse.operators.ordering import dense_index
 
 TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
 
 
-@functools.lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the MLlib jar."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    jar = next(f for f in sorted(os.listdir(jars)) if f.startswith("spark-mllib_"))
-    with zipfile.ZipFile(os.path.join(jars, jar)) as z:
-        txt = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return tuple(w.strip() for w in txt.splitlines() if w.strip())
+    """Spark ML's default English stop-word list (plain values: no JVM or file access)."""
+    return ENGLISH
 
 
 # ------------------------------------------------------------------ encoders
