@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedpulse.llm import quality, sharding, url_filter
+from feedpulse.llm import packing, quality, sharding, topk, url_filter, warc
 from feedpulse.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,34 @@ def op10(spark, sf):
     led = quality.apply_policy(quality.ledger(table(spark, sf, "documents")))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "fail_bits")
+
+
+@register("op3_warc", """
+with p as (select page_id, coalesce(html, '') as t from pages),
+     d as (select page_id, strlen(t) as payload_bytes, sha1(t) as hex from p),
+     b as (select *, cast(unhex(hex) as bit)::varchar as bits from d),
+     x as (select page_id, payload_bytes, hex, array_to_string(list_transform(range(0, 32), lambda i:
+             substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + list_sum(list_transform(range(0, 5),
+               lambda j: cast(substr(bits, 5 * i + j + 1, 1) as int) * (1 << (4 - j)))) as bigint), 1)), '') as payload_digest from b),
+     m as (select *, max(page_id) over (partition by hex) as top from x)
+select page_id, payload_bytes, payload_digest, case when page_id < top then 'revisit' else 'response' end as record_type,
+       case when page_id < top then top end as refers_to from m""")
+def op3(spark, sf):
+    index, folder = warc.archive(table(spark, sf, "pages"), revisit_from=0)
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op5_best_fit_packing")
+def op5(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@register("op7_exact_topk", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+           where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+     s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+           from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+     r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10""")
+def op7(spark, sf):
+    return topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
