@@ -91,8 +91,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     done = 1
     while done < n:  # doubling: each step multiplies what is known
         k = min(done, n - done)
-        top = out[done - 1] * base
-        out[done:done + k] = out[:k] * top
+        out[done:done + k] = out[:k] * (out[done - 1:done] * base)
         done += k
     return out
 
@@ -133,3 +132,28 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * up[:len(words)], out=sums[1:])
     return mix((sums[k:] - sums[:-k]) * down[:n])
+
+
+def word_chunks(texts: list, lower: bool = False, limit: int = 1 << 20):
+    """Word hashes of many texts at once: yields (first row, last row, data, word starts, word ends,
+    hashes, bounds) for runs of rows of about ``limit`` bytes; the words of row ``first + i`` are
+    bounds[i] to bounds[i + 1]. A longer text is a run of its own; a null text has no words."""
+    first, held, size = 0, [], 0
+
+    def done(last: int):
+        data = b"\n".join(held)
+        start, end, h = word_hashes(data)
+        at = np.zeros(len(held) + 1, dtype=np.int64)
+        np.cumsum([len(x) + 1 for x in held], out=at[1:])
+        return first, last, data, start, end, h, np.searchsorted(start, at)
+
+    for i, t in enumerate(texts):
+        b = b"" if t is None else t.encode("utf-8", "surrogatepass")
+        b = b.lower() if lower else b  # bytes: A-Z only
+        if held and size + len(b) > limit:
+            yield done(i)
+            first, held, size = i, [], 0
+        held.append(b)
+        size += len(b) + 1
+    if held:
+        yield done(len(texts))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedpulse.llm import packing, quality, sharding, topk, url_filter, warc
+from feedpulse.llm import packing, quality, sharding, substring_dedup, topk, url_filter, warc
 from feedpulse.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 *
 select query_id, rank, vec_id, score from r where rank <= 10""")
 def op7(spark, sf):
     return topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@register("op9_substring_dedup")
+def op9(spark, sf):
+    return substring_dedup.digest(table(spark, sf, "documents"))
