@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedpulse.llm import packing, quality, sharding, substring_dedup, topk, url_filter, warc
+from feedpulse.llm import jaccard, packing, quality, sharding, substring_dedup, topk, url_filter, warc
 from feedpulse.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op7(spark, sf):
 @register("op9_substring_dedup")
 def op9(spark, sf):
     return substring_dedup.digest(table(spark, sf, "documents"))
+
+
+@register("op6_jaccard_join")
+def op6(spark, sf):
+    return jaccard.join(table(spark, sf, "documents"))
