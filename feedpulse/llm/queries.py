@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedpulse.llm import jaccard, packing, quality, sharding, substring_dedup, topk, url_filter, warc
+from feedpulse.llm import jaccard, packing, quality, sharding, substring_dedup, topk, toxicity, url_filter, warc
 from feedpulse.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op9(spark, sf):
 @register("op6_jaccard_join")
 def op6(spark, sf):
     return jaccard.join(table(spark, sf, "documents"))
+
+
+@register("op2_toxicity")
+def op2(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
