@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedpulse.llm import jaccard, packing, quality, sharding, substring_dedup, topk, toxicity, url_filter, warc
+from feedpulse.llm import jaccard, packing, pieces, quality, sharding, substring_dedup, topk, toxicity, url_filter, warc
 from feedpulse.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op6(spark, sf):
 @register("op2_toxicity")
 def op2(spark, sf):
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op4_sentencepiece")
+def op4(spark, sf):
+    return pieces.encode(table(spark, sf, "documents"), with_ids=False)
