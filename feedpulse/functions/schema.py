@@ -109,11 +109,24 @@ def validate(df: DataFrame, required: Mapping[str, Sequence[str]] | Sequence[str
     return errs
 
 
-def to_ts(c: Column | str) -> Column:
-    """Lenient timestamp (session zone UTC; ISO text with 'Z'); junk -> null."""
+# Written dates that are read besides ISO ones, in this order (month before day, as the reference's parser has it).
+DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy/M/d", "yyyy/M/d H:mm:ss", "yyyyMMdd", "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss",
+                "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
+
+
+def to_ts(c: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Lenient timestamp (session zone UTC; ISO text with 'Z', then ``formats``); junk -> null."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(c.cast("string"), "Z$", "")
-    return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
+    s = F.trim(F.regexp_replace(c.cast("string"), "Z$", ""))
+    eight = s.rlike("^[0-9]{5,}$")  # digits alone are a date written without signs, not a year
+    iso = F.when(~eight, F.try_to_timestamp(s))
+    return F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+
+
+def dropped_dates(df: DataFrame, date_col: str) -> DataFrame:
+    """Rows, and rows whose date text is present but not read (they are dropped by ``drop_null`` of the date)."""
+    bad = F.col(date_col).isNotNull() & to_ts(date_col).isNull()
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_unread_dates"))
 
 
 def to_num(c: Column | str, fill: float | None = None) -> Column:

@@ -127,13 +127,13 @@ def spam_label(flag: Column | str) -> Column:
 
 
 def is_finite(c: Column | str) -> Column:
-    x = _c(c).cast("double")
+    x = _c(c).try_cast("double")
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 
 
 def clip_rating(c: Column | str, round_to: int | None = None) -> Column:
-    """Non-finite or null -> 3.0, else clipped to 1..5; optional rounding."""
-    x = _c(c).cast("double")
+    """Non-finite, null or no number -> 3.0, else clipped to 1..5; optional rounding."""
+    x = _c(c).try_cast("double")
     v = F.when(is_finite(x), F.least(F.greatest(x, F.lit(RATING_MIN)), F.lit(RATING_MAX))) \
          .otherwise(F.lit(RATING_FALLBACK))
     return F.round(v, round_to) if round_to is not None else v

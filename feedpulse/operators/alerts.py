@@ -31,14 +31,18 @@ _OPS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a
 
 
 def alerts(expr: DataFrame, keys: Sequence[str], value: str, op: str, threshold: float,
-           hold: int, step: int, alertname: str, labels: dict[str, str] | None = None) -> DataFrame:
+           hold: int, step: int, alertname: str, labels: dict[str, str] | None = None,
+           horizon: int | None = None) -> DataFrame:
     """Pending / firing per instant, and a ``resolved`` row after a fired run.
 
     A run is a stretch of consecutive grid instants where the condition holds
     (a missing instant ends it). Inside a run an instant is ``firing`` once
-    t - run_start >= hold, else ``pending``.
+    t - run_start >= hold, else ``pending``. The end of a run is seen at the next
+    evaluated instant: no ``resolved`` row lies beyond ``horizon``, by default the
+    last instant of the whole expression (of any series).
     """
     keys = list(keys)
+    last = F.lit(horizon) if horizon is not None else expr.agg(F.max("t")).scalar()
     true = expr.where(_OPS[op](F.col(value), F.lit(threshold))).select(*keys, "t", value)
     grp = (F.col("t") / F.lit(step)).cast("bigint") - F.row_number().over(Window.partitionBy(*keys).orderBy("t"))
     runs = true.withColumn("__g", grp)
@@ -48,6 +52,7 @@ def alerts(expr: DataFrame, keys: Sequence[str], value: str, op: str, threshold:
     live = runs.select(*keys, "t", state.alias("state"), F.col("__start").alias("active_since"), value)
     resolved = (runs.where(F.col("__end") - F.col("__start") >= F.lit(hold))
                     .groupBy(*keys, "__g").agg(F.max("__end").alias("__end"), F.min("__start").alias("__start"))
+                    .where(F.col("__end") + F.lit(step) <= last)
                     .select(*keys, (F.col("__end") + F.lit(step)).alias("t"), F.lit("resolved").alias("state"),
                             F.col("__start").alias("active_since"), F.lit(None).cast("double").alias(value)))
     out = live.unionByName(resolved).withColumn("alertname", F.lit(alertname))

@@ -165,8 +165,8 @@ def describe_ratings(r: DataFrame, value: str = "predicted_rating") -> DataFrame
 
 
 def user_volatility(r: DataFrame, user: str = "user_id", value: str = "predicted_rating") -> DataFrame:
-    """Mean over users of each user's sample std (users with one rating skipped)."""
-    per_user = r.groupBy(user).agg(F.stddev_samp(value).alias("__s"))
+    """Mean over users of each user's sample std (users with one rating and rows without a user skipped)."""
+    per_user = r.where(F.col(user).isNotNull()).groupBy(user).agg(F.stddev_samp(value).alias("__s"))
     return per_user.agg(F.avg("__s").alias("user_volatility"))
 
 

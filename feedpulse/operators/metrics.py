@@ -30,7 +30,7 @@ DEFAULT_TOPIC = "unknown"
 
 
 def _num_ok(c: Column) -> Column:
-    x = c.cast("double")
+    x = c.try_cast("double")
     return x.isNotNull() & ~F.isnan(x)
 
 
@@ -38,7 +38,8 @@ def clean_metric_events(df: DataFrame) -> DataFrame:
     """Per-row validation of metric inputs (columns present are cleaned).
 
     confidence outside 0..1 -> 0.5; rating invalid -> 3.0 else clipped to 1..5;
-    topic null/empty -> 'unknown'; processing time < 0 -> 0; batch size <= 0 -> 1;
+    topic null/empty -> 'unknown'; processing time < 0 or no number -> 0; batch size <= 0 -> 1;
+    no or a non-boolean ``is_cold_start`` -> false; with a ``success`` flag, size and time of failed batches -> null;
     rows with an empty sentiment are dropped; a non-boolean spam flag -> false.
     """
     cols = set(df.columns)
@@ -46,21 +47,32 @@ def clean_metric_events(df: DataFrame) -> DataFrame:
     if "sentiment" in cols:
         out = out.where(F.col("sentiment").isNotNull() & (F.col("sentiment") != ""))
     if "confidence" in cols:
-        c = F.col("confidence").cast("double")
+        c = F.col("confidence").try_cast("double")
         out = out.withColumn("confidence", F.when(_num_ok(c) & (c >= 0) & (c <= 1), c)
                              .otherwise(F.lit(DEFAULT_CONFIDENCE)))
     if "rating" in cols:
-        r = F.col("rating").cast("double")
+        r = F.col("rating").try_cast("double")
         out = out.withColumn("rating", F.when(_num_ok(r), F.least(F.greatest(r, F.lit(RATING_MIN)), F.lit(RATING_MAX)))
                              .otherwise(F.lit(RATING_FALLBACK)))
     if "topic" in cols:
         out = out.withColumn("topic", F.when(F.col("topic").isNull() | (F.col("topic") == ""), F.lit(DEFAULT_TOPIC))
                              .otherwise(F.col("topic")))
     if "processing_time" in cols:
-        out = out.withColumn("processing_time", F.greatest(F.coalesce(F.col("processing_time").cast("double"),
-                                                                      F.lit(0.0)), F.lit(0.0)))
+        t = F.col("processing_time").try_cast("double")
+        out = out.withColumn("processing_time", F.when(_num_ok(t), F.greatest(t, F.lit(0.0))).otherwise(F.lit(0.0)))
     if "batch_size" in cols:
-        out = out.withColumn("batch_size", F.when(F.col("batch_size") <= 0, F.lit(1)).otherwise(F.col("batch_size")))
+        n = F.col("batch_size").try_cast("bigint")
+        out = out.withColumn("batch_size", F.when(n > 0, n).otherwise(F.lit(1).cast("bigint")))
+    if "is_cold_start" in cols:
+        flag = F.lower(F.col("is_cold_start").cast("string"))
+        out = out.withColumn("is_cold_start", F.coalesce(flag.isin("true", "1"), F.lit(False)))
+    else:
+        out = out.withColumn("is_cold_start", F.lit(False))
+    if "success" in cols:  # size and latency are measured of batches that succeeded
+        ok = F.coalesce(F.col("success"), F.lit(False))
+        for c in ("batch_size", "processing_time"):
+            if c in cols:
+                out = out.withColumn(c, F.when(ok, F.col(c)))
     if "is_spam" in cols:
         is_bool = dict(df.dtypes)["is_spam"] == "boolean"
         out = out.withColumn("is_spam", F.coalesce(F.col("is_spam"), F.lit(False)) if is_bool else F.lit(False))

@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from feedpulse.session import ensure_checkpoint_dir
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null keys match each other; the keys appear once, from the left."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   bucket: Column, out: str = "value") -> DataFrame:
     """``count(*) over (partition by keys order by order)`` (rows frame, 1-based).
@@ -33,7 +43,7 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
     prior = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
-    return (d.join(offsets, on=keys + [b], how="inner")
+    return (join_null_safe(d, offsets, keys + [b])
              .withColumn(out, F.col("__off") + F.col("__local"))
              .drop(b, "__local", "__off"))
 
@@ -60,7 +70,7 @@ def dense_index(values: DataFrame, col: str, out: str = "idx",
     local = Window.partitionBy("__pid").orderBy(col)
     return (ranged.withColumn("__local", F.row_number().over(local))
                   .join(F.broadcast(offsets), "__pid")
-                  .select(col, (F.col("__off") + F.col("__local") - 1).cast("int").alias(out)))
+                  .select(col, (F.col("__off") + F.col("__local") - 1).cast("bigint").alias(out)))
 
 
 def ranged_value_counts(values: DataFrame, col: str, partitions: int | None = None) -> DataFrame:

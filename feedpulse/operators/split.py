@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedpulse.operators.ordering import join_null_safe
+
 STRATA_BITS = 20
 
 
@@ -43,7 +45,7 @@ def split_stratified(df: DataFrame, keys: Sequence[str], label: str, test_frac:
                     .withColumn("__tot", F.sum("__n").over(w_lab))
                     .withColumn("__need", F.ceil(F.col("__tot") * F.lit(test_frac)))
                     .withColumn("__before", F.col("__cum") - F.col("__n")))
-    j = d.join(counts.select(label, "__b", "__cum", "__before", "__need"), [label, "__b"])
+    j = join_null_safe(d, counts.select(label, "__b", "__cum", "__before", "__need"), [label, "__b"])
     straddle = (F.col("__before") < F.col("__need")) & (F.col("__cum") > F.col("__need"))
     # rank only inside buckets that straddle the cut (one per label)
     rk = F.row_number().over(Window.partitionBy(label, "__b").orderBy(h, *keys))

@@ -25,7 +25,7 @@ def _rule_sql(name: str, sev: str, thr: float, hold: int) -> str:
            st as active_since, increase, '{name}' as alertname, '{sev}' as severity, event_type as component from r2
     union all
     select event_type, max(en) + {STEP}, 'resolved', min(st), null, '{name}', '{sev}', event_type from r2
-    where en - st >= {hold} group by event_type, g)"""
+    where en - st >= {hold} group by event_type, g having max(en) + {STEP} <= (select max(t) from inc1h))"""
 
 
 add_view_sql("alerts", " union all ".join(_rule_sql(*r) for r in RULES), ("inc1h",))
@@ -45,14 +45,14 @@ def q_alert_states(spark, sf):
 
 
 @register("alert_routes", with_views(
-    """with a as (select * from alerts where state = 'firing'),
+    """with a as (select * from alerts where state in ('firing', 'resolved')),
        m as (select a.alertname, a.severity, a.component, a.t, a.state,
                     case when a.severity = 'critical' then 'critical-alerts'
                          when a.severity = 'warning' then 'warning-alerts' end as receiver from a)
     select * from m where receiver is not null
     union all select alertname, severity, component, t, state, 'default' from m where receiver is null""", "alerts"))
 def q_alert_routes(spark, sf):
-    a = alert_table(spark, sf).where(F.col("state") == "firing").withColumn("alert_type", F.lit(None).cast("string"))
+    a = alert_table(spark, sf).where(F.col("state").isin("firing", "resolved")).withColumn("alert_type", F.lit(None).cast("string"))
     return A.route(a, A.routes_frame(spark), ["severity", "alert_type"],
                    ["alertname", "severity", "component", "t", "state"])
 
@@ -95,7 +95,7 @@ _ERROR_RULE = next(r for r in A.ALERT_RULES if r[0] == "HighAPIErrorRate")
            '{_ERROR_RULE[1]}' as severity from r2
     union all
     select scope, max(en) + {STEP}, 'resolved', min(st), null, '{_ERROR_RULE[0]}', '{_ERROR_RULE[1]}' from r2
-    where en - st >= {_ERROR_RULE[6]} group by scope, g""", "rate1h"))
+    where en - st >= {_ERROR_RULE[6]} group by scope, g having max(en) + {STEP} <= (select max(t) from x)""", "rate1h"))
 def q_rule_error_share(spark, sf):
     """A rule of the rule table (5xx share > 5 % held 10 min) bound to the error share of the events."""
     r = J.rate(spark_samples(spark, sf), KEYS, W, STEP)

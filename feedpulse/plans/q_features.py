@@ -8,7 +8,7 @@ from feedpulse.functions import text as X
 from feedpulse.operators import features as D
 from feedpulse.operators.split import split_random, split_stratified
 from feedpulse.plans.registry import register
-from feedpulse.plans.views import add_view_sql, interactions, reviews, with_views
+from feedpulse.plans.views import add_view_sql, emails, interactions, reviews, texts, with_views
 
 _TOK = r"([\p{L}\p{N}_]{2,})"
 
@@ -17,8 +17,16 @@ def _stop_sql() -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in D.english_stop_words()) + "]"
 
 
-def review_tokens(spark, sf, stop: bool = False, grams: int = 1):
-    r = reviews(spark, sf).select("doc_id", D.tokens("text").alias("toks"))
+def text_tokens(spark, sf, stop: bool = False, grams: int = 1):
+    return _grams(texts(spark, sf).select("doc_id", D.tokens("text").alias("toks")), stop, grams)
+
+
+def email_tokens(spark, sf, stop: bool = False, grams: int = 1):
+    e = emails(spark, sf).select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), D.tokens("text").alias("toks"))
+    return _grams(e, stop, grams)
+
+
+def _grams(r, stop: bool, grams: int):
     if stop:
         r = D.remove_stop(r, "toks")
     if grams > 1:
@@ -26,13 +34,16 @@ def review_tokens(spark, sf, stop: bool = False, grams: int = 1):
     return r
 
 
-add_view_sql("rtok", f"select doc_id, regexp_extract_all(lower(text), '{_TOK}', 1) as toks from reviews",
-             ("reviews",))
-add_view_sql("rstop", f"select doc_id, list_filter(toks, lambda t: not list_contains({_stop_sql()}, t)) as toks from rtok",
-             ("rtok",))
-add_view_sql("rgram", """select doc_id, case when len(toks) >= 2
-    then list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))
-    else toks end as toks from rstop""", ("rstop",))
+add_view_sql("rtok", f"select doc_id, regexp_extract_all(lower(text), '{_TOK}', 1) as toks from texts",
+             ("texts",))
+add_view_sql("etok", f"select concat_ws('/', conv_id, turn) as doc_id, regexp_extract_all(lower(text), '{_TOK}', 1) as toks from emails",
+             ("emails",))
+for _p in "re":  # of texts and of emails
+    add_view_sql(f"{_p}stop", f"select doc_id, list_filter(toks, lambda t: not list_contains({_stop_sql()}, t)) as toks from {_p}tok",
+                 (f"{_p}tok",))
+    add_view_sql(f"{_p}gram", f"""select doc_id, case when len(toks) >= 2
+        then list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))
+        else toks end as toks from {_p}stop""", (f"{_p}stop",))
 
 
 def _vocab_sql(src: str, min_df: int, k: int) -> str:
@@ -57,27 +68,27 @@ def _flat(df):
 
 @register("tokens", with_views(_flat_sql("rtok"), "rtok"))
 def q_tokens(spark, sf):
-    return _flat(review_tokens(spark, sf))
+    return _flat(text_tokens(spark, sf))
 
 
 @register("remove_stop", with_views(_flat_sql("rstop"), "rstop"))
 def q_remove_stop(spark, sf):
-    return _flat(review_tokens(spark, sf, stop=True))
+    return _flat(text_tokens(spark, sf, stop=True))
 
 
 @register("ngrams", with_views(_flat_sql("rgram"), "rgram"))
 def q_ngrams(spark, sf):
-    return _flat(review_tokens(spark, sf, stop=True, grams=2))
+    return _flat(text_tokens(spark, sf, stop=True, grams=2))
 
 
 @register("fit_vocab", with_views("select * from vocab3000", "vocab3000"))
 def q_fit_vocab(spark, sf):
-    return D.fit_vocab(review_tokens(spark, sf), "doc_id", "toks", min_df=1, k=3000)
+    return D.fit_vocab(text_tokens(spark, sf), "doc_id", "toks", min_df=1, k=3000)
 
 
-@register("fit_vocab_email", with_views(_vocab_sql("rgram", 5, 5000), "rgram"))
+@register("fit_vocab_email", with_views(_vocab_sql("egram", 5, 5000), "egram"))
 def q_fit_vocab_email(spark, sf):
-    return D.fit_vocab(review_tokens(spark, sf, stop=True, grams=2), "doc_id", "toks", min_df=5, k=5000)
+    return D.fit_vocab(email_tokens(spark, sf, stop=True, grams=2), "doc_id", "toks", min_df=5, k=5000)
 
 
 @register("tfidf", with_views(
@@ -88,14 +99,14 @@ def q_fit_vocab_email(spark, sf):
           group by doc_id, term) c
     join vocab3000 v on c.term = v.term, (select count(*) as n from rtok) nd""", "vocab3000", "rtok"))
 def q_tfidf(spark, sf):
-    toks = review_tokens(spark, sf)
+    toks = text_tokens(spark, sf)
     vocab = D.fit_vocab(toks, "doc_id", "toks", min_df=1, k=3000)
     out = D.tfidf(toks, vocab, "doc_id", "toks")
     return out.withColumn("weight", F.round("weight", 6))
 
 
 @register("fit_index_user", with_views(
-    "select user_id, cast(dense_rank() over (order by user_id) - 1 as int) as idx "
+    "select user_id, dense_rank() over (order by user_id) - 1 as idx "
     "from (select distinct user_id from interactions where user_id is not null) u", "interactions"))
 def q_fit_index_user(spark, sf):
     return D.fit_index(interactions(spark, sf), "user_id")
@@ -115,7 +126,7 @@ def q_split_random(spark, sf):
 
 
 @register("apply_index", with_views(
-    """with d as (select item_id, cast(dense_rank() over (order by item_id) - 1 as int) as idx
+    """with d as (select item_id, dense_rank() over (order by item_id) - 1 as idx
                  from (select distinct item_id from isplit where not is_test) t)
     select t.l_orderkey, t.l_linenumber, t.l_partkey, t.item_id, coalesce(d.idx, 0) as idx,
            d.item_id is null as is_cold_start
@@ -148,10 +159,10 @@ def q_split_stratified_topic(spark, sf):
 @register("clean_then_tokens", with_views(
     f"""select doc_id, array_to_string(t, '|') as toks, cast(len(t) as int) as n_tokens from (
       select doc_id, regexp_extract_all(lower(c), '{_TOK}', 1) as t
-      from (select doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_{X.WS}]', '', 'g') as c from reviews) r) x""",
-    "reviews"))
+      from (select doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_{X.WS}]', '', 'g') as c from texts) r) x""",
+    "texts"))
 def q_clean_then_tokens(spark, sf):
-    return _flat(reviews(spark, sf).select("doc_id", D.tokens(X.clean_words("text")).alias("toks")))
+    return _flat(texts(spark, sf).select("doc_id", D.tokens(X.clean_words("text")).alias("toks")))
 
 
 @register("tfidf_vectors", with_views(
@@ -164,7 +175,7 @@ def q_clean_then_tokens(spark, sf):
 def q_tfidf_vectors(spark, sf):
     """D8/D9 vector form: the Spark ML stages a model is fitted on give the SQL tf-idf weights."""
     from pyspark.ml.functions import vector_to_array
-    toks = review_tokens(spark, sf)
+    toks = text_tokens(spark, sf)
     vocab = D.fit_vocab(toks, "doc_id", "toks", min_df=1, k=3000)
     n_docs = toks.count()
     stages = D.vectorizer_stages(vocab, "toks", "features", n_docs)
@@ -181,6 +192,6 @@ def q_fitted_stage_tokens(spark, sf):
     """The token stages stored inside fitted pipelines (stop words, bigrams) equal the column functions."""
     from pyspark.ml import Pipeline
     from feedpulse.operators.train import _token_stages
-    r = reviews(spark, sf).select("doc_id", "text")
+    r = texts(spark, sf).select("doc_id", "text")
     model = Pipeline(stages=_token_stages("text", "toks", stop=True, grams=2)).fit(r)
     return _flat(model.transform(r).select("doc_id", "toks"))

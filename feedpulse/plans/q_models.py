@@ -16,7 +16,7 @@ from feedpulse.operators.trend import trend_daily
 from feedpulse.plans.q_features import _KEYS
 from feedpulse.plans.q_text import sql_clean_trend
 from feedpulse.plans.registry import register
-from feedpulse.plans.views import add_view_sql, day_from_no, emails, interactions, reviews, with_views
+from feedpulse.plans.views import add_view_sql, day_from_no, emails, interactions, reviews, texts, with_views
 from feedpulse.session import scratch_path
 
 
@@ -120,7 +120,7 @@ def q_run_log(spark, sf):
 add_view_sql("rule_feed", f"""select date '2024-01-01' + day_no as date,
     case when contains(c, 'pin') then 'Battery' when contains(c, 'ship') then 'Shipping' else 'Other' end as topic,
     case when contains(c, 'yếu') then 'Negative' else 'Positive' end as sentiment
-    from (select day_no, {sql_clean_trend('text')} as c from reviews) t""", ("reviews",))
+    from (select day_no, {sql_clean_trend('text')} as c from texts) t""", ("texts",))
 
 
 @register("scored_feed_trend", with_views(
@@ -130,7 +130,7 @@ add_view_sql("rule_feed", f"""select date '2024-01-01' + day_no as date,
        count(*) filter (where sentiment = 'Negative') / count(*) as negative_rate
     from rule_feed group by date, topic""", "rule_feed"))
 def q_scored_feed_trend(spark, sf):
-    feed = reviews(spark, sf).select(day_from_no(F.col("day_no")).alias("date"),
+    feed = texts(spark, sf).select(day_from_no(F.col("day_no")).alias("date"),
                                      X.clean_trend("text").alias("clean_text"))
     return trend_daily(SC.score_feed(feed))
 
@@ -213,7 +213,7 @@ def q_rating_model(spark, sf):
 
 
 add_view_sql("upload", """select strftime(date '2024-01-01' + cast(d.doc_id % 30 as int), '%Y-%m-%d') || 'T10:00:00Z' as created_at,
-    d.text as comment from documents d join labels l on d.doc_id = l.doc_id""")
+    d.text as comment from documents d""")
 
 
 @register("trend_report_upload", with_views(
@@ -231,7 +231,7 @@ def q_trend_report_upload(spark, sf):
     """G + F7 end to end: an upload-shaped frame (created_at text, comment) through ``trend_report``."""
     from feedpulse.operators.trend import trend_report
     from feedpulse.sources.tables import table
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    d = table(spark, sf, "documents")
     raw = d.select(F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")),
                                           "yyyy-MM-dd"), F.lit("T10:00:00Z")).alias("created_at"),
                    F.col("text").alias("comment"))
@@ -241,9 +241,9 @@ def q_trend_report_upload(spark, sf):
 
 @register("rating_cold_start", with_views(
     """with tr as (select * from isplit2 where not is_test),
-       u as (select user_id, cast(dense_rank() over (order by user_id) - 1 as int) as user_idx
+       u as (select user_id, dense_rank() over (order by user_id) - 1 as user_idx
              from (select distinct user_id from tr) x),
-       i as (select item_id, cast(dense_rank() over (order by item_id) - 1 as int) as item_idx
+       i as (select item_id, dense_rank() over (order by item_id) - 1 as item_idx
              from (select distinct item_id from tr) y)
     select t.l_orderkey, t.l_linenumber, t.l_partkey, coalesce(u.user_idx, 0) as user_idx,
            coalesce(i.item_idx, 0) as item_idx, (u.user_id is null) or (i.item_id is null) as is_cold_start

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedpulse.functions import text as X
 from feedpulse.plans.registry import register
-from feedpulse.plans.views import emails, feedback, interactions, reviews, with_views
+from feedpulse.plans.views import emails, feedback, interactions, reviews, texts, with_views
 from feedpulse.sources.tables import table
 
 WS = X.WS
@@ -27,21 +27,21 @@ def sql_clean_trend(c: str) -> str:
 
 
 @register("clean_vi", with_views(
-    f"select doc_id, regexp_replace(lower(text), '{_sq(_VI)}', '', 'g') as clean_text from reviews", "reviews"))
+    f"select doc_id, regexp_replace(lower(text), '{_sq(_VI)}', '', 'g') as clean_text from texts", "texts"))
 def q_clean_vi(spark, sf):
-    return reviews(spark, sf).select("doc_id", X.clean_vi("text").alias("clean_text"))
+    return texts(spark, sf).select("doc_id", X.clean_vi("text").alias("clean_text"))
 
 
 @register("clean_words", with_views(
-    f"select doc_id, {sql_clean_words('text')} as clean_text from reviews", "reviews"))
+    f"select doc_id, {sql_clean_words('text')} as clean_text from texts", "texts"))
 def q_clean_words(spark, sf):
-    return reviews(spark, sf).select("doc_id", X.clean_words("text").alias("clean_text"))
+    return texts(spark, sf).select("doc_id", X.clean_words("text").alias("clean_text"))
 
 
 @register("clean_trend_text", with_views(
-    f"select doc_id, {sql_clean_trend('text')} as clean_text from reviews", "reviews"))
+    f"select doc_id, {sql_clean_trend('text')} as clean_text from texts", "texts"))
 def q_clean_trend(spark, sf):
-    return reviews(spark, sf).select("doc_id", X.clean_trend("text").alias("clean_text"))
+    return texts(spark, sf).select("doc_id", X.clean_trend("text").alias("clean_text"))
 
 
 @register("clean_trend_documents",
@@ -106,9 +106,9 @@ def q_norm_sentiment_code(spark, sf):
     f"""select doc_id,
        case when contains(c, 'pin') then 'Battery' when contains(c, 'ship') then 'Shipping' else 'Other' end as topic,
        case when contains(c, 'yếu') then 'Negative' else 'Positive' end as sentiment
-    from (select doc_id, {sql_clean_trend('text')} as c from reviews) t""", "reviews"))
+    from (select doc_id, {sql_clean_trend('text')} as c from texts) t""", "texts"))
 def q_rule_labels(spark, sf):
-    c = reviews(spark, sf).select("doc_id", X.clean_trend("text").alias("c"))
+    c = texts(spark, sf).select("doc_id", X.clean_trend("text").alias("c"))
     return c.select("doc_id", X.rule_topic("c").alias("topic"), X.rule_sentiment("c").alias("sentiment"))
 
 

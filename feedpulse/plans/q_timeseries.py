@@ -7,6 +7,8 @@ steps, 1 h ranges.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from feedpulse.operators import metrics as M
@@ -211,7 +213,7 @@ def q_band(spark, sf):
 @register("record_rate", with_views("select event_type, t, round(rate, 9) as rate, samples from rate1h", "rate1h"))
 def q_record(spark, sf):
     r = _r(J.rate(spark_samples(spark, sf), KEYS, W, STEP))
-    return J.record(r, scratch_path(spark, f"recorded/{abs(hash(sf))}"), "rate_1h")
+    return J.record(r, scratch_path(spark, f"recorded/{hashlib.md5(sf.encode()).hexdigest()[:8]}"), "rate_1h")
 
 
 # ---------------------------------------------------------------- I operators
@@ -234,12 +236,34 @@ def metric_inputs(spark, sf):
     least(greatest(value / 50.0, 1.0), 5.0) as rating,
     case when event_type = 'signup' then 'unknown' else event_type end as topic,
     greatest(value - 50.0, 0.0) as processing_time,
-    case when user_id - 50 <= 0 then 1 else user_id - 50 end as batch_size
+    case when user_id - 50 <= 0 then 1 else user_id - 50 end as batch_size, false as is_cold_start
     from events where event_type <> 'error'""")
 def q_clean_metric_events(spark, sf):
     return M.clean_metric_events(metric_inputs(spark, sf))
 
 
+@register("clean_metric_events_text", """select event_id, case when event_id % 7 = 1 then 0.5
+      when value / 100.0 between 0 and 1 then value / 100.0 else 0.5 end as confidence,
+    case when event_id % 5 = 2 then 3.0 else least(greatest(value / 50.0, 1.0), 5.0) end as rating,
+    case when event_id % 3 = 0 then 0.0 else greatest(value - 50.0, 0.0) end as processing_time,
+    case when event_id % 4 = 1 then cast(1 as bigint) else greatest(user_id, 1) end as batch_size,
+    event_id % 2 = 0 as is_cold_start from events""")
+def q_clean_metric_events_text(spark, sf):
+    """I1 on text inputs with invalid rows: 'abc', 'NaN', '' and null fall back instead of failing."""
+    e = table(spark, sf, "events")
+    k = F.col("event_id")
+
+    def text(bad, value):
+        return F.when(bad, F.element_at(F.array(F.lit("abc"), F.lit("NaN"), F.lit("")), (k % 3 + 1).cast("int"))).otherwise(value.cast("string"))
+
+    rows = e.select("event_id", text(k % 7 == 1, F.col("value") / 100.0).alias("confidence"),
+                    text(k % 5 == 2, F.col("value") / 50.0).alias("rating"),
+                    text(k % 3 == 0, F.col("value") - 50.0).alias("processing_time"),
+                    F.when(k % 4 == 1, F.lit("none")).otherwise(F.col("user_id").cast("string")).alias("batch_size"),
+                    F.when(k % 2 == 0, "TRUE").otherwise("no").alias("is_cold_start"))
+    return M.clean_metric_events(rows)
+
+
 @register("counter_sentiment", with_views(
     "select topic, sentiment, count(*) as value from feedback group by topic, sentiment", "feedback"))
 def q_counter(spark, sf):

@@ -41,6 +41,12 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("doc_id") % 30).cast("int").alias("day_no")))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, text, topic, day_no (operators that need no label read this)."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("source").alias("topic"), (F.col("doc_id") % 30).cast("int").alias("day_no"))
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rated products: one row per line item with user, item, rating and text fields."""
     li = table(spark, sf_dir, "lineitem")
@@ -96,6 +102,7 @@ VIEW_SQL = {
        case when l.toxic = 1 then 'negative' else 'positive' end as label,
        cast(d.doc_id % 30 as int) as day_no
        from documents d join labels l on d.doc_id = l.doc_id""",
+    "texts": "select doc_id, text, source as topic, cast(doc_id % 30 as int) as day_no from documents",
     "interactions": """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
        cast(o_custkey as varchar) as user_id, cast(l_partkey as varchar) as item_id,
        1 + (cast(l_quantity as int) - 1) % 5 as rating, cast(o_orderdate as date) as date,

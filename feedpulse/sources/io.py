@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +35,17 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list
 
 
 def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str | None:
+    """The header line; None if its bytes are not text of the encoding. A storage error is raised."""
     fs, jvm = _fs(spark, path)
     stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
-        line = reader.readLine()
-        return None if line is None else line.lstrip("﻿")
-    except Exception:  # noqa: BLE001 - unreadable file: reported as rejected
-        return None
+        decoder = jvm.java.nio.charset.Charset.forName(encoding).newDecoder()  # reports malformed input
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, decoder)).readLine()
+        return None if line is None else line.lstrip("\ufeff")
+    except Py4JJavaError as e:
+        if "CharacterCodingException" in str(e.java_exception.getClass().getSuperclass()) or "CharacterCodingException" in str(e.java_exception):
+            return None
+        raise
     finally:
         stream.close()
 
@@ -54,12 +58,13 @@ def _header_columns(line: str) -> list[str]:
 def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | None = None,
                     columns: Sequence[str] | None = None, skip_bad: bool = False,
                     encoding: str = "UTF-8", pattern: str = "*.csv",
-                    corrupt_col: str | None = None) -> DataFrame:
+                    corrupt_col: str | None = None, multi_line: bool = True) -> DataFrame:
     """Every CSV of a folder, union by column name (missing -> null).
 
     Files sharing a header are read by one reader (all columns string unless
     ``schema`` names them); ``columns`` prunes to a subset; ``skip_bad`` skips
-    unreadable files (``ignoreCorruptFiles``) -- see ``rejected_files``.
+    files whose header is no text of the encoding, as ``rejected_files`` lists them; storage errors are raised.
+    ``multi_line=False`` (no quoted line breaks, as the caller states) lets Spark split large files.
     ``corrupt_col`` keeps rows that do not fit the schema, with their raw text
     in that column (``columnNameOfCorruptRecord``) instead of failing.
     """
@@ -77,11 +82,9 @@ def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | Non
         sch = T.StructType([typed.get(c, T.StructField(c, T.StringType())) for c in header])
         if corrupt_col:
             sch = sch.add(T.StructField(corrupt_col, T.StringType()))
-        r = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).schema(sch)
+        r = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).option("encoding", encoding).schema(sch)
         if corrupt_col:
             r = r.option("columnNameOfCorruptRecord", corrupt_col)
-        if skip_bad:
-            r = r.option("ignoreCorruptFiles", "true")
         parts.append(r.csv(files))
     if not parts:
         fields = schema.fields if schema else [T.StructField(c, T.StringType()) for c in (columns or [])]
@@ -98,9 +101,11 @@ def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | Non
     return out
 
 
-def rejected_files(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> int:
-    """A3: files of the folder whose header cannot be read."""
-    return sum(1 for f in list_files(spark, folder, pattern) if first_line(spark, f, encoding) is None)
+def rejected_files(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
+    """A3: path and reason of every file that ``read_csv_folder(skip_bad=True)`` skips; empty if there is none."""
+    rows = [(f, f"header is not {encoding} text") for f in list_files(spark, folder, pattern)
+            if first_line(spark, f, encoding) is None]
+    return spark.createDataFrame(rows, "path string, reason string")
 
 
 def union_by_name(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -136,29 +141,51 @@ def read_any(spark: SparkSession, path: str, **csv_kw) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _by_file(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """The lines of the files below a folder as text, with the (decoded) path of their file."""
+    t = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder)
+    return t.select(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("line"), "value")
+
+
 def detect_encodings(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Per file, UTF-8 when every line is valid UTF-8, else ISO-8859-1.
+    """Per file, its header line, and UTF-8 when every line is valid UTF-8, else ISO-8859-1.
 
-    A line-split text scan (the text source keeps the raw bytes), one flag per
-    line, aggregated per file: large files are split across tasks instead of
-    being loaded whole.
+    A line-split text scan (the text source keeps the raw bytes), aggregated per
+    file: large files are split across tasks instead of being loaded whole.
     """
-    t = spark.read.option("pathGlobFilter", pattern).text(folder)
-    per_file = (t.select(F.input_file_name().alias("path"), F.expr("is_valid_utf8(value)").alias("ok"))
-                 .groupBy("path").agg(F.min(F.col("ok").cast("int")).alias("ok")))
-    return per_file.select("path", F.when(F.col("ok") == 1, "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
+    lines = _by_file(spark, folder, pattern)
+    per_file = lines.groupBy("path").agg(
+        F.bool_and(F.expr("is_valid_utf8(value)")).alias("ok"),
+        F.min_by(F.col("value").cast("binary"), F.struct("block", "line")).alias("header"))
+    return per_file.select("path", F.when(F.col("ok"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"), "header")
 
 
 def read_csv_any_encoding(spark: SparkSession, folder: str, schema: T.StructType | None = None,
                           pattern: str = "*.csv") -> DataFrame:
-    """Read each file with its detected encoding (UTF-8, falling back to Latin-1)."""
-    enc = {r["path"]: r["encoding"] for r in detect_encodings(spark, folder, pattern).collect()}  # one row per file
+    """Read each file with its detected encoding (UTF-8, falling back to Latin-1), by name.
+
+    Files are grouped by encoding and header; the driver holds one row per file, as
+    the reader needs their paths anyway.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for r in detect_encodings(spark, folder, pattern).collect():
+        header = tuple(_header_columns(bytes(r["header"]).decode(r["encoding"]).lstrip("\ufeff").rstrip("\r")))
+        groups.setdefault((r["encoding"], header), []).append(r["path"])
+    typed = {f.name: f for f in (schema.fields if schema else [])}
     parts = []
-    for e in sorted(set(enc.values())):
-        files = sorted(p for p, v in enc.items() if v == e)
-        r = spark.read.options(**CSV_OPTIONS).option("encoding", e)
-        parts.append(r.schema(schema).csv(files) if schema else r.csv(files))
-    return union_by_name(parts)
+    for (e, header), files in sorted(groups.items()):
+        own = T.StructType([typed.get(c, T.StructField(c, T.StringType())) for c in header])
+        parts.append(spark.read.options(**CSV_OPTIONS).option("encoding", e).schema(own).csv(sorted(files)))
+    if not parts:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    out = union_by_name(parts)
+    if schema is not None:
+        for f in schema.fields:
+            if f.name not in out.columns:
+                out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
+        out = out.select(*[F.col(f"`{f.name}`") for f in schema.fields])
+    return out
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", encoding: str = "UTF-8") -> None:
@@ -176,14 +203,10 @@ def batch_summary(df: DataFrame, date_col: str | None = None) -> DataFrame:
 
 def write_gold(df: DataFrame, path: str, partition: str | Sequence[str] = "date") -> None:
     """Overwrite only the partitions present in ``df`` (dynamic partition overwrite)."""
-    spark = df.sparkSession
     cols = [partition] if isinstance(partition, str) else list(partition)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*cols).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    # rows of one partition value meet before the write: few files; AQE splits large values
+    (df.repartition(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*cols).parquet(path))
 
 
 def decode_text(b: str) -> "F.Column":

@@ -95,7 +95,7 @@ def _hold_fn_event_time(threshold: float, hold: int, step: int):
         waiting = json.loads(buf)
         if not state.hasTimedOut:
             for pdf in pdfs:
-                waiting += [[int(t), float(v)] for t, v in zip(pdf["t"].tolist(), pdf["value"].tolist())]
+                waiting += [[int(t), float(v)] for t, v in zip(pdf["t"].tolist(), pdf["value"].tolist()) if v is not None and v == v]
         wm = state.getCurrentWatermarkMs() // 1000
         ready = sorted(p for p in waiting if p[0] <= wm)
         waiting = [p for p in waiting if p[0] > wm]
