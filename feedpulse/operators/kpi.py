@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedpulse.session import ensure_checkpoint_dir
+
 # Thresholds and sizes of the dashboard rules.
 SPIKE_K = 1.5
 TOP_NEGATIVE_K = 10
@@ -133,11 +135,20 @@ def weekly_drift(r: DataFrame, key: str = "product_id", value: str = "predicted_
     """
     d = r.where(F.col("date").isNotNull()).withColumn(
         "__wk", F.date_trunc("week", F.col("date").cast("timestamp")))
-    w1 = d.agg(F.max("__wk")).scalar()
-    w0 = d.where(F.col("__wk") < w1).agg(F.max("__wk")).scalar()
-    j = d.select("*", w1.alias("__w1"), w0.alias("__w0")).where(F.col("__w0").isNotNull())
-    g = j.groupBy(key).agg(F.avg(F.when(F.col("__wk") == F.col("__w1"), F.col(value))).alias("__last"),
-                           F.avg(F.when(F.col("__wk") == F.col("__w0"), F.col(value))).alias("__prev"))
+    # the input is read once: everything below works on one row per product and week
+    spark = r.sparkSession
+    ensure_checkpoint_dir(spark)
+    per = (d.groupBy(key, "__wk").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))).checkpoint(eager=True)
+    w1 = per.agg(F.max("__wk")).scalar()
+    w0 = per.where(F.col("__wk") < w1).agg(F.max("__wk")).scalar()
+    j = per.select("*", w1.alias("__w1"), w0.alias("__w0")).where(F.col("__w0").isNotNull())
+
+    def mean_of(week):
+        here = F.col("__wk") == F.col(week)
+        n = F.sum(F.when(here, F.col("__n")))
+        return F.when(n > 0, F.sum(F.when(here, F.col("__s"))) / n)
+
+    g = j.groupBy(key).agg(mean_of("__w1").alias("__last"), mean_of("__w0").alias("__prev"))
     drift = F.when(F.col("__last").isNotNull() & F.col("__prev").isNotNull() & (F.col("__prev") != 0),
                    (F.col("__last") - F.col("__prev")) / F.col("__prev") * 100).otherwise(F.lit(0.0))
     return g.select(key, drift.alias("drift_pct"))
@@ -170,6 +181,12 @@ def user_volatility(r: DataFrame, user: str = "user_id", value: str = "predicted
     return per_user.agg(F.avg("__s").alias("user_volatility"))
 
 
+def _rating_counts(r: DataFrame, value: str) -> DataFrame:
+    """Distinct values and their counts (``__c``), written once: the input is read a single time."""
+    ensure_checkpoint_dir(r.sparkSession)
+    return r.groupBy(value).agg(F.count(F.lit(1)).alias("__c")).checkpoint(eager=True)
+
+
 def _hist_range(r: DataFrame, value: str) -> DataFrame:
     mm = r.agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
     same = F.col("__lo") == F.col("__hi")
@@ -180,11 +197,12 @@ def _hist_range(r: DataFrame, value: str) -> DataFrame:
 def rating_hist(r: DataFrame, bins: int = 20, value: str = "predicted_rating") -> DataFrame:
     """``bins`` equal-width bins from min to max, last bin closed; empty bins kept."""
     d = r.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    d = _rating_counts(d, value)
     rng = _hist_range(d, value)
     j = scalar_join(d, rng)
     idx = F.least(F.floor((F.col(value) - F.col("__lo")) * (F.lit(float(bins)) / (F.col("__hi") - F.col("__lo")))),
                   F.lit(bins - 1)).cast("int")
-    counts = j.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = j.groupBy(idx.alias("bin")).agg(F.sum("__c").alias("count"))
     grid = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "__lo", "__hi")
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
     return (grid.join(counts, "bin", "left")
@@ -202,13 +220,15 @@ def rating_kde(r: DataFrame, points: int = KDE_GRID, cut: float = KDE_CUT,
     weighted kernel to every grid point (an array per value, summed per point).
     """
     d = r.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__x"))
-    st = d.agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__x").alias("__sd"),
-               F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    vc = _rating_counts(d, "__x")
+    n = F.sum("__c")
+    mean = vc.agg(F.sum(F.col("__x") * F.col("__c")) / n).scalar()
+    st = vc.agg(n.alias("__n"), F.when(n > 1, F.sqrt(F.sum(F.col("__c") * F.pow(F.col("__x") - mean, 2.0)) / (n - 1))).alias("__sd"),
+                F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     st = st.withColumn("__h", F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
     st = st.withColumn("__g0", F.col("__lo") - F.lit(cut) * F.col("__h")) \
            .withColumn("__g1", F.col("__hi") + F.lit(cut) * F.col("__h")) \
            .withColumn("__step", (F.col("__g1") - F.col("__g0")) / F.lit(float(points - 1)))
-    vc = d.groupBy("__x").agg(F.count(F.lit(1)).alias("__c"))
     j = scalar_join(vc, st.select("__n", "__h", "__g0", "__g1", "__step"))
     gx = F.when(F.col("__i") == points - 1, F.col("__g1")).otherwise(F.col("__g0") + F.col("__i") * F.col("__step"))
     z = (gx - F.col("__x")) / F.col("__h")
@@ -285,7 +305,10 @@ def count_label(e: DataFrame, value: str = "complaint", label: str = "label") ->
 
 def overall(r: DataFrame, cube: DataFrame, value: str = "predicted_rating") -> DataFrame:
     """Mean rating, negative rate % and total volume (at least 1)."""
-    a = r.agg(F.avg(value).alias("avg_rating"))
+    return _with_cube(r.agg(F.avg(value).alias("avg_rating")), cube)
+
+
+def _with_cube(a: DataFrame, cube: DataFrame) -> DataFrame:
     b = cube.agg(F.sum("negative").alias("total_negative"),
                  F.greatest(F.coalesce(F.sum("total_volume"), F.lit(0)), F.lit(1)).alias("total_volume"))
     return scalar_join(a, b).withColumn(
@@ -303,7 +326,13 @@ def insights(r: DataFrame, cube: DataFrame, e: DataFrame | None = None,
     Each rule is a small DataFrame built from the KPI tables above; the lists it
     quotes (spike days, risky products) are bounded by days / top-5.
     """
-    ov = overall(r, cube)
+    # every rule works on two small tables, each computed once from its input: the cube and one row per product
+    ensure_checkpoint_dir(r.sparkSession)
+    cube = cube.checkpoint(eager=True)
+    per = r.groupBy("product_id").agg(F.sum("predicted_rating").alias("__s"), F.count("predicted_rating").alias("__n"))
+    per = per.checkpoint(eager=True)
+    n = F.sum("__n")
+    ov = _with_cube(per.agg(F.when(n > 0, F.sum("__s") / n).alias("avg_rating")), cube)
     rules = [
         ov.select(F.lit("avg_rating").alias("rule"), F.lit("info").alias("severity"),
                   F.concat(F.lit("mean rating "), _fmt(F.col("avg_rating"), 2), F.lit("/5")).alias("message")),
@@ -334,7 +363,9 @@ def insights(r: DataFrame, cube: DataFrame, e: DataFrame | None = None,
     rules.append(worst.select(F.lit("worst_topic").alias("rule"), F.lit("warning").alias("severity"),
                               F.concat(F.lit("most negative topic "), F.col("topic"), F.lit(" ("),
                                        _fmt(F.col("neg_rate")), F.lit("%)")).alias("message")))
-    risky = risky_products(product_stats(r)).limit(5)
+    means = per.where(F.col("product_id").isNotNull() & (F.col("__n") > 0)).select(
+        "product_id", (F.col("__s") / F.col("__n")).alias("avg_rating"))
+    risky = risky_products(means).limit(5)
     rules.append(risky.agg(F.count(F.lit(1)).alias("__n"),
                            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("avg_rating", "product_id"))),
                                                     lambda s: s["product_id"].cast("string")), ", ").alias("__p"))
@@ -345,9 +376,10 @@ def insights(r: DataFrame, cube: DataFrame, e: DataFrame | None = None,
     rules.append(gr.select(F.lit("growth").alias("rule"), F.lit("info").alias("severity"),
                            F.concat(F.lit("fastest growing topic "), F.col("topic"), F.lit(" ("),
                                     _fmt(F.col("growth_pct")), F.lit("%)")).alias("message")))
-    if e is not None:
+    if e is not None and "is_spam" in e.columns:
         rules.append(spam_rate(e).select(F.lit("spam_rate").alias("rule"), F.lit("info").alias("severity"),
                                          F.concat(F.lit("spam share "), _fmt(F.col("spam_rate")), F.lit("%")).alias("message")))
+    if e is not None and "label" in e.columns:
         top = label_share(e).where("is_top")
         rules.append(top.select(F.lit("top_label").alias("rule"), F.lit("info").alias("severity"),
                                 F.concat(F.lit("most frequent label "), F.col("label"), F.lit(" ("),

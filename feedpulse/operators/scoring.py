@@ -19,7 +19,8 @@ from feedpulse.operators.train import ovr_probability
 SCORE_TEXT_ALIASES = ("text", "comment", "content")
 TREND_TEXT_ALIASES = ("comment", "reviews.text", "content", "feedback")
 TREND_DATE_ALIASES = ("date", "time", "created_at")
-EMAIL_DATE_HINTS = ("date", "timestamp")
+EMAIL_TEXT_ALIASES = ("text", "content", "body", "email")
+EMAIL_DATES = ("date", "timestamp")
 MISSING_PROBABILITY = 0.5
 
 
@@ -62,12 +63,21 @@ def score_sentiment(df: DataFrame, model, text_aliases=SCORE_TEXT_ALIASES) -> Da
 
 
 def score_email(df: DataFrame, model) -> DataFrame:
-    """spam / ham label, flag, confidence and (when present) a date, from a ``LinearTextModel``."""
-    out = model.transform(df)
+    """spam / ham label, flag, confidence and (when present) a date, from a ``LinearTextModel``.
+
+    Without the model's text column, the first of the text aliases is lower-cased and cleaned for it.
+    Rows need the model's document column. The date is the column named ``date`` or ``timestamp``.
+    """
+    src = df
+    text = model.spec.text_col
+    if text not in df.columns:
+        found = _text(df, EMAIL_TEXT_ALIASES)
+        src = df.withColumn(text, X.clean_words(X.null_text(F.col(f"`{found}`"))))
+    out = model.transform(src)
     is_spam = F.coalesce(F.col("prediction") == 1, F.lit(False))
     cols = [*df.columns, X.spam_label(is_spam).alias("label_pred"), is_spam.alias("is_spam_pred"),
             binary_confidence(F.coalesce(F.col("probability"), F.lit(MISSING_PROBABILITY))).alias("confidence")]
-    date_src = S.first_present(df.columns, EMAIL_DATE_HINTS, contains=True)
+    date_src = next((c for n in EMAIL_DATES for c in df.columns if c.lower() == n), None)
     if date_src:
         cols.append(S.to_ts(F.col(f"`{date_src}`")).alias("date_ts"))
     return out.select(*cols)

@@ -145,8 +145,11 @@ def train_modified_huber(weights_long: DataFrame, labels: DataFrame, doc: str =
     Returns (weights dict idx->w, bias, history list).
     """
     spark = weights_long.sparkSession
-    x = weights_long.select(doc, "idx", "weight").cache()
-    y = labels.select(doc, (F.col("y") * 2 - 1).cast("double").alias("__y")).cache()
+    # one partitioning by document for all epochs: margins and the join back need no further shuffle,
+    # only the partial sums per term move
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = weights_long.select(doc, "idx", "weight").repartition(n_parts, doc).cache()
+    y = labels.select(doc, (F.col("y") * 2 - 1).cast("double").alias("__y")).repartition(n_parts, doc).cache()
     n = y.count()
     w: dict[int, float] = {}
     b = 0.0
@@ -154,9 +157,7 @@ def train_modified_huber(weights_long: DataFrame, labels: DataFrame, doc: str =
     history = []
     for epoch in range(1, max_epochs + 1):  # max_epochs = 0: no training, zero weights
         wdf = spark.createDataFrame([(int(k), float(v)) for k, v in w.items()] or [(-1, 0.0)], "idx int, w double")
-        margin = (x.join(F.broadcast(wdf), "idx", "left")
-                   .groupBy(doc).agg(F.sum(F.col("weight") * F.coalesce(F.col("w"), F.lit(0.0))).alias("__f")))
-        m = y.join(margin, doc, "left").withColumn("__f", F.coalesce(F.col("__f"), F.lit(0.0)) + F.lit(b))
+        m = epoch_margins(x, y, wdf, b, doc)
         z = F.col("__y") * F.col("__f")
         m = m.withColumn("__g", modified_huber_grad(z) * F.col("__y")).withColumn("__l", modified_huber_loss(z))
         # one action per epoch: term gradients plus two reserved rows (-1 bias gradient, -2 mean loss)
@@ -184,11 +185,21 @@ def train_modified_huber(weights_long: DataFrame, labels: DataFrame, doc: str =
             else:
                 since += 1
                 if since >= patience:
-                    w, b = best_state
                     break
+    if best < float("inf"):  # the best epoch's weights, however the epochs ended
+        w, b = best_state
+    x.unpersist()
+    y.unpersist()
     return w, b, history
 
 
+def epoch_margins(x: DataFrame, y: DataFrame, w: DataFrame, b: float, doc: str = "doc_id") -> DataFrame:
+    """Margin of each training document; ``x`` and ``y`` are partitioned by ``doc`` alike, so nothing is shuffled."""
+    margin = (x.join(F.broadcast(w), "idx", "left")
+               .groupBy(doc).agg(F.sum(F.col("weight") * F.coalesce(F.col("w"), F.lit(0.0))).alias("__f")))
+    return y.join(margin.hint("shuffle_hash"), doc, "left").withColumn("__f", F.coalesce(F.col("__f"), F.lit(0.0)) + F.lit(b))
+
+
 def score_linear(weights_long: DataFrame, w: dict, b: float, doc: str = "doc_id") -> DataFrame:
     """Margin, class and probability of the linear model: p = (clip(f, -1, 1) + 1) / 2."""
     spark = weights_long.sparkSession
@@ -283,26 +294,26 @@ def train_epochs(train: DataFrame, test: DataFrame, spec: TextModelSpec, epochs:
 
     Returns the model and a metrics DataFrame ``(key, value, step)`` ready for ``log_run``.
     """
-    from functools import reduce
     from feedpulse.operators.evaluate import weighted_f1
+    spark = train.sparkSession
     rows = []
     test_lab = test.select(spec.doc_col, F.col(spec.label_col).cast("int").alias("label"))
-    holder = {}
+
+    # the vocabulary is needed by the epoch callback; fit it first, then train with logging
+    base = _fit_huber(train, spec, 0, None)
+    # the test rows are tokenised and weighted once; each epoch only applies its weights
+    feats = base.features(test.select(spec.doc_col, spec.text_col)).cache()
 
     def log(epoch, w, b, loss):
-        model = LinearTextModel(spec, holder["vocab"], holder["n"], w, b)
-        sc = model.transform(test.select(spec.doc_col, spec.text_col)).join(test_lab, spec.doc_col)
+        sc = test_lab.join(score_linear(feats, w, b, spec.doc_col), spec.doc_col, "left")
+        sc = sc.withColumn("prediction", F.coalesce("prediction", F.lit(int(b >= 0))))
         f1 = weighted_f1(sc.select("prediction", "label"))
-        rows.append(f1.select(F.lit("weighted_f1").alias("key"), F.col("weighted_f1").alias("value"),
-                              F.lit(epoch).cast("bigint").alias("step"))
-                      .unionByName(f1.select(F.lit("train_loss").alias("key"), F.lit(float(loss)).alias("value"),
-                                             F.lit(epoch).cast("bigint").alias("step"))))
+        rows.append(("weighted_f1", float(f1.first()["weighted_f1"] or 0.0), epoch))  # one number an epoch
+        rows.append(("train_loss", float(loss), epoch))
 
-    # the vocabulary is needed by the epoch callback; fit it first, then train with logging
-    base = _fit_huber(train, spec, 0, None)
-    holder.update(vocab=base.vocab, n=base.n_docs)
     model = _fit_huber_with_vocab(train, spec, base, epochs, log)
-    return model, reduce(lambda a, b: a.unionByName(b), rows)
+    feats.unpersist()
+    return model, spark.createDataFrame(rows, "key string, value double, step bigint")
 
 
 def _fit_huber_with_vocab(train: DataFrame, spec: TextModelSpec, base: LinearTextModel, epochs: int, on_epoch):

@@ -369,8 +369,12 @@ def test_rule_table_and_rule_evaluation(spark):
     assert len(A.ALERT_RULES) == 20 and A.rules_frame(spark).count() == 20
     rule = next(r for r in A.ALERT_RULES if r[0] == "HighAPIErrorRate")
     expr = spark.createDataFrame([("api", t, 0.2) for t in range(0, 1200, 300)], "k string, t long, share double")
-    got = {(r["t"], r["state"]) for r in A.evaluate_rule(expr, ["k"], "share", rule, 300).collect()}
-    assert got == {(0, "pending"), (300, "pending"), (600, "firing"), (900, "firing"), (1200, "resolved")}
+    live = {(0, "pending"), (300, "pending"), (600, "firing"), (900, "firing")}
+    # a run that is live at the last evaluated instant is not resolved yet
+    assert {(r["t"], r["state"]) for r in A.evaluate_rule(expr, ["k"], "share", rule, 300).collect()} == live
+    more = expr.union(spark.createDataFrame([("other", 1200, 0.0)], expr.schema))
+    got = {(r["t"], r["state"]) for r in A.evaluate_rule(more, ["k"], "share", rule, 300).collect()}
+    assert got == live | {(1200, "resolved")}
 
 
 def test_small_public_helpers(spark):
