@@ -2,9 +2,9 @@
 
 A plain ``row_number() over (partition by key order by ts)`` sends every row of
 a key to one task; with a key that holds a third of the data that task holds a
-third of the data. Both helpers below split the work by a finer bucket, number
-rows inside each bucket, and add an offset computed on the (small) table of
-per-bucket counts.
+third of the data. The helpers below split the work by sampled ranges, number
+rows inside each range, and add an offset computed on the (small) table of
+per-range counts.
 """
 
 from __future__ import annotations
@@ -27,25 +27,31 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  bucket: Column, out: str = "value") -> DataFrame:
+def range_split(df: DataFrame, order: Sequence[str], out: str = "__pid", partitions: int | None = None) -> DataFrame:
+    """Rows in ranges of ``order`` (Spark samples the splitters), numbered by range and written once, so that
+    a retry cannot draw other ranges. A range's size does not depend on how many rows one key has."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()).checkpoint(eager=True)
+
+
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "value") -> DataFrame:
     """``count(*) over (partition by keys order by order)`` (rows frame, 1-based).
 
-    ``bucket`` must be monotone in ``order`` (e.g. the hour of the timestamp that
-    leads ``order``). Rows are numbered inside ``(keys, bucket)``; the offset of
-    each bucket is the running sum of counts of earlier buckets of the key.
+    Rows are range-partitioned by (keys, order) and numbered inside each range; the offset of a
+    range is the running sum of the counts of the key's earlier ranges. Null keys are keys.
     """
     keys = list(keys)
-    b = "__bucket"
-    d = df.withColumn(b, bucket)
-    local = Window.partitionBy(*keys, b).orderBy(*order)
-    d = d.withColumn("__local", F.row_number().over(local))
-    counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
-    prior = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    p = "__pid"
+    d = range_split(df, [*keys, *order], p)
+    d = d.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, p).orderBy(*order)))
+    counts = d.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n"))
+    prior = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
-    return (join_null_safe(d, offsets, keys + [b])
+    return (join_null_safe(d, offsets, keys + [p])
              .withColumn(out, F.col("__off") + F.col("__local"))
-             .drop(b, "__local", "__off"))
+             .drop(p, "__local", "__off"))
 
 
 def dense_index(values: DataFrame, col: str, out: str = "idx",

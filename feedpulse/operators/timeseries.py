@@ -20,6 +20,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedpulse.operators.ordering import range_split
+
 US = 1_000_000
 
 
@@ -48,21 +50,22 @@ def reset_deltas(samples: DataFrame, keys: Sequence[str], step: int, ts: str = "
     """
     keys = list(keys)
     d = samples.select(*keys, ts, value).withColumn("__b", grid_bucket(ts, step))
-    w_in = Window.partitionBy(*keys, "__b").orderBy(ts, value)
-    d = d.withColumn("__prev", F.lag(value).over(w_in))
-    inner = F.when(F.col("__prev").isNull(), F.lit(0.0)) \
-             .when(F.col(value) >= F.col("__prev"), F.col(value) - F.col("__prev")) \
-             .otherwise(F.col(value).cast("double"))
-    per_bucket = d.groupBy(*keys, "__b").agg(
-        F.sum(inner).alias("__inner"), F.count(F.lit(1)).alias("n"),
-        F.min_by(value, F.struct(ts, value)).alias("__first"),
-        F.max_by(value, F.struct(ts, value)).alias("__last"))
-    # boundary: first sample of a bucket against the last sample of the previous bucket of the series
-    prev_last = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b"))
-    edge = F.when(prev_last.isNull(), F.lit(0.0)) \
-            .when(F.col("__first") >= prev_last, F.col("__first") - prev_last) \
-            .otherwise(F.col("__first").cast("double"))
-    return per_bucket.select(*keys, "__b", (F.col("__inner") + edge).alias("d"), "n")
+    d = range_split(d, [*keys, ts, value])
+    prev = F.lag(value).over(Window.partitionBy(*keys, "__pid").orderBy(ts, value))
+
+    def delta(v, p):
+        return F.when(p.isNull(), F.lit(0.0)).when(v >= p, v - p).otherwise(v.cast("double"))
+
+    inner = (d.withColumn("__prev", prev).groupBy(*keys, "__b")
+              .agg(F.sum(delta(F.col(value), F.col("__prev"))).alias("d"), F.count(F.lit(1)).alias("n")))
+    # borders: the first sample of a range against the last one of the series' range before (one row per range)
+    at = F.struct(ts, value)
+    ends = d.groupBy(*keys, "__pid").agg(F.min_by(value, at).alias("__first"), F.max_by(value, at).alias("__last"),
+                                         F.min("__b").alias("__b"))
+    last = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__pid"))
+    edges = ends.withColumn("__before", last).select(
+        *keys, "__b", delta(F.col("__first"), F.col("__before")).alias("d"), F.lit(0).cast("bigint").alias("n"))
+    return inner.unionByName(edges).groupBy(*keys, "__b").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
 
 
 def increase(samples: DataFrame, keys: Sequence[str], w: int, step: int, **kw) -> DataFrame:

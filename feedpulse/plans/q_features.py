@@ -195,3 +195,13 @@ def q_fitted_stage_tokens(spark, sf):
     r = texts(spark, sf).select("doc_id", "text")
     model = Pipeline(stages=_token_stages("text", "toks", stop=True, grams=2)).fit(r)
     return _flat(model.transform(r).select("doc_id", "toks"))
+
+
+@register("split_stratified_nulls", """with x as (select doc_id, case when doc_id % 3 <> 0 then source end as topic from documents)
+    select doc_id, topic, row_number() over (partition by topic order by
+         cast(('0x' || substr(md5(concat_ws('|', '5', doc_id)), 1, 8)) as bigint), doc_id)
+         <= ceil(0.2 * count(*) over (partition by topic)) as is_test from x""")
+def q_split_stratified_nulls(spark, sf):
+    """E1 with a third of the labels null: they are a class of their own."""
+    d = texts(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("topic")).alias("topic"))
+    return split_stratified(d, ["doc_id"], "topic", 0.2, 5)

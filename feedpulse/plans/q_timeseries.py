@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from feedpulse.operators import metrics as M
 from feedpulse.operators import timeseries as J
 from feedpulse.plans.q_kpi import round_doubles
+from feedpulse.operators.ordering import running_count
 from feedpulse.plans.registry import register
 from feedpulse.plans.views import add_view_sql, feedback, samples, with_views
 from feedpulse.session import scratch_path
@@ -97,6 +98,21 @@ def q_increase(spark, sf):
     return J.increase(spark_samples(spark, sf), KEYS, W, STEP)
 
 
+add_view_sql("null_samples", """select ts, case when event_type <> 'signup' then event_type end as event_type,
+    count(*) over (partition by case when event_type <> 'signup' then event_type end order by ts, event_id) as value from events""")
+
+
+@register("increase_null_series", with_views(f"""with d as (select event_type, cast(ceil(epoch_us(ts) / 1000000.0 / {STEP}) as bigint) * {STEP} as b,
+        coalesce(value - lag(value) over (partition by event_type order by ts, value), 0) as delta from null_samples)
+    select event_type, b + j * {STEP} as t, cast(sum(delta) as double) as increase, count(*) as samples
+    from d, range(0, {W // STEP}) r(j) group by 1, 2""", "null_samples"))
+def q_increase_null_series(spark, sf):
+    """J1 over samples of which one series has no label: it is a series like any other."""
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id",
+                                          F.when(F.col("event_type") != "signup", F.col("event_type")).alias("event_type"))
+    return J.increase(running_count(e, ["event_type"], ["ts", "event_id"]), ["event_type"], W, STEP)
+
+
 @register("rate_1h", with_views("select event_type, t, round(rate, 9) as rate, samples from rate1h", "rate1h"))
 def q_rate(spark, sf):
     return _r(J.rate(spark_samples(spark, sf), KEYS, W, STEP))

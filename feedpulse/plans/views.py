@@ -83,14 +83,13 @@ def day_from_no(c) -> "F.Column":
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monotone counters per event_type with one reset after day 15.
 
-    ``value`` is the running count of the series; it is numbered per hour
-    bucket plus an offset so that no task sorts a whole series.
+    ``value`` is the running count of the series; it is numbered per sampled
+    range plus an offset so that no task sorts a whole series.
     """
     e = table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id",
         (F.dayofmonth("ts") > 15).alias("after_restart"))
-    out = running_count(e, ["event_type", "after_restart"], ["ts", "event_id"],
-                        F.date_trunc("hour", F.col("ts")), out="value")
+    out = running_count(e, ["event_type", "after_restart"], ["ts", "event_id"], out="value")
     return out.select("ts", "event_type", "after_restart", F.col("value").cast("bigint").alias("value"))
 
 

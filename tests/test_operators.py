@@ -195,7 +195,7 @@ def test_dense_index_matches_dense_rank(spark):
 def test_running_count_equals_window(spark):
     rows = [(i, "a" if i % 3 else "b", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i)) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
-    got = running_count(df, ["k"], ["ts", "id"], F.date_trunc("hour", "ts"))
+    got = running_count(df, ["k"], ["ts", "id"])
     from pyspark.sql import Window
     want = df.withColumn("value", F.count(F.lit(1)).over(Window.partitionBy("k").orderBy("ts", "id")
                                                           .rowsBetween(Window.unboundedPreceding, 0)))
