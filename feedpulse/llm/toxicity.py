@@ -163,16 +163,24 @@ def decode(token: str, lm: np.ndarray) -> str:
     return max((v + float(lm[s * SYMBOLS]), t) for s, (v, t) in best.items())[1]
 
 
-def skeleton(token: str) -> str:
-    """One string for all tokens that may stand for each other: look-alikes as one sign, no symbols, no repeats."""
-    out = []
-    for c in token:
-        c = fold(c)[:1] or c
+class _Bones(dict):
+    """Code point -> what it leaves in a skeleton."""
+
+    def __missing__(self, code: int) -> str:
+        c = fold(chr(code))[:1] or chr(code)
         c = LEET.get(c, c)[:1]
         c = {"l": "i", "b": "g"}.get(c, c)  # 1, ! and | may be i or l; 6 may be g or b
-        if "a" <= c <= "z" and (not out or out[-1] != c):
-            out.append(c)
-    return "".join(out)
+        self[code] = c = c if "a" <= c <= "z" else ""
+        return c
+
+
+_BONES = _Bones()
+_REPEATS, _DOUBLE = re.compile(r"(.)\1+"), re.compile(r"(.)\1")
+
+
+def skeleton(token: str) -> str:
+    """One string for all tokens that may stand for each other: look-alikes as one sign, no symbols, no repeats."""
+    return _REPEATS.sub(r"\1", token.translate(_BONES))
 
 
 def disguised(token: str) -> bool:
@@ -212,28 +220,40 @@ class Reader:
         got = self.entry(bare)
         if got is not None or self.inside is None:
             return () if got is None else (got,)
-        for t in (token, bare):
+        if token.isascii() and token.isalpha() and not _DOUBLE.search(token):
+            return ()  # its lattice has one path
+        for t in (token, bare) if token != bare else (token,):
             bone = skeleton(t)
             if bone in self.bones or disguised(t) and (bone.startswith(self.stems) or not t.isalpha() and self.inside.search(bone)):
                 if got := [i for i in map(self.entry, decode(t, self.lm).split()) if i is not None]:
                     return tuple(got)
         return ()
 
-    def _joined(self, words: list[str], found: set[int]) -> None:
-        """Words that a space was put into: taken if the language model prefers them whole."""
-        for a, b in zip(words, words[1:]):
-            if a in self.starts:
-                whole = a + b.strip(_EDGE)
-                if whole in self.place and decode(f"{a}-{b.strip(_EDGE)}", self.lm) == whole:
+    def _spaced(self, words: list[str], special: set[str], singles: set[str], found: set[int]) -> None:
+        """Words with spaces between letters, and words that one space was put into: the latter are taken if
+        the language model prefers them whole."""
+        at = [i for i, w in enumerate(words) if w in special]
+        first = 0
+        for k in range(1, len(at) + 1):  # runs of neighbouring single letters
+            if k == len(at) or at[k] != at[k - 1] + 1 or words[at[k]] not in singles:
+                run = words[at[first]:at[k - 1] + 1]
+                if k - first > 2 and len(set(run)) > 1:
+                    found.update(self._token(" ".join(run)))
+                first = k
+        for i in at:
+            if words[i] in self.starts and i + 1 < len(words):
+                b = words[i + 1].strip(_EDGE)
+                whole = words[i] + b
+                if whole in self.place and decode(f"{words[i]}-{b}", self.lm) == whole:
                     found.add(self.place[whole])
 
     def words(self, text: str | None) -> set[int]:
         found: set[int] = set()
         if not text or self.inside is None:
             return found
-        text = text.lower()
-        words = text.split()
+        words = text.lower().split()
         kinds, cache = set(words), self.cache
+        singles = set()
         for w in kinds:
             got = cache.get(w)
             if got is None:
@@ -242,10 +262,13 @@ class Reader:
                 got = cache[w] = self._token(w)
             if got:
                 found.update(got)
-        if not kinds.isdisjoint(self.starts):
-            self._joined(words, found)
-        for m in _SPACED.finditer(text):
-            found.update(self._token(m.group(0)))
+            if len(w) < 3 and len(w.strip(".-_*")) == 1:
+                singles.add(w)
+        special = kinds & self.starts
+        if len(singles) > 1:
+            special |= singles
+        if special:
+            self._spaced(words, special, singles, found)
         return found
 
 
@@ -325,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             for ws, toxic in zip(b["words"], b["toxic"]):
                 n[bool(toxic)].update(ws)
-        for k in (0, 1):
+        for k in (k for k in (0, 1) if n[k]):
             yield pd.DataFrame({"word": list(n[k]), "n0": 0 if k else list(n[k].values()), "n1": list(n[k].values()) if k else 0})
 
     words = rows.mapInPandas(count, "word string, n0 bigint, n1 bigint").groupBy("word").agg(
