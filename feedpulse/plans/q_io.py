@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,3 +100,52 @@ def q_latin1(spark, sf):
     IO.write_csv(docs.where(F.col("lang") != "fr"), f"{d}/utf8")
     parts = [IO.read_csv_any_encoding(spark, f"{d}/{sub}", DOC_SCHEMA) for sub in ("latin", "utf8")]
     return IO.union_by_name(parts)
+
+
+@register("rejected_files", """select lang, lang in ('fr', 'es') as rejected,
+    case when lang in ('fr', 'es') then 'header is not UTF-8 text' end as reason, count(*) as n_rows from documents group by lang""")
+def q_rejected_files(spark, sf):
+    """A3: one CSV per language; two of them get a header that is no UTF-8 text and are listed, the others are read."""
+    d = _dir(spark, sf, "rejected")
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    langs = [r["lang"] for r in docs.select("lang").distinct().collect()]  # a handful
+    for lang in langs:
+        bad = lang in ("fr", "es")
+        own = docs.where(F.col("lang") == lang).withColumnRenamed("doc_id", "numéro" if bad else "doc_id")
+        IO.write_csv(own.coalesce(1), f"{d}/{lang}", encoding="ISO-8859-1" if bad else "UTF-8")
+    bad = IO.rejected_files(spark, d, "*/*.csv").select(
+        F.element_at(F.split("path", "/"), -2).alias("lang"), "reason").withColumn("rejected", F.lit(True))
+    read = IO.read_csv_folder(spark, d, skip_bad=True, pattern="*/*.csv").groupBy("lang").count()
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
+    out = counts.join(bad, "lang", "left").join(read, "lang", "left")
+    # a file is either listed or read whole
+    ok = F.col("rejected").isNotNull() & F.col("count").isNull() | F.col("rejected").isNull() & (F.col("count") == F.col("n_rows"))
+    return out.select("lang", F.when(ok, F.coalesce("rejected", F.lit(False))).alias("rejected"), "reason", "n_rows")
+
+
+@register("read_any_formats", """select f.format, event_type, count(*) as n from events,
+    (values ('csv'), ('json'), ('orc'), ('parquet')) f(format) group by 1, 2""")
+def q_read_any_formats(spark, sf):
+    """A5: the same rows written in four formats and read by the file suffix."""
+    d = _dir(spark, sf, "any")
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    parts = []
+    for kind in ("csv", "json", "orc", "parquet"):
+        path = f"{d}/events.{kind}"
+        if kind == "csv":
+            IO.write_csv(e, path)
+        else:
+            getattr(e.write.mode("overwrite"), kind)(path)
+        parts.append(IO.read_any(spark, path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("format", F.lit(kind)))
+    return IO.union_by_name(parts).select("format", "event_type", "n")
+
+
+@register("gold_partial_overwrite", with_views(
+    f"select * replace (case when day(date) % 2 = 0 then negative else 0 end as negative) from ({_CUBE}) c", "feedback"))
+def q_gold_partial(spark, sf):
+    """A second run that carries only the even days leaves the odd days as they were."""
+    d = _dir(spark, sf, f"gold_partial_{uuid.uuid4().hex[:8]}")
+    cube = normalize_columns(trend_daily(feedback(spark, sf)))
+    IO.write_gold(cube.withColumn("negative", F.lit(0).cast("bigint")), d)
+    IO.write_gold(cube.where(F.dayofmonth("date") % 2 == 0), d)
+    return IO.read_zone(spark, d).select("date", "topic", "negative", "positive", "neutral", "total_volume", "negative_rate")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from feedpulse.plans.q_text import sql_clean_trend
 from feedpulse.plans.registry import register
 from feedpulse.plans.views import add_view_sql, day_from_no, emails, interactions, reviews, texts, with_views
 from feedpulse.session import scratch_path
+from feedpulse.sources.tables import table
 
 
 def rule_eval(spark, sf):
@@ -230,7 +233,6 @@ add_view_sql("upload", """select strftime(date '2024-01-01' + cast(d.doc_id % 30
 def q_trend_report_upload(spark, sf):
     """G + F7 end to end: an upload-shaped frame (created_at text, comment) through ``trend_report``."""
     from feedpulse.operators.trend import trend_report
-    from feedpulse.sources.tables import table
     d = table(spark, sf, "documents")
     raw = d.select(F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")),
                                           "yyyy-MM-dd"), F.lit("T10:00:00Z")).alias("created_at"),
@@ -260,3 +262,47 @@ def q_rating_cold_start(spark, sf):
     d = D.apply_index(d, items, "item_id", "item_idx", "__ci", value_col="item_idx")
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "user_idx", "item_idx",
                     (F.col("__cu") | F.col("__ci")).alias("is_cold_start"))
+
+
+# ---------------------------------------------------------------- given scores, aliases
+
+@register("confidence_scores", """select event_id,
+    round(greatest(value / (value + 40), 1 - value / (value + 40)), 4) as confidence_1d,
+    round(greatest(value, 40, 25) / (value + 65), 4) as confidence_3d from events""")
+def q_confidence(spark, sf):
+    """F1 on given scores: the largest class probability, and max(p, 1 - p) of a single one."""
+    from pyspark.ml.functions import array_to_vector
+    v = F.col("value")
+    three = array_to_vector(F.array(*[x / (v + 65) for x in (v, F.lit(40.0), F.lit(25.0))]))
+    return table(spark, sf, "events").select("event_id", SC.binary_confidence(v / (v + 40)).alias("confidence_1d"),
+                                             SC.confidence(three).alias("confidence_3d"))
+
+
+@register("current_models", """select o_orderpriority as model,
+    arg_max(o_orderkey, (o_orderdate, o_orderkey)) as version from orders where o_orderstatus = 'F' group by 1""")
+def q_current_models(spark, sf):
+    """E13 over a history of assignments (orders): per model the version that was set last."""
+    h = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("version"),
+        F.when(F.col("o_orderstatus") == "F", "production").otherwise("staging").alias("alias"), F.col("o_orderdate").alias("set_at"))
+    return E.current_model(h)
+
+
+# ---------------------------------------------------------------- nightly chain
+
+@register("nightly_sentiment")
+def q_nightly_sentiment(spark, sf):
+    return _nightly(spark, sf, "sentiment", reviews(spark, sf).select("doc_id", "label", X.clean_vi(X.null_text("text", "nan")).alias("clean")),
+                    TR.TextModelSpec(text_col="clean", max_features=TR.SENTIMENT_TERMS))
+
+
+@register("nightly_topic")
+def q_nightly_topic(spark, sf):
+    return _nightly(spark, sf, "topic", reviews(spark, sf).select("doc_id", F.col("topic").alias("label"), "text"),
+                    TR.TextModelSpec(text_col="text", max_features=TR.TOPIC_TERMS))
+
+
+def _nightly(spark, sf, name, rows, spec):
+    from feedpulse.operators.nightly import nightly_text
+    root = scratch_path(spark, f"nightly/{uuid.uuid4().hex[:12]}")
+    return nightly_text(rows, name, spec, root, params={"sf": sf})

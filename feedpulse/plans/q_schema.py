@@ -80,3 +80,16 @@ def q_review_label_counts(spark, sf):
 def q_normalize_columns(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("Event_ID"), F.col("event_type").alias("EVENT_TYPE"))
     return S.normalize_columns(e)
+
+
+@register("validation_errors", """select * from (values ('email', 'email: missing column ''label'''),
+    ('email', 'email: missing column ''date'''), ('rating', 'rating: missing column ''product_id''')) v(input, error)
+    union all select 'trend', 'trend: no rows' where not exists (select 1 from events where value < -1)""")
+def q_validation_errors(spark, sf):
+    """All errors of the dashboard's inputs at once, as a table."""
+    e = emails(spark, sf).select("text", "is_spam")
+    r = interactions(spark, sf).select(F.col("rating").alias("predicted_rating"), "user_id")
+    t = table(spark, sf, "events").where("value < -1").select(F.col("ts").alias("date"), F.col("event_type").alias("topic"))
+    found = [("email", S.validate(e, ["label", "is_spam", "date"], "email")), ("rating", S.validate(r, ["product_id", "predicted_rating"], "rating")),
+             ("trend", S.validate(t, ["date", "topic"], "trend"))]
+    return spark.createDataFrame([(n, x) for n, xs in found for x in xs], "input string, error string")
