@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +104,8 @@ def op2(spark, sf):
 @register("op4_sentencepiece")
 def op4(spark, sf):
     return pieces.encode(table(spark, sf, "documents"), with_ids=False)
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
