@@ -41,7 +41,7 @@ _GAUGES = [
     ("infra_minio_connected", "{}", "event_type = 'click'", "case when event_id % 30 = 0 then 0.0 else 1.0 end"),
     ("system_cpu_usage_percent", "{}", "event_type = 'error'", "cast(value as double)"),
     ("system_memory_usage_bytes", "{}", "event_type = 'signup'", "value * 268435456.0"),
-    ("model_sentiment_confidence_score", "{}", "event_type = 'view'", "event_id % 100 / 100.0e0"),
+    ("model_sentiment_confidence_score", "{}", "event_type = 'view'", "event_id % 128 / 128.0e0"),
     ("prometheus_config_last_reload_successful", "{}", "event_type = 'purchase'", "case when event_id % 40 = 0 then 0.0 else 1.0 end"),
     ("model_recsys_predicted_rating", "{}", "event_type = 'signup'", "1.0 + event_id % 5"),
     *[("model_topic_prediction_count", f'{{"topic":"{t}"}}', f"event_type = '{t}'", "cast(value as double)") for t in ("click", "error", "view")],
@@ -137,15 +137,15 @@ add_view_sql("rstates", f"""with tr as (select v.*, r.severity, r.hold from rval
     group by alertname, severity, series, g having max(en) + {STEP} <= (select max(t) from rvalues)""", ("rvalues",))
 
 
-@register("rule_values", with_views("select alertname, series, t, round(value, 6) as value from rvalues", "rvalues"))
+@register("rule_values", with_views("select alertname, series, t, round(value, 9) as value from rvalues", "rvalues"))
 def q_rule_values(spark, sf):
     """The expressions of all 20 alert rules."""
-    return A.rule_values(metric_samples(spark, sf), STEP).withColumn("value", F.round("value", 6))
+    return A.rule_values(metric_samples(spark, sf), STEP).withColumn("value", F.round("value", 9))
 
 
 @register("rule_states", with_views(
-    "select alertname, severity, series, t, state, active_since, round(value, 6) as value from rstates", "rstates"))
+    "select alertname, severity, series, t, state, active_since, round(value, 9) as value from rstates", "rstates"))
 def q_rule_states(spark, sf):
     """Pending, firing and resolved rows of all 20 alert rules, in one pass over their values."""
     v = A.rule_values(metric_samples(spark, sf), STEP)
-    return A.rule_states(v, STEP).withColumn("value", F.round("value", 6))
+    return A.rule_states(v, STEP).withColumn("value", F.round("value", 9))
