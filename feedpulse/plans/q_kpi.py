@@ -10,6 +10,7 @@ from feedpulse.operators import kpi as K
 from feedpulse.operators.trend import trend_daily
 from feedpulse.plans.registry import register
 from feedpulse.plans.views import add_view_sql, day_from_no, emails, feedback, interactions, with_views
+from feedpulse.sources.tables import table
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -310,3 +311,24 @@ def q_sentiment_stats(spark, sf):
     "select * from feedback where lower(sentiment) = 'negative' order by value, id limit 10", "feedback"))
 def q_top_negative_reviews(spark, sf):
     return K.top_negative_reviews(feedback(spark, sf), 10, score="value", ascending=True)
+
+
+@register("top_sources_others", """with c as (select source as label, count(*) as n from documents where source is not null group by 1),
+      s as (select label, round(n / (select sum(n) from c) * 100, 1) as pct from c),
+      r as (select label, cast(pct as double) as pct, row_number() over (order by pct desc, label) as rk from s)
+    select label, round(pct, 6) as pct from r where rk <= 5
+    union all select 'Others', round(sum(pct), 6) from r where rk > 5 having sum(pct) > 0""")
+def q_top_sources_others(spark, sf):
+    """H16 over more labels than are shown: 15 of 20 sources are summed into Others."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("label"))
+    return round_doubles(K.top_n_others(K.label_share(d)))
+
+
+@register("insights_stable", with_views(
+    """select 'stable' as rule, count(*) = 0 as holds from (select avg(rating) as a from interactions) x,
+       (select count(*) filter (where sentiment = 'Negative') * 100.0 / count(*) as n from feedback) y
+       where (a > 4 and n > 30) or (a < 3 and n > 50)""", "interactions", "feedback"))
+def q_insights_stable(spark, sf):
+    """H19 with the stable rule: it is there exactly if neither polarisation nor crisis is."""
+    out = K.insights(ratings(spark, sf), cube(spark, sf), with_stable=True)
+    return out.agg(F.lit("stable").alias("rule"), (F.count_if(F.col("rule") == "stable") == 1).alias("holds")).select("rule", "holds")
