@@ -13,7 +13,7 @@ from conftest import SF_SMALL
 load_all()
 # model fits are rows-only (no oracle) and slow; they have their own property tests
 SLOW = {"topic_model_scores", "email_model_scores", "email_epoch_log", "rating_model_scores",
-        "sentiment_model_scores"}
+        "sentiment_model_scores", "nightly_sentiment", "nightly_topic"}
 
 
 @pytest.fixture(scope="module")
