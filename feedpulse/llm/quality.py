@@ -138,4 +138,7 @@ def keep_documents(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents that pass a policy, with their own columns."""
     name = free_name(docs.columns, "doc_row")
     led = ledger(docs, keep=F.struct(*[F.col(f"`{c}`") for c in docs.columns])) if docs.columns else docs
-    return led.filter(passes(policy)).select(F.col("kept_row").alias(name)).select(f"{name}.*")
+    # the bits pass through a generator: a filter on them would else be pushed below the projections, where
+    # each use of a measurement computes it again
+    judged = led.select(F.col("kept_row").alias(name), F.explode(F.array("fail_bits")).alias("bits"))
+    return judged.filter(passes(policy, "bits")).select(f"{name}.*")
