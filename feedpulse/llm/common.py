@@ -33,8 +33,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the Python workers (once per context), as ``spark-submit --py-files``
-    does: an executor needs no copy of the repository."""
+    """Make the session ready for this package's functions: its code goes to the Python workers (once per
+    context), as ``spark-submit --py-files`` does, so an executor needs no copy of the repository."""
+    # a worker holds its batch several times over (text, words, hashes), so batches are kept small
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") in ("64m", "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     sc = spark.sparkContext
     name = "feedpulse-code.zip"
     if name in sc._python_includes:

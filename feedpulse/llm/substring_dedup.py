@@ -8,7 +8,9 @@ prefix is lengthened only where suffixes still share it:
 * 8 words, at one suffix in about 14: of the 28 places where 8 words fit into a window, the one
   with the least hash represents it (equal windows agree on it). A prefix seen once ends there,
   which drops the unrepeated bulk of the corpus;
-* 35 words, for the windows whose representative is shared. A prefix found twice is a deep node.
+* all words of the windows that one representative stands for, up to 62: found twice, each of
+  their windows is repeated;
+* 35 words, for the windows that are left. A prefix found twice is a deep node.
 
 Nodes are named by a 64-bit hash of their words and counted by Spark, partially before each
 shuffle, so no group of suffixes is ever held in one task, however many documents share a passage.
@@ -29,10 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedpulse.llm.common import free_name, release, ship_code, stored, window_hashes, word_chunks
+from feedpulse.llm.common import free_name, mix, release, ship_code, stored, window_hashes, word_chunks
 
 WINDOW = 35
 PREFIX = 8
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
 def least_places(g: np.ndarray, width: int) -> np.ndarray:
@@ -98,31 +101,56 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     shared = stored(sparse.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "suffix-shared")
     release(spark)
     places = stored(sparse.join(shared, "key", "left_semi").groupBy("doc_id", "th")
-                    .agg(F.collect_set("place").alias("places")), "suffix-places")
+                    .agg(F.collect_set("place").alias("places"))
+                    # a short number for the document: the windows, of which there are most, carry it
+                    .withColumn("uid", F.monotonically_increasing_id()), "suffix-places")
     release(spark)
 
     def lengthen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _nullable(batches):
+        """A row per representative: its windows' first word and hashes, and a name for the words of all of them."""
+        for b in batches:
             for first, last, _, _, _, h, bounds in word_chunks(b["text"].tolist()):
                 start, rep, _ = _windows(h, bounds, window, prefix)
                 wanted = np.zeros(len(h) + 1, dtype=bool)
                 for i in range(first, last):
                     wanted[bounds[i - first] + np.asarray(b["places"].iloc[i], dtype=np.int64)] = True
-                start = start[wanted[rep]]
-                deep = window_hashes(h, window)[start].view(np.int64)
-                own = np.searchsorted(bounds, start, "right") - 1
-                yield _rows(b, {"row": first + own, "key": deep, "place": (start - bounds[own]).astype(np.int32)})
+                keep = wanted[rep]
+                start, rep = start[keep], rep[keep]
+                deep = window_hashes(h, window)[start]
+                at = np.flatnonzero(np.diff(rep, prepend=-1))  # neighbours with one representative
+                end = np.append(at[1:], len(rep)) - 1
+                own = np.searchsorted(bounds, start[at], "right") - 1
+                # the first and the last window overlap, so together they name all words from the one to the other
+                name = mix(deep[at] * _ODD[0] + deep[end] * _ODD[1] + (end - at).astype(np.uint64) * _ODD[2] + (rep[at] - start[at]).astype(np.uint64))
+                yield pd.DataFrame({"uid": b["uid"].to_numpy()[first + own], "place": (start[at] - bounds[own]).astype(np.int32),
+                                    "name": name.view(np.int64), "rep": window_hashes(h, prefix)[rep[at]].view(np.int64),
+                                    "deep": np.split(deep.view(np.int64), at[1:])})
 
     some = keyed.join(places.withColumnsRenamed({"doc_id": "d", "th": "t"}),
-                      keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["th"] == F.col("t"))).select("doc_id", "th", "text", "places")
-    deep = stored(some.mapInPandas(lengthen, "doc_id bigint, th bigint, key bigint, place int"), "suffix-windows")
+                      keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["th"] == F.col("t"))).select("uid", "text", "places")
+    runs = stored(some.mapInPandas(lengthen, "uid bigint, place int, name bigint, rep bigint, deep array<bigint>"), "suffix-windows")
+    release(spark)
+    # words around a representative that are found twice as a whole: all their windows are repeated
+    names = stored(runs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("one"), F.min("rep").alias("rep")), "suffix-names")
+    release(spark)
+    size = F.size("deep")
+    whole = stored(runs.join(names.filter("n > 1").select("name"), "name", "left_semi")
+                   .select("uid", F.sequence(F.col("place"), F.col("place") + size - 1).alias("starts")), "suffix-whole")
+    release(spark)
+    # the others window by window, against each other and against one of each name found twice
+    alone = names.filter("n = 1").select("rep").distinct()
+    need = names.join(alone, "rep", "left_semi").select("name", "n", "one")
+    single = stored(runs.join(need, "name").filter("n = 1 or uid = one")
+                    .select("uid", (F.col("n") > 1).alias("twice"), "place", F.posexplode("deep").alias("i", "key"))
+                    .select("uid", "twice", (F.col("place") + F.col("i")).alias("place"), "key"), "suffix-single")
     release(spark)
-    nodes = stored(deep.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "suffix-nodes")
+    nodes = stored(single.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice"))
+                   .filter("n > 1 or twice").select("key"), "suffix-nodes")
     release(spark)
-    starts = stored(deep.join(nodes, "key", "left_semi").groupBy("doc_id", "th")
-                    .agg(F.collect_set("place").alias("starts")), "suffix-starts")
+    part = single.filter("not twice").join(nodes, "key", "left_semi").select("uid", F.array("place").alias("starts"))
+    starts = stored(whole.unionByName(part).groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "suffix-starts")
     release(spark)
-    return starts
+    return starts.join(places.select("uid", "doc_id", "th"), "uid").select("doc_id", "th", "starts")
 
 
 def covered(n: int, starts, window: int) -> np.ndarray:
