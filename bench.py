@@ -22,7 +22,7 @@ HEADLINE = [
     "trend_daily", "topic_growth", "product_stats", "weekly_drift", "describe_ratings", "rating_kde",
     "insights", "clean_trend_documents", "tfidf", "fit_vocab_email", "split_stratified", "apply_index",
     "increase_1h", "histogram_quantile_p95", "offset_delta", "alert_states", "alert_inhibit",
-    "stream_trend_daily", "alert_routes", "alert_groups", "stream_rates_5m", "rule_states",
+    "stream_trend_daily", "alert_routes", "alert_groups", "stream_rates_5m",
 ]
 
 
