@@ -41,7 +41,7 @@ COMMON_FROM = 16           # documents that hold a shingle for it to be called c
 MAX_COMMON = 1_000_000     # common shingles that are broadcast (13 MB); the rest of them count as rare
 HASHES_PER_RANGE = 400_000
 SIGNATURE_BITS = 512       # of small sets
-SALT_PAIRS = 4_000         # trials against one set that one task makes
+SALT_PAIRS = 256           # trials against one set that one task makes
 
 
 def shingles(h: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def common_shingles(texts: DataFrame, total: int) -> tuple[int, np.ndarray, np.n
             for _, _, sets, *_ in chunks.of(b["text"].tolist()):
                 held.append(sets)
                 size += len(sets)
-                if size > 4_000_000:
+                if size > 1_000_000:  # a worker holds these some times over while it sorts
                     yield done()
                     held, size = [], 0
         if size:
