@@ -240,7 +240,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
             b["offset"] = row[:, 5] + k % row[:, 3] * row[:, 0]
             yield b
 
-    joined = own.join(per_part.select("part", "length", "before"), ["part", "length"]).select(
+    # the counts grow with the number of tasks, so they are not broadcast
+    joined = own.join(per_part.select("part", "length", "before").hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "rank", "before")
     return joined.mapInPandas(
         place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
