@@ -34,7 +34,7 @@ from feedpulse.llm.common import shared_path, ship_code, stored
 FILE_BYTES = 1 << 30        # an archive is closed beyond this
 RANGE_BYTES = 8 << 20       # most bytes of one coalesced read (a longer record is read alone)
 GAP_BYTES = 64 << 10        # unwanted bytes between records that a read may bridge
-BLOCK_BYTES = 32 << 20      # index rows of one block of a file go to one task
+BLOCK_BYTES = 16 << 20      # index rows of one block of a file go to one task, and a task reads about so much
 WARC_DATE = "2024-01-01T00:00:00Z"
 INDEX = ("file string, offset bigint, length bigint, url string, digest string, page_id bigint, "
          "record_type string, refers_to bigint")
@@ -163,7 +163,9 @@ def read(index: DataFrame, folder: str, selected: Column | None = None) -> DataF
     ship_code(index.sparkSession)
     rows = index if selected is None else index.filter(selected)
     rows = rows.select("file", "offset", "length")
-    rows = rows.repartition("file", F.floor(F.col("offset") / BLOCK_BYTES)).sortWithinPartitions("file", "offset")
+    # tasks by the bytes they will read; index rows are small, so their own size says nothing
+    tasks = -(-(rows.agg(F.sum("length")).first()[0] or 1) // BLOCK_BYTES)
+    rows = rows.repartition(tasks, "file", F.floor(F.col("offset") / BLOCK_BYTES)).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(folder)
