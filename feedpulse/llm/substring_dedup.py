@@ -138,7 +138,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                    .select("uid", F.sequence(F.col("place"), F.col("place") + size - 1).alias("starts")), "suffix-whole")
     release(spark)
     # the others window by window, against each other and against one of each name found twice
-    alone = names.filter("n = 1").select("rep").distinct()
+    alone = stored(names.filter("n = 1").select("rep").distinct(), "suffix-open")  # so that a hot one's rows can be split
     need = names.join(alone, "rep", "left_semi").select("name", "n", "one")
     single = stored(runs.join(need, "name").filter("n = 1 or uid = one")
                     .select("uid", (F.col("n") > 1).alias("twice"), "place", F.posexplode("deep").alias("i", "key"))
