@@ -55,7 +55,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SUBSTITUTE, DROP, SPLIT, REPEAT = 0.5, 0.5, 1.5, 0.5  # costs, in nats, of one disguise
 DROP_LEET = 2.5  # leaving out a sign that may be a letter
 _EDGE = "!\"#%&'()*,-./:;<=>?[\\]^_`{|}~+$@«»¿¡…"
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]{1,3}){2,}\S(?!\S)")
+_BETWEEN = " \t.-_*"  # what may stand between spaced-out letters, up to three of them
+_SPACED = re.compile(r"(?<!\S)(?:[^\s.\-_*](?![^\s.\-_*])|[ \t.\-_*]){5,}+")  # where no two letters are neighbours
 _TRIPLE = re.compile(r"(.)\1\1")
 _FOLD: dict[str, str] = {}
 
@@ -187,9 +188,37 @@ def disguised(token: str) -> bool:
     return not (token.isascii() and token.isalpha()) or _TRIPLE.search(token) is not None
 
 
+def spaced(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and text of the longest runs (?<!\\S)(?:\\S[ \\t.\\-_*]{1,3}){2,}\\S(?!\\S). That expression itself
+    backtracks without end over rows of dashes, as each may be a sign or stand between two; here all ways are
+    followed at once: bit d of ways[k] stands for k + 1 signs (2: or more), the last of them d places before."""
+    for m in _SPACED.finditer(text):
+        i, end = m.span()
+        while i < end:
+            if text[i].isspace() or i > m.start() and not text[i - 1].isspace():
+                i += 1
+                continue
+            ways, stop, j = (1, 0, 0), 0, i + 1
+            while j < end and any(ways):
+                one, two, more = ways
+                sign = (0, one > 1, two > 1 or more > 1) if not text[j].isspace() else (0, 0, 0)
+                step = tuple(w << 1 & 15 for w in ways) if text[j] in _BETWEEN else (0, 0, 0)
+                ways = step[0] | sign[0], step[1] | sign[1], step[2] | sign[2]
+                j += 1
+                if ways[2] & 1 and (j == len(text) or text[j].isspace()):
+                    stop = j
+            if stop:
+                yield i, stop, text[i:stop]
+            i = max(stop, i + 1)
+
+
 def restore(text: str, lm: np.ndarray) -> str:
     """A text in lower case with its disguised tokens and spaced-out words decoded."""
-    text = _SPACED.sub(lambda m: decode(m.group(0), lm), text.lower())
+    text, parts, last = text.lower(), [], 0
+    for i, j, run in spaced(text):
+        parts += [text[last:i], decode(run, lm)]
+        last = j
+    text = "".join([*parts, text[last:]])
     return " ".join(decode(w, lm) if disguised(w) else w for w in (t.strip(_EDGE) or t for t in text.split()))
 
 
@@ -229,17 +258,18 @@ class Reader:
                     return tuple(got)
         return ()
 
-    def _spaced(self, words: list[str], special: set[str], singles: set[str], found: set[int]) -> None:
+    def _spaced(self, words: list[str], special: set[str], singles: set[str], runs: set[str], found: set[int]) -> None:
         """Words with spaces between letters, and words that one space was put into: the latter are taken if
         the language model prefers them whole."""
         at = [i for i, w in enumerate(words) if w in special]
         first = 0
-        for k in range(1, len(at) + 1):  # runs of neighbouring single letters
+        for k in range(1, len(at) + 1):  # runs of neighbouring single signs, over any white space
             if k == len(at) or at[k] != at[k - 1] + 1 or words[at[k]] not in singles:
-                run = words[at[first]:at[k - 1] + 1]
-                if k - first > 2 and len(set(run)) > 1:
-                    found.update(self._token(" ".join(run)))
+                if k - first > 2:
+                    runs.add(" ".join(words[at[first]:at[k - 1] + 1]))
                 first = k
+        for run in runs:
+            found.update(self._token(run))
         for i in at:
             if words[i] in self.starts and i + 1 < len(words):
                 b = words[i + 1].strip(_EDGE)
@@ -251,7 +281,8 @@ class Reader:
         found: set[int] = set()
         if not text or self.inside is None:
             return found
-        words = text.lower().split()
+        text = text.lower()
+        words = text.split()
         kinds, cache = set(words), self.cache
         singles = set()
         for w in kinds:
@@ -262,13 +293,14 @@ class Reader:
                 got = cache[w] = self._token(w)
             if got:
                 found.update(got)
-            if len(w) < 3 and len(w.strip(".-_*")) == 1:
+            if len(w.strip(".-_*")) < 2 or len(w.strip(_EDGE)) == 1:  # a sign, or what may stand between two
                 singles.add(w)
         special = kinds & self.starts
         if len(singles) > 1:
             special |= singles
-        if special:
-            self._spaced(words, special, singles, found)
+        runs = {run for _, _, run in spaced(text)}
+        if special or runs:
+            self._spaced(words, special, singles, runs, found)
         return found
 
 

@@ -112,3 +112,29 @@ def test_without_labels_or_rows(spark):
     assert T.score(d.limit(0), lab).count() == 0
     kept = T.keep_documents(d, lab)
     assert kept.columns == d.columns and kept.count() == 2
+
+
+@pytest.mark.parametrize("text", ["i - d - i - o - t", "i . d . i . o . t", "i * d * i * o * t", "i.. d.. i.. o.. t", "i _ d _ i _ o _ t", "- i - d - i - o - t -",
+                                  "i.d i.o t", "i\nd\ni\no\nt", "i    d    i    o    t", "(i - d - i - o - t)", "i, d, i, o, t!", "1 - d - 1 - 0 - t"])
+def test_spaced_words_are_read(fitted, text):
+    model = fitted[3]
+    r = T.Reader(model["words"], model["lm"])
+    for around in ("the {} of", "{}", "garden. {}"):
+        assert "idiot" in {model["words"][i] for i in r.words(around.format(text))}, around
+
+
+def test_spaced_runs_are_those_of_the_expression():
+    import itertools
+    import re
+    rule = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]{1,3}){2,}\S(?!\S)")
+    texts = ["".join(x) for n in range(5, 9) for x in itertools.product("a- \n", repeat=n)]
+    rng = random.Random(17)
+    texts += ["".join(rng.choices("ab1  \t.-_*\n", k=rng.randrange(5, 30))) for _ in range(20_000)]
+    for text in texts:
+        got, want = list(T.spaced(text)), [m.span() for m in rule.finditer(text)]
+        assert all(rule.fullmatch(run) and text[i:j] == run for i, j, run in got)
+        assert bool(got) == bool(want) and (not got or got[0][0] == want[0][0] and got[0][1] >= want[0][1]), text
+        for i, j in want:  # nothing that the expression finds is left out
+            inside = [k for k in range(i, j) if not any(a <= k < b for a, b, _ in got)]
+            assert all(text[k] in " \t.-_*" for k in inside), text
+    assert list(T.spaced("-" * 5000 + "ab")) == []  # in linear time
