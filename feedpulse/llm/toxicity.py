@@ -16,8 +16,10 @@ Scoring restores what a writer may have hidden: leetspeak, accents, symbols and
 letters, repeated letters. A disguised token becomes a lattice (each position: the letters that it
 may stand for, nothing, or a word end, with the cost of that disguise), and a Viterbi search under
 the language model finds the likeliest reading, which is then looked up. Tokens are decoded only
-if some reading of their lattice can be a lexicon word (their skeletons agree); for any other token
-no reading could change the score. ``restore`` decodes all disguised tokens of a text.
+if some reading of their lattice holds a lexicon word (the lattice is first followed along the
+lexicon's letters, without costs); for any other token no reading could change the score. Readings
+are plain letters, so they are looked up among the entries without their accents; entries with
+other signs are found as they are written only. ``restore`` decodes all disguised tokens of a text.
 
 Defined results: null and empty texts have no words and get the score of that; rows with a null id
 are scored and not held out; a null label is no label; ids labelled more than once are toxic if
@@ -55,6 +57,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SUBSTITUTE, DROP, SPLIT, REPEAT = 0.5, 0.5, 1.5, 0.5  # costs, in nats, of one disguise
 DROP_LEET = 2.5  # leaving out a sign that may be a letter
 _EDGE = "!\"#%&'()*,-./:;<=>?[\\]^_`{|}~+$@«»¿¡…"
+_MARKS = "".join(c for c in _EDGE if c not in LEET)
 _BETWEEN = " \t.-_*"  # what may stand between spaced-out letters, up to three of them
 _SPACED = re.compile(r"(?<!\S)(?:[^\s.\-_*](?![^\s.\-_*])|[ \t.\-_*]){5,}+")  # where no two letters are neighbours
 _TRIPLE = re.compile(r"(.)\1\1")
@@ -125,14 +128,15 @@ def fold(c: str) -> str:
     return _FOLD[c]
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Per run of equal signs, the strings that it may stand for and their costs."""
-    out, i = [], 0
-    while i < len(token):
-        c, n = token[i], 1
-        while i + n < len(token) and token[i + n] == c:
-            n += 1
-        i += n
+def unaccented(word: str) -> str:
+    return word if word.isascii() else "".join(map(fold, word))
+
+
+class _Choices(dict):
+    """(sign, length of its run up to 3) -> the strings that the run may stand for and their costs."""
+
+    def __missing__(self, key: tuple[str, int]) -> list[tuple[str, float]]:
+        c, n = key
         plain = fold(c)
         letters = [(c, 0.0)] if "a" <= c <= "z" else [(x, SUBSTITUTE) for x in LEET.get(c, "")]
         if not letters and len(plain) == 1 and "a" <= plain <= "z":
@@ -141,8 +145,17 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         more += [(x + x, cost + (REPEAT if n > 2 else 0)) for x, cost in letters if n > 1]
         if not c.isalpha() and not c.isdigit():
             more += [("", DROP_LEET if c in LEET else DROP), (" ", SPLIT)]
-        out.append(more or [("", 4 * DROP), (" ", SPLIT)])
-    return out
+        self[key] = more = more or [("", 4 * DROP), (" ", SPLIT)]
+        return more
+
+
+_CHOICES = _Choices()
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
+
+
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """Per run of equal signs, the strings that it may stand for and their costs."""
+    return [_CHOICES[m[1], min(3, m.end() - m.start())] for m in _RUN.finditer(token)]
 
 
 def decode(token: str, lm: np.ndarray) -> str:
@@ -164,24 +177,7 @@ def decode(token: str, lm: np.ndarray) -> str:
     return max((v + float(lm[s * SYMBOLS]), t) for s, (v, t) in best.items())[1]
 
 
-class _Bones(dict):
-    """Code point -> what it leaves in a skeleton."""
-
-    def __missing__(self, code: int) -> str:
-        c = fold(chr(code))[:1] or chr(code)
-        c = LEET.get(c, c)[:1]
-        c = {"l": "i", "b": "g"}.get(c, c)  # 1, ! and | may be i or l; 6 may be g or b
-        self[code] = c = c if "a" <= c <= "z" else ""
-        return c
-
-
-_BONES = _Bones()
-_REPEATS, _DOUBLE = re.compile(r"(.)\1+"), re.compile(r"(.)\1")
-
-
-def skeleton(token: str) -> str:
-    """One string for all tokens that may stand for each other: look-alikes as one sign, no symbols, no repeats."""
-    return _REPEATS.sub(r"\1", token.translate(_BONES))
+_DOUBLE = re.compile(r"(.)\1")
 
 
 def disguised(token: str) -> bool:
@@ -227,35 +223,72 @@ class Reader:
 
     def __init__(self, entries: list[str], lm: np.ndarray):
         self.lm, self.place = lm, {w: i for i, w in enumerate(entries)}
-        self.bones = {skeleton(w) for w in entries if w[-1] != "*"}
-        self.stems = tuple(skeleton(w) for w in entries if w[-1] == "*")
-        self.inside = re.compile("|".join(sorted(map(re.escape, self.bones.union(self.stems)), key=len, reverse=True))) if entries else None
-        self.starts = {w[:k] for w in entries if w[-1] != "*" for k in range(1, len(w))}
+        self.read: dict[str, int] = {}  # entries as a reading may hold them, without accents
+        for i, w in enumerate(entries):
+            if re.fullmatch(r"[a-z]+\*?", plain := unaccented(w)) and (plain == w or plain not in self.place):
+                self.read.setdefault(plain, i)
+        self.stems = {w[:-1] for w in self.read if w[-1] == "*"}
+        self.sizes = sorted(set(map(len, self.stems)).union(STEMS))
+        self.prefixes = {w.rstrip("*")[:k] for w in self.read for k in range(len(w) + 1)}
+        self.starts = {w[:k] for w in self.read for k in range(1, len(w))}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def entry(self, word: str) -> int | None:
         """The lexicon entry of a plain word."""
-        got = self.place.get(word)
+        return self._look(word, self.place)
+
+    def _look(self, word: str, place: dict[str, int]) -> int | None:
+        got = place.get(word)
         if got is None:
-            for k in STEMS:
+            for k in self.sizes:
                 if len(word) > k:
-                    got = self.place.get(word[:k] + "*")
+                    got = place.get(word[:k] + "*")
                     if got is not None:
                         return got
         return got
 
+    def can_read(self, token: str) -> bool:
+        """Whether some reading of a token's lattice holds an entry: all its readings are followed along the
+        letters of the entries. True as well if a stem is all of a word."""
+        at, prefixes, stems = {""}, self.prefixes, self.stems
+        one_word = token.isascii() and token.isalnum()
+        for m in _RUN.finditer(token):
+            after = set()
+            for emit, _ in _CHOICES[m[1], min(3, m.end() - m.start())]:
+                if emit == " ":  # the next word begins here, whatever came before
+                    if any(s in self.read for s in at):
+                        return True
+                    after.add("")
+                elif not emit:
+                    after |= at
+                else:
+                    for s in at:
+                        for c in emit:
+                            s += c
+                            if s in stems:
+                                return True
+                        if s in prefixes:
+                            after.add(s)
+            at = after
+            if one_word and not at:
+                return False
+        return any(s in self.read for s in at)
+
+    def reading(self, token: str) -> list[int]:
+        """The entries in the likeliest reading of a token."""
+        return [i for w in decode(token, self.lm).split() if (i := self._look(w, self.read)) is not None]
+
     def _token(self, token: str) -> tuple[int, ...]:
         bare = token.strip(_EDGE)
         got = self.entry(bare)
-        if got is not None or self.inside is None:
+        if got is not None or not self.place:
+            return () if got is None else (got,)
+        if bare.isascii() and bare.isalpha() and not _DOUBLE.search(bare) and token.strip(_MARKS) == bare:
+            got = self._look(bare, self.read)  # its lattice has one reading
             return () if got is None else (got,)
-        if token.isascii() and token.isalpha() and not _DOUBLE.search(token):
-            return ()  # its lattice has one path
         for t in (token, bare) if token != bare else (token,):
-            bone = skeleton(t)
-            if bone in self.bones or disguised(t) and (bone.startswith(self.stems) or not t.isalpha() and self.inside.search(bone)):
-                if got := [i for i in map(self.entry, decode(t, self.lm).split()) if i is not None]:
-                    return tuple(got)
+            if self.can_read(t) and (found := self.reading(t)):
+                return tuple(found)
         return ()
 
     def _spaced(self, words: list[str], special: set[str], singles: set[str], runs: set[str], found: set[int]) -> None:
@@ -271,15 +304,16 @@ class Reader:
         for run in runs:
             found.update(self._token(run))
         for i in at:
-            if words[i] in self.starts and i + 1 < len(words):
-                b = words[i + 1].strip(_EDGE)
-                whole = words[i] + b
-                if whole in self.place and decode(f"{words[i]}-{b}", self.lm) == whole:
-                    found.add(self.place[whole])
+            a = unaccented(words[i])
+            if a in self.starts and i + 1 < len(words):
+                b = unaccented(words[i + 1].strip(_EDGE))
+                got = self._look(a + b, self.read)
+                if got is not None and decode(f"{a}-{b}", self.lm) == a + b:
+                    found.add(got)
 
     def words(self, text: str | None) -> set[int]:
         found: set[int] = set()
-        if not text or self.inside is None:
+        if not text or not self.place:
             return found
         text = text.lower()
         words = text.split()
@@ -296,6 +330,8 @@ class Reader:
             if len(w.strip(".-_*")) < 2 or len(w.strip(_EDGE)) == 1:  # a sign, or what may stand between two
                 singles.add(w)
         special = kinds & self.starts
+        if not text.isascii():
+            special |= {w for w in kinds if not w.isascii() and unaccented(w) in self.starts}
         if len(singles) > 1:
             special |= singles
         runs = {run for _, _, run in spaced(text)}
@@ -414,7 +450,7 @@ def boosted(counts: np.ndarray, words: list[str]) -> np.ndarray:
         ends = counts.reshape(-1, SYMBOLS)[:, 0].sum() - counts.reshape(-1, SYMBOLS, SYMBOLS)[:, 0, 0].sum()  # word ends
         for w in words:
             stem = w[-1] == "*"
-            c = [0] + [char_class(x) for x in w.rstrip("*")] + [0] * (0 if stem else 3)
+            c = [0] + [char_class(x) for x in unaccented(w).rstrip("*")] + [0] * (0 if stem else 3)
             for i in range(len(c) - ORDER + 1):
                 at = 0
                 for x in c[i:i + ORDER]:

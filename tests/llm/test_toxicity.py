@@ -138,3 +138,43 @@ def test_spaced_runs_are_those_of_the_expression():
             inside = [k for k in range(i, j) if not any(a <= k < b for a, b, _ in got)]
             assert all(text[k] in " \t.-_*" for k in inside), text
     assert list(T.spaced("-" * 5000 + "ab")) == []  # in linear time
+
+
+def model_of(entries, fitted):
+    """A reader of given entries under the language model of the fitted texts' letters."""
+    counts = np.full(T.SYMBOLS ** T.ORDER, 0.01)
+    for w in ["the", "a", "of", "storm", "paper", "letter", "window", "morning", "garden", "people"] * 200:
+        c = [0, *map(T.char_class, w), 0, 0, 0]
+        for i in range(len(c) - 3):
+            counts[((c[i] * 28 + c[i + 1]) * 28 + c[i + 2]) * 28 + c[i + 3]] += 1
+    return T.Reader(entries, T.language_model(T.boosted(counts, entries)))
+
+
+@pytest.mark.parametrize("entry, text", [("idiot", "i|d|i|o|t"), ("idiot", "i!d!i!o!t"), ("moron", "m+o+r+o+n"), ("moron", "m@o@r@o@n"), ("stup*", "sttupid"), ("stup*", "stupppid"),
+                                         ("stup*", "s|t|u|p|i|d"), ("débile", "d.e.b.i.l.e"), ("débile", "d3bil3"), ("débi*", "d é b i l e"), ("stup*", "st upid"), ("débile", "dé bile")])
+def test_all_readings_reach_the_decoder(fitted, entry, text):
+    assert model_of([entry, "filth"], fitted).words(f"the {text} of") == {0}
+
+
+def test_prefilter_and_decoder_equal_the_decoder_alone(fitted):
+    import itertools
+    rng = random.Random(18)
+    entries = ["sit", "b00b", "boob", "léger", "lil", "stup*", "éclat*", "aaa", "good", "дурак"]
+    r = model_of(entries, fitted)
+    tokens = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product("sit1|-", repeat=n)]
+    tokens += ["".join(rng.choices("situpblgeroacd" + "sit" * 3 + "01358!|+(<@$éл-.'２ⓐ", k=rng.randrange(2, 9))) for _ in range(6000)]
+    for w in ("sit", "boob", "leger", "stupid", "eclats", "good", "lil"):  # disguised entries
+        for _ in range(300):
+            t = "".join(rng.choice([c, c, c + c, c + c + c, c + rng.choice("|!+-.@$<"), {"i": "1", "o": "0", "e": "é", "s": "$", "t": "+", "l": "|", "b": "8"}.get(c, c)]) for c in w)
+            tokens.append(rng.choice(["", "", "x-", "("]) + t + rng.choice(["", "", "!", "-x", "|"]))
+    n = 0
+    for t in tokens:
+        bare = t.strip(T._EDGE)
+        got = r.entry(bare)
+        want = (got,) if got is not None else tuple(r.reading(t)) or tuple(r.reading(bare))
+        assert r._token(t) == want, t
+        paths = itertools.product(*[[e for e, _ in c] for c in T.lattice(t)]) if len(T.lattice(t)) < 6 else ()
+        if any(r._look(w, r.read) is not None for path in paths for w in "".join(path).split()):
+            assert r.can_read(t), t
+        n += bool(want)
+    assert n > 500
