@@ -409,11 +409,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their component (and all with a null id), with their own
-    columns; of rows that share an id one stays."""
+    columns. Rows that share an id are documents of their own: of those in one component one stays."""
+    ids = docs.select(F.col(id_col).cast("bigint").alias("i")).filter("i is not null")
+    if ids.groupBy("i").count().filter("count > 1").limit(1).count():
+        return _keep_rows(docs, id_col, text_col)
     found = stored(join(docs, id_col, text_col), "jaccard-components")
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(free_name(docs.columns, "gone_id")))
-    out = docs.join(gone, F.col(id_col).cast("bigint") == gone[gone.columns[0]], "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        none = out.filter(F.col(id_col).isNull())
-        out = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(none)
-    return out
+    return docs.join(gone, F.col(id_col).cast("bigint") == gone[gone.columns[0]], "left_anti")
+
+
+def _keep_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keep_documents`` where ids repeat: the join takes a number per row, stored so that it does not change."""
+    row = free_name(docs.columns, "row_id")
+    number = F.when(F.col(id_col).cast("bigint").isNotNull(), F.monotonically_increasing_id())
+    rows = stored(docs.withColumn(row, number), "jaccard-rows")
+    found = stored(join(rows, row, text_col), "jaccard-components")
+    linked = found.filter("component_id is not null").select(F.col("doc_id").alias("node"), "component_id")
+    keys = rows.select(F.col(row).alias("n"), F.col(id_col).cast("bigint").alias("i"), F.xxhash64(F.col(text_col)).alias("th"))
+    groups = linked.join(keys, F.col("node") == F.col("n"))
+    first = groups.groupBy("component_id").agg(F.min(F.struct("i", "th", "n")).alias("first")).select(
+        F.col("component_id").alias("c"), F.col("first.n").alias("kept"))
+    gone = stored(linked.join(first, (F.col("component_id") == F.col("c")) & (F.col("node") != F.col("kept"))).select("node"), "jaccard-gone")
+    gone = gone.select(F.col("node").alias(free_name(rows.columns, "gone_id")))
+    return rows.join(gone, F.col(row) == gone[gone.columns[0]], "left_anti").drop(row)

@@ -93,6 +93,15 @@ def test_keep_documents(spark):
     assert jaccard.join(d.limit(0)).count() == 0
 
 
+def test_keep_documents_that_share_an_id(spark):
+    rows = [(7, "a b c d e f"), (7, "u v w x y z"), (7, "U v w x y z"), (3, "k l m n o p"), (7, "k l m n o p"), (9, "A b c d e f"), (9, "g h i j k l"),
+            (None, "g h i j k l"), (None, "g h i j k l"), (4, None), (4, "alone here")]
+    kept = jaccard.keep_documents(docs(spark, rows, extra=("row_id", "gone_id", "node", "n", "th")))
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect())
+    assert got == [(0, "g h i j k l"), (0, "g h i j k l"), (3, "k l m n o p"), (4, ""), (4, "alone here"), (7, "a b c d e f"), (7, "u v w x y z"),
+                   (9, "g h i j k l")]
+
+
 def test_signature_bounds_the_overlap():
     rng = np.random.default_rng(10)
     for _ in range(200):
