@@ -8,7 +8,7 @@ import pytest
 from feedpulse.plans.compare import connect_duckdb, rows_of, spark_types
 from feedpulse.plans.registry import ORACLE, QUERIES, load_all
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 load_all()
 # model fits are rows-only (no oracle) and slow; they have their own property tests

@@ -15,7 +15,7 @@ from feedpulse.plans.views import feedback
 from feedpulse.session import scratch_path
 from feedpulse.streaming import streams as K
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 load_all()
 
