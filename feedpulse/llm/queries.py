@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedpulse.llm import jaccard, packing, pieces, quality, sharding, substring_dedup, topk, toxicity, url_filter, warc
+from feedpulse.llm import (jaccard, packing, pieces, quality, secrets, sharding, substring_dedup, topk, toxicity,
+                           url_filter, warc)
 from feedpulse.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +107,43 @@ def op4(spark, sf):
     return pieces.encode(table(spark, sf, "documents"), with_ids=False)
 
 
+def _secrets_sql() -> str:
+    """The base patterns, and each window's entropy from its own histogram instead of running counts."""
+    base = [(k, i, p, least, g) for i, (k, p, least, g) in enumerate((
+        ("assign", secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "|".join(
+            "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) + "?" * (w == "api_") + rest
+            for w, rest in (("password", ""), ("passwd", ""), ("secret", ""), ("token", ""), ("api_", "[kK][eE][yY]")))), secrets.ASSIGN_MIN, 2),
+        ("access", secrets.ACCESS, secrets.ACCESS_MIN, 0), ("hex", secrets.HEX, secrets.HEX_MIN, 0)))]
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    located = """select doc_id, i, hit, before, sum(length(before) + length(hit)) over (partition by doc_id order by i) - length(hit) as a
+        from (select doc_id, generate_subscripts(hits, 1) as i, unnest(hits) as hit, unnest(gaps[:len(hits)]) as before
+              from (select doc_id, regexp_extract_all(t, {p}) as hits, string_split_regex(t, {p}) as gaps from d))"""
+    parts = [f"select doc_id, {q(k)} as kind, {i} as ord, a, a + length(hit) as b from ({located.format(p=q(p))}) "
+             f"where length(regexp_extract(hit, {q(p)}, {g})) >= {least}" for k, i, p, least, g in base]
+    for i, c in enumerate(secrets.CLASSES):
+        letters = "".join("\\" + x if x in "-]\\^" else x for x in c.letters)
+        ok = " and ".join([f"not regexp_matches(hit, {q(p)})" for p in secrets.ALLOW]
+                          + [f"not regexp_matches(right(before, {secrets.CONTEXT}), {q(p)})" for p in secrets.ALLOW_BEFORE])
+        parts.append(f"""select doc_id, '{c.kind}', {i + len(base)}, a + min(s), a + max(s) + {c.window} from (
+          select *, sum(fresh) over (partition by doc_id, a order by s) as island from (
+          select *, case when s - lag(s) over (partition by doc_id, a order by s) <= {c.window} then 0 else 1 end as fresh from (
+          select *, list_sum(list_transform(map_values(list_histogram(string_split(substr(hit, s + 1, {c.window}), ''))),
+                    lambda n: {secrets.weights(c.window)}[cast(n as bigint) + 1])) as total
+          from (select *, unnest(range(0, length(hit) - {c.window - 1})) as s from ({located.format(p=q(f"[{letters}]{{{c.window},}}"))}) where {ok}))
+          where total <= {secrets.limit(c)})) group by doc_id, a, island""")
+    listed = "string_agg(kind || ':' || cast(a as bigint) || ':' || cast(b as bigint), ',' order by a, ord)"
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), s(doc_id, kind, ord, a, b) as ({" union all ".join(parts)}),
+      g as (select doc_id, count(*) filter (where ord = 0) as n_assign, count(*) filter (where ord = 1) as n_access,
+                   count(*) filter (where ord = 2) as n_hex, {listed} filter (where ord < 3) as base, {listed} as spans from s group by doc_id)
+      select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+             sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
+
+
+@register("op11_secret_scan", _secrets_sql())
+def op11(spark, sf):
+    return secrets.digest(table(spark, sf, "documents"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
