@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedpulse.llm import (jaccard, packing, pieces, quality, secrets, sharding, substring_dedup, topk, toxicity,
+from feedpulse.llm import (jaccard, merkle, packing, pieces, quality, secrets, sharding, substring_dedup, topk, toxicity,
                            url_filter, warc)
 from feedpulse.sources.tables import table
 
@@ -144,6 +144,44 @@ def op11(spark, sf):
     return secrets.digest(table(spark, sf, "documents"))
 
 
+_LEAF = "sha256(" + " || ".join(f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+                               for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+
+@register("op12_merkle_manifest", f"""
+with recursive tab as (  -- CRC-32 by its table of 256 entries
+  select i, c from (with recursive s(i, k, c) as (select i, 0, i from range(256) r(i) union all
+    select i, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from s where k < 8) select i, c from s where k = 8)),
+lut as (select list(c order by i) as l from tab),
+crc(doc_id, s, k, c) as (select doc_id, doc_id::varchar, 0, 4294967295::bigint from documents
+  union all select doc_id, s, k + 1, xor(c >> 8, l[(xor(c, ascii(s[k + 1])) & 255) + 1]) from crc, lut where k < length(s)),
+bad as (select doc_id from crc where k = length(s) and xor(c, 4294967295) % 7 = 0),
+d as (select *, {_LEAF.format(n="n_chars")} as leaf, {_LEAF.format(n="n_changed")} as changed,
+        dense_rank() over (order by lang nulls first) - 1 as g,
+        row_number() over (partition by lang order by doc_id nulls first) - 1 as spot, count(*) over (partition by lang) as m
+      from (select *, n_chars + (doc_id in (select doc_id from bad))::int as n_changed from documents)),
+t(g, lvl, pos, n, h) as (select g, 0, spot, m, leaf from d union all
+  select g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from t where n > 1 group by g, lvl, pos // 2, n),
+sub as (select g, h, lvl as height, count(*) over () as groups from t where n = 1),
+r(lvl, pos, n, h) as (select 0, g, groups, h from sub union all
+  select lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from r where n > 1 group by lvl, pos // 2, n),
+steps as (  -- every level of every document: its place, and its sibling if it has one
+  select d.doc_id, l.lvl, (d.spot >> l.lvl) & 1 as own, x.h as sib from d join sub s on s.g = d.g join (select unnest(range(64)) as lvl) l on l.lvl < s.height
+    left join t x on x.g = d.g and x.lvl = l.lvl and x.pos = xor(d.spot >> l.lvl, 1)
+  union all select d.doc_id, s.height + l.lvl, (d.g >> l.lvl) & 1, x.h from d join sub s on s.g = d.g
+    join (select distinct lvl from r where n > 1) l on true left join r x on x.lvl = l.lvl and x.pos = xor(d.g >> l.lvl, 1)),
+folded(doc_id, lvl, h) as (select doc_id, 0, changed from d union all
+  select f.doc_id, f.lvl + 1, sha256(case when s.own = 1 then coalesce(s.sib, '') || f.h else f.h || coalesce(s.sib, '') end)
+  from folded f join steps s on s.doc_id = f.doc_id and s.lvl = f.lvl),
+ends as (select doc_id, arg_max(h, lvl) as folded_root from folded group by doc_id),
+proofs as (select doc_id, sha256(string_agg(coalesce(sib, ''), '' order by lvl)) as proof_sha256 from steps group by doc_id)
+select doc_id, leaf, sub.h as subroot, top.h as root, coalesce(proof_sha256, sha256('')) as proof_sha256,
+       folded_root, folded_root = top.h as verified
+from d join sub using (g) join ends using (doc_id) join (select h from r where n = 1) top on true left join proofs using (doc_id)""")
+def op12(spark, sf):
+    return merkle.check_documents(table(spark, sf, "documents"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
