@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedpulse.llm import (jaccard, merkle, packing, pieces, quality, secrets, sharding, substring_dedup, topk, toxicity,
+from feedpulse.llm import (jaccard, merkle, packing, pieces, prefix_trie, quality, secrets, sharding, substring_dedup, topk, toxicity,
                            url_filter, warc)
 from feedpulse.sources.tables import table
 
@@ -148,14 +148,19 @@ _LEAF = "sha256(" + " || ".join(f"case when {c} is null then '-' else strlen({c}
                                for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
 
 
-@register("op12_merkle_manifest", f"""
-with recursive tab as (  -- CRC-32 by its table of 256 entries
-  select i, c from (with recursive s(i, k, c) as (select i, 0, i from range(256) r(i) union all
+def _crc_sql(ids: str) -> str:
+    """Tables ending in crcs(id, crc): CRC-32 of the decimal ids, by its table of 256 entries."""
+    return f"""tab as (select i, c from (with recursive s(i, k, c) as (select i, 0, i from range(256) r(i) union all
     select i, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from s where k < 8) select i, c from s where k = 8)),
 lut as (select list(c order by i) as l from tab),
-crc(doc_id, s, k, c) as (select doc_id, doc_id::varchar, 0, 4294967295::bigint from documents
-  union all select doc_id, s, k + 1, xor(c >> 8, l[(xor(c, ascii(s[k + 1])) & 255) + 1]) from crc, lut where k < length(s)),
-bad as (select doc_id from crc where k = length(s) and xor(c, 4294967295) % 7 = 0),
+crc(id, s, k, c) as (select id, id::varchar, 0, 4294967295::bigint from ({ids}) x(id)
+  union all select id, s, k + 1, xor(c >> 8, l[(xor(c, ascii(s[k + 1])) & 255) + 1]) from crc, lut where k < length(s)),
+crcs as (select id, xor(c, 4294967295) as crc from crc where k = length(s))"""
+
+
+@register("op12_merkle_manifest", f"""
+with recursive {_crc_sql('select doc_id from documents')},
+bad as (select id as doc_id from crcs where crc % 7 = 0),
 d as (select *, {_LEAF.format(n="n_chars")} as leaf, {_LEAF.format(n="n_changed")} as changed,
         dense_rank() over (order by lang nulls first) - 1 as g,
         row_number() over (partition by lang order by doc_id nulls first) - 1 as spot, count(*) over (partition by lang) as m
@@ -182,6 +187,31 @@ def op12(spark, sf):
     return merkle.check_documents(table(spark, sf, "documents"))
 
 
+@register("op13_prefix_trie", f"""
+with recursive {_crc_sql('select distinct conv_id from conversations where conv_id is not null')},
+t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as q
+      from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations) where conv_id is not null),
+i as (select id as conv_id, crc % 9 as h from crcs),
+heads as (select i.conv_id, t.q as d, role, text from i join t on t.conv_id = i.conv_id - i.conv_id % 5 and t.q <= h),
+m as (select i.conv_id, h, count(heads.d) as m from i left join heads using (conv_id) group by all),
+turns as (select * from heads union all select conv_id, m + q - h, role, text from m join t using (conv_id) where q > h),
+p as (select conv_id, 0 as d, '' as k, null::varchar as up, 0 as bytes from i union all
+      select conv_id, d, k, coalesce(lag(k) over (partition by conv_id order by d), ''), bytes from (
+        select conv_id, d, sha256(to_json(list([role, text]) over (partition by conv_id order by d))::varchar) as k, strlen(text) as bytes from turns)),
+n as (select k, d, min(conv_id) as conv_id, count(*) as n_convs, any_value(up) as up, any_value(bytes) * (count(*) - 1) as saved from p group by k, d),
+kids as (select up as k, count(*) as n_children from n where d > 0 group by up),
+w as (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (k)),
+below as (select distinct a.k as top, b.k from p a join p b on a.conv_id = b.conv_id and b.d >= a.d),
+sums as (select top as k, count(*) filter (where n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens from below join w on below.k = w.k group by top),
+last as (select conv_id, arg_max(k, d) as k from p group by conv_id),
+ends as (select k, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from last group by k)
+select w.conv_id, w.d::bigint as depth, u.conv_id as parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens,
+       coalesce(ends_sha256, sha256('')) as ends_sha256
+from w join sums using (k) left join ends using (k) left join w u on w.d > 0 and u.k = w.up""")
+def op13(spark, sf):
+    return prefix_trie.trie(table(spark, sf, "conversations"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)

@@ -17,7 +17,7 @@ def test_names():
     assert sorted(queries.QUERIES) == sorted([
         "op1_url_filter", "op2_toxicity", "op3_warc", "op4_sentencepiece", "op5_best_fit_packing", "op6_jaccard_join", "op7_exact_topk",
         "op8_sharding", "op9_substring_dedup", "op10_quality_rules", "op11_secret_scan",
-        "op12_merkle_manifest", "pipeline"])
+        "op12_merkle_manifest", "op13_prefix_trie", "pipeline"])
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
