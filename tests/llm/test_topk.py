@@ -1,6 +1,7 @@
 """Operator 7 against exact integer scores."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,13 +10,13 @@ from feedpulse.llm import topk
 
 
 def brute(rows, k=10):
-    v = [(i, x) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) and abs(c) < 65536 for c in x)]
-    ints = [[math.floor(1024 * c) for c in x] for _, x in v]
+    v = [(i, x) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    ints = [[math.floor(Fraction(c) * 1024) for c in x] for _, x in v]
     out = []
     for q, (i, _) in enumerate(v):
         if i % 100 == 0:
             s = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), v[c][0]) for c in range(len(v)) if c != q)[:k]
-            out += [(i, r + 1, c, -x) for r, (x, c) in enumerate(s)]
+            out += [(i, r + 1, c, min(max(-x, -2**63), 2**63 - 1)) for r, (x, c) in enumerate(s)]
     return sorted(out)
 
 
@@ -35,6 +36,18 @@ def test_ties_nulls_and_odd_vectors(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_wide_components(spark, monkeypatch):
+    """Components of 65 536 and more, up to the largest doubles, among small ones."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=5) * 0.3).tolist()) for i in range(300)]
+    rows += [(1000 + 20 * i, (rng.normal(size=5) * 10.0 ** rng.integers(3, 12)).tolist()) for i in range(60)]
+    rows += [(3000, [1e9] * 5), (3001, [1e9] * 5), (3002, [-1e9] * 5), (3100, [65536.0, 0.5, -65535.9, 1.0, 2.0]), (3200, [1e308, -1e308, 1.0, 0.0, 3.0]),
+             (3300, [-1.7e308] * 5), (3400, [70000.0, 1.0]), (3500, [2.0**53 + 2, 1e-3, 0.0, 0.0, 0.0])]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, [(0, [70000.0, 1.0]), (1, [1.0, 2.0]), (100, [3.0, 4.0])]) == brute([(0, [70000.0, 1.0]), (1, [1.0, 2.0]), (100, [3.0, 4.0])])
+
+
 def test_fewer_rows_than_asked_for_and_none(spark):
     rows = [(0, [0.5, -0.5]), (1, [0.1, 0.2]), (2, [0.0, 0.0])]
     assert run(spark, rows) == brute(rows)
