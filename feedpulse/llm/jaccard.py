@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +181,11 @@ def _needed(n: np.ndarray) -> np.ndarray:
     return n - (4 * n + 4) // 5 + 1
 
 
+def own_group(task: int, flush: int) -> int:
+    """A group number below 0 that no other flush of any task has; a task that is run again has the same ones."""
+    return -1 - (task << 31 | flush)
+
+
 def tiles(texts: DataFrame, common: tuple) -> DataFrame:
     """(key, node, place in the set's order) for the prefix shingles that several sets share, once for equal sets of a task.
 
@@ -193,14 +199,14 @@ def tiles(texts: DataFrame, common: tuple) -> DataFrame:
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunks, (prefixes, levels) = _Chunks(True), table.value
-        held, size = [], 0
+        held, size, flushes = [], 0, 0
 
         def done():
-            nonlocal held, size
+            nonlocal held, size, flushes
             x, node, rank, place = (np.concatenate(c) for c in zip(*held))
-            held, size = [], 0
+            held, size, flushes = [], 0, flushes + 1
             part = (x >> np.uint64(64 - bits)).astype(np.int64)
-            part[rank > 0] = -1 - int(np.random.default_rng().integers(0, 2**62))  # a group of its own
+            part[rank > 0] = own_group(TaskContext.get().partitionId(), flushes)
             low = (x >> np.uint64(32 - bits)).astype(np.uint32)
             order = np.argsort(part, kind="stable")
             part, low, node, place = part[order], low[order], node[order], place[order]

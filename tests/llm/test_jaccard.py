@@ -151,3 +151,15 @@ def test_prefix_length_is_enough(n):
     for m in range(1, 2 * n):  # an overlap that links leaves fewer than p shingles out
         least = next((o for o in range(min(n, m) + 1) if 100 * o >= 80 * (n + m - o)), None)
         assert least is None or n - least < p
+
+
+def test_a_task_that_is_run_again_deals_the_same_groups(spark):
+    """No random numbers: group numbers follow the task and its flush, and no two share one."""
+    numbers = [jaccard.own_group(t, f) for t in (0, 1, 2, 99_999) for f in (1, 2, 3_000_000)]
+    assert len(set(numbers)) == len(numbers) and max(numbers) < 0 and min(numbers) > -2**63
+    rng = random.Random(8)
+    common = prose(rng, 12)
+    texts = jaccard._texts(docs(spark, [(i, common + " " + prose(rng, 20)) for i in range(60)]), "doc_id", "text")
+    table = jaccard.common_shingles(texts, 60)
+    deal = lambda: sorted(tuple(r) for r in jaccard.tiles(texts, table).collect())
+    assert deal() == deal()
