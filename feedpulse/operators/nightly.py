@@ -75,8 +75,20 @@ def load_current(spark: SparkSession, root: str, name: str):
     version = current_version(spark, root, name)
     if version is None:
         raise LookupError(f"no promoted version of {name}")
+    return load_version(spark, root, name, version)
+
+
+def load_version(spark: SparkSession, root: str, name: str, version: int):
+    """A saved version, whether the alias points to it or not."""
     return TR.load_model(_paths(root, name, version)[0])
 
 
+def save_version(spark: SparkSession, root: str, name: str, model, version: int, promote: bool = True) -> None:
+    """Save a version fitted elsewhere, and point the alias to it if ``promote``."""
+    TR.save_model(model, _paths(root, name, version)[0])
+    if promote:
+        E.set_alias(spark, root, name, version)
+
+
 def predictions(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
     return spark.read.parquet(_paths(root, name, version)[1])

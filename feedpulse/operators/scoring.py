@@ -99,8 +99,25 @@ def score_rating(df: DataFrame, model, user_dict: DataFrame, item_dict: DataFram
                       (F.col("__cold_u") | F.col("__cold_i")).alias("is_cold_start"))
 
 
-def score_feed(df: DataFrame, topic_model=None, sentiment_model=None, text_col: str = "clean_text") -> DataFrame:
-    """topic and sentiment for a cleaned feed in one plan; keyword rules when no model."""
+def score_two_heads(df: DataFrame, model, text_col: str = "clean_text") -> DataFrame:
+    """topic and sentiment with their confidences, from a pipeline of ``train_feed`` (one tokenise and
+    weight pass). ``text_col`` stands in for the pipeline's own text column; the input's columns stay as they are."""
+    own = model.stages[0].getStatement().split("coalesce(`")[1].split("`")[0]
+    keep = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(df.columns)]
+    d = df.select(*keep, F.col(f"`{text_col}`").alias(own))
+    out = ovr_probability(model.transform(d), out="topic_probability")
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(df.columns)], F.col("topic_label").alias("topic"),
+                      F.round(F.array_max("topic_probability"), 4).alias("topic_confidence"),
+                      X.norm_sentiment("sentiment_label").alias("sentiment"),
+                      confidence("sentiment_probability").alias("sentiment_confidence"))
+
+
+def score_feed(df: DataFrame, topic_model=None, sentiment_model=None, text_col: str = "clean_text",
+               feed_model=None) -> DataFrame:
+    """topic and sentiment for a cleaned feed in one plan: by a two-headed pipeline, by two models, or by
+    keyword rules when there is no model."""
+    if feed_model is not None:
+        return score_two_heads(df, feed_model, text_col).drop("topic_confidence", "sentiment_confidence")
     if topic_model is None or sentiment_model is None:
         return df.withColumn("topic", X.rule_topic(text_col)).withColumn("sentiment", X.rule_sentiment(text_col))
     t = score_topic(df.withColumn("text", F.col(text_col)), topic_model).drop("confidence")

@@ -93,6 +93,35 @@ def train_linear_log(train: DataFrame, spec: TextModelSpec, max_iter: int = 100,
     return Pipeline(stages=[*stages, si, ovr, back]).fit(train)
 
 
+def train_feed(rows: DataFrame, spec: TextModelSpec, topic_col: str = "topic", sentiment_col: str = "sentiment",
+               max_iter: int = 50, parallelism: int = 4) -> PipelineModel:
+    """one fitted pipeline with two heads, topic and sentiment, over one tokenise and weight pass.
+
+    The vocabulary and the weights are fitted on all ``rows``; each head on the rows that have its label
+    (null labels are left out). The heads' columns are ``topic_*`` (margins: ``rawPrediction``) and
+    ``sentiment_*``, so that one transform adds both; the fitted pipeline needs the text column only.
+    """
+    stages, _, _ = fit_text_features(rows, spec)
+    weighted = PipelineModel(stages).transform(rows).select(topic_col, sentiment_col, "features").persist()
+    heads = []
+    for head, label in (("topic", topic_col), ("sentiment", sentiment_col)):
+        known = weighted.where(F.col(label).isNotNull())
+        si = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(known)
+        cols = {"featuresCol": "features", "labelCol": "__y", "predictionCol": f"{head}_prediction",
+                "rawPredictionCol": f"{head}_raw"}
+        if head == "topic":
+            lr = LogisticRegression(regParam=LINEAR_ALPHA, standardization=False, maxIter=max_iter)
+            # its margins stay in rawPrediction: a reloaded OneVsRestModel knows no other name for them
+            est = OneVsRest(classifier=lr, parallelism=parallelism, **{**cols, "rawPredictionCol": "rawPrediction"})
+        else:
+            est = LogisticRegression(regParam=1.0 / max(known.count(), 1), standardization=False, maxIter=max_iter,
+                                     probabilityCol="sentiment_probability", **cols)
+        back = IndexToString(inputCol=f"{head}_prediction", outputCol=f"{head}_label", labels=si.labels)
+        heads += [est.fit(si.transform(known)), back]
+    weighted.unpersist()
+    return PipelineModel([*stages, *heads])
+
+
 def ovr_probability(df: DataFrame, raw: str = "rawPrediction", out: str = "probability_arr") -> DataFrame:
     """Normalised per-class sigmoid of one-vs-rest margins (JVM array expressions)."""
     m = vector_to_array(F.col(raw))

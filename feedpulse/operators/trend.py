@@ -79,10 +79,10 @@ def trend_summary(scored: DataFrame, cube: DataFrame, ts: str = "date") -> DataF
                                 F.countDistinct("day").alias("total_days"))
 
 
-def trend_report(raw: DataFrame, topic_model=None, sentiment_model=None, round_to: int | None = 2):
-    """The trend upload: resolve date/text columns, lenient UTC dates, clean, score (models or
-    keyword rules), roll up per day and topic. Returns (cube with text dates, summary)."""
+def trend_report(raw: DataFrame, topic_model=None, sentiment_model=None, round_to: int | None = 2, feed_model=None):
+    """The trend upload: resolve date/text columns, lenient UTC dates, clean, score (a two-headed
+    pipeline, two models or keyword rules), roll up per day and topic. Returns (cube with text dates, summary)."""
     from feedpulse.operators.scoring import prepare_feed, score_feed
-    scored = score_feed(prepare_feed(raw), topic_model, sentiment_model)
+    scored = score_feed(prepare_feed(raw), topic_model, sentiment_model, feed_model=feed_model)
     cube = trend_daily(scored, round_to=round_to)
     return trend_text_dates(cube), trend_summary(scored, cube)

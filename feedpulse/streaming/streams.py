@@ -154,12 +154,54 @@ def stream_alerts(expr: DataFrame, key: str, threshold: float, hold: int, step:
                                         "run_start long, last_t long", "append", GroupStateTimeout.NoTimeout))
 
 
-def stream_score(df: DataFrame, model=None, text_col: str = "clean_text") -> DataFrame:
-    """K6: score a stream with a fixed fitted pipeline (or the keyword rules when none)."""
-    from feedpulse.operators.scoring import score_feed
+def stream_score(df: DataFrame, model=None, text_col: str = "clean_text", confidences: bool = False) -> DataFrame:
+    """K6: score a stream with a fixed fitted pipeline of ``train_feed`` (or the keyword rules when none)."""
+    from feedpulse.operators.scoring import score_feed, score_two_heads
     if model is None:
         return score_feed(df, text_col=text_col)
-    return model.transform(df)
+    return score_two_heads(df, model, text_col) if confidences else score_feed(df, text_col=text_col, feed_model=model)
+
+
+def pinned_version(spark: SparkSession, root: str, name: str, checkpoint: str) -> int:
+    """The version a scoring stream runs with: what the alias pointed to when the stream first started.
+
+    It is written beside the stream's checkpoint, so a restart scores the rest of the input with the
+    same version, wherever the alias points by then. A new checkpoint takes the alias's version of its day.
+    """
+    from feedpulse.operators.nightly import current_version
+    path = f"{checkpoint.rstrip('/')}-model"
+    try:
+        return spark.read.schema("version long").parquet(path).first()["version"]
+    except Exception as e:  # the first start
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    version = current_version(spark, root, name)
+    if version is None:
+        raise LookupError(f"no promoted version of {name}")
+    spark.createDataFrame([(int(version),)], "version long").coalesce(1).write.parquet(path)
+    return int(version)
+
+
+def run_by_batch(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Append every micro-batch over the available input to ``path`` as a partition of its own (``batch_id``).
+
+    A batch that is run again after a failure replaces its own partition, so no row is written twice and
+    none is lost.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+    q = df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+    q.trigger(availableNow=True).start().awaitTermination()
+
+
+def score_available(df: DataFrame, root: str, name: str, path: str, checkpoint: str, text_col: str = "clean_text") -> int:
+    """K6 end to end: pin the version, load it, score what is available, write it by batch. Returns the version."""
+    from feedpulse.operators.nightly import load_version
+    spark = df.sparkSession
+    version = pinned_version(spark, root, name, checkpoint)
+    run_by_batch(stream_score(df, load_version(spark, root, name, version), text_col, confidences=True), path, checkpoint)
+    return version
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
