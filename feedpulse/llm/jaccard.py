@@ -42,7 +42,7 @@ COMMON_FROM = 16           # documents that hold a shingle for it to be called c
 MAX_COMMON = 1_000_000     # common shingles that are broadcast (13 MB); the rest of them count as rare
 HASHES_PER_RANGE = 400_000
 SIGNATURE_BITS = 512       # of small sets
-SALT_PAIRS = 256           # trials against one set that one task makes
+SALT_PAIRS = 32            # trials against one set that one task makes
 
 
 def shingles(h: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
