@@ -8,6 +8,9 @@ the smoothed idf, Normalizer) so scoring stays in the JVM.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,14 +102,18 @@ def term_counts(df: DataFrame, doc: str, terms: str) -> DataFrame:
 
 
 def fit_vocab(df: DataFrame, doc: str, terms: str, min_df: int = 1, k: int | None = None) -> DataFrame:
-    """Terms with document frequency >= min_df, top-k by corpus frequency.
+    """Terms with document frequency >= min_df, top-k by corpus frequency; a row is a document.
 
+    Documents do not move: a row's terms are sorted in the row, where the first of equal ones counts
+    for the document frequency, and only terms are shuffled, combined by each task before.
     Returns (term, tf, df, idx) where idx is the alphabetical position among
     the kept terms. Top-k is a bounded TakeOrderedAndProject (k rows).
     """
-    tc = term_counts(df, doc, terms)
-    v = (tc.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-           .where(F.col("df") >= min_df))
+    s = df.select(F.sort_array(terms).alias("s"))
+    pairs = F.arrays_zip(F.col("s").alias("term"), F.concat(F.array(F.lit(None).cast("string")), F.col("s")).alias("before"))
+    e = s.select(F.explode_outer(pairs).alias("e")).select("e.term", "e.before").where(F.col("term").isNotNull())
+    v = (e.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("df"))
+          .where(F.col("df") >= min_df))
     if k is not None:
         v = v.orderBy(F.desc("tf"), F.asc("term")).limit(k)
         # k rows at most: a global window over them is bounded
@@ -114,29 +121,53 @@ def fit_vocab(df: DataFrame, doc: str, terms: str, min_df: int = 1, k: int | Non
     return v.join(dense_index(v.select("term"), "term", "idx"), "term")
 
 
-def tfidf(df: DataFrame, vocab: DataFrame, doc: str, terms: str, n_docs: DataFrame | None = None,
-          vocab_bounded: bool = True) -> DataFrame:
+def tfidf(df: DataFrame, vocab: DataFrame, doc: str, terms: str, n_docs: DataFrame | None = None) -> DataFrame:
     """Tf * (ln((1 + n) / (1 + df)) + 1), L2-normalised per document (long form).
 
     ``n_docs`` is a one-row frame with column ``n`` (documents the vocabulary
-    was fitted on); by default the documents of ``df``. ``vocab_bounded`` says
-    the vocabulary was cut to max_features terms, which makes it safe to
-    broadcast; otherwise the join is left to the planner's size estimate.
+    was fitted on); by default the documents of ``df``. A vocabulary of up to ``MAX_VECTOR_TERMS`` terms
+    (checked) is applied inside the rows: counts, weights and norm of a document are one sparse vector,
+    and nothing is shuffled. A larger one is joined by term.
     """
     if n_docs is None:
         n_docs = df.agg(F.count(F.lit(1)).alias("n"))
+    if (rows := bounded_vocab(vocab, MAX_VECTOR_TERMS)) is None:
+        return _tfidf_by_join(df, vocab, doc, terms, n_docs)
+    n = n_docs.select("n").first()[0]
+    d = df.select(doc, F.coalesce(F.col(terms), F.array().cast("array<string>")).alias("__terms"))
+    for stage in _stages(rows, "__terms", "__weights", n):
+        d = stage.transform(d)
+    idx, tf = sparse_parts("__tf")
+    parts = F.arrays_zip(idx.alias("idx"), tf.alias("tf"), sparse_parts("__weights")[1].alias("weight"))
+    names = F.from_json(F.lit(json.dumps([r["term"] for r in rows])), "array<string>")  # folded to one constant
+    return d.select(doc, F.explode_outer(parts).alias("p")).where("p is not null").select(
+        doc, F.get(names, F.col("p.idx")).alias("term"), "p.idx", F.col("p.tf").cast("long").alias("tf"), "p.weight")
+
+
+def _tfidf_by_join(df: DataFrame, vocab: DataFrame, doc: str, terms: str, n_docs: DataFrame) -> DataFrame:
+    """The weights of a vocabulary without a bound: counts by (document, term) join it by term."""
     from feedpulse.operators.kpi import scalar_join
-    voc = vocab.select("term", "idx", F.col("df").alias("__df"))
-    idf = scalar_join(voc, n_docs.select(F.col("n").alias("__n"))) \
+    idf = scalar_join(vocab.select("term", "idx", F.col("df").alias("__df")), n_docs.select(F.col("n").alias("__n"))) \
         .select("term", "idx", (F.log((1 + F.col("__n")) / (1 + F.col("__df"))) + 1).alias("idf"))
-    tc = term_counts(df, doc, terms)
-    # the vocabulary holds at most max_features rows: a proven broadcast bound when k is set
-    w = tc.join(F.broadcast(idf) if vocab_bounded else idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    w = term_counts(df, doc, terms).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return w.select(doc, "term", "idx", "tf", (F.col("w") / norm).alias("weight"))
 
 
-MAX_VECTOR_TERMS = 1 << 20
+def sparse_parts(vector: Column | str) -> tuple[Column, Column]:
+    """(indices, values) of a vector column as arrays, read from its row without making it dense."""
+    u = F.unwrap_udt(F.col(vector) if isinstance(vector, str) else vector)
+    dense = F.transform(u["values"], lambda v, i: i)
+    return F.when(u["type"] == 0, u["indices"]).otherwise(dense), u["values"]
+
+
+def bounded_vocab(vocab: DataFrame, most: int) -> list | None:
+    """The vocabulary's rows by idx, or None if there are more than ``most``: that many and one are fetched at most."""
+    rows = vocab.select("term", "df", "idx").limit(most + 1).collect()
+    return sorted(rows, key=lambda r: r["idx"]) if len(rows) <= most else None
+
+
+MAX_VECTOR_TERMS = 1 << 18  # a sparse vector's vocabulary is one object on the driver and in every task
 
 
 def vectorizer_stages(vocab: DataFrame, input_col: str, output_col: str = "features",
@@ -146,18 +177,19 @@ def vectorizer_stages(vocab: DataFrame, input_col: str, output_col: str = "featu
     The vocabulary (at most max_features terms) is brought to the driver once
     to parameterise the stages; documents never are.
     """
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-    from pyspark.ml.linalg import Vectors
-    import math
-
-    size = vocab.count()
-    if size > max_terms:  # checked before anything is brought to the driver
-        raise ValueError(f"vocabulary of {size} terms exceeds {max_terms}; fit it with max_features")
-    rows = vocab.select("term", "df", "idx").orderBy("idx").collect()
-    terms = [r["term"] for r in rows]
+    rows = bounded_vocab(vocab, max_terms)
+    if rows is None:
+        raise ValueError(f"vocabulary of more than {max_terms} terms; fit it with max_features")
     if n_docs is None:
         raise ValueError("n_docs is required")
-    idf = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows]
+    return _stages(rows, input_col, output_col, n_docs)
+
+
+def _stages(rows: list, input_col: str, output_col: str, n_docs: int) -> list:
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+    terms = [r["term"] for r in rows] or ["\u0000"]  # a vocabulary without terms: one that no token is
+    idf = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows] or [1.0]
     cv = CountVectorizerModel.from_vocabulary(terms, inputCol=input_col, outputCol="__tf")
     ew = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__tfidf")
     nm = Normalizer(p=2.0, inputCol="__tfidf", outputCol=output_col)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from feedpulse.functions import schema as S
 from feedpulse.functions import text as X
 from feedpulse.operators import features as D
-from feedpulse.operators.train import ovr_probability
 
 # Text column aliases of the scoring service and the trend API.
 SCORE_TEXT_ALIASES = ("text", "comment", "content")
@@ -47,7 +46,7 @@ def score_topic(df: DataFrame, model, text_aliases=SCORE_TEXT_ALIASES) -> DataFr
     """topic label and confidence (normalised one-vs-rest probabilities)."""
     src = _text(df, text_aliases)
     d = df.withColumn("text", X.clean_basic(X.null_text(F.col(f"`{src}`"), "nan")))
-    out = ovr_probability(model.transform(d))
+    out = model.transform(d)
     return out.select(*df.columns, F.col("predicted_label").alias("topic"),
                       F.round(F.array_max("probability_arr"), 4).alias("confidence"))
 
@@ -105,11 +104,11 @@ def score_two_heads(df: DataFrame, model, text_col: str = "clean_text") -> DataF
     own = model.stages[0].getStatement().split("coalesce(`")[1].split("`")[0]
     keep = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(df.columns)]
     d = df.select(*keep, F.col(f"`{text_col}`").alias(own))
-    out = ovr_probability(model.transform(d), out="topic_probability")
-    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(df.columns)], F.col("topic_label").alias("topic"),
-                      F.round(F.array_max("topic_probability"), 4).alias("topic_confidence"),
-                      X.norm_sentiment("sentiment_label").alias("sentiment"),
-                      confidence("sentiment_probability").alias("sentiment_confidence"))
+    out = model.transform(d)
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(df.columns)], F.col("topic_predicted_label").alias("topic"),
+                      F.round(F.array_max("topic_probability_arr"), 4).alias("topic_confidence"),
+                      X.norm_sentiment("sentiment_predicted_label").alias("sentiment"),
+                      F.round(F.array_max("sentiment_probability_arr"), 4).alias("sentiment_confidence"))
 
 
 def score_feed(df: DataFrame, topic_model=None, sentiment_model=None, text_col: str = "clean_text",

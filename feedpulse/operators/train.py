@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedpulse.operators import features as D
+from feedpulse.operators import linear as L
+from feedpulse.session import written
 
 # Model sizes and hyper-parameters of the training jobs.
 SENTIMENT_TERMS = 3000
@@ -63,7 +65,7 @@ def fit_text_features(df: DataFrame, spec: TextModelSpec):
     """Fit the vocabulary on ``df`` and return (stages, vocab, n_docs)."""
     toks = Pipeline(stages=_token_stages(spec.text_col, "__tokens", spec.stop, spec.grams)).fit(df)
     tokenised = toks.transform(df.select(spec.doc_col, spec.text_col))
-    vocab = D.fit_vocab(tokenised, spec.doc_col, "__tokens", spec.min_df, spec.max_features).cache()
+    vocab = written(D.fit_vocab(tokenised, spec.doc_col, "__tokens", spec.min_df, spec.max_features), "vocab")
     n_docs = df.count()
     stages = list(toks.stages) + D.vectorizer_stages(vocab, "__tokens", "features", n_docs)
     return stages, vocab, n_docs
@@ -79,55 +81,40 @@ def train_logistic(train: DataFrame, spec: TextModelSpec, max_iter: int = 100) -
     return Pipeline(stages=[*stages, si, lr, back]).fit(train)
 
 
-def train_linear_log(train: DataFrame, spec: TextModelSpec, max_iter: int = 100, parallelism: int = 4) -> PipelineModel:
+def train_linear_log(train: DataFrame, spec: TextModelSpec, max_iter: int = 100) -> PipelineModel:
     """One binary log-loss linear model per class (one-vs-rest), alpha = 1e-4.
 
-    Classes are fitted in parallel by OneVsRest; probabilities are the
-    per-class sigmoids normalised to sum 1 (see ``ovr_probability``).
+    All classes are fitted together, one pass over the blocks per trial (``linear.fit_one_vs_rest``);
+    probabilities are the per-class sigmoids normalised to sum 1.
     """
-    stages, _, _ = fit_text_features(train, spec)
-    si = StringIndexer(inputCol=spec.label_col, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
-    lr = LogisticRegression(regParam=LINEAR_ALPHA, standardization=False, maxIter=max_iter)
-    ovr = OneVsRest(classifier=lr, featuresCol="features", labelCol="__y", parallelism=parallelism)
-    back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=si.labels)
-    return Pipeline(stages=[*stages, si, ovr, back]).fit(train)
+    stages, vocab, _ = fit_text_features(train, spec)
+    head = fit_head(PipelineModel(stages).transform(train), spec.label_col, len(stages[-3].vocabulary), LINEAR_ALPHA, max_iter)
+    return PipelineModel([*stages, head])
+
+
+def fit_head(weighted: DataFrame, label: str, terms: int, reg: float, max_iter: int, prefix: str = "") -> L.LinearHead:
+    """A fitted head for the labels of ``weighted`` (vectors in ``features``); rows without a label are left out."""
+    labels = sorted(r[0] for r in weighted.select(label).where(F.col(label).isNotNull()).distinct().collect())  # one row per class
+    number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1 if labels else F.lit(None)
+    blocks = L.to_blocks(weighted, "features", number)
+    w, b, _ = L.fit_one_vs_rest(blocks, len(labels), terms, reg, max_iter)
+    return L.head_of(w, b, labels, prefix=prefix)
 
 
 def train_feed(rows: DataFrame, spec: TextModelSpec, topic_col: str = "topic", sentiment_col: str = "sentiment",
-               max_iter: int = 50, parallelism: int = 4) -> PipelineModel:
+               max_iter: int = 50) -> PipelineModel:
     """one fitted pipeline with two heads, topic and sentiment, over one tokenise and weight pass.
 
     The vocabulary and the weights are fitted on all ``rows``; each head on the rows that have its label
-    (null labels are left out). The heads' columns are ``topic_*`` (margins: ``rawPrediction``) and
-    ``sentiment_*``, so that one transform adds both; the fitted pipeline needs the text column only.
+    (null labels are left out). The heads' columns are ``topic_*`` and ``sentiment_*``, so that one
+    transform adds both; the fitted pipeline needs the text column only, and works on streams.
     """
     stages, _, _ = fit_text_features(rows, spec)
-    weighted = PipelineModel(stages).transform(rows).select(topic_col, sentiment_col, "features").persist()
-    heads = []
-    for head, label in (("topic", topic_col), ("sentiment", sentiment_col)):
-        known = weighted.where(F.col(label).isNotNull())
-        si = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(known)
-        cols = {"featuresCol": "features", "labelCol": "__y", "predictionCol": f"{head}_prediction",
-                "rawPredictionCol": f"{head}_raw"}
-        if head == "topic":
-            lr = LogisticRegression(regParam=LINEAR_ALPHA, standardization=False, maxIter=max_iter)
-            # its margins stay in rawPrediction: a reloaded OneVsRestModel knows no other name for them
-            est = OneVsRest(classifier=lr, parallelism=parallelism, **{**cols, "rawPredictionCol": "rawPrediction"})
-        else:
-            est = LogisticRegression(regParam=1.0 / max(known.count(), 1), standardization=False, maxIter=max_iter,
-                                     probabilityCol="sentiment_probability", **cols)
-        back = IndexToString(inputCol=f"{head}_prediction", outputCol=f"{head}_label", labels=si.labels)
-        heads += [est.fit(si.transform(known)), back]
-    weighted.unpersist()
-    return PipelineModel([*stages, *heads])
-
-
-def ovr_probability(df: DataFrame, raw: str = "rawPrediction", out: str = "probability_arr") -> DataFrame:
-    """Normalised per-class sigmoid of one-vs-rest margins (JVM array expressions)."""
-    m = vector_to_array(F.col(raw))
-    sig = F.transform(m, lambda x: 1 / (1 + F.exp(-x)))
-    total = F.aggregate(sig, F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn(out, F.transform(sig, lambda x: x / total))
+    terms = len(stages[-3].vocabulary)
+    weighted = PipelineModel(stages).transform(rows).select(topic_col, sentiment_col, "features")
+    known = max(rows.where(F.col(sentiment_col).isNotNull()).count(), 1)
+    return PipelineModel([*stages, fit_head(weighted, topic_col, terms, LINEAR_ALPHA, max_iter, "topic_"),
+                          fit_head(weighted, sentiment_col, terms, 1.0 / known, max_iter, "sentiment_")])
 
 
 def train_gbt(train: DataFrame, spec: TextModelSpec, trees: int = GBT_TREES, id_cols=("user_idx", "item_idx")):
@@ -150,93 +137,43 @@ def load_model(path: str) -> PipelineModel:
 
 # ---------------------------------------------------------------- modified Huber
 
-def modified_huber_grad(z) :
-    """dLoss/dz of the modified Huber loss for z = y * f."""
-    return F.when(z >= 1, F.lit(0.0)).when(z >= -1, -2 * (1 - z)).otherwise(F.lit(-4.0))
-
-
-def modified_huber_loss(z):
-    return F.when(z >= 1, F.lit(0.0)).when(z >= -1, (1 - z) * (1 - z)).otherwise(-4 * z)
+def train_modified_huber(weights_long: DataFrame, labels: DataFrame, doc: str = "doc_id", alpha: float = LINEAR_ALPHA,
+                         eta: float = 0.5, max_epochs: int = 100, patience: int = 5, valid: DataFrame | None = None, on_epoch=None):
+    """E5/E6 for weights in long form: ``weights_long`` (doc, idx, weight), ``labels`` and ``valid`` (doc, y in {0, 1}).
 
+    The rows of a document are put together once; every epoch then is one pass over blocks
+    (``linear.fit_modified_huber``). Returns (weights dict idx -> w, bias, history).
+    """
+    pairs = F.sort_array(F.collect_list(F.struct("idx", "weight")))  # a document's terms
+    x = weights_long.groupBy(doc).agg(pairs.alias("x"))
+    y = labels.select(doc, "y", F.lit(False).alias("valid"))
+    y = y.unionByName(valid.select(doc, "y", F.lit(True).alias("valid"))) if valid is not None else y
+    terms = (weights_long.agg(F.max("idx")).first()[0] or 0) + 1
+    none = F.array().cast("array<struct<idx:int,weight:double>>")
+    rows = y.join(x, doc, "left").withColumn("x", F.coalesce("x", none))
+    blocks = L.to_blocks(rows, (F.col("x.idx"), F.col("x.weight")), F.col("y"), F.col("valid"))
+    w, b, history = L.fit_modified_huber(blocks, terms, alpha, eta, max_epochs, patience, valid is not None,
+                                         on_epoch and (lambda e, w, b, loss: on_epoch(e, _dict(w), b, loss)))
+    return _dict(w), b, history
 
-def train_modified_huber(weights_long: DataFrame, labels: DataFrame, doc: str = "doc_id",
-                         alpha: float = LINEAR_ALPHA, eta: float = 0.5, max_epochs: int = 100,
-                         patience: int = 5, valid: DataFrame | None = None, on_epoch=None):
-    """Full-batch gradient descent of a linear model under the modified Huber loss.
 
-    ``weights_long``: tf-idf rows (doc, idx, weight) of the training and validation
-    documents; ``labels``: (doc, y) with y in {0, 1} for the training documents only.
-    Each epoch is two joins and two aggregates over the long form: margins per
-    document, then gradient per term. The weight vector (<= max_features
-    entries) is the only thing brought to the driver, once per epoch.
-    Early stopping: stop after ``patience`` epochs without a better validation
-    loss when ``valid`` (doc, y) is given. ``on_epoch(epoch, w, b, loss)`` may log.
-    Returns (weights dict idx->w, bias, history list).
-    """
-    spark = weights_long.sparkSession
-    # one partitioning by document for all epochs: margins and the join back need no further shuffle,
-    # only the partial sums per term move
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = weights_long.select(doc, "idx", "weight").repartition(n_parts, doc).cache()
-    y = labels.select(doc, (F.col("y") * 2 - 1).cast("double").alias("__y")).repartition(n_parts, doc).cache()
-    n = y.count()
-    w: dict[int, float] = {}
-    b = 0.0
-    best, best_state, since = float("inf"), ({}, 0.0), 0
-    history = []
-    for epoch in range(1, max_epochs + 1):  # max_epochs = 0: no training, zero weights
-        wdf = spark.createDataFrame([(int(k), float(v)) for k, v in w.items()] or [(-1, 0.0)], "idx int, w double")
-        m = epoch_margins(x, y, wdf, b, doc)
-        z = F.col("__y") * F.col("__f")
-        m = m.withColumn("__g", modified_huber_grad(z) * F.col("__y")).withColumn("__l", modified_huber_loss(z))
-        # one action per epoch: term gradients plus two reserved rows (-1 bias gradient, -2 mean loss)
-        term = x.join(m.select(doc, "__g"), doc).groupBy("idx").agg(F.sum(F.col("weight") * F.col("__g")).alias("g"))
-        extra = m.agg(F.sum("__g").alias("gb"), F.avg("__l").alias("loss")).select(
-            F.explode(F.array(F.struct(F.lit(-1).alias("idx"), F.col("gb").alias("g")),
-                              F.struct(F.lit(-2).alias("idx"), F.col("loss").alias("g")))).alias("r")).select("r.*")
-        got = {int(r["idx"]): r["g"] for r in term.unionByName(extra).collect()}
-        stats = {"gb": got.pop(-1) or 0.0, "loss": got.pop(-2) or 0.0}
-        gvec = {k: v / n for k, v in got.items()}
-        keys = set(w) | set(gvec)
-        w = {k: w.get(k, 0.0) - eta * (gvec.get(k, 0.0) + alpha * w.get(k, 0.0)) for k in keys}
-        b -= eta * (stats["gb"] / n)
-        loss = float(stats["loss"])
-        history.append((epoch, loss))
-        if on_epoch:
-            on_epoch(epoch, w, b, loss)
-        if valid is not None:
-            vl = score_linear(x, w, b, doc).join(valid.select(doc, (F.col("y") * 2 - 1).cast("double").alias("__y")), doc)
-            vloss = vl.agg(F.avg(modified_huber_loss(F.col("__y") * F.col("margin")))).first()[0]
-            if vloss is None:
-                continue
-            if vloss < best - 1e-9:
-                best, best_state, since = vloss, (dict(w), b), 0
-            else:
-                since += 1
-                if since >= patience:
-                    break
-    if best < float("inf"):  # the best epoch's weights, however the epochs ended
-        w, b = best_state
-    x.unpersist()
-    y.unpersist()
-    return w, b, history
-
-
-def epoch_margins(x: DataFrame, y: DataFrame, w: DataFrame, b: float, doc: str = "doc_id") -> DataFrame:
-    """Margin of each training document; ``x`` and ``y`` are partitioned by ``doc`` alike, so nothing is shuffled."""
-    margin = (x.join(F.broadcast(w), "idx", "left")
-               .groupBy(doc).agg(F.sum(F.col("weight") * F.coalesce(F.col("w"), F.lit(0.0))).alias("__f")))
-    return y.join(margin.hint("shuffle_hash"), doc, "left").withColumn("__f", F.coalesce(F.col("__f"), F.lit(0.0)) + F.lit(b))
+def _dict(w) -> dict[int, float]:
+    return {i: float(x) for i, x in enumerate(w) if x}
 
 
 def score_linear(weights_long: DataFrame, w: dict, b: float, doc: str = "doc_id") -> DataFrame:
-    """Margin, class and probability of the linear model: p = (clip(f, -1, 1) + 1) / 2."""
+    """Margin, class and probability of the linear model for weights in long form."""
     spark = weights_long.sparkSession
     wdf = spark.createDataFrame([(int(k), float(v)) for k, v in w.items()] or [(-1, 0.0)], "idx int, w double")
     f = (weights_long.join(F.broadcast(wdf), "idx", "left")
                      .groupBy(doc).agg((F.sum(F.col("weight") * F.coalesce(F.col("w"), F.lit(0.0))) + F.lit(b)).alias("margin")))
-    return f.withColumn("prediction", (F.col("margin") >= 0).cast("int")) \
-            .withColumn("probability", (F.least(F.greatest(F.col("margin"), F.lit(-1.0)), F.lit(1.0)) + 1) / 2)
+    return with_prediction(f)
+
+
+def with_prediction(df: DataFrame) -> DataFrame:
+    """Class and probability of a margin: p = (clip(f, -1, 1) + 1) / 2."""
+    return df.withColumn("prediction", (F.col("margin") >= 0).cast("int")) \
+             .withColumn("probability", (F.least(F.greatest(F.col("margin"), F.lit(-1.0)), F.lit(1.0)) + 1) / 2)
 
 
 # ---------------------------------------------------------------- linear text model (E4/E5/E6 entry points)
@@ -251,19 +188,28 @@ class LinearTextModel:
     bias: float
 
     def features(self, df: DataFrame) -> DataFrame:
-        toks = Pipeline(stages=_token_stages(self.spec.text_col, "__tokens", self.spec.stop, self.spec.grams)) \
-            .fit(df).transform(df.select(self.spec.doc_col, self.spec.text_col))
-        n = df.sparkSession.range(1).select(F.lit(self.n_docs).alias("n"))
-        return D.tfidf(toks, self.vocab, self.spec.doc_col, "__tokens", n)
+        """The rows of ``df`` with their sparse vector ``features``."""
+        tokens = Pipeline(stages=_token_stages(self.spec.text_col, "__tokens", self.spec.stop, self.spec.grams)).fit(df)
+        stages = D.vectorizer_stages(self.vocab, "__tokens", "features", self.n_docs)
+        return PipelineModel([*tokens.stages, *stages]).transform(df).select(*df.columns, "features")
+
+    def terms(self) -> int:
+        return max(self.weights, default=0) + 1
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Rows of ``df`` with margin, prediction (0/1) and probability."""
-        s = score_linear(self.features(df), self.weights, self.bias, self.spec.doc_col)
-        out = df.join(s, self.spec.doc_col, "left")
-        return out.withColumn("margin", F.coalesce("margin", F.lit(self.bias))) \
-                  .withColumn("prediction", F.coalesce("prediction", (F.lit(self.bias) >= 0).cast("int"))) \
-                  .withColumn("probability", F.coalesce("probability",
-                              (F.least(F.greatest(F.lit(self.bias), F.lit(-1.0)), F.lit(1.0)) + 1) / 2))
+        """Rows of ``df`` with margin, prediction (0/1) and probability; nothing is shuffled."""
+        return self.apply(self.features(df)).drop("features")
+
+    def apply(self, weighted: DataFrame) -> DataFrame:
+        w = np.zeros((1, max(self.terms(), self.vocab_size())))
+        for i, x in self.weights.items():
+            w[0, i] = x
+        return with_prediction(weighted.withColumn("margin", F.get(L.margins("features", w, np.array([self.bias])), F.lit(0))))
+
+    def vocab_size(self) -> int:
+        if not hasattr(self, "_size"):
+            self._size = max(self.vocab.count(), 1)
+        return self._size
 
     def save(self, path: str) -> None:
         """E14 for this model: vocabulary and weights as Parquet, scalars as a one-row table."""
@@ -285,26 +231,20 @@ class LinearTextModel:
 
 
 def _fit_huber(train: DataFrame, spec: TextModelSpec, max_epochs: int, valid_frac: float | None,
-               on_epoch=None, seed: int = 42) -> LinearTextModel:
+               on_epoch=None, seed: int = 42, base: LinearTextModel | None = None) -> LinearTextModel:
+    """Fit the vocabulary (unless ``base`` has one) on the rows that are not held out, then the weights."""
     from feedpulse.operators.split import split_random
     d = train.select(spec.doc_col, spec.text_col, F.col(spec.label_col).cast("int").alias("y"))
-    valid = None
-    if valid_frac:
-        d = split_random(d, [spec.doc_col], valid_frac, seed, out="__valid")
-        valid = d.where("__valid").select(spec.doc_col, "y")
+    d = split_random(d, [spec.doc_col], valid_frac, seed, out="__valid") if valid_frac else d.withColumn("__valid", F.lit(False))
+    if base is None:
         fit = d.where(~F.col("__valid"))
-    else:
-        fit = d
-    toks = Pipeline(stages=_token_stages(spec.text_col, "__tokens", spec.stop, spec.grams)).fit(d) \
-        .transform(d.select(spec.doc_col, spec.text_col))
-    fit_toks = toks.join(fit.select(spec.doc_col), spec.doc_col)
-    vocab = D.fit_vocab(fit_toks, spec.doc_col, "__tokens", spec.min_df, spec.max_features).cache()
-    n_docs = fit.count()
-    n = d.sparkSession.range(1).select(F.lit(n_docs).alias("n"))
-    long = D.tfidf(toks, vocab, spec.doc_col, "__tokens", n)
-    w, b, _ = train_modified_huber(long, fit.select(spec.doc_col, "y"), spec.doc_col, max_epochs=max_epochs,
-                                   valid=valid, on_epoch=on_epoch)
-    return LinearTextModel(spec, vocab, n_docs, w, b)
+        toks = Pipeline(stages=_token_stages(spec.text_col, "__tokens", spec.stop, spec.grams)).fit(d).transform(fit.select(spec.doc_col, spec.text_col))
+        base = LinearTextModel(spec, written(D.fit_vocab(toks, spec.doc_col, "__tokens", spec.min_df, spec.max_features), "vocab"), fit.count(), {}, 0.0)
+    if not max_epochs:
+        return base
+    blocks = L.to_blocks(base.features(d), "features", F.col("y"), F.col("__valid"))
+    w, b, _ = L.fit_modified_huber(blocks, base.vocab_size(), LINEAR_ALPHA, max_epochs=max_epochs, has_valid=bool(valid_frac), on_epoch=on_epoch)
+    return LinearTextModel(spec, base.vocab, base.n_docs, _dict(w), b)
 
 
 def train_linear(train: DataFrame, spec: TextModelSpec, loss: str = "log", max_iter: int = 100,
@@ -326,28 +266,18 @@ def train_epochs(train: DataFrame, test: DataFrame, spec: TextModelSpec, epochs:
     from feedpulse.operators.evaluate import weighted_f1
     spark = train.sparkSession
     rows = []
-    test_lab = test.select(spec.doc_col, F.col(spec.label_col).cast("int").alias("label"))
 
     # the vocabulary is needed by the epoch callback; fit it first, then train with logging
     base = _fit_huber(train, spec, 0, None)
     # the test rows are tokenised and weighted once; each epoch only applies its weights
-    feats = base.features(test.select(spec.doc_col, spec.text_col)).cache()
+    feats = written(base.features(test.select(spec.doc_col, spec.text_col, F.col(spec.label_col).cast("int").alias("label"))), "epoch-test")
 
     def log(epoch, w, b, loss):
-        sc = test_lab.join(score_linear(feats, w, b, spec.doc_col), spec.doc_col, "left")
-        sc = sc.withColumn("prediction", F.coalesce("prediction", F.lit(int(b >= 0))))
-        f1 = weighted_f1(sc.select("prediction", "label"))
+        scored = LinearTextModel(spec, base.vocab, base.n_docs, _dict(w), b)
+        scored._size = base.vocab_size()
+        f1 = weighted_f1(scored.apply(feats).select("prediction", "label"))
         rows.append(("weighted_f1", float(f1.first()["weighted_f1"] or 0.0), epoch))  # one number an epoch
         rows.append(("train_loss", float(loss), epoch))
 
-    model = _fit_huber_with_vocab(train, spec, base, epochs, log)
-    feats.unpersist()
+    model = _fit_huber(train, spec, epochs, None, log, base=base)
     return model, spark.createDataFrame(rows, "key string, value double, step bigint")
-
-
-def _fit_huber_with_vocab(train: DataFrame, spec: TextModelSpec, base: LinearTextModel, epochs: int, on_epoch):
-    d = train.select(spec.doc_col, spec.text_col, F.col(spec.label_col).cast("int").alias("y"))
-    long = base.features(d)
-    w, b, _ = train_modified_huber(long, d.select(spec.doc_col, "y"), spec.doc_col, max_epochs=epochs,
-                                   on_epoch=on_epoch)
-    return LinearTextModel(spec, base.vocab, base.n_docs, w, b)

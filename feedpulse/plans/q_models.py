@@ -160,7 +160,7 @@ def q_sentiment_model(spark, sf):
 def q_topic_model(spark, sf):
     s = _review_split(spark, sf, "topic")
     spec = TR.TextModelSpec(label_col="topic", max_features=TR.TOPIC_TERMS)
-    model = TR.train_linear_log(s.where(~F.col("is_test")), spec, max_iter=50, parallelism=8)
+    model = TR.train_linear_log(s.where(~F.col("is_test")), spec, max_iter=50)
     return SC.score_topic(s.where("is_test").select("doc_id", "text", F.col("topic").alias("true_topic")), model) \
         .select("doc_id", "true_topic", "topic", "confidence")
 

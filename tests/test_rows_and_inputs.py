@@ -15,7 +15,7 @@ from feedpulse.operators import kpi as K
 from feedpulse.operators import metrics as M
 from feedpulse.operators.ordering import running_count
 from feedpulse.operators.split import split_stratified
-from feedpulse.operators.train import epoch_margins, train_modified_huber
+from feedpulse.operators.train import train_modified_huber
 from feedpulse.sources import io as IO
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -94,19 +94,6 @@ def test_gold_overwrites_only_the_days_it_carries(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
 
 
-def test_no_corpus_shuffle_inside_an_epoch(spark):
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = spark.range(200).selectExpr("id % 20 as doc_id", "cast(id % 7 as int) as idx", "1.0D as weight").repartition(n, "doc_id").cache()
-    y = spark.range(20).selectExpr("id as doc_id", "1.0D as __y").repartition(n, "doc_id").cache()
-    w = spark.createDataFrame([(1, 0.5)], "idx int, w double")
-    m = epoch_margins(x, y, w, 0.0)
-    assert m.count() == 20
-    plan = m._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
-    assert "Exchange hashpartitioning" not in plan
-    x.unpersist()
-    y.unpersist()
-
-
 def test_best_weights_are_kept_when_the_epochs_end(spark):
     x = spark.createDataFrame([(i, i % 2, 1.0) for i in range(20)], "doc_id long, idx int, weight double")
     y = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, y int")
