@@ -27,28 +27,46 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def range_split(df: DataFrame, order: Sequence[str], out: str = "__pid", partitions: int | None = None) -> DataFrame:
-    """Rows in ranges of ``order`` (Spark samples the splitters), numbered by range and written once, so that
-    a retry cannot draw other ranges. A range's size does not depend on how many rows one key has."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()).checkpoint(eager=True)
+MAX_SLICES = 4095  # time slices of a job: numbers that the driver and the plan hold
+
+
+def time_splits(df: DataFrame, ts: str, slices: int | None = None) -> list[int]:
+    """Times (microseconds) that cut the rows of ``df`` into slices of about equal size, whatever the keys.
+
+    One aggregate over the time column; the few numbers it gives are fixed from then on, so a retry
+    cannot cut anew. Rows of one time are never cut apart.
+    """
+    n = slices or min(MAX_SLICES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    got = df.agg(F.percentile_approx(at, [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first()["q"]
+    return sorted(set(got or []))
 
 
-def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "value") -> DataFrame:
+def slice_of(ts: Column, splits: Sequence[int]) -> Column:
+    """Number of the row's slice: how many of ``splits`` are not after it (binary search in the row)."""
+    bits = max(len(splits), 1).bit_length()
+    table = F.lit([*splits, *[2**63 - 1] * ((1 << bits) - 1 - len(splits))]).cast("array<bigint>")
+    x = F.unix_micros(ts.cast("timestamp"))
+    steps = F.lit([1 << b for b in reversed(range(bits))])
+    return F.aggregate(steps, F.lit(0), lambda pos, bit: pos + F.when(F.get(table, pos + bit - 1) <= x, bit).otherwise(0))
+
+
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "value",
+                  splits: Sequence[int] | None = None) -> DataFrame:
     """``count(*) over (partition by keys order by order)`` (rows frame, 1-based).
 
-    Rows are range-partitioned by (keys, order) and numbered inside each range; the offset of a
-    range is the running sum of the counts of the key's earlier ranges. Null keys are keys.
+    ``order`` begins with a time. Rows meet by (keys, time slice), so a key that holds a third of all
+    rows is spread over the slices (``splits``, sampled from ``df`` by default); the offset of a
+    slice is the running sum of the counts of the key's earlier ones. Null keys are keys.
     """
     keys = list(keys)
-    p = "__pid"
-    d = range_split(df, [*keys, *order], p)
-    d = d.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, p).orderBy(*order)))
+    p = "__slice"
+    splits = time_splits(df, order[0]) if splits is None else splits
+    d = df.withColumn(p, slice_of(F.col(order[0]), splits))
     counts = d.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n"))
     prior = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
+    d = d.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, p).orderBy(*order)))
     return (join_null_safe(d, offsets, keys + [p])
              .withColumn(out, F.col("__off") + F.col("__local"))
              .drop(p, "__local", "__off"))

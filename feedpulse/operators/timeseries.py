@@ -5,8 +5,8 @@ multiple of ``step`` seconds (epoch based); a range ``[w]`` covers (t - w, t].
 
 Work is pre-aggregated to one row per (series, step bucket) before any
 expansion to instants, so a window of w multiplies the *aggregated* rows by
-w / step, never the raw samples. Series ordering (counter resets) is computed
-per (series, bucket) plus a boundary term from the small bucket table, so a
+w / step, never the raw samples. Counter resets are settled inside time slices of a
+series plus a border term from the small table of slices, so a
 series holding a third of all samples is still spread over many tasks.
 
 Deviation from the reference's engine, by design: no edge extrapolation; an
@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedpulse.operators.ordering import range_split
+from feedpulse.operators.ordering import slice_of
 
 US = 1_000_000
 
@@ -43,36 +43,41 @@ def expand(df: DataFrame, bucket: str, w: int, step: int) -> DataFrame:
 
 
 def reset_deltas(samples: DataFrame, keys: Sequence[str], step: int, ts: str = "ts",
-                 value: str = "value") -> DataFrame:
+                 value: str = "value", splits: Sequence[int] | None = None) -> DataFrame:
     """Per-sample reset-adjusted delta: v - prev if v >= prev else v; 0 for a series' first sample.
 
     Returns per (keys, bucket) rows: ``d`` (sum of deltas) and ``n`` (samples).
+
+    Raw samples move once, to their (series, slice): a slice is a step bucket, cut further at
+    ``splits`` (``ordering.time_splits``) where many samples fall into one. Inside a slice the
+    samples are summed in order; the border to the slice before is settled on the table of slices.
     """
     keys = list(keys)
     d = samples.select(*keys, ts, value).withColumn("__b", grid_bucket(ts, step))
-    d = range_split(d, [*keys, ts, value])
-    prev = F.lag(value).over(Window.partitionBy(*keys, "__pid").orderBy(ts, value))
+    d = d.withColumn("__s", slice_of(F.col(ts), splits) if splits else F.lit(0))
+    inside = [*keys, "__b", "__s"]
+    prev = F.lag(value).over(Window.partitionBy(*inside).orderBy(ts, value))
 
     def delta(v, p):
         return F.when(p.isNull(), F.lit(0.0)).when(v >= p, v - p).otherwise(v.cast("double"))
 
-    inner = (d.withColumn("__prev", prev).groupBy(*keys, "__b")
-              .agg(F.sum(delta(F.col(value), F.col("__prev"))).alias("d"), F.count(F.lit(1)).alias("n")))
-    # borders: the first sample of a range against the last one of the series' range before (one row per range)
     at = F.struct(ts, value)
-    ends = d.groupBy(*keys, "__pid").agg(F.min_by(value, at).alias("__first"), F.max_by(value, at).alias("__last"),
-                                         F.min("__b").alias("__b"))
-    last = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__pid"))
-    edges = ends.withColumn("__before", last).select(
-        *keys, "__b", delta(F.col("__first"), F.col("__before")).alias("d"), F.lit(0).cast("bigint").alias("n"))
-    return inner.unionByName(edges).groupBy(*keys, "__b").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    slices = (d.withColumn("__prev", prev).groupBy(*inside)
+               .agg(F.sum(delta(F.col(value), F.col("__prev"))).alias("d"), F.count(F.lit(1)).alias("n"),
+                    F.min_by(value, at).alias("__first"), F.max_by(value, at).alias("__last")))
+    before = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b", "__s"))
+    joined = slices.withColumn("d", F.col("d") + delta(F.col("__first"), before))
+    return joined.groupBy(*keys, "__b").agg(F.sum("d").alias("d"), F.sum("n").alias("n")) if splits else joined.select(*keys, "__b", "d", "n")
+
+
+def increase_of(deltas: DataFrame, keys: Sequence[str], w: int, step: int) -> DataFrame:
+    """J1 from the step table of ``reset_deltas``."""
+    return expand(deltas, "__b", w, step).groupBy(*keys, "t").agg(F.sum("d").alias("increase"), F.sum("n").alias("samples"))
 
 
 def increase(samples: DataFrame, keys: Sequence[str], w: int, step: int, **kw) -> DataFrame:
     """``increase(x[w])`` per series and instant: (keys, t, increase, samples)."""
-    b = reset_deltas(samples, keys, step, **kw)
-    e = expand(b, "__b", w, step)
-    return e.groupBy(*keys, "t").agg(F.sum("d").alias("increase"), F.sum("n").alias("samples"))
+    return increase_of(reset_deltas(samples, keys, step, **kw), keys, w, step)
 
 
 def rate(samples: DataFrame, keys: Sequence[str], w: int, step: int, **kw) -> DataFrame:
@@ -190,11 +195,18 @@ def over_time(samples: DataFrame, keys: Sequence[str], w: int, step: int, how: s
     return g.select(*keys, "t", out.alias(f"{how}_over_time"))
 
 
-def offset_delta(samples: DataFrame, keys: Sequence[str], w1: int, w2: int, offset: int, step: int) -> DataFrame:
-    """``abs(rate(x[w1]) - rate(x[w2] offset o))`` at each instant where both exist."""
-    a = rate(samples, keys, w1, step).select(*keys, "t", F.col("rate").alias("__a"))
-    b = rate(samples, keys, w2, step).select(*keys, (F.col("t") + F.lit(offset)).alias("t"), F.col("rate").alias("__b"))
-    return a.join(b, [*keys, "t"]).select(*keys, "t", F.abs(F.col("__a") - F.col("__b")).alias("delta"))
+def offset_delta(samples: DataFrame, keys: Sequence[str], w1: int, w2: int, offset: int, step: int, **kw) -> DataFrame:
+    """``abs(rate(x[w1]) - rate(x[w2] offset o))`` at each instant where both exist.
+
+    One pass: a step's row goes to the instants of either window once, and both are summed together.
+    """
+    deltas = reset_deltas(samples, keys, step, **kw)
+    j, o = F.col("__j"), offset // step
+    near, far = j < w1 // step, (j >= o) & (j < o + w2 // step)
+    rows = deltas.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(max(w1 // step, o + w2 // step) - 1)))).where(near | far)
+    both = rows.groupBy(*keys, (F.col("__b") + j * F.lit(step)).alias("t")).agg(
+        (F.sum(F.when(near, F.col("d"))) / F.lit(float(w1))).alias("a"), (F.sum(F.when(far, F.col("d"))) / F.lit(float(w2))).alias("b"))
+    return both.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(*keys, "t", F.abs(F.col("a") - F.col("b")).alias("delta"))
 
 
 def imbalance(inst: DataFrame, label: str, value: str) -> DataFrame:

@@ -84,7 +84,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monotone counters per event_type with one reset after day 15.
 
     ``value`` is the running count of the series; it is numbered per sampled
-    range plus an offset so that no task sorts a whole series.
+    time slice plus an offset so that no task sorts a whole series.
     """
     e = table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id",
