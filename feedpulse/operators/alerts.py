@@ -1,16 +1,19 @@
 """Alert state, routing, grouping and inhibition (J13-J16) as DataFrame jobs.
 
-Input of ``alerts`` is an expression result on the grid: ``(keys..., t, value)``.
-All windows here run over grid-aggregated rows (one per series and instant).
+Input is an expression result on the grid: ``(keys..., t, value)``. Runs are found once, in one shuffle
+by series; routing, grouping and inhibition work on the runs as intervals (start, fires_at, end), of which
+there are far fewer than instants, and intervals become instants for output only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedpulse.session import written
+
 # The alert router configuration (match label, value, receiver,
 # continue), the default receiver, grouping labels, repeat interval and the
 # inhibition rule.
@@ -30,6 +33,51 @@ _OPS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a
         "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
 
+def _in_runs(true: DataFrame, keys: Sequence[str], step: int, last: Column, hold: Column) -> DataFrame:
+    """Rows where the condition holds, each with its run: ``start``, ``end``, ``fires_at`` (null if the run ends
+    before) and ``resolved_at`` (null if it did not fire or its end is not seen). One shuffle by ``keys``."""
+    keys = list(keys)
+    by = Window.partitionBy(*keys)
+    d = true.withColumn("__g", (F.col("t") / F.lit(step)).cast("bigint") - F.row_number().over(by.orderBy("t")))
+    run = Window.partitionBy(*keys, "__g")  # rows are together by keys already
+    d = d.withColumn("start", F.min("t").over(run)).withColumn("end", F.max("t").over(run))
+    fires = F.col("start") + F.ceil(hold / F.lit(step)).cast("bigint") * F.lit(step)
+    d = d.withColumn("fires_at", F.when(fires <= F.col("end"), fires))
+    return d.withColumn("resolved_at", F.when(F.col("fires_at").isNotNull() & (F.col("end") + step <= last), F.col("end") + F.lit(step)))
+
+
+def _rules_on(expr: DataFrame, value: str, rules: Sequence[tuple]) -> DataFrame:
+    """The rows of ``expr`` under which rules (alertname, labels, op, threshold, hold) hold, a row for each."""
+    made = []
+    names = sorted({k for r in rules for k in r[1]})
+    for name, labels, op, threshold, hold in rules:
+        ok = _OPS[op](F.col(value), F.lit(threshold))
+        made.append(F.when(ok, F.struct(F.lit(name).alias("alertname"), F.lit(hold).cast("bigint").alias("__hold"),
+                                        *[F.lit(labels.get(k)).cast("string").alias(k) for k in names])))
+    d = expr.withColumn("__r", F.explode(F.array_compact(F.array(*made))))
+    return d.select(*expr.columns, "__r.*")
+
+
+def _found_runs(expr, keys, value, rules, step, horizon) -> tuple[DataFrame, list[str]]:
+    last = F.lit(horizon) if horizon is not None else expr.agg(F.max("t")).scalar()
+    true = _rules_on(expr.select(*keys, "t", value), value, rules)
+    labels = [c for c in true.columns if c not in (*keys, "t", value, "__hold")]
+    return _in_runs(true, [*keys, *labels], step, last, F.col("__hold")), labels
+
+
+def alerts_of_rules(expr: DataFrame, keys: Sequence[str], value: str, rules: Sequence[tuple], step: int,
+                    horizon: int | None = None) -> DataFrame:
+    """J13 for several rules (alertname, labels, op, threshold, hold) over one expression, in one pass:
+    the rows of ``alerts`` for each of them, with the rules' labels as columns."""
+    d, labels = _found_runs(expr, list(keys), value, rules, step, horizon)
+    state = F.when(F.col("t") >= F.col("fires_at"), "firing").otherwise("pending")
+    live = F.struct(F.col("t").alias("t"), state.alias("state"), F.col(value).alias("v"))
+    ended = F.when((F.col("t") == F.col("end")) & F.col("resolved_at").isNotNull(), F.struct(
+        F.col("resolved_at").alias("t"), F.lit("resolved").alias("state"), F.lit(None).cast(expr.schema[value].dataType).alias("v")))
+    d = d.withColumn("__e", F.explode(F.array_compact(F.array(live, ended))))  # the run's last row also ends it
+    return d.select(*keys, "__e.t", "__e.state", F.col("start").alias("active_since"), F.col("__e.v").alias(value), *labels)
+
+
 def alerts(expr: DataFrame, keys: Sequence[str], value: str, op: str, threshold: float,
            hold: int, step: int, alertname: str, labels: dict[str, str] | None = None,
            horizon: int | None = None) -> DataFrame:
@@ -41,24 +89,25 @@ def alerts(expr: DataFrame, keys: Sequence[str], value: str, op: str, threshold:
     evaluated instant: no ``resolved`` row lies beyond ``horizon``, by default the
     last instant of the whole expression (of any series).
     """
-    keys = list(keys)
-    last = F.lit(horizon) if horizon is not None else expr.agg(F.max("t")).scalar()
-    true = expr.where(_OPS[op](F.col(value), F.lit(threshold))).select(*keys, "t", value)
-    grp = (F.col("t") / F.lit(step)).cast("bigint") - F.row_number().over(Window.partitionBy(*keys).orderBy("t"))
-    runs = true.withColumn("__g", grp)
-    w_run = Window.partitionBy(*keys, "__g")
-    runs = runs.withColumn("__start", F.min("t").over(w_run)).withColumn("__end", F.max("t").over(w_run))
-    state = F.when(F.col("t") - F.col("__start") >= F.lit(hold), "firing").otherwise("pending")
-    live = runs.select(*keys, "t", state.alias("state"), F.col("__start").alias("active_since"), value)
-    resolved = (runs.where(F.col("__end") - F.col("__start") >= F.lit(hold))
-                    .groupBy(*keys, "__g").agg(F.max("__end").alias("__end"), F.min("__start").alias("__start"))
-                    .where(F.col("__end") + F.lit(step) <= last)
-                    .select(*keys, (F.col("__end") + F.lit(step)).alias("t"), F.lit("resolved").alias("state"),
-                            F.col("__start").alias("active_since"), F.lit(None).cast("double").alias(value)))
-    out = live.unionByName(resolved).withColumn("alertname", F.lit(alertname))
-    for k, v in (labels or {}).items():
-        out = out.withColumn(k, F.lit(v))
-    return out
+    out = alerts_of_rules(expr, keys, value, [(alertname, labels or {}, op, threshold, hold)], step, horizon)
+    return out.select(*keys, "t", "state", "active_since", value, "alertname", *(labels or {}))
+
+
+def alert_runs(expr: DataFrame, keys: Sequence[str], value: str, rules: Sequence[tuple], step: int,
+               horizon: int | None = None) -> DataFrame:
+    """J13 as intervals: a row per run with its rule's labels, ``start``, ``end`` (its last instant), ``fires_at``
+    and ``resolved_at`` (null where the run does not fire, or its end is not seen)."""
+    d, labels = _found_runs(expr, list(keys), value, rules, step, horizon)
+    return d.groupBy(*keys, *labels, "__g").agg(*[F.max(c).alias(c) for c in ("start", "end", "fires_at", "resolved_at")]).drop("__g")
+
+
+def run_instants(runs: DataFrame, step: int) -> DataFrame:
+    """The firing and resolved instants (``t``, ``state``) of the runs that fired."""
+    firing = F.transform(F.sequence("fires_at", "end", F.lit(step).cast("bigint")), lambda t: F.struct(t.alias("t"), F.lit("firing").alias("state")))
+    ended = F.when(F.col("resolved_at").isNotNull(), F.array(F.struct(F.col("resolved_at").alias("t"), F.lit("resolved").alias("state"))))
+    none = F.array().cast("array<struct<t:bigint,state:string>>")
+    d = runs.where(F.col("fires_at").isNotNull()).withColumn("__e", F.explode(F.concat(firing, F.coalesce(ended, none))))
+    return d.select(*[c for c in runs.columns if c not in ("start", "end", "fires_at", "resolved_at")], "__e.t", "__e.state")
 
 
 def routes_frame(spark: SparkSession, routes=ROUTES) -> DataFrame:
@@ -66,56 +115,93 @@ def routes_frame(spark: SparkSession, routes=ROUTES) -> DataFrame:
     return spark.createDataFrame(rows, "label string, value string, receiver string, continue boolean, ord int")
 
 
-def route(alerts_df: DataFrame, routes: DataFrame, label_cols: Sequence[str], id_cols: Sequence[str],
+def route(alerts_df: DataFrame, routes: DataFrame | Sequence[tuple], label_cols: Sequence[str], id_cols: Sequence[str],
           default: str = DEFAULT_RECEIVER) -> DataFrame:
-    """Receivers of each alert row; every matching route up to the first without
+    """Receivers of each alert row (an instant or a run); every matching route up to the first without
     ``continue``; alerts matching no route go to the default receiver.
 
-    Alert labels are unpivoted to (label, value) rows and equi-joined with the
-    route table, so no pairwise comparison is made.
+    The routes are configuration: they become one expression, and nothing is joined or shuffled.
     """
-    ids = list(id_cols)
-    pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in label_cols)
-    lab = alerts_df.selectExpr(*[f"`{c}`" for c in ids], f"stack({len(label_cols)}, {pairs}) as (label, value)")
-    m = lab.join(F.broadcast(routes), ["label", "value"])  # the route table is configuration-sized
-    stop = F.min(F.when(~F.col("continue"), F.col("ord"))).over(Window.partitionBy(*ids))
-    m = m.withColumn("__stop", stop).where(F.col("__stop").isNull() | (F.col("ord") <= F.col("__stop")))
-    matched = m.select(*ids, "receiver")
-    unmatched = alerts_df.select(*ids).join(matched.select(*ids).distinct(), ids, "left_anti") \
-                         .withColumn("receiver", F.lit(default))
-    return matched.unionByName(unmatched)
+    if isinstance(routes, DataFrame):
+        routes = [(r["label"], r["value"], r["receiver"], r["continue"]) for r in routes.orderBy("ord").collect()]
+    found, open_ = [], F.lit(True)
+    for label, value, receiver, goes_on in routes:
+        hit = F.coalesce(F.col(label).cast("string") == value, F.lit(False)) if label in label_cols else F.lit(False)
+        found.append(F.when(open_ & hit, F.lit(receiver)))
+        open_ = open_ if goes_on else open_ & ~hit
+    got = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    return alerts_df.select(*id_cols, F.explode(F.when(F.size(got) > 0, got).otherwise(F.array(F.lit(default)))).alias("receiver"))
+
+
+def firing_runs(alerts_df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
+    """Stretches (``fires_at``, ``end``) of firing instants, by ``keys``; ``alerts`` rows fire at each of their instants."""
+    keys = list(keys)
+    per = alerts_df.where(F.col("state") == "firing").groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("alerts"))
+    g = (F.col("t") / F.lit(step)).cast("bigint") - F.row_number().over(Window.partitionBy(*keys, "alerts").orderBy("t"))
+    return per.withColumn("__g", g).groupBy(*keys, "alerts", "__g").agg(F.min("t").alias("fires_at"), F.max("t").alias("end")).drop("__g")
+
+
+def group_runs(runs: DataFrame, step: int, group_by: Sequence[str] = GROUP_BY, repeat: int = REPEAT_INTERVAL) -> DataFrame:
+    """J15 on intervals: notifications per alert group, at the start of each stretch in which the group
+    fires without a break, and again each ``repeat`` seconds of it; ``alerts`` is how many fire then.
+
+    A run is two events, a rise and a fall; sums of events by time (combined before the shuffle) give the number
+    that fires between two events.
+    """
+    group_by, weight = list(group_by), F.col("alerts") if "alerts" in runs.columns else F.lit(1)
+    events = runs.where(F.col("fires_at").isNotNull()).select(
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in group_by],
+        F.explode(F.array(F.struct(F.col("fires_at").alias("t"), weight.cast("bigint").alias("n")),
+                          F.struct((F.col("end") + step).alias("t"), (-weight).cast("bigint").alias("n")))).alias("e"))
+    by = Window.partitionBy(*group_by).orderBy("t")
+    e = events.groupBy(*group_by, F.col("e.t").alias("t")).agg(F.sum("e.n").alias("n"))
+    e = e.withColumn("alerts", F.sum("n").over(by)).withColumn("until", F.lead("t").over(by))
+    e = e.withColumn("was", F.col("alerts") - F.col("n")).where("alerts > 0")
+    e = e.withColumn("since", F.max(F.when(F.col("was") == 0, F.col("t"))).over(by))  # the last start up to here
+    repeat = max(repeat, step)
+    first = F.floor((F.col("t") - step - F.col("since")) / F.lit(repeat)).cast("bigint") + 1
+    final = F.floor((F.col("until") - step - F.col("since")) / F.lit(repeat)).cast("bigint")
+    e = e.withColumn("k", F.explode(F.when(first <= final, F.sequence(first, final))))
+    return e.select(*group_by, (F.col("since") + F.ceil(F.col("k") * repeat / F.lit(step)).cast("bigint") * step).alias("notify_at"), "alerts")
 
 
 def group_alerts(alerts_df: DataFrame, step: int, group_by: Sequence[str] = GROUP_BY,
                  repeat: int = REPEAT_INTERVAL) -> DataFrame:
-    """Notifications per alert group: at the start of a firing stretch of the
-    group and again each ``repeat`` seconds while it keeps firing.
-    """
+    """J15 on rows of ``alerts``: notifications per alert group at the start of a firing stretch of the
+    group and again each ``repeat`` seconds while it keeps firing."""
     g = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in group_by]
-    firing = alerts_df.where(F.col("state") == "firing").select(*g, "t")
-    per = firing.groupBy(*group_by, "t").agg(F.count(F.lit(1)).alias("alerts"))
-    grp = (F.col("t") / F.lit(step)).cast("bigint") - F.row_number().over(Window.partitionBy(*group_by).orderBy("t"))
-    per = per.withColumn("__g", grp)
-    per = per.withColumn("__start", F.min("t").over(Window.partitionBy(*group_by, "__g")))
-    k = ((F.col("t") - F.col("__start")) / F.lit(repeat)).cast("bigint")
-    prev_k = F.lag(k).over(Window.partitionBy(*group_by, "__g").orderBy("t"))
-    per = per.withColumn("__k", k).withColumn("__pk", prev_k)
-    return per.where(F.col("__pk").isNull() | (F.col("__k") > F.col("__pk"))) \
-              .select(*group_by, F.col("t").alias("notify_at"), "alerts")
-
-
-def inhibit(alerts_df: DataFrame, equal: Sequence[str] = INHIBIT_EQUAL,
-            source=INHIBIT_SOURCE, target=INHIBIT_TARGET) -> DataFrame:
-    """Drop target alerts while a firing source alert with equal labels exists."""
-    eq = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__eq_{c}") for c in equal]
-    src = (alerts_df.where((F.col(source[0]) == source[1]) & (F.col("state") == "firing"))
-                    .select("t", *eq).distinct())
-    tgt_mask = F.col(target[0]) == target[1]
-    a = alerts_df.select("*", *eq)
-    keys = ["t"] + [f"__eq_{c}" for c in equal]
-    kept_targets = a.where(tgt_mask).join(src, keys, "left_anti")
-    others = a.where(~tgt_mask | F.col(target[0]).isNull())
-    return kept_targets.unionByName(others).drop(*[f"__eq_{c}" for c in equal])
+    return group_runs(firing_runs(alerts_df.select(*g, "t", "state"), group_by, step), step, group_by, repeat)
+
+
+INHIBIT_BUCKET = 86_400  # seconds of an interval that meet in one task
+
+
+def inhibit(alerts_df: DataFrame, equal: Sequence[str] = INHIBIT_EQUAL, source=INHIBIT_SOURCE, target=INHIBIT_TARGET,
+            runs: DataFrame | None = None) -> DataFrame:
+    """Drop target alerts while a firing source alert with equal labels exists.
+
+    The sources are intervals: ``runs`` of ``alert_runs``, or (without ``runs``) the firing rows of
+    ``alerts_df`` itself as intervals of one instant. They are cut at the borders of time buckets and meet the target
+    rows by (labels, bucket); rows that are no targets stay where they are.
+    """
+    names = [f"__eq_{c}" for c in equal]
+    eq = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(equal, names)]
+    bucket = lambda t: F.floor(t / F.lit(INHIBIT_BUCKET))
+    if runs is None:
+        src = alerts_df.where((F.col(source[0]) == source[1]) & (F.col("state") == "firing")).select(
+            *eq, F.col("t").alias("__from"), F.col("t").alias("__to")).distinct()
+    else:
+        src = runs.where((F.col(source[0]) == source[1]) & F.col("fires_at").isNotNull()).select(
+            *eq, F.col("fires_at").alias("__from"), F.col("end").alias("__to"))
+    src = src.select(*[F.col(n).alias(f"__s{n}") for n in names], "__from", "__to",
+                     F.explode(F.sequence(bucket(F.col("__from")), bucket(F.col("__to")))).alias("__sb"))
+    is_target = F.coalesce(F.col(target[0]) == target[1], F.lit(False))
+    # rows that are no targets meet no source: their bucket is null
+    a = alerts_df.select("*", *eq, F.when(is_target, bucket(F.col("t"))).alias("__b"))
+    cond = (F.col("__b") == F.col("__sb")) & F.col("t").between(F.col("__from"), F.col("__to"))
+    for n in names:
+        cond = cond & (F.col(n) == F.col(f"__s{n}"))
+    return a.join(src, cond, "left_anti").drop(*names, "__b")
 
 
 # The alert rules (name, severity, expression shape, metric, operator,
@@ -262,21 +348,17 @@ def rule_values(samples: DataFrame, step: int = 300, inputs=None) -> DataFrame:
 
 
 def rule_states(values: DataFrame, step: int = 300, rules=ALERT_RULES) -> DataFrame:
-    """J13 for all rules in one pass over ``rule_values``: the rule table (20 rows) is joined, then one
-    set of windows per (alertname, series) finds the runs. A run ends at an evaluated instant of any rule."""
+    """J13 for all rules in one pass over ``rule_values``, which are written once: the rule table (20 rows) is
+    joined, then one set of windows per (alertname, series) finds the runs. A run ends at an evaluated instant of any rule."""
+    values = written(values, "rule-values")  # read for the last instant and for the runs, computed once
     last = values.agg(F.max("t")).scalar()
-    j = values.join(F.broadcast(rules_frame(values.sparkSession, rules)), "alertname")
+    j = values.join(F.broadcast(rules_frame(values.sparkSession, rules)), "alertname")  # 20 rules
     ok = F.lit(False)
     for op, test in _OPS.items():
         ok = F.when(F.col("op") == op, test(F.col("value"), F.col("threshold"))).otherwise(ok)
-    by = Window.partitionBy("alertname", "series")
-    runs = j.where(ok).withColumn("__g", (F.col("t") / step).cast("bigint") - F.row_number().over(by.orderBy("t")))
-    run = Window.partitionBy("alertname", "series", "__g")
-    runs = runs.withColumn("start", F.min("t").over(run))
-    live = runs.select("alertname", "severity", "series", "t", F.when(F.col("t") - F.col("start") >= F.col("hold"), "firing")
-                       .otherwise("pending").alias("state"), F.col("start").alias("active_since"), "value")
-    per = runs.groupBy("alertname", "severity", "series", "__g", "hold", "start").agg(F.max("t").alias("end"))
-    ended = per.where((F.col("end") - F.col("start") >= F.col("hold")) & (F.col("end") + step <= last)).select(
-        "alertname", "severity", "series", (F.col("end") + step).alias("t"), F.lit("resolved").alias("state"),
-        F.col("start").alias("active_since"), F.lit(None).cast("double").alias("value"))
-    return live.unionByName(ended)
+    d = _in_runs(j.where(ok), ["alertname", "series", "severity"], step, last, F.col("hold"))
+    live = F.struct(F.col("t").alias("t"), F.when(F.col("t") >= F.col("fires_at"), "firing").otherwise("pending").alias("state"), F.col("value").alias("value"))
+    ended = F.when((F.col("t") == F.col("end")) & F.col("resolved_at").isNotNull(), F.struct(
+        F.col("resolved_at").alias("t"), F.lit("resolved").alias("state"), F.lit(None).cast("double").alias("value")))
+    d = d.withColumn("__e", F.explode(F.array_compact(F.array(live, ended))))
+    return d.select("alertname", "severity", "series", "__e.t", "__e.state", F.col("start").alias("active_since"), "__e.value")

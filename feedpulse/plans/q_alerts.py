@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from feedpulse.operators import alerts as A
@@ -11,6 +9,7 @@ from feedpulse.operators import timeseries as J
 from feedpulse.plans.q_timeseries import KEYS, STEP, W, spark_samples
 from feedpulse.plans.registry import register
 from feedpulse.plans.views import add_view_sql, with_views
+from feedpulse.session import written
 
 # Rules evaluated here: (alertname, severity, threshold on increase[1h], hold seconds).
 RULES = [("EventBurst", "warning", 4.0, 1800), ("EventBurst", "critical", 5.0, 1800)]
@@ -31,12 +30,23 @@ def _rule_sql(name: str, sev: str, thr: float, hold: int) -> str:
 add_view_sql("alerts", " union all ".join(_rule_sql(*r) for r in RULES), ("inc1h",))
 
 
-def alert_table(spark, sf):
-    inc = J.increase(spark_samples(spark, sf), KEYS, W, STEP).select(*KEYS, "t", "increase")
-    parts = [A.alerts(inc, KEYS, "increase", ">", thr, hold, STEP, name, {"severity": sev})
-             .withColumn("component", F.col("event_type"))
-             for name, sev, thr, hold in RULES]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def alert_grid(spark, sf):
+    """The expression of the rules on the grid (a row per series and instant), computed once and written."""
+    return written(J.increase(spark_samples(spark, sf), KEYS, W, STEP).select(*KEYS, "t", "increase"), "alert-grid")
+
+
+def _rules():
+    return [(name, {"severity": sev}, ">", thr, hold) for name, sev, thr, hold in RULES]
+
+
+def alert_table(spark, sf, grid=None):
+    a = A.alerts_of_rules(grid if grid is not None else alert_grid(spark, sf), KEYS, "increase", _rules(), STEP)
+    return a.withColumn("component", F.col("event_type"))
+
+
+def alert_run_table(spark, sf, grid=None):
+    r = A.alert_runs(grid if grid is not None else alert_grid(spark, sf), KEYS, "increase", _rules(), STEP)
+    return r.withColumn("component", F.col("event_type"))
 
 
 @register("alert_states", with_views("select * from alerts", "alerts"))
@@ -44,17 +54,23 @@ def q_alert_states(spark, sf):
     return alert_table(spark, sf)
 
 
+# Labels that the routes tell apart, set by component: errors are drift alerts, sign-ups are of a severity without a route.
+_SEVERITY_SQL = "case when component = 'signup' then 'info' else severity end"
+_DRIFT_SQL = "case when component = 'error' then 'drift' end"
+
+
 @register("alert_routes", with_views(
-    """with a as (select * from alerts where state in ('firing', 'resolved')),
-       m as (select a.alertname, a.severity, a.component, a.t, a.state,
-                    case when a.severity = 'critical' then 'critical-alerts'
-                         when a.severity = 'warning' then 'warning-alerts' end as receiver from a)
-    select * from m where receiver is not null
-    union all select alertname, severity, component, t, state, 'default' from m where receiver is null""", "alerts"))
+    f"""with a as (select alertname, {_SEVERITY_SQL} as severity, component, t, state, {_DRIFT_SQL} as alert_type
+                from alerts where state in ('firing', 'resolved')),
+       m as (select a.*, unnest(list_filter([case when severity = 'critical' then 'critical-alerts' when severity = 'warning' then 'warning-alerts' end,
+                    case when alert_type = 'drift' then 'drift-alerts' end,
+                    case when severity not in ('critical', 'warning') and alert_type is null then 'default' end], lambda x: x is not null)) as receiver from a)
+    select alertname, severity, component, t, state, receiver from m""", "alerts"))
 def q_alert_routes(spark, sf):
-    a = alert_table(spark, sf).where(F.col("state").isin("firing", "resolved")).withColumn("alert_type", F.lit(None).cast("string"))
-    return A.route(a, A.routes_frame(spark), ["severity", "alert_type"],
-                   ["alertname", "severity", "component", "t", "state"])
+    """Runs are routed as intervals (by severity, the drift route, and the default receiver), then shown by instant."""
+    runs = alert_run_table(spark, sf).withColumn("severity", F.expr(_SEVERITY_SQL)).withColumn("alert_type", F.expr(_DRIFT_SQL))
+    routed = A.route(runs, A.ROUTES, ["severity", "alert_type"], ["alertname", "severity", "component", "start", "end", "fires_at", "resolved_at"])
+    return A.run_instants(routed, STEP).select("alertname", "severity", "component", "t", "state", "receiver")
 
 
 @register("alert_groups", with_views(
@@ -68,7 +84,8 @@ def q_alert_routes(spark, sf):
              from s)
     select alertname, severity, component, t as notify_at, alerts from k where pk is null or kk > pk""", "alerts"))
 def q_alert_groups(spark, sf):
-    return A.group_alerts(alert_table(spark, sf), STEP)
+    """J15 on runs as intervals."""
+    return A.group_runs(alert_run_table(spark, sf), STEP)
 
 
 @register("alert_inhibit", with_views(
@@ -77,7 +94,9 @@ def q_alert_groups(spark, sf):
           and coalesce(c.alertname, '') = coalesce(a.alertname, '') and coalesce(c.component, '') = coalesce(a.component, '')))""",
     "alerts"))
 def q_alert_inhibit(spark, sf):
-    return A.inhibit(alert_table(spark, sf))
+    """The critical runs as intervals against the rows of warnings."""
+    grid = alert_grid(spark, sf)
+    return A.inhibit(alert_table(spark, sf, grid), runs=alert_run_table(spark, sf, grid))
 
 
 _ERROR_RULE = next(r for r in A.ALERT_RULES if r[0] == "HighAPIErrorRate")
