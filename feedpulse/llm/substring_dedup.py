@@ -1,20 +1,22 @@
-"""Operator 9, substring dedup: suffixes partitioned by prefixes of variable length.
-
-A suffix is a document from one of its words on; two suffixes that share 35 words meet below a
-node of depth 35 of the corpus's suffix tree, so the repeated windows are the leaves below the
-tree's nodes of at least that depth that have two leaves. The tree is cut by prefixes, and a
-prefix is lengthened only where suffixes still share it:
-
-* 8 words, at one suffix in about 14: of the 28 places where 8 words fit into a window, the one
-  with the least hash represents it (equal windows agree on it). A prefix seen once ends there,
-  which drops the unrepeated bulk of the corpus;
-* all words of the windows that one representative stands for, up to 62: found twice, each of
-  their windows is repeated;
-* 35 words, for the windows that are left. A prefix found twice is a deep node.
-
-Nodes are named by a 64-bit hash of their words and counted by Spark, partially before each
-shuffle, so no group of suffixes is ever held in one task, however many documents share a passage.
-Neighbouring windows merge into maximal repeats when a document's words are marked.
+"""Operator 9, substring dedup: prefix-partitioned suffix trees.
+
+Two suffixes (a document from one of its words on) that share 35 words meet below a node of depth 35 of
+the corpus's suffix tree, so the repeated windows are the leaves below the nodes of at least that depth
+that have two leaves. The tree is cut by prefixes of variable length, and only where suffixes share them:
+
+* Prefixes of 8 words are counted at one suffix in about 14: of the 28 places where 8 words fit into a
+  window, the one with the least hash represents it (equal windows agree on it). A prefix that is found once
+  ends there, which drops the unrepeated bulk of the corpus; a collision of hashes only adds work.
+* A shared prefix's suffixes travel as slices: the words of all windows that the place represents, up to
+  62. Prefixes are dealt into groups by their counts, so that a group fits into a task's memory.
+* A task builds the subtrees of its group: it numbers the words, sorts the suffixes that begin a window by their words,
+  and compares neighbours. Neighbours with 35 common words lie below one deep node; all below
+  nodes with two leaves are repeated. Words are compared as they are, so nothing is removed on equal hashes.
+* A prefix with more than ``GROUP_ROWS`` suffixes is lengthened to all 35 words of each of its windows. Equal
+  slices of it are counted before the shuffle and sent once; a window found twice is a deep node.
+
+Neighbouring windows merge into maximal repeats when a document's words are marked. Every step works on
+counts or on groups of bounded size, however many documents share a passage.
 
 Defined results: a null or empty text has no words and stays empty; null and repeated ids and
 repeated rows are documents of their own (a repeated row repeats all its windows); an empty table
@@ -31,11 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedpulse.llm.common import free_name, mix, release, ship_code, stored, window_hashes, word_chunks
+from feedpulse.llm.common import free_name, release, ship_code, stored, window_hashes, word_chunks
 
 WINDOW = 35
 PREFIX = 8
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+GROUP_ROWS = 8_000    # slices that one task holds at once; a prefix with more is lengthened
+SMALL_NODES = 20_000  # lengthened slices up to which their table is broadcast
 
 
 def least_places(g: np.ndarray, width: int) -> np.ndarray:
@@ -82,9 +85,40 @@ def _nullable(batches):
         yield b
 
 
+def sort_suffixes(slices: list, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subtrees of a group of slices: (slice, word at which the suffix begins, whether a neighbour shares
+    ``window`` words) of every suffix with that many words, in the order of the slices."""
+    words = [bytes(x).split() for x in slices]
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    ids = pd.factorize(np.array([x for w in words for x in w] + [None], dtype=object)[:-1])[0].astype(">u4")
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    counts = np.maximum(sizes - window + 1, 0)
+    own = np.repeat(np.arange(len(sizes)), counts)
+    first = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(own):
+        return own, first, np.zeros(0, dtype=bool)
+    rows = np.lib.stride_tricks.sliding_window_view(ids, window)[begin[own] + first]
+    # the words' numbers as bytes sort as the words; a last byte that is no zero keeps numpy from cutting zeros off
+    keys = np.ones((len(rows), 4 * window + 1), dtype=np.uint8)
+    keys[:, :-1] = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    order = np.argsort(keys.view(f"S{4 * window + 1}").ravel(), kind="stable")
+    deep = (rows[order[1:]] == rows[order[:-1]]).all(axis=1)  # a node of depth ``window`` or more above both
+    shared = np.zeros(len(rows), dtype=bool)
+    shared[order[1:]] |= deep
+    shared[order[:-1]] |= deep
+    return own, first, shared
+
+
+def _runs(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring numbers ``at`` of one owner: (owner, first, count)."""
+    edge = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+    return own[edge], at[edge], np.diff(np.append(edge, len(own)))
+
+
 def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """doc_id, th and ``starts``: the first words of the document's repeated windows (only documents that have some)."""
+    """doc_id, th and ``starts``: runs (first, count) of the first words of the document's repeated windows (only
+    documents that have some)."""
     spark = docs.sparkSession
     ship_code(spark)
     keyed = _keyed(docs, id_col, text_col)
@@ -98,68 +132,87 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                 yield _rows(b, {"row": first + own, "key": g[rep].view(np.int64), "place": (rep - bounds[own]).astype(np.int32)})
 
     sparse = stored(keyed.mapInPandas(represent, "doc_id bigint, th bigint, key bigint, place int"), "suffix-prefixes")
-    shared = stored(sparse.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "suffix-shared")
+    shared = stored(sparse.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-shared")
     release(spark)
-    places = stored(sparse.join(shared, "key", "left_semi").groupBy("doc_id", "th")
-                    .agg(F.collect_set("place").alias("places"))
-                    # a short number for the document: the windows, of which there are most, carry it
+    members, most = shared.agg(F.sum("n"), F.max("n")).first()
+    groups, hot = max(1, -(-(members or 0) // GROUP_ROWS)), (most or 0) > GROUP_ROWS
+    places = stored(sparse.join(shared, "key").groupBy("doc_id", "th")
+                    .agg(F.collect_set(F.struct("place", (F.col("n") > GROUP_ROWS).alias("hot"))).alias("places"))
+                    # a short number for the document: the slices, of which there are most, carry it
                     .withColumn("uid", F.monotonically_increasing_id()), "suffix-places")
     release(spark)
 
-    def lengthen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per representative: its windows' first word and hashes, and a name for the words of all of them."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row per shared prefix: the words of the windows that it represents, and the first one's place."""
         for b in batches:
-            for first, last, _, _, _, h, bounds in word_chunks(b["text"].tolist()):
-                start, rep, _ = _windows(h, bounds, window, prefix)
-                wanted = np.zeros(len(h) + 1, dtype=bool)
+            for first, last, data, begin, end, h, bounds in word_chunks(b["text"].tolist()):
+                start, rep, g = _windows(h, bounds, window, prefix)
+                wanted = np.zeros(len(h) + 1, dtype=np.int8)
                 for i in range(first, last):
-                    wanted[bounds[i - first] + np.asarray(b["places"].iloc[i], dtype=np.int64)] = True
-                keep = wanted[rep]
+                    for p in b["places"].iloc[i]:
+                        wanted[bounds[i - first] + p["place"]] = 1 + p["hot"]
+                keep = wanted[rep] > 0
                 start, rep = start[keep], rep[keep]
-                deep = window_hashes(h, window)[start]
                 at = np.flatnonzero(np.diff(rep, prepend=-1))  # neighbours with one representative
-                end = np.append(at[1:], len(rep)) - 1
+                final = np.append(at[1:], len(rep)) - 1
                 own = np.searchsorted(bounds, start[at], "right") - 1
-                # the first and the last window overlap, so together they name all words from the one to the other
-                name = mix(deep[at] * _ODD[0] + deep[end] * _ODD[1] + (end - at).astype(np.uint64) * _ODD[2] + (rep[at] - start[at]).astype(np.uint64))
+                lo, hi = begin[start[at]], end[start[final] + window - 1] if len(at) else begin[:0]
                 yield pd.DataFrame({"uid": b["uid"].to_numpy()[first + own], "place": (start[at] - bounds[own]).astype(np.int32),
-                                    "name": name.view(np.int64), "rep": window_hashes(h, prefix)[rep[at]].view(np.int64),
-                                    "deep": np.split(deep.view(np.int64), at[1:])})
+                                    "key": g[rep[at]].view(np.int64) if len(at) else np.zeros(0, np.int64), "hot": wanted[rep[at]] == 2,
+                                    "slice": [data[i:j] for i, j in zip(lo, hi)]})
 
     some = keyed.join(places.withColumnsRenamed({"doc_id": "d", "th": "t"}),
                       keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["th"] == F.col("t"))).select("uid", "text", "places")
-    runs = stored(some.mapInPandas(lengthen, "uid bigint, place int, name bigint, rep bigint, deep array<bigint>"), "suffix-windows")
-    release(spark)
-    # words around a representative that are found twice as a whole: all their windows are repeated
-    names = stored(runs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("one"), F.min("rep").alias("rep")), "suffix-names")
-    release(spark)
-    size = F.size("deep")
-    whole = stored(runs.join(names.filter("n > 1").select("name"), "name", "left_semi")
-                   .select("uid", F.sequence(F.col("place"), F.col("place") + size - 1).alias("starts")), "suffix-whole")
-    release(spark)
-    # the others window by window, against each other and against one of each name found twice
-    alone = stored(names.filter("n = 1").select("rep").distinct(), "suffix-open")  # so that a hot one's rows can be split
-    need = names.join(alone, "rep", "left_semi").select("name", "n", "one")
-    single = stored(runs.join(need, "name").filter("n = 1 or uid = one")
-                    .select("uid", (F.col("n") > 1).alias("twice"), "place", F.posexplode("deep").alias("i", "key"))
-                    .select("uid", "twice", (F.col("place") + F.col("i")).alias("place"), "key"), "suffix-single")
-    release(spark)
-    nodes = stored(single.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice"))
-                   .filter("n > 1 or twice").select("key"), "suffix-nodes")
-    release(spark)
-    part = single.filter("not twice").join(nodes, "key", "left_semi").select("uid", F.array("place").alias("starts"))
-    starts = stored(whole.unionByName(part).groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "suffix-starts")
+    slices = some.mapInPandas(cut, "uid bigint, place int, key bigint, hot boolean, slice binary")
+    slices = stored(slices, "suffix-slices") if hot else slices
+
+    def subtrees(f: pd.DataFrame) -> pd.DataFrame:
+        own, first, shared = sort_suffixes(f["slice"].tolist(), window)
+        own, first, count = _runs(own[shared], first[shared])
+        return pd.DataFrame({"uid": f["uid"].to_numpy()[own], "first": (f["place"].to_numpy()[own] + first).astype(np.int32),
+                             "count": count.astype(np.int32)})
+
+    group = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g")
+    found = (slices.filter("not hot").select("uid", "place", "slice", group).groupBy("g")
+             .applyInPandas(subtrees, "uid bigint, first int, count int"))
+    if hot:
+        found = found.unionByName(_lengthened(slices.filter("hot"), window))
+    found = stored(found, "suffix-found")
     release(spark)
+    starts = stored(found.groupBy("uid").agg(F.collect_list(F.struct("first", "count")).alias("starts")), "suffix-starts")
     return starts.join(places.select("uid", "doc_id", "th"), "uid").select("doc_id", "th", "starts")
 
 
+def _lengthened(slices: DataFrame, window: int) -> DataFrame:
+    """Repeated windows (uid, first, count) of prefixes with too many suffixes for a group: the prefix is
+    lengthened to the ``window`` words of each window of each different slice, and counted."""
+    different = stored(slices.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).withColumn("sid", F.monotonically_increasing_id()), "suffix-different")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for sid, n, text in zip(b["sid"], b["n"], b["slice"]):
+                w = bytes(text).split()
+                out += [(sid, n, i, b" ".join(w[i:i + window])) for i in range(len(w) - window + 1)]
+            yield pd.DataFrame(out, columns=["sid", "n", "i", "words"])
+
+    each = stored(different.select("sid", "n", "slice").mapInPandas(windows, "sid bigint, n bigint, i int, words binary"), "suffix-long")
+    deep = stored(each.groupBy("words").agg(F.sum("n").alias("leaves")).filter("leaves > 1").select("words"), "suffix-deep")
+    at = each.join(deep, "words", "left_semi").groupBy("sid").agg(F.sort_array(F.collect_list("i")).alias("at"))
+    known = stored(different.join(at, "sid").select("slice", "at"), "suffix-known")
+    known = F.broadcast(known) if known.count() <= SMALL_NODES else known
+    return slices.join(known, "slice").select("uid", F.explode(F.transform("at", lambda i: F.col("place") + i)).alias("first"),
+                                              F.lit(1).alias("count"))
+
+
 def covered(n: int, starts, window: int) -> np.ndarray:
-    """Which of ``n`` words lie in a window that begins at one of ``starts``."""
+    """Which of ``n`` words lie in a window that begins in one of the runs ``starts`` of (first, count)."""
     edge = np.zeros(n + 1, dtype=np.int32)
     if starts is not None and len(starts):
-        s = np.asarray(starts, dtype=np.int64)
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + window, -1)
+        first = np.array([s["first"] for s in starts], dtype=np.int64)
+        count = np.array([s["count"] for s in starts], dtype=np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + count - 1 + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 

@@ -37,6 +37,38 @@ def test_equals_brute_force(spark):
     assert Counter(map(tuple, got.collect())) == brute(rows, 35)
 
 
+def test_lengthened_prefixes_equal_brute_force(spark, monkeypatch):
+    """Every prefix that more than two suffixes share is too large for a group."""
+    for rows_in_group, small in ((2, 0), (5, 20_000)):
+        monkeypatch.setattr(S, "GROUP_ROWS", rows_in_group)
+        monkeypatch.setattr(S, "SMALL_NODES", small)
+        rows = rows_of_all_kinds()
+        assert Counter(map(tuple, S.digest(docs(spark, rows)).collect())) == brute(rows, 35)
+
+
+def test_very_long_texts(spark):
+    """Texts of more than the 1 MiB at which a text is worked on by itself."""
+    rng = random.Random(21)
+    long, passage = prose(rng, 170_000, 50_000), prose(rng, 60, 50_000)
+    rows = [(1, long), (2, passage + " " + long[-400_000:]), (3, prose(rng, 40, 50_000) + " " + passage)]
+    assert len(long) > 1 << 20
+    assert Counter(map(tuple, S.digest(docs(spark, rows)).collect())) == brute(rows, 35)
+
+
+def test_subtrees():
+    """Suffixes sorted by their words: marks equal a count of the windows; words whose numbers end in zeros, and none."""
+    rng = random.Random(3)
+    slices = [" ".join(rng.choice(["a", "b", "é"]) for _ in range(rng.randrange(0, 20))).encode() for _ in range(300)]
+    own, first, shared = S.sort_suffixes(slices, 6)
+    words = [x.split() for x in slices]
+    n = Counter(tuple(w[i:i + 6]) for w in words for i in range(len(w) - 5))
+    assert [(o, f) for o, f in zip(own, first)] == [(o, f) for o, w in enumerate(words) for f in range(len(w) - 5)]
+    assert shared.tolist() == [n[tuple(words[o][f:f + 6])] > 1 for o, f in zip(own, first)]
+    assert [len(x) for x in S.sort_suffixes([], 6)] == [0, 0, 0] == [len(x) for x in S.sort_suffixes([b"", b"a b"], 6)]
+    runs = S._runs(np.array([0, 0, 0, 1, 1]), np.array([2, 3, 7, 8, 9]))
+    assert [x.tolist() for x in runs] == [[0, 0, 1], [2, 7, 8], [2, 1, 2]]
+
+
 def test_other_windows_and_repeated_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "x a b c y"), (3, "b c")]
     got = S.dedup(docs(spark, rows), window=3, prefix=2).collect()
