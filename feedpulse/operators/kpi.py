@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedpulse.operators.ordering import quantile_of_ranks, rank_table
 from feedpulse.session import ensure_checkpoint_dir
 
 # Thresholds and sizes of the dashboard rules.
@@ -33,12 +34,15 @@ SPAM_SPIKE_NOTE = "High Spam Volume Spike"
 
 
 def scalar_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row as scalar subqueries.
+    """Attach the columns of a one-row aggregate to every row, by one scalar subquery.
 
-    Uncorrelated scalar subqueries run once and are inlined as values (no join,
-    no nested loop); subqueries over the same aggregate are merged by Catalyst.
+    An uncorrelated scalar subquery runs once and is inlined as a value (no join,
+    no nested loop); its columns travel together as one struct.
     """
-    return df.select("*", *[one_row.select(F.col(f"`{c}`")).scalar().alias(c) for c in one_row.columns])
+    names = one_row.columns
+    one = one_row.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])).scalar()
+    with_it = df.withColumn("__one", one)
+    return with_it.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__one.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 # ---------------------------------------------------------------- trend KPIs
@@ -131,24 +135,18 @@ def weekly_drift(r: DataFrame, key: str = "product_id", value: str = "predicted_
 
     Weeks run Monday..Sunday. A product missing in either week, or with a
     previous mean of 0, gets 0. No rows when fewer than two weeks exist. The two
-    weeks are nested scalar subqueries (latest week, latest week before it).
+    weeks are one scalar subquery; the rows are grouped by product once, and nothing is written between.
     """
     d = r.where(F.col("date").isNotNull()).withColumn(
         "__wk", F.date_trunc("week", F.col("date").cast("timestamp")))
-    # the input is read once: everything below works on one row per product and week
-    spark = r.sparkSession
-    ensure_checkpoint_dir(spark)
-    per = (d.groupBy(key, "__wk").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))).checkpoint(eager=True)
-    w1 = per.agg(F.max("__wk")).scalar()
-    w0 = per.where(F.col("__wk") < w1).agg(F.max("__wk")).scalar()
-    j = per.select("*", w1.alias("__w1"), w0.alias("__w0")).where(F.col("__w0").isNotNull())
-
-    def mean_of(week):
-        here = F.col("__wk") == F.col(week)
-        n = F.sum(F.when(here, F.col("__n")))
-        return F.when(n > 0, F.sum(F.when(here, F.col("__s"))) / n)
-
-    g = j.groupBy(key).agg(mean_of("__w1").alias("__last"), mean_of("__w0").alias("__prev"))
+    weeks = F.array_sort(F.collect_set("__wk"))  # at most two
+    last_two = d.select("__wk").groupBy("__wk").agg(F.lit(1)).orderBy(F.desc("__wk")).limit(2).agg(weeks.alias("w"))
+    j = d.withColumn("__w", last_two.scalar()).where(F.size("__w") == 2)
+
+    def mean_of(i):
+        return F.avg(F.when(F.col("__wk") == F.get("__w", F.lit(i)), F.col(value)))
+
+    g = j.groupBy(key).agg(mean_of(1).alias("__last"), mean_of(0).alias("__prev"))
     drift = F.when(F.col("__last").isNotNull() & F.col("__prev").isNotNull() & (F.col("__prev") != 0),
                    (F.col("__last") - F.col("__prev")) / F.col("__prev") * 100).otherwise(F.lit(0.0))
     return g.select(key, drift.alias("drift_pct"))
@@ -157,22 +155,16 @@ def weekly_drift(r: DataFrame, key: str = "product_id", value: str = "predicted_
 def describe_ratings(r: DataFrame, value: str = "predicted_rating") -> DataFrame:
     """H9: count, mean, sample std, min, quartiles (exact, linear) and max.
 
-    Everything is computed from one table of distinct ratings and their counts
-    (``ranged_value_counts``), so the input is read once; the quartiles pick
-    ranks from cumulative counts, distributed by value range.
+    Everything is picked in one aggregate over the table of distinct ratings with their ranks
+    (``ordering.rank_table``), so the input is read once.
     """
-    from feedpulse.operators.ordering import quantiles_from_counts, ranged_value_counts
-    rc = ranged_value_counts(r, value)
-    n = F.sum("__c")
-    mean = rc.agg(F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).scalar()
-    var = F.sum(F.col("__c") * (F.col("__v") - mean) * (F.col("__v") - mean)) / (n - 1)
-    a = rc.agg(n.alias("rating_count"), mean.alias("rating_mean"),
-               F.when(n > 1, F.sqrt(var)).alias("rating_std"),
-               F.min("__v").alias("rating_min"), F.max("__v").alias("rating_max"))
-    q = quantiles_from_counts(rc, (0.25, 0.5, 0.75))
-    return a.select("rating_count", "rating_mean", "rating_std", "rating_min",
-                    q.select("q0").scalar().alias("rating_q25"), q.select("q1").scalar().alias("rating_q50"),
-                    q.select("q2").scalar().alias("rating_q75"), "rating_max")
+    t = rank_table(r, value)
+    n, gap = F.max("total"), F.col("v") - F.col("mean")
+    std = F.when(n > 1, F.sqrt(F.sum(F.col("c") * gap * gap) / (n - 1)))
+    names = ("rating_q25", "rating_q50", "rating_q75")
+    picks = [quantile_of_ranks(q).alias(name) for q, name in zip((0.25, 0.5, 0.75), names)]
+    return t.agg(F.coalesce(n, F.lit(0)).alias("rating_count"), F.max("mean").alias("rating_mean"), std.alias("rating_std"), F.max("lo").alias("rating_min"),
+                 *picks, F.max("hi").alias("rating_max"))
 
 
 def user_volatility(r: DataFrame, user: str = "user_id", value: str = "predicted_rating") -> DataFrame:
@@ -181,34 +173,19 @@ def user_volatility(r: DataFrame, user: str = "user_id", value: str = "predicted
     return per_user.agg(F.avg("__s").alias("user_volatility"))
 
 
-def _rating_counts(r: DataFrame, value: str) -> DataFrame:
-    """Distinct values and their counts (``__c``), written once: the input is read a single time."""
-    ensure_checkpoint_dir(r.sparkSession)
-    return r.groupBy(value).agg(F.count(F.lit(1)).alias("__c")).checkpoint(eager=True)
-
-
-def _hist_range(r: DataFrame, value: str) -> DataFrame:
-    mm = r.agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
-    same = F.col("__lo") == F.col("__hi")
-    return mm.select(F.when(same, F.col("__lo") - 0.5).otherwise(F.col("__lo")).alias("__lo"),
-                     F.when(same, F.col("__hi") + 0.5).otherwise(F.col("__hi")).alias("__hi"))
-
-
 def rating_hist(r: DataFrame, bins: int = 20, value: str = "predicted_rating") -> DataFrame:
-    """``bins`` equal-width bins from min to max, last bin closed; empty bins kept."""
-    d = r.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    d = _rating_counts(d, value)
-    rng = _hist_range(d, value)
-    j = scalar_join(d, rng)
-    idx = F.least(F.floor((F.col(value) - F.col("__lo")) * (F.lit(float(bins)) / (F.col("__hi") - F.col("__lo")))),
-                  F.lit(bins - 1)).cast("int")
-    counts = j.groupBy(idx.alias("bin")).agg(F.sum("__c").alias("count"))
-    grid = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "__lo", "__hi")
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
-    return (grid.join(counts, "bin", "left")
-                .select("bin", (F.col("__lo") + F.col("bin") * width).alias("lower"),
-                        (F.col("__lo") + (F.col("bin") + 1) * width).alias("upper"),
-                        F.coalesce(F.col("count"), F.lit(0)).alias("count")))
+    """``bins`` equal-width bins from min to max, last bin closed; empty bins kept. One pass over the rank table."""
+    t = rank_table(r.where(~F.isnan(F.col(value).cast("double"))), value)
+    same = F.col("lo") == F.col("hi")
+    lo, hi = F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")), F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi"))
+    t = t.select("v", "c", lo.alias("lo"), hi.alias("hi"))
+    idx = F.least(F.floor((F.col("v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))), F.lit(bins - 1)).cast("int")
+    each = t.groupBy(idx.alias("bin")).agg(F.sum("c").alias("count"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))  # a row per bin
+    whole = each.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("counts"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    grid = whole.where("lo is not null").select("counts", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.select("bin", (F.col("lo") + F.col("bin") * width).alias("lower"), (F.col("lo") + (F.col("bin") + 1) * width).alias("upper"),
+                       F.coalesce(F.element_at("counts", F.col("bin")), F.lit(0)).alias("count"))
 
 
 def rating_kde(r: DataFrame, points: int = KDE_GRID, cut: float = KDE_CUT,
@@ -219,24 +196,17 @@ def rating_kde(r: DataFrame, points: int = KDE_GRID, cut: float = KDE_CUT,
     Duplicate values are counted first; each distinct value then adds its
     weighted kernel to every grid point (an array per value, summed per point).
     """
-    d = r.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__x"))
-    vc = _rating_counts(d, "__x")
-    n = F.sum("__c")
-    mean = vc.agg(F.sum(F.col("__x") * F.col("__c")) / n).scalar()
-    st = vc.agg(n.alias("__n"), F.when(n > 1, F.sqrt(F.sum(F.col("__c") * F.pow(F.col("__x") - mean, 2.0)) / (n - 1))).alias("__sd"),
-                F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    st = st.withColumn("__h", F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
-    st = st.withColumn("__g0", F.col("__lo") - F.lit(cut) * F.col("__h")) \
-           .withColumn("__g1", F.col("__hi") + F.lit(cut) * F.col("__h")) \
-           .withColumn("__step", (F.col("__g1") - F.col("__g0")) / F.lit(float(points - 1)))
-    j = scalar_join(vc, st.select("__n", "__h", "__g0", "__g1", "__step"))
-    gx = F.when(F.col("__i") == points - 1, F.col("__g1")).otherwise(F.col("__g0") + F.col("__i") * F.col("__step"))
-    z = (gx - F.col("__x")) / F.col("__h")
-    contrib = F.col("__c") * F.exp(F.lit(-0.5) * z * z)
-    e = j.select("__n", "__h", "__g0", "__g1", "__step", "__x", "__c",
-                 F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("__i"))
-    g = e.groupBy("__i").agg(F.first(gx).alias("x"), F.sum(contrib).alias("__s"),
-                             F.first("__n").alias("__n"), F.first("__h").alias("__h"))
+    t = rank_table(r, value)
+    gap = F.col("v") - F.col("mean")
+    n = F.max("total")
+    sd = F.when(n > 1, F.sqrt(F.sum(F.col("c") * gap * gap) / (n - 1)))
+    j = scalar_join(t, t.agg((sd * F.pow(n.cast("double"), F.lit(-0.2))).alias("__h")))
+    lo, hi = F.col("lo") - F.lit(cut) * F.col("__h"), F.col("hi") + F.lit(cut) * F.col("__h")
+    e = j.select("v", "c", F.col("total").alias("__n"), "__h", lo.alias("__g0"), hi.alias("__g1"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("__i"))
+    step = (F.col("__g1") - F.col("__g0")) / F.lit(float(points - 1))
+    gx = F.when(F.col("__i") == points - 1, F.col("__g1")).otherwise(F.col("__g0") + F.col("__i") * step)
+    z = (gx - F.col("v")) / F.col("__h")
+    g = e.groupBy("__i").agg(F.max(gx).alias("x"), F.sum(F.col("c") * F.exp(F.lit(-0.5) * z * z)).alias("__s"), F.max("__n").alias("__n"), F.max("__h").alias("__h"))
     dens = F.col("__s") / (F.col("__n") * F.col("__h") * F.lit(math.sqrt(2 * math.pi)))
     return g.select(F.col("__i").alias("point"), "x", dens.alias("density"))
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedpulse.session import ensure_checkpoint_dir
+from feedpulse.session import ensure_checkpoint_dir, written
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -97,55 +97,40 @@ def dense_index(values: DataFrame, col: str, out: str = "idx",
                   .select(col, (F.col("__off") + F.col("__local") - 1).cast("bigint").alias(out)))
 
 
-def ranged_value_counts(values: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
-    """Distinct values of ``col`` with their counts (``__v``, ``__c``), range-partitioned (``__pid``).
+def rank_table(values: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
+    """Distinct values of ``col`` (``v``) with their counts (``c``), how many values are ``before`` them, and, of all
+    values, ``total``, ``mean``, ``lo`` and ``hi``; nulls are left out.
 
-    Checkpointed to the shared folder, so every later use sees the same
-    range assignment even after a lost executor.
+    The distinct values are range-partitioned and written once (a retry cannot draw other ranges); a range's offset and
+    the whole's figures come from a table of one row per range. No task holds more than one range.
     """
     spark = values.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vc = (values.select(F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-                .groupBy("__v").agg(F.count(F.lit(1)).alias("__c")))
-    return (vc.repartitionByRange(n_parts, "__v").withColumn("__pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-
-
-def quantiles_from_counts(ranged: DataFrame, qs) -> DataFrame:
-    """Exact quantiles (linear, rank q * (n - 1)) from ``ranged_value_counts``.
-
-    Each value gets its cumulative count: a running sum inside its range
-    partition plus the count of all lower partitions; every rank of every
-    quantile is then picked in one pass. Returns one row ``q0, q1, ...``.
-    """
-    sizes = ranged.groupBy("__pid").agg(F.sum("__c").alias("__n"))
-    prior = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range partition: a bounded table, safe to window globally
-    offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
-    local = Window.partitionBy("__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    cum = (ranged.withColumn("__lb", F.coalesce(F.sum("__c").over(local), F.lit(0)))
-                 .join(F.broadcast(offsets), "__pid")
-                 .select("__v", "__c", (F.col("__off") + F.col("__lb")).alias("__before")))
-    total = ranged.agg(F.sum("__c")).scalar()
-
-    def hit(rank):
-        return (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c"))
-
-    picks, parts = [], []
-    for i, q in enumerate(qs):
-        pos = F.lit(float(q)) * (total - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        picks += [F.max(F.when(hit(lo), F.col("__v"))).alias(f"__lo{i}"),
-                  F.max(F.when(hit(hi), F.col("__v"))).alias(f"__hi{i}")]
-        parts.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (pos - lo)).alias(f"q{i}"))
-    return cum.agg(*picks).select(*parts)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = (values.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+                    .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    ranged = written(counts.repartitionByRange(n, "v").withColumn("__pid", F.spark_partition_id()), "rank-table")
+    sizes = ranged.groupBy("__pid").agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # one row per range partition: a bounded table, safe to window globally and to broadcast
+    prior, whole = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sizes = sizes.select("__pid", F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("__off"), F.sum("n").over(whole).alias("total"),
+                         (F.sum("s").over(whole) / F.sum("n").over(whole)).alias("mean"), F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"))
+    local = Window.partitionBy("__pid").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumn("__below", F.coalesce(F.sum("c").over(local), F.lit(0))).join(F.broadcast(sizes), "__pid")
+                  .select("v", "c", (F.col("__off") + F.col("__below")).alias("before"), "total", "mean", "lo", "hi"))
+
+
+def quantile_of_ranks(q: float) -> Column:
+    """An aggregate over ``rank_table``: the quantile at rank q * (total - 1), linear between two values."""
+    at = F.lit(float(q)) * (F.col("total") - 1)
+    hit = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))
+    low, high = F.max(F.when(hit(F.floor(at)), F.col("v"))), F.max(F.when(hit(F.ceil(at)), F.col("v")))
+    return low + (high - low) * F.max(at - F.floor(at))
 
 
 def exact_quantiles(values: DataFrame, col: str, qs, partitions: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, fully distributed.
+    """Exact quantiles with linear interpolation (one row ``q0, q1, ...``), fully distributed.
 
     Values are counted and range-partitioned; no task holds more than one range
     of distinct values, unlike a single-task percentile merge.
     """
-    return quantiles_from_counts(ranged_value_counts(values, col, partitions), qs)
+    return rank_table(values, col, partitions).agg(*[quantile_of_ranks(q).alias(f"q{i}") for i, q in enumerate(qs)])
