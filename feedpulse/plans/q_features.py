@@ -151,9 +151,9 @@ def q_split_stratified(spark, sf):
     """select doc_id, topic, row_number() over (partition by topic order by
          cast(('0x' || substr(md5(concat_ws('|', '7', doc_id)), 1, 8)) as bigint), doc_id)
          <= ceil(0.2 * count(*) over (partition by topic)) as is_test
-    from reviews""", "reviews"))
+    from texts""", "texts"))
 def q_split_stratified_topic(spark, sf):
-    return split_stratified(reviews(spark, sf).select("doc_id", "topic"), ["doc_id"], "topic", 0.2, 7)
+    return split_stratified(texts(spark, sf).select("doc_id", "topic"), ["doc_id"], "topic", 0.2, 7)
 
 
 @register("clean_then_tokens", with_views(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedpulse.functions import text as X
@@ -19,7 +20,7 @@ from feedpulse.plans.q_features import _KEYS
 from feedpulse.plans.q_text import sql_clean_trend
 from feedpulse.plans.registry import register
 from feedpulse.plans.views import add_view_sql, day_from_no, emails, interactions, reviews, texts, with_views
-from feedpulse.session import scratch_path
+from feedpulse.session import scratch_path, written
 from feedpulse.sources.tables import table
 
 
@@ -140,29 +141,89 @@ def q_scored_feed_trend(spark, sf):
 
 # ---------------------------------------------------------------- fitted models (rows-only checks)
 
-def _review_split(spark, sf, label="label"):
-    r = reviews(spark, sf)
-    return split_stratified(r, ["doc_id"], label, 0.2, 42)
+def _review_split(spark, sf):
+    return split_stratified(reviews(spark, sf), ["doc_id"], "label", 0.2, 42)
+
+
+def _split_sql(name: str, src: str, label: str, key: str = "doc_id") -> None:
+    """The rows that ``split_stratified`` (seed 42, a fifth) holds out, as a view."""
+    add_view_sql(name, f"""select * from (select *, row_number() over (partition by {label} order by
+         cast(('0x' || substr(md5(concat_ws('|', '42', {key})), 1, 8)) as bigint), {key})
+         <= ceil(0.2 * count(*) over (partition by {label})) as is_test from {src}) s where is_test""", (src,))
+
+
+_split_sql("review_test", "reviews", "label")
+_split_sql("topic_test", "texts", "topic")
+
+
+def _in_range(c, low: float = 0.0):
+    return F.col(c).between(low, 1.0)
+
+
+def _same_rows(a, b, key: str):
+    """``a`` with ``same``: whether ``b`` (its columns from a reloaded model) has the same row for the key."""
+    cols = [c for c in a.columns if c != key]
+    j = a.join(b.select(key, F.struct(*cols).alias("__b")), key, "left")
+    same = F.col("__b").isNotNull()
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col("__b")[c])
+    return j.withColumn("same", same).drop("__b")
+
+
+def _reloaded(spark, model):
+    path = scratch_path(spark, f"models/{uuid.uuid4().hex[:12]}")
+    TR.save_model(model, path)
+    return TR.load_model(path)
+
+
+def _sentiment_model(spark, sf):
+    s = _review_split(spark, sf).withColumn("clean", X.clean_vi(X.null_text("text", "nan")))
+    spec = TR.TextModelSpec(text_col="clean", max_features=TR.SENTIMENT_TERMS)
+    test = s.where("is_test").select("doc_id", F.col("clean").alias("text"), "label").withColumn("clean", F.col("text"))
+    return TR.train_logistic(s.where(~F.col("is_test")), spec), test
 
 
 @register("sentiment_model_scores")
 def q_sentiment_model(spark, sf):
     """E3 + F3: the sentiment job cleans with the Vietnamese letter class (C1) before tf-idf."""
-    s = _review_split(spark, sf).withColumn("clean", X.clean_vi(X.null_text("text", "nan")))
-    spec = TR.TextModelSpec(text_col="clean", max_features=TR.SENTIMENT_TERMS)
-    model = TR.train_logistic(s.where(~F.col("is_test")), spec)
-    test = s.where("is_test").select("doc_id", F.col("clean").alias("text"), "label")
-    return SC.score_sentiment(test.withColumn("clean", F.col("text")), model) \
-        .select("doc_id", "label", "sentiment", "confidence")
+    model, test = _sentiment_model(spark, sf)
+    return SC.score_sentiment(test, model).select("doc_id", "label", "sentiment", "confidence")
 
 
-@register("topic_model_scores")
-def q_topic_model(spark, sf):
-    s = _review_split(spark, sf, "topic")
+@register("sentiment_model_exact", with_views(
+    "select doc_id, label, true as known, true as in_range, true as same from review_test", "review_test"))
+def q_sentiment_model_exact(spark, sf):
+    """E3, E14, F3, what is exact of them: the held-out rows, known labels, confidences in range, reload = original."""
+    model, test = _sentiment_model(spark, sf)
+    a, b = (SC.score_sentiment(test, m).select("doc_id", "label", "sentiment", "confidence") for m in (model, _reloaded(spark, model)))
+    known = F.col("sentiment").isin([r[0] for r in test.select(X.translate_label("label")).distinct().collect()])  # two labels
+    return _same_rows(a, b, "doc_id").select("doc_id", "label", known.alias("known"),
+                                             _in_range("confidence", 0.5).alias("in_range"), "same")
+
+
+def _topic_model(spark, sf):
+    """E4 over every document: the topic is its source and needs no label."""
+    s = split_stratified(texts(spark, sf), ["doc_id"], "topic", 0.2, 42)
     spec = TR.TextModelSpec(label_col="topic", max_features=TR.TOPIC_TERMS)
     model = TR.train_linear_log(s.where(~F.col("is_test")), spec, max_iter=50)
-    return SC.score_topic(s.where("is_test").select("doc_id", "text", F.col("topic").alias("true_topic")), model) \
-        .select("doc_id", "true_topic", "topic", "confidence")
+    return model, s.where("is_test").select("doc_id", "text", F.col("topic").alias("true_topic"))
+
+
+@register("topic_model_scores")
+def q_topic_model(spark, sf):
+    model, test = _topic_model(spark, sf)
+    return SC.score_topic(test, model).select("doc_id", "true_topic", "topic", "confidence")
+
+
+@register("topic_model_exact", with_views(
+    "select doc_id, topic as true_topic, true as known, true as in_range, true as same from topic_test", "topic_test"))
+def q_topic_model_exact(spark, sf):
+    """E4, E14, F2, what is exact of them."""
+    model, test = _topic_model(spark, sf)
+    a, b = (SC.score_topic(test, m).select("doc_id", "true_topic", "topic", "confidence") for m in (model, _reloaded(spark, model)))
+    topics = texts(spark, sf).select(F.col("topic"), F.lit(True).alias("known")).where("topic is not null").distinct()
+    out = _same_rows(a, b, "doc_id").join(topics, "topic", "left")
+    return out.select("doc_id", "true_topic", F.coalesce("known", F.lit(False)).alias("known"), _in_range("confidence").alias("in_range"), "same")
 
 
 def _email_frame(spark, sf):
@@ -185,6 +246,34 @@ def q_email_model(spark, sf):
     return SC.score_email(test, model).drop("clean")
 
 
+add_view_sql("email_rows", "select *, conv_id * 1000 + turn as doc_id, case when label = 'spam' then 1 else 0 end as y from emails", ("emails",))
+_split_sql("email_test", "email_rows", "y")
+
+
+@register("email_model_exact", with_views(
+    "select conv_id, turn, label, true as known, true as in_range, true as same from email_test", "email_test"))
+def q_email_model_exact(spark, sf):
+    """E5, E14, F4, what is exact of them."""
+    e = _email_frame(spark, sf)
+    model = TR.train_linear(e.where(~F.col("is_test")), EMAIL_SPEC, loss="modified_huber", max_iter=30)
+    path = scratch_path(spark, f"models/{uuid.uuid4().hex[:12]}")
+    model.save(path)
+    test = e.where("is_test").select("doc_id", "conv_id", "turn", "label", "clean")
+    a, b = (SC.score_email(test, m).drop("clean") for m in (model, TR.LinearTextModel.load(spark, path)))
+    known = F.col("label_pred").isin("spam", "ham") & (F.col("is_spam_pred") == (F.col("label_pred") == "spam"))
+    return _same_rows(a, b, "doc_id").select("conv_id", "turn", "label", known.alias("known"), _in_range("confidence", 0.5).alias("in_range"), "same")
+
+
+@register("email_epoch_steps", """select key, cast(step as bigint) as step, true as in_range, true as falls
+    from (values ('weighted_f1'), ('train_loss')) k(key), range(1, 11) r(step) where (select count(*) from conversations) > 0""")
+def q_email_epoch_steps(spark, sf):
+    """E6, what is exact of it: one row per epoch and metric, in range, and the loss never rises."""
+    log = written(q_email_epochs(spark, sf), "epoch-log")
+    before = F.lag("value").over(Window.partitionBy("key").orderBy("step"))  # ten rows a key
+    falls = (F.col("key") != "train_loss") | before.isNull() | (F.col("value") <= before)
+    return log.select("key", "step", (F.col("value") >= 0).alias("in_range"), falls.alias("falls"))
+
+
 @register("email_epoch_log")
 def q_email_epochs(spark, sf):
     """Ten epochs, weighted F1 on the test rows and the training loss logged per epoch."""
@@ -195,8 +284,18 @@ def q_email_epochs(spark, sf):
     return spark.read.parquet(f"{root}/run_metrics").where(F.col("run_id") == run_id)
 
 
-@register("rating_model_scores")
-def q_rating_model(spark, sf):
+add_view_sql("rating_cold", """with tr as (select * from isplit2 where not is_test),
+       u as (select user_id, dense_rank() over (order by user_id) - 1 as user_idx
+             from (select distinct user_id from tr) x),
+       i as (select item_id, dense_rank() over (order by item_id) - 1 as item_idx
+             from (select distinct item_id from tr) y)
+    select t.l_orderkey, t.l_linenumber, t.l_partkey, coalesce(u.user_idx, 0) as user_idx,
+           coalesce(i.item_idx, 0) as item_idx, (u.user_id is null) or (i.item_id is null) as is_cold_start
+    from isplit2 t left join u on t.user_id = u.user_id left join i on t.item_id = i.item_id
+    where t.is_test""", ("isplit2",))
+
+
+def _rating_model(spark, sf, trees: int = TR.GBT_TREES):
     s = split_random(interactions(spark, sf), _KEYS, 0.2, 42)
     tr = s.where(~F.col("is_test"))
     users = D.fit_index(tr, "user_id", "user_idx")
@@ -209,12 +308,35 @@ def q_rating_model(spark, sf):
                             max_features=TR.RATING_TERMS, stop=True)
     # a deterministic row key (the line-item key), so a retried task rebuilds the same ids
     tr = tr.withColumn("__row", F.xxhash64(*_KEYS)).withColumn("rating", F.col("rating").cast("double"))
-    model = TR.train_gbt(tr, spec)
+    model = TR.train_gbt(tr, spec, trees)
     test = s.where("is_test").select("user_id", F.col("item_id").alias("product_id"), "title", "name",
                                      "manufacturer", "categories", "rating", "l_orderkey", "l_linenumber")
+    return model, test, users, items
+
+
+@register("rating_model_scores")
+def q_rating_model(spark, sf):
+    model, test, users, items = _rating_model(spark, sf)
     return SC.score_rating(test, model, users, items)
 
 
+@register("rating_model_exact", with_views(
+    "select l_orderkey, l_linenumber, l_partkey, is_cold_start, true as in_range, true as same from rating_cold", "rating_cold"))
+def q_rating_model_exact(spark, sf):
+    """D9, E7, E14, F5, what is exact of them: the held-out rows, cold starts, ratings from 1 to 5, reload = original."""
+    model, test, users, items = _rating_model(spark, sf, trees=20)
+    key = F.concat_ws("|", "l_orderkey", "l_linenumber", "product_id")
+    a, b = (SC.score_rating(test, m, users, items).withColumn("k", key) for m in (model, _reloaded(spark, model)))
+    a, b = (d.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("predicted_rating", "is_cold_start"))).alias("r")) for d in (a, b))
+    out = _same_rows(a, b, "k").select("k", "same", F.explode("r").alias("r"))
+    part = F.split("k", "[|]")
+    return out.select(F.get(part, F.lit(0)).cast("bigint").alias("l_orderkey"), F.get(part, F.lit(1)).cast("int").alias("l_linenumber"),
+                      F.get(part, F.lit(2)).cast("bigint").alias("l_partkey"), "r.is_cold_start",
+                      F.col("r.predicted_rating").between(1, 5).alias("in_range"), "same")
+
+
+
+
 add_view_sql("upload", """select strftime(date '2024-01-01' + cast(d.doc_id % 30 as int), '%Y-%m-%d') || 'T10:00:00Z' as created_at,
     d.text as comment from documents d""")
 
@@ -241,16 +363,7 @@ def q_trend_report_upload(spark, sf):
     return cube
 
 
-@register("rating_cold_start", with_views(
-    """with tr as (select * from isplit2 where not is_test),
-       u as (select user_id, dense_rank() over (order by user_id) - 1 as user_idx
-             from (select distinct user_id from tr) x),
-       i as (select item_id, dense_rank() over (order by item_id) - 1 as item_idx
-             from (select distinct item_id from tr) y)
-    select t.l_orderkey, t.l_linenumber, t.l_partkey, coalesce(u.user_idx, 0) as user_idx,
-           coalesce(i.item_idx, 0) as item_idx, (u.user_id is null) or (i.item_id is null) as is_cold_start
-    from isplit2 t left join u on t.user_id = u.user_id left join i on t.item_id = i.item_id
-    where t.is_test""", "isplit2"))
+@register("rating_cold_start", with_views("select * from rating_cold", "rating_cold"))
 def q_rating_cold_start(spark, sf):
     """Id features of the scoring path; unseen user or item -> index 0 and cold start."""
     s = split_random(interactions(spark, sf), _KEYS, 0.2, 42)
@@ -298,7 +411,7 @@ def q_nightly_sentiment(spark, sf):
 
 @register("nightly_topic")
 def q_nightly_topic(spark, sf):
-    return _nightly(spark, sf, "topic", reviews(spark, sf).select("doc_id", F.col("topic").alias("label"), "text"),
+    return _nightly(spark, sf, "topic", texts(spark, sf).select("doc_id", F.col("topic").alias("label"), "text"),
                     TR.TextModelSpec(text_col="text", max_features=TR.TOPIC_TERMS))
 
 
