@@ -8,12 +8,11 @@ from the last committed micro-batch. ``run_available`` drives a query with
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from feedpulse.operators.trend import SENTIMENTS
 
@@ -46,112 +45,116 @@ def stream_trend(df: DataFrame, ts: str = "ts", topic: str = "topic", sentiment:
                     F.when(total > 0, F.col("Negative") / total).otherwise(F.lit(0.0)).alias("negative_rate"))
 
 
-def stream_rates(df: DataFrame, keys: Sequence[str], ts: str = "ts", width: str = "5 minutes",
-                 slide: str = "15 seconds", width_seconds: int = 300, late_delay: str = "10 minutes") -> DataFrame:
-    """K3: sliding-window event counts and per-second rates."""
+def stream_rates(df: DataFrame, keys: Sequence[str], ts: str = "ts", width_seconds: int = 300, slide_seconds: int = 15,
+                 late_delay: str = "10 minutes") -> DataFrame:
+    """K3: sliding-window event counts and per-second rates, by panes.
+
+    Two chained stateful operators: events are counted into panes of one slide first (a state row per
+    key and pane, whatever the number of events), and a closed pane then adds its count to the
+    windows that hold it. No event is copied. For append mode: a window is emitted when the watermark has passed its end.
+    """
     s = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late_delay)
-    g = s.groupBy(F.window(ts, width, slide), *keys).agg(F.count(F.lit(1)).alias("n"))
+    panes = s.groupBy(F.window(ts, f"{slide_seconds} seconds"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    # the pane's time (its end less a microsecond) carries the watermark on
+    panes = panes.select(F.window_time("window").alias("__at"), *keys, "n")
+    g = panes.groupBy(F.window("__at", f"{width_seconds} seconds", f"{slide_seconds} seconds"), *keys).agg(F.sum("n").alias("n"))
     return g.select(F.unix_seconds(F.col("window.start")).alias("window_start"), *keys, "n",
                     (F.col("n") / F.lit(float(width_seconds))).alias("rate"))
 
 
-def _hold_fn(threshold: float, hold: int, step: int):
-    """K5 state function: the J13 run logic, resumed across micro-batches from GroupState."""
+class AlertHold(StatefulProcessor):
+    """K5: the J13 run logic of one series, in time order.
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run_start, last_t = (state.get if state.exists else (None, None))
-        rows = []
-        batch = sorted((t, v) for pdf in pdfs for t, v in zip(pdf["t"].tolist(), pdf["value"].tolist()))
-        for t, v in batch:  # one group's rows of this micro-batch, in time order
-            gap = last_t is not None and t != last_t + step
-            if run_start is not None and (gap or v <= threshold):
-                # the run ends: by a false value or by a missing instant
-                if last_t - run_start >= hold:
-                    rows.append((key[0], last_t + step, "resolved", run_start))
-                run_start, last_t = None, None
-            if v > threshold:
-                if run_start is None:
-                    run_start = t
-                last_t = t
-                rows.append((key[0], t, "firing" if t - run_start >= hold else "pending", run_start))
-        state.update((run_start, last_t))
-        yield pd.DataFrame(rows, columns=["series", "t", "state", "active_since"])
-
-    return fn
-
-
-def _hold_fn_event_time(threshold: float, hold: int, step: int):
-    """K5 with out-of-order input: instants wait in state until the watermark passes them.
-
-    State: (run start, last instant, JSON list of waiting (t, value) pairs). The list
-    holds at most the instants inside the lateness bound. An event-time timeout wakes
-    the series when the watermark passes its next waiting instant or its next grid
-    instant, so a missing instant ends a run even without new rows for the series.
+    State: the live run (its start and last instant), and the list of instants that wait for the
+    watermark. A timer wakes the series when the watermark reaches its next waiting instant, or the next grid
+    instant of a live run, so a missing instant ends a run even without new rows. A series without
+    run and waiting instants has no state. Without ``event_time`` instants are taken as they arrive.
     """
-    import json
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run_start, last_t, buf = state.get if state.exists else (None, None, "[]")
-        waiting = json.loads(buf)
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                waiting += [[int(t), float(v)] for t, v in zip(pdf["t"].tolist(), pdf["value"].tolist()) if v is not None and v == v]
-        wm = state.getCurrentWatermarkMs() // 1000
-        ready = sorted(p for p in waiting if p[0] <= wm)
-        waiting = [p for p in waiting if p[0] > wm]
+
+    def __init__(self, threshold: float, hold: int, step: int, event_time: bool):
+        self.threshold, self.hold, self.step, self.event_time = threshold, hold, step, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "run_start long, last_t long")
+        self.waiting = handle.getListState("waiting", "t long, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(t), float(v)) for f in rows for t, v in zip(f["t"].tolist(), f["value"].tolist()) if v is not None and v == v]
+        yield self._advance(key, new, self._now(timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._advance(key, [], self._now(timerValues))
+
+    def _now(self, timer_values):
+        return timer_values.getCurrentWatermarkInMs() // 1000 if self.event_time else None
+
+    def _advance(self, key, new, now):
+        import pandas as pd
+        start, last = self.run.get() if self.run.exists() else (None, None)
+        held = [(int(t), float(v)) for t, v in self.waiting.get()] if self.waiting.exists() else []
+        todo = sorted(held + new)
+        later = [p for p in todo if now is not None and p[0] > now]
         rows = []
-        for t, v in ready:
-            gap = last_t is not None and t != last_t + step
-            if run_start is not None and (gap or v <= threshold):
-                if last_t - run_start >= hold:
-                    rows.append((key[0], last_t + step, "resolved", run_start))
-                run_start, last_t = None, None
-            if v > threshold:
-                if run_start is None:
-                    run_start = t
-                last_t = t
-                rows.append((key[0], t, "firing" if t - run_start >= hold else "pending", run_start))
-        if last_t is not None and last_t + step <= wm:
-            # the watermark passed the next instant and no row came for it: the run ends
-            if last_t - run_start >= hold:
-                rows.append((key[0], last_t + step, "resolved", run_start))
-            run_start, last_t = None, None
-        state.update((run_start, last_t, json.dumps(waiting)))
-        wake = [p[0] for p in waiting] + ([last_t + step] if last_t is not None else [])
-        if wake:
-            state.setTimeoutTimestamp(min(wake) * 1000)
-        yield pd.DataFrame(rows, columns=["series", "t", "state", "active_since"])
-
-    return fn
+
+        def end():
+            if last - start >= self.hold:
+                rows.append((key[0], last + self.step, "resolved", start))
+
+        for t, v in todo[:len(todo) - len(later)]:
+            if start is not None and (t != last + self.step or v <= self.threshold):
+                end()  # by a missing instant or a false value
+                start = last = None
+            if v > self.threshold:
+                start, last = (t if start is None else start), t
+                rows.append((key[0], t, "firing" if t - start >= self.hold else "pending", start))
+        if now is not None and last is not None and last + self.step <= now:
+            end()  # the watermark has passed the next instant, and no row came for it
+            start = last = None
+        self._keep(start, last, later)
+        return pd.DataFrame(rows, columns=["series", "t", "state", "active_since"])
+
+    def _keep(self, start, last, later) -> None:
+        if start is None:
+            self.run.clear()
+        else:
+            self.run.update((start, last))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if self.event_time:
+            wake = [p[0] for p in later] + ([last + self.step] if last is not None else [])
+            for at in self.handle.listTimers():
+                self.handle.deleteTimer(at)
+            if wake:
+                self.handle.registerTimer(min(wake) * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+HOLD_SCHEMA = "series string, t long, state string, active_since long"
 
 
 def stream_alerts(expr: DataFrame, key: str, threshold: float, hold: int, step: int,
                   late_delay: str | None = None) -> DataFrame:
     """K5: stateful alert hold per series over a stream of expression values ``(key, t, value)``.
 
-    State per series is two numbers (run start, last instant), kept by Spark's
-    state store and checkpointed with the query. Without ``late_delay`` the
+    ``transformWithStateInPandas`` with the state of ``AlertHold``, kept in RocksDB (``run_available`` sees to that)
+    and checkpointed with the query. Without ``late_delay`` the
     instants of one series must arrive in time order across micro-batches (an
     evaluation stream produces them so); inside a micro-batch any order is fine.
     With ``late_delay`` (event-time mode) instants may arrive out of order within
     that bound and are released in order as the watermark passes them. A missing
     instant ends a run; a fired run then reports ``resolved`` at last + step.
     """
-    if late_delay is not None:
-        # event-time mode: out-of-order instants within ``late_delay`` are put in order first
-        e = (expr.select(F.col(key).alias("series"), "t", F.col("value").cast("double").alias("value"),
-                         F.timestamp_seconds("t").alias("__ts"))
-                 .withWatermark("__ts", late_delay))
-        return (e.groupBy("series")
-                 .applyInPandasWithState(_hold_fn_event_time(threshold, hold, step),
-                                         "series string, t long, state string, active_since long",
-                                         "run_start long, last_t long, waiting string", "append",
-                                         GroupStateTimeout.EventTimeTimeout))
-    fn = _hold_fn(threshold, hold, step)
-    return (expr.select(F.col(key).alias("series"), "t", F.col("value").cast("double").alias("value"))
-                .groupBy("series")
-                .applyInPandasWithState(fn, "series string, t long, state string, active_since long",
-                                        "run_start long, last_t long", "append", GroupStateTimeout.NoTimeout))
+    event_time = late_delay is not None
+    e = expr.select(F.col(key).alias("series"), "t", F.col("value").cast("double").alias("value"))
+    if event_time:
+        e = e.withColumn("__ts", F.timestamp_seconds("t")).withWatermark("__ts", late_delay)
+    return e.groupBy("series").transformWithStateInPandas(
+        AlertHold(threshold, hold, step, event_time), HOLD_SCHEMA, "Append", "EventTime" if event_time else "None")
 
 
 def stream_score(df: DataFrame, model=None, text_col: str = "clean_text", confidences: bool = False) -> DataFrame:
@@ -217,11 +220,28 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
         q = df.writeStream.outputMode("complete").foreachBatch(write)
     else:
         q = df.writeStream.outputMode("append").format("parquet").option("path", path)
-    q = q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    _start(q.option("checkpointLocation", checkpoint).trigger(availableNow=True), spark).awaitTermination()
     return spark.read.parquet(path)
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _start(writer, spark: SparkSession):
+    """Start a query whose state is kept in RocksDB (a query keeps the settings it was started under; the
+    session's own are as before)."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def run_update_to_gold(df: DataFrame, path: str, checkpoint: str, keys=("date", "topic"),
                        available_now: bool = True):
     """K2 sink for long-running streams: update mode, each micro-batch rewrites only the
