@@ -37,7 +37,8 @@ from feedpulse.llm.common import free_name, release, ship_code, stored, window_h
 
 WINDOW = 35
 PREFIX = 8
-GROUP_ROWS = 8_000    # slices that one task holds at once; a prefix with more is lengthened
+GROUP_ROWS = 32_000   # slices of a group; a prefix with more is lengthened
+SORT_ROWS = 8_000     # slices that are sorted at once; more only where one prefix has them
 SMALL_NODES = 20_000  # lengthened slices up to which their table is broadcast
 
 
@@ -115,6 +116,19 @@ def _runs(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return own[edge], at[edge], np.diff(np.append(edge, len(own)))
 
 
+def repeats_of(slices: list, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of repeated windows of a group's slices: (slice, first, count). Equal slices are one leaf set of the trees."""
+    which, different = pd.factorize(np.array([*slices, None], dtype=object)[:-1])
+    own, first, shared = sort_suffixes(list(different), window)
+    shared |= np.bincount(which, minlength=len(different))[own] > 1
+    of, first, count = _runs(own[shared], first[shared])
+    each = np.bincount(of, minlength=len(different))  # runs of a different slice, which lie together
+    begin, n = np.cumsum(each) - each, each[which]
+    row = np.repeat(np.arange(len(which)), n)
+    at = begin[which[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, first[at], count[at]
+
+
 def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, th and ``starts``: runs (first, count) of the first words of the document's repeated windows (only
@@ -167,13 +181,19 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     slices = stored(slices, "suffix-slices") if hot else slices
 
     def subtrees(f: pd.DataFrame) -> pd.DataFrame:
-        own, first, shared = sort_suffixes(f["slice"].tolist(), window)
-        own, first, count = _runs(own[shared], first[shared])
-        return pd.DataFrame({"uid": f["uid"].to_numpy()[own], "first": (f["place"].to_numpy()[own] + first).astype(np.int32),
-                             "count": count.astype(np.int32)})
+        f = f.sort_values("key", kind="stable")
+        edges = np.flatnonzero(np.diff(f["key"].to_numpy(), append=f["key"].iloc[-1] + 1)) + 1  # prefixes end here
+        out, at = [], 0
+        while at < len(f):
+            to = edges[max(np.searchsorted(edges, at + SORT_ROWS, "right") - 1, np.searchsorted(edges, at, "right"))]
+            row, first, count = repeats_of(f["slice"].iloc[at:to].tolist(), window)
+            out.append(pd.DataFrame({"uid": f["uid"].to_numpy()[at + row], "first": (f["place"].to_numpy()[at + row] + first).astype(np.int32),
+                                     "count": count.astype(np.int32)}))
+            at = to
+        return pd.concat(out)
 
     group = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g")
-    found = (slices.filter("not hot").select("uid", "place", "slice", group).groupBy("g")
+    found = (slices.filter("not hot").select("uid", "place", "key", "slice", group).groupBy("g")
              .applyInPandas(subtrees, "uid bigint, first int, count int"))
     if hot:
         found = found.unionByName(_lengthened(slices.filter("hot"), window))

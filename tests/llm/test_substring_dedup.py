@@ -39,8 +39,9 @@ def test_equals_brute_force(spark):
 
 def test_lengthened_prefixes_equal_brute_force(spark, monkeypatch):
     """Every prefix that more than two suffixes share is too large for a group."""
-    for rows_in_group, small in ((2, 0), (5, 20_000)):
+    for rows_in_group, small in ((2, 0), (5, 20_000), (10_000, 0)):
         monkeypatch.setattr(S, "GROUP_ROWS", rows_in_group)
+        monkeypatch.setattr(S, "SORT_ROWS", 3)
         monkeypatch.setattr(S, "SMALL_NODES", small)
         rows = rows_of_all_kinds()
         assert Counter(map(tuple, S.digest(docs(spark, rows)).collect())) == brute(rows, 35)
@@ -65,6 +66,10 @@ def test_subtrees():
     assert [(o, f) for o, f in zip(own, first)] == [(o, f) for o, w in enumerate(words) for f in range(len(w) - 5)]
     assert shared.tolist() == [n[tuple(words[o][f:f + 6])] > 1 for o, f in zip(own, first)]
     assert [len(x) for x in S.sort_suffixes([], 6)] == [0, 0, 0] == [len(x) for x in S.sort_suffixes([b"", b"a b"], 6)]
+    got = {(o, x) for o, f, c in zip(*S.repeats_of(slices * 2, 6)) for x in range(f, f + c)}
+    assert got == {(o, f) for o, w in enumerate(words * 2) for f in range(len(w) - 5)}  # every slice is there twice
+    got = {(o, x) for o, f, c in zip(*S.repeats_of(slices, 6)) for x in range(f, f + c)}
+    assert got == {(o, f) for o, w in enumerate(words) for f in range(len(w) - 5) if n[tuple(w[f:f + 6])] > 1}
     runs = S._runs(np.array([0, 0, 0, 1, 1]), np.array([2, 3, 7, 8, 9]))
     assert [x.tolist() for x in runs] == [[0, 0, 1], [2, 7, 8], [2, 1, 2]]
 
