@@ -270,3 +270,67 @@ def uptime(t: Column | str, boot_epoch: Column | str) -> Column:
 def utilisation(idle_rate: DataFrame, total_rate: DataFrame, on: Sequence[str], idle: str, total: str) -> DataFrame:
     """CPU busy % from idle and total time rates (``busy_pct``)."""
     return busy_pct(idle_rate, total_rate, on, idle, total)
+
+
+def wide_gauges(samples: DataFrame, labels: Sequence[str], columns: Mapping[str, str], step: int, lookback: int,
+                metric: str = "metric", ts: str = "ts", value: str = "value") -> DataFrame:
+    """Several gauges joined by their labels: at each instant the last value of each metric in (t - lookback, t].
+
+    ``columns`` names the column of each metric. One aggregate per step, one over the instants: the metrics become
+    columns by conditional aggregates, so nothing is joined. A metric without a sample in the range is null.
+    """
+    labels = list(labels)
+    per = (samples.where(F.col(metric).isin(list(columns.values()))).withColumn("__b", grid_bucket(ts, step))
+                  .groupBy(*labels, metric, "__b").agg(F.max_by(value, F.struct(ts, value)).alias("__v"), F.max(ts).alias("__at")))
+    of = lambda m: F.col(metric) == m
+    return expand(per, "__b", lookback, step).groupBy(*labels, "t").agg(
+        *[F.max_by(F.when(of(m), F.col("__v")), F.when(of(m), F.col("__at"))).alias(c) for c, m in columns.items()])
+
+
+# The exported metric names that the host panels read.
+MEMORY = {"total": "node_memory_MemTotal_bytes", "free": "node_memory_MemFree_bytes", "buffers": "node_memory_Buffers_bytes",
+          "cached": "node_memory_Cached_bytes", "available": "node_memory_MemAvailable_bytes"}
+DISK = {"size": "node_filesystem_size_bytes", "free": "node_filesystem_free_bytes", "avail": "node_filesystem_avail_bytes"}
+RECEIVED, SENT = "node_network_receive_bytes_total", "node_network_transmit_bytes_total"
+CPU, BOOT = "node_cpu_seconds_total", "node_boot_time_seconds"
+QUIET_MODES = ("idle", "iowait", "steal")
+
+
+def host_memory(samples: DataFrame, step: int, lookback: int) -> DataFrame:
+    """Memory in use per instance and instant: without buffers and caches, by availability, and in % of the total."""
+    w = wide_gauges(samples, ["instance"], MEMORY, step, lookback)
+    in_use = F.col("total") - F.col("available")
+    return w.select("instance", "t", (F.col("total") - F.col("free") - F.col("buffers") - F.col("cached")).alias("used"),
+                    in_use.alias("unavailable"), used_pct(in_use, F.col("total")).alias("used_pct"))
+
+
+def host_disk(samples: DataFrame, step: int, lookback: int) -> DataFrame:
+    """Disk use per instance, mount point and instant, in %: by free and by available space."""
+    w = wide_gauges(samples, ["instance", "mountpoint"], DISK, step, lookback)
+    return w.select("instance", "mountpoint", "t", used_pct(F.col("size") - F.col("free"), F.col("size")).alias("used_pct"),
+                    used_pct(F.col("size") - F.col("avail"), F.col("size")).alias("unavailable_pct"))
+
+
+def host_network(samples: DataFrame, step: int, w: int, **kw) -> DataFrame:
+    """Bytes received and sent per second, by instance and device; both counters go through one pass."""
+    keys = ["instance", "device"]
+    r = rate(samples.where(F.col("metric").isin(RECEIVED, SENT)), [*keys, "metric"], w, step, **kw)
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("rate")))
+    return r.groupBy(*keys, "t").agg(of(RECEIVED).alias("received"), of(SENT).alias("sent"))
+
+
+def host_cpu(samples: DataFrame, step: int, w: int, **kw) -> DataFrame:
+    """CPU use per instance and instant, in %: all but idle time, and the mean of the working modes."""
+    r = rate(samples.where(F.col("metric") == CPU), ["instance", "mode"], w, step, **kw)
+    idle = F.avg(F.when(F.col("mode") == "idle", F.col("rate")))
+    work = F.avg(F.when(~F.col("mode").isin(*QUIET_MODES), F.col("rate")))
+    return r.groupBy("instance", "t").agg((100 - idle * 100).alias("busy_pct"), (work * 100).alias("working_modes_pct"))
+
+
+def host_uptime(samples: DataFrame, step: int) -> DataFrame:
+    """Seconds since boot at each instant at which the instance has a sample of any metric; the boot time
+    last seen is carried forward, however long ago that was (null before the first)."""
+    at = samples.withColumn("t", grid_bucket("ts", step)).groupBy("instance", "t").agg(
+        F.max_by(F.when(F.col("metric") == BOOT, F.col("value")), F.when(F.col("metric") == BOOT, F.col("ts"))).alias("__boot"))
+    carried = F.last("__boot", ignorenulls=True).over(Window.partitionBy("instance").orderBy("t"))  # a row per instant
+    return at.select("instance", "t", uptime("t", carried).alias("uptime"))

@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from feedpulse.plans import (q_trend, q_kpi, q_schema, q_text, q_features,  # noqa: F401
-                                 q_models, q_timeseries, q_alerts, q_io, q_stream, q_rules, q_feed)
+                                 q_models, q_timeseries, q_alerts, q_io, q_stream, q_rules, q_feed, q_host)
