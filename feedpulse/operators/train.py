@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedpulse.functions import text as X
 from feedpulse.operators import features as D
 from feedpulse.operators import linear as L
 from feedpulse.session import written
@@ -126,6 +127,43 @@ def train_gbt(train: DataFrame, spec: TextModelSpec, trees: int = GBT_TREES, id_
     return Pipeline(stages=[*stages, asm, gbt]).fit(train)
 
 
+@dataclass
+class RatingModel:
+    """E7 with what scoring needs: the fitted pipeline and the two id dictionaries."""
+    pipeline: PipelineModel
+    users: DataFrame
+    items: DataFrame
+
+    @staticmethod
+    def fit(rows: DataFrame, keys: list[str], trees: int = GBT_TREES) -> "RatingModel":
+        """``rows``: user_id, item_id, rating, the description fields, and ``keys`` that name a row."""
+        users, items = (written(D.fit_index(rows, c, i), c) for c, i in (("user_id", "user_idx"), ("item_id", "item_idx")))
+        tr = rows if "text" in rows.columns else rows.withColumn("text", F.lit(""))
+        tr = tr.withColumn("full_description", X.full_description())
+        tr = D.apply_index(tr, users, "user_id", "user_idx", None, value_col="user_idx")
+        tr = D.apply_index(tr, items, "item_id", "item_idx", None, value_col="item_idx")
+        tr = tr.withColumn("user_idx", F.col("user_idx").cast("double")).withColumn("item_idx", F.col("item_idx").cast("double"))
+        # a row key made of the rows, so a retried task rebuilds the same ids
+        tr = tr.withColumn("__row", F.xxhash64(*keys)).withColumn("rating", F.col("rating").cast("double"))
+        spec = TextModelSpec(text_col="full_description", label_col="rating", doc_col="__row", max_features=RATING_TERMS, stop=True)
+        return RatingModel(train_gbt(tr, spec, trees), users, items)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """F5 with this model; ``item_id`` stands for ``product_id`` where that is missing."""
+        from feedpulse.operators.scoring import score_rating
+        d = rows if "product_id" in rows.columns else rows.withColumnRenamed("item_id", "product_id")
+        return score_rating(d, self.pipeline, self.users, self.items)
+
+    def save(self, path: str) -> None:
+        save_model(self.pipeline, f"{path}/pipeline")
+        self.users.write.mode("overwrite").parquet(f"{path}/users")
+        self.items.write.mode("overwrite").parquet(f"{path}/items")
+
+    @staticmethod
+    def load(spark, path: str) -> "RatingModel":
+        return RatingModel(load_model(f"{path}/pipeline"), spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Persist a fitted pipeline (overwrite)."""
     model.write().overwrite().save(path)

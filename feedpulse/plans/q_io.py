@@ -29,7 +29,7 @@ def _dir(spark, sf, name):
 def q_csv_roundtrip(spark, sf):
     d = _dir(spark, sf, "csv_roundtrip")
     IO.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), d)
-    return IO.read_csv_folder(spark, d, DOC_SCHEMA)
+    return IO.read_csv_folder(spark, d, DOC_SCHEMA, multi_line=True)  # texts hold line breaks
 
 
 @register("csv_union_by_name", """select doc_id, text, lang, source,
@@ -42,14 +42,14 @@ def q_csv_union(spark, sf):
     IO.write_csv(a, f"{d}/part_a")
     IO.write_csv(b, f"{d}/part_b")
     # both writers' files end up in one folder listing via a glob over the two sub-folders
-    return IO.read_csv_folder(spark, d, DOC_SCHEMA, pattern="part_*/*.csv")
+    return IO.read_csv_folder(spark, d, DOC_SCHEMA, pattern="part_*/*.csv", multi_line=True)
 
 
 @register("csv_column_subset", "select text, source from documents")
 def q_csv_subset(spark, sf):
     d = _dir(spark, sf, "csv_roundtrip_subset")
     IO.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), d)
-    return IO.read_csv_folder(spark, d, DOC_SCHEMA, columns=["text", "source"])
+    return IO.read_csv_folder(spark, d, DOC_SCHEMA, columns=["text", "source"], multi_line=True)
 
 
 _CUBE = """select date, topic,
@@ -98,29 +98,48 @@ def q_latin1(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     IO.write_csv(docs.where(F.col("lang") == "fr"), f"{d}/latin", encoding="ISO-8859-1")
     IO.write_csv(docs.where(F.col("lang") != "fr"), f"{d}/utf8")
-    parts = [IO.read_csv_any_encoding(spark, f"{d}/{sub}", DOC_SCHEMA) for sub in ("latin", "utf8")]
+    parts = [IO.read_csv_any_encoding(spark, f"{d}/{sub}", DOC_SCHEMA, multi_line=True) for sub in ("latin", "utf8")]
     return IO.union_by_name(parts)
 
 
-@register("rejected_files", """select lang, lang in ('fr', 'es') as rejected,
-    case when lang in ('fr', 'es') then 'header is not UTF-8 text' end as reason, count(*) as n_rows from documents group by lang""")
+@register("rejected_files", """select lang, lang in ('fr', 'es', 'de') as rejected,
+    case when lang in ('fr', 'es') then 'header is not UTF-8 text' when lang = 'de' then 'a line below the header is not UTF-8 text' end as reason,
+    case when lang in ('fr', 'es', 'de') then count(*) filter (where lang = 'de') + cast(lang in ('fr', 'es') as int) end as bad_lines,
+    count(*) as n_rows from documents group by lang""")
 def q_rejected_files(spark, sf):
-    """A3: one CSV per language; two of them get a header that is no UTF-8 text and are listed, the others are read."""
+    """A3: one CSV per language; two of them get a header that is no UTF-8 text, one gets such lines below it. They are listed, the others are read."""
     d = _dir(spark, sf, "rejected")
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     langs = [r["lang"] for r in docs.select("lang").distinct().collect()]  # a handful
     for lang in langs:
         bad = lang in ("fr", "es")
         own = docs.where(F.col("lang") == lang).withColumnRenamed("doc_id", "numéro" if bad else "doc_id")
-        IO.write_csv(own.coalesce(1), f"{d}/{lang}", encoding="ISO-8859-1" if bad else "UTF-8")
+        own = own.withColumn("lang", F.lit("düster")) if lang == "de" else own
+        IO.write_csv(own.coalesce(1), f"{d}/{lang}", encoding="ISO-8859-1" if bad or lang == "de" else "UTF-8")
     bad = IO.rejected_files(spark, d, "*/*.csv").select(
-        F.element_at(F.split("path", "/"), -2).alias("lang"), "reason").withColumn("rejected", F.lit(True))
+        F.element_at(F.split("path", "/"), -2).alias("lang"), "reason", "bad_lines").withColumn("rejected", F.lit(True))
     read = IO.read_csv_folder(spark, d, skip_bad=True, pattern="*/*.csv").groupBy("lang").count()
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
     out = counts.join(bad, "lang", "left").join(read, "lang", "left")
     # a file is either listed or read whole
     ok = F.col("rejected").isNotNull() & F.col("count").isNull() | F.col("rejected").isNull() & (F.col("count") == F.col("n_rows"))
-    return out.select("lang", F.when(ok, F.coalesce("rejected", F.lit(False))).alias("rejected"), "reason", "n_rows")
+    return out.select("lang", F.when(ok, F.coalesce("rejected", F.lit(False))).alias("rejected"), "reason", "bad_lines", "n_rows")
+
+
+@register("reject_counts", """select lang, count(*) as n_rows, count(*) filter (where doc_id % 10 in (3, 7)) as n_unfit from documents group by lang""")
+def q_reject_counts(spark, sf):
+    """A3 below the header: in each language's CSV, every tenth id is no number and every tenth row has a field too many."""
+    d = _dir(spark, sf, f"unfit_{uuid.uuid4().hex[:8]}")
+    docs = table(spark, sf, "documents")
+    line = F.concat_ws(",", F.when(F.col("doc_id") % 10 == 3, F.lit("no number")).otherwise(F.col("doc_id").cast("string")), "lang",
+                       F.when(F.col("doc_id") % 10 == 7, F.concat(F.col("n_chars").cast("string"), F.lit(",more"))).otherwise(F.col("n_chars").cast("string")))
+    for lang in [r["lang"] for r in docs.select("lang").distinct().collect()]:  # a handful
+        rows = docs.where(F.col("lang") == lang).select(line.alias("value"))
+        head = spark.range(1).select(F.lit("doc_id,lang,n_chars").alias("value"))
+        head.unionByName(rows).coalesce(1).write.mode("overwrite").text(f"{d}/{lang}")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType())])
+    got = IO.reject_counts(spark, d, schema, pattern="*/*.txt")
+    return got.select(F.element_at(F.split("path", "/"), -2).alias("lang"), "n_rows", "n_unfit")
 
 
 @register("read_any_formats", """select f.format, event_type, count(*) as n from events,

@@ -297,36 +297,26 @@ add_view_sql("rating_cold", """with tr as (select * from isplit2 where not is_te
 
 def _rating_model(spark, sf, trees: int = TR.GBT_TREES):
     s = split_random(interactions(spark, sf), _KEYS, 0.2, 42)
-    tr = s.where(~F.col("is_test"))
-    users = D.fit_index(tr, "user_id", "user_idx")
-    items = D.fit_index(tr, "item_id", "item_idx")
-    tr = tr.withColumn("text", F.lit("")).withColumn("full_description", X.full_description())
-    tr = D.apply_index(tr, users, "user_id", "user_idx", None, value_col="user_idx")
-    tr = D.apply_index(tr, items, "item_id", "item_idx", None, value_col="item_idx")
-    tr = tr.withColumn("user_idx", F.col("user_idx").cast("double")).withColumn("item_idx", F.col("item_idx").cast("double"))
-    spec = TR.TextModelSpec(text_col="full_description", label_col="rating", doc_col="__row",
-                            max_features=TR.RATING_TERMS, stop=True)
-    # a deterministic row key (the line-item key), so a retried task rebuilds the same ids
-    tr = tr.withColumn("__row", F.xxhash64(*_KEYS)).withColumn("rating", F.col("rating").cast("double"))
-    model = TR.train_gbt(tr, spec, trees)
     test = s.where("is_test").select("user_id", F.col("item_id").alias("product_id"), "title", "name",
                                      "manufacturer", "categories", "rating", "l_orderkey", "l_linenumber")
-    return model, test, users, items
+    return TR.RatingModel.fit(s.where(~F.col("is_test")), _KEYS, trees), test
 
 
 @register("rating_model_scores")
 def q_rating_model(spark, sf):
-    model, test, users, items = _rating_model(spark, sf)
-    return SC.score_rating(test, model, users, items)
+    model, test = _rating_model(spark, sf)
+    return model.score(test)
 
 
 @register("rating_model_exact", with_views(
     "select l_orderkey, l_linenumber, l_partkey, is_cold_start, true as in_range, true as same from rating_cold", "rating_cold"))
 def q_rating_model_exact(spark, sf):
     """D9, E7, E14, F5, what is exact of them: the held-out rows, cold starts, ratings from 1 to 5, reload = original."""
-    model, test, users, items = _rating_model(spark, sf, trees=20)
+    model, test = _rating_model(spark, sf, trees=20)
+    path = scratch_path(spark, f"models/{uuid.uuid4().hex[:12]}")
+    model.save(path)
     key = F.concat_ws("|", "l_orderkey", "l_linenumber", "product_id")
-    a, b = (SC.score_rating(test, m, users, items).withColumn("k", key) for m in (model, _reloaded(spark, model)))
+    a, b = (m.score(test).withColumn("k", key) for m in (model, TR.RatingModel.load(spark, path)))
     a, b = (d.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("predicted_rating", "is_cold_start"))).alias("r")) for d in (a, b))
     out = _same_rows(a, b, "k").select("k", "same", F.explode("r").alias("r"))
     part = F.split("k", "[|]")
@@ -419,3 +409,38 @@ def _nightly(spark, sf, name, rows, spec):
     from feedpulse.operators.nightly import nightly_text
     root = scratch_path(spark, f"nightly/{uuid.uuid4().hex[:12]}")
     return nightly_text(rows, name, spec, root, params={"sf": sf})
+
+
+@register("nightly_email")
+def q_nightly_email(spark, sf):
+    from feedpulse.operators.nightly import nightly_email
+    root = scratch_path(spark, f"nightly/{uuid.uuid4().hex[:12]}")
+    return nightly_email(_email_frame(spark, sf).drop("is_test"), EMAIL_SPEC, root, params={"sf": sf})
+
+
+@register("nightly_rating")
+def q_nightly_rating(spark, sf):
+    from feedpulse.operators.nightly import nightly_rating
+    root = scratch_path(spark, f"nightly/{uuid.uuid4().hex[:12]}")
+    return nightly_rating(interactions(spark, sf), _KEYS, root, trees=20, params={"sf": sf})
+
+
+@register("nightly_exact", """select model, metric, cast(1 as int) as version, true as agrees, true as alias_follows
+    from (values ('email', 'accuracy'), ('email', 'weighted_f1'), ('rating', 'rmse'), ('rating', 'mae')) m(model, metric)""")
+def q_nightly_exact(spark, sf):
+    """The chains of the e-mail and the rating model, what is exact of them: every metric can be computed again from the
+    written predictions, and the alias follows the promotion."""
+    from feedpulse.operators import nightly as N
+    parts = []
+    for name in ("email", "rating"):
+        root = scratch_path(spark, f"nightly/{uuid.uuid4().hex[:12]}")
+        if name == "email":
+            out = N.nightly_email(_email_frame(spark, sf).drop("is_test"), EMAIL_SPEC, root, epochs=10)
+        else:
+            out = N.nightly_rating(interactions(spark, sf), _KEYS, root, trees=5)
+        pred = N.predictions(spark, root, name, 1)
+        again = E.metrics_long(N.classes_metrics(pred) if name == "email" else E.regression_metrics(pred))
+        parts.append(out.join(again.select(F.col("key").alias("metric"), F.col("value").alias("again")), "metric").select(
+            "model", "metric", "version", (F.abs(F.col("value") - F.col("again")) < 1e-9).alias("agrees"),
+            (F.col("promote") == F.col("is_current")).alias("alias_follows")))
+    return parts[0].unionByName(parts[1])

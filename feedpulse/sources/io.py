@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+from feedpulse.session import written
+
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
                "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "quoteAll": "true",
                      "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -38,10 +40,17 @@ def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str |
     """The header line; None if its bytes are not text of the encoding. A storage error is raised."""
     fs, jvm = _fs(spark, path)
     stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+    charset = jvm.java.nio.charset.Charset.forName(encoding)
+    # where line ends are single bytes, only the header's own bytes are decoded, not what is read ahead
+    by_bytes = not str(charset.name()).startswith(("UTF-16", "UTF-32"))
     try:
-        decoder = jvm.java.nio.charset.Charset.forName(encoding).newDecoder()  # reports malformed input
+        decoder = (jvm.java.nio.charset.StandardCharsets.ISO_8859_1 if by_bytes else charset).newDecoder()  # reports malformed input
         line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, decoder)).readLine()
+        if line is not None and by_bytes:
+            line = line.encode("latin-1").decode(encoding)
         return None if line is None else line.lstrip("\ufeff")
+    except UnicodeDecodeError:
+        return None
     except Py4JJavaError as e:
         if "CharacterCodingException" in str(e.java_exception.getClass().getSuperclass()) or "CharacterCodingException" in str(e.java_exception):
             return None
@@ -58,19 +67,20 @@ def _header_columns(line: str) -> list[str]:
 def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | None = None,
                     columns: Sequence[str] | None = None, skip_bad: bool = False,
                     encoding: str = "UTF-8", pattern: str = "*.csv",
-                    corrupt_col: str | None = None, multi_line: bool = True) -> DataFrame:
+                    corrupt_col: str | None = None, multi_line: bool = False) -> DataFrame:
     """Every CSV of a folder, union by column name (missing -> null).
 
     Files sharing a header are read by one reader (all columns string unless
     ``schema`` names them); ``columns`` prunes to a subset; ``skip_bad`` skips
-    files whose header is no text of the encoding, as ``rejected_files`` lists them; storage errors are raised.
-    ``multi_line=False`` (no quoted line breaks, as the caller states) lets Spark split large files.
+    files that are no text of the encoding, as ``rejected_files`` lists them; storage errors are raised.
+    Large files are split over tasks; ``multi_line=True`` reads quoted line breaks, at one task a file.
     ``corrupt_col`` keeps rows that do not fit the schema, with their raw text
     in that column (``columnNameOfCorruptRecord``) instead of failing.
     """
     groups: OrderedDict[tuple[str, ...], list[str]] = OrderedDict()
+    bad = {r["path"] for r in bad_lines(spark, folder, pattern, encoding).collect()} if skip_bad else set()  # at most one row per file
     for f in list_files(spark, folder, pattern):
-        line = first_line(spark, f, encoding)
+        line = None if f in bad else first_line(spark, f, encoding)
         if line is None:
             if skip_bad:
                 continue
@@ -102,10 +112,42 @@ def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | Non
 
 
 def rejected_files(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
-    """A3: path and reason of every file that ``read_csv_folder(skip_bad=True)`` skips; empty if there is none."""
-    rows = [(f, f"header is not {encoding} text") for f in list_files(spark, folder, pattern)
-            if first_line(spark, f, encoding) is None]
-    return spark.createDataFrame(rows, "path string, reason string")
+    """A3: path, reason and number of bad lines of every file that ``read_csv_folder(skip_bad=True)`` skips; empty
+    if there is none. Headers are read first; of the other files every line is checked, in split text scans."""
+    heads = [f for f in list_files(spark, folder, pattern) if first_line(spark, f, encoding) is None]
+    rows = spark.createDataFrame([(f, f"header is not {encoding} text") for f in heads], "path string, reason string")
+    bad = bad_lines(spark, folder, pattern, encoding)
+    below = bad.join(rows.select("path"), "path", "left_anti").select("path", F.lit(f"a line below the header is not {encoding} text").alias("reason"))
+    return rows.unionByName(below).join(bad, "path", "left").select("path", "reason", F.coalesce("bad_lines", F.lit(1)).alias("bad_lines"))
+
+
+def bad_lines(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
+    """Files with lines that are no text of the encoding, and how many (path, bad_lines)."""
+    files = list_files(spark, folder, pattern)
+    if not files or encoding.upper().replace("_", "-") not in ("UTF-8", "UTF8"):
+        return spark.createDataFrame([], "path string, bad_lines bigint")  # one-byte encodings know no bad bytes
+    t = spark.read.text(files).select(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("path"), "value")
+    found = t.where(F.expr("not is_valid_utf8(value)")).groupBy("path").agg(F.count(F.lit(1)).alias("bad_lines"))
+    plain = {_plain(f): f for f in files}  # the scan may write a path's scheme in another way
+    names = spark.createDataFrame(list(plain.items()), "plain string, file string")
+    return found.join(names, F.regexp_replace("path", "^[a-z0-9]+:/+", "/") == F.col("plain")).select(F.col("file").alias("path"), "bad_lines")
+
+
+def _plain(path: str) -> str:
+    import re
+    return re.sub("^[a-z0-9]+:/+", "/", path)
+
+
+def reject_counts(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.csv", encoding: str = "UTF-8",
+                  multi_line: bool = False) -> DataFrame:
+    """A3 by file: rows that were read and rows that do not fit ``schema`` (too many or too few fields, or a value of
+    another type), for the files that are not rejected as a whole."""
+    mark = "__unfit"
+    d = read_csv_folder(spark, folder, schema, skip_bad=True, encoding=encoding, pattern=pattern, corrupt_col=mark, multi_line=multi_line)
+    cols = [f"`{f.name}`" for f in schema.fields]
+    # the reader checks no column that is not asked for: all are parsed, and what was found is written
+    d = written(d.select(F.input_file_name().alias("path"), F.xxhash64(*cols).alias("row"), F.col(mark).isNotNull().alias("unfit")), "unfit-rows")
+    return d.groupBy("path").agg(F.count("row").alias("n_rows"), F.count_if("unfit").alias("n_unfit"))
 
 
 def union_by_name(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -162,7 +204,7 @@ def detect_encodings(spark: SparkSession, folder: str, pattern: str = "*.csv") -
 
 
 def read_csv_any_encoding(spark: SparkSession, folder: str, schema: T.StructType | None = None,
-                          pattern: str = "*.csv") -> DataFrame:
+                          pattern: str = "*.csv", multi_line: bool = False) -> DataFrame:
     """Read each file with its detected encoding (UTF-8, falling back to Latin-1), by name.
 
     Files are grouped by encoding and header; the driver holds one row per file, as
@@ -176,7 +218,7 @@ def read_csv_any_encoding(spark: SparkSession, folder: str, schema: T.StructType
     parts = []
     for (e, header), files in sorted(groups.items()):
         own = T.StructType([typed.get(c, T.StructField(c, T.StringType())) for c in header])
-        parts.append(spark.read.options(**CSV_OPTIONS).option("encoding", e).schema(own).csv(sorted(files)))
+        parts.append(spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).option("encoding", e).schema(own).csv(sorted(files)))
     if not parts:
         return spark.createDataFrame([], schema or T.StructType([]))
     out = union_by_name(parts)

@@ -29,7 +29,7 @@ def stream_feed(spark: SparkSession, folder: str, schema: str, glob: str | None
         r = r.option("maxFilesPerTrigger", str(max_files))
     if fmt == "csv":
         from feedpulse.sources.io import CSV_OPTIONS
-        r = r.options(**CSV_OPTIONS)
+        r = r.options(**CSV_OPTIONS, multiLine="true")  # drops are files of one task; texts hold line breaks
     return r.load(folder)
 
 

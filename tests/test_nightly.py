@@ -37,3 +37,23 @@ def test_chain(spark, tmp_path):
     assert second["accuracy"]["version"] == 2 and second["accuracy"]["value"] < 0.6
     assert not second["accuracy"]["promote"] and N.current_version(spark, root, "sentiment") == 1
     assert spark.read.parquet(f"{root}/run_metrics").count() == 4
+
+
+def test_email_and_rating_chains(spark, tmp_path):
+    root = str(tmp_path)
+    mails = spark.createDataFrame([(i, ("win free money prize " if i % 3 == 0 else "meeting agenda notes ") + f"w{i % 5}", int(i % 3 == 0)) for i in range(90)],
+                                  "doc_id long, text string, y int")
+    spec = TR.TextModelSpec(text_col="text", label_col="y", max_features=50, grams=2)
+    got = {r["metric"]: r for r in N.nightly_email(mails, spec, root, epochs=15).collect()}
+    pred = N.predictions(spark, root, "email", 1).collect()
+    assert len(pred) == 18 and got["accuracy"]["value"] == pytest.approx(sum(r["label"] == r["prediction"] for r in pred) / 18) == 1.0
+    assert got["accuracy"]["promote"] and N.current_version(spark, root, "email") == 1
+    rows = spark.createDataFrame([(i, f"u{i % 7}", f"p{i % 5}", 1 + i % 5, f"t{i % 5}", "", "", "") for i in range(300)],
+                                 "k long, user_id string, item_id string, rating int, title string, name string, manufacturer string, categories string")
+    got = {r["metric"]: r for r in N.nightly_rating(rows, ["k"], root, trees=5).collect()}
+    pred = N.predictions(spark, root, "rating", 1).collect()
+    assert got["rmse"]["value"] == pytest.approx((sum((r["label"] - r["prediction"]) ** 2 for r in pred) / len(pred)) ** 0.5) and got["rmse"]["value"] < 1
+    assert got["rmse"]["promote"] and got["mae"]["is_current"]
+    model = TR.RatingModel.load(spark, f"{root}/models/rating/v1")
+    cold = model.score(rows.limit(1).selectExpr("'nobody' as user_id", "item_id", "title", "name", "manufacturer", "categories")).first()
+    assert cold["is_cold_start"] and 1 <= cold["predicted_rating"] <= 5

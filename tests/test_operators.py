@@ -329,13 +329,13 @@ def test_csv_folder_skips_unreadable_and_unions_by_name(spark, tmp_path):
     (folder / "a.csv").write_text('text,label\n"hello, ""world""\nline two",spam\n', encoding="utf-8")
     (folder / "b.csv").write_text("label,extra\nham,1\n", encoding="utf-8")
     (folder / "c.csv").write_bytes(b"")  # empty: skipped by the listing
-    df = IO.read_csv_folder(spark, str(folder), skip_bad=True)
+    df = IO.read_csv_folder(spark, str(folder), skip_bad=True, multi_line=True)
     rows = {(r["text"], r["label"], r["extra"]) for r in df.collect()}
     assert rows == {('hello, "world"\nline two', "spam", None), (None, "ham", "1")}
     assert IO.rejected_files(spark, str(folder)).count() == 0
-    only = IO.read_csv_folder(spark, str(folder), columns=["label"])
+    only = IO.read_csv_folder(spark, str(folder), columns=["label"], multi_line=True)
     assert sorted(r[0] for r in only.collect()) == ["ham", "spam"]
-    assert IO.read_any(spark, str(folder / "a.csv")).count() == 1
+    assert IO.read_any(spark, str(folder / "a.csv"), multiLine="true").count() == 1
 
 
 def test_corrupt_rows_kept_and_map_matchers(spark, tmp_path):

@@ -66,6 +66,23 @@ def test_rejected_files_are_listed_and_storage_errors_raised(spark, tmp_path):
         IO.first_line(spark, str(tmp_path / "missing.csv"))
 
 
+def test_bad_lines_below_the_header_and_split_files(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("a,b\n" + "1,2\n" * 50_000)
+    (tmp_path / "below äö.csv").write_bytes(b"a,b\n1,2\n\xff,3\n4,\xfe\n")
+    bad = IO.rejected_files(spark, str(tmp_path)).collect()
+    assert [(os.path.basename(r["path"]), r["bad_lines"]) for r in bad] == [("below äö.csv", 2)] and "below the header" in bad[0]["reason"]
+    kept = IO.read_csv_folder(spark, str(tmp_path), skip_bad=True)
+    assert kept.count() == 50_000
+    assert IO.bad_lines(spark, str(tmp_path), encoding="ISO-8859-1").count() == 0
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:  # a large file is several tasks, unless line breaks in quotes are asked for
+        assert IO.read_csv_folder(spark, str(tmp_path), skip_bad=True).rdd.getNumPartitions() > 3
+        assert IO.read_csv_folder(spark, str(tmp_path), skip_bad=True, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("text, want", [
     ("2024-01-15T10:00:00Z", dt.datetime(2024, 1, 15, 10)), ("2024/01/15", dt.datetime(2024, 1, 15)), ("01/15/2024", dt.datetime(2024, 1, 15)),
     ("Jan 15, 2024", dt.datetime(2024, 1, 15)), ("20240115", dt.datetime(2024, 1, 15)), ("15 January 2024", dt.datetime(2024, 1, 15)),
