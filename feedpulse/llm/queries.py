@@ -49,7 +49,27 @@ def op8(spark, sf):
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
-@register("op10_quality_rules")
+# A bracket's words: runs of characters other than the six spaces.
+_WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+
+
+def _quality_sql() -> str:
+    bits = " | ".join(f"case when {failed} then {quality.BIT[name]} else 0 end" for name, failed in quality.RULES)
+    return f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+      m as (select r, doc_id, {_WORDS.format(t="t")} as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines,
+              len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(regexp_extract_all(t, '\\p{{Lu}}')) as n_upper from d),
+      k as (select r, i, array_to_string(w[i:i + {quality.WINDOW - 1}], ' ') as k from (select r, w, unnest(range(1, len(w) - {quality.WINDOW - 2})) as i from m)),
+      c as (select r, count(distinct p) as n from (select r, unnest(range(i, i + {quality.WINDOW})) as p
+              from (select r, i, count(*) over (partition by r, k) as n from k) where n > 1) group by r),
+      x as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, n_symbols::bigint as n_symbols,
+              (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(lines) as n_lines, n_upper
+            from m left join c using (r)),
+      b as (select *, ({bits})::bigint as fail_bits from x)
+      select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality.BASE} <> 0 as base_failed,
+             fail_bits & {quality.POLICIES["v2"]} = 0 as kept, fail_bits from b"""
+
+
+@register("op10_quality_rules", _quality_sql())
 def op10(spark, sf):
     led = quality.apply_policy(quality.ledger(table(spark, sf, "documents")))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -87,12 +107,27 @@ def op7(spark, sf):
     return topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
-@register("op9_substring_dedup")
+@register("op9_substring_dedup", f"""
+with m as (select row_number() over () as r, doc_id, {_WORDS.format(t="coalesce(text, '')")} as w from documents),
+k as (select r, i, array_to_string(w[i:i + 34], ' ') as k from (select r, w, unnest(range(1, len(w) - 33)) as i from m)),
+gone as (select r, list(distinct p) as p from (select r, unnest(range(i, i + 35)) as p
+  from (select r, i, count(*) over (partition by k) as n from k) where n > 1) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(len(p), 0)::bigint as n_removed,
+  sha256(array_to_string(case when p is null then w else list_filter(w, lambda x, i: not list_contains(p, i)) end, ' ')) as kept_sha256
+from m left join gone using (r)""")
 def op9(spark, sf):
     return substring_dedup.digest(table(spark, sf, "documents"))
 
 
-@register("op6_jaccard_join")
+@register("op6_jaccard_join", f"""
+with recursive m as (select doc_id, {_WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w
+  from documents where doc_id is not null),
+s as (select distinct doc_id, k from (select doc_id, array_to_string(w[i:i + 4], ' ') as k from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from m where len(w) > 0))),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.k = b.k and a.doc_id <> b.doc_id group by all),
+l as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r(a, b) as (select doc_id, doc_id from m union select r.a, l.b from r join l on r.b = l.a)
+select m.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id from m join r on r.a = m.doc_id left join n using (doc_id) group by m.doc_id""")
 def op6(spark, sf):
     return jaccard.join(table(spark, sf, "documents"))
 
