@@ -43,7 +43,6 @@ from pyspark.sql import functions as F
 from feedpulse.llm.common import free_name, ship_code, stored, window_hashes, word_chunks
 
 MAX_LABELS = 20_000       # labelled rows that the lexicon is fitted on
-MAX_CANDIDATES = 4_096    # words and stems, by toxic documents, whose company is looked at
 STEMS = (4, 5, 6, 7)      # lengths of stems
 PRECISION = 0.8           # least share of toxic documents among those that hold a lexicon word
 COMPANY, COMPANIONS = 0.75, 12  # so many unrelated words, at most, may be in so large a share of a word's documents
@@ -385,19 +384,21 @@ def choose(candidates: list, documents: list[list[int]], n0: int, n1: int, n_wor
         base, own = n1 / (n0 + n1), b / (a + b)
         return 2 * (b * math.log(own / base) + (a * math.log((1 - own) / (1 - base)) if a else 0))
 
-    seen = np.zeros((len(documents), len(candidates)), dtype=np.float32)
-    for i, at in enumerate(documents):
-        seen[i, at] = 1
-    together = seen.T @ seen
-    own = np.maximum(together.diagonal().copy(), 1)
-    heads = np.array([hash(c[0][:STEMS[0]].rstrip("*")) for c in candidates])
     least, found = 2 * math.log(max(n_words, 2)), []
-    for i, (name, a, b) in enumerate(candidates):
-        value = g2(a, b)
-        if b >= PRECISION * (a + b) and value >= least:
-            company = np.unique(heads[(together[i] > COMPANY * own[i]) & (heads != heads[i])])
-            if len(company) <= COMPANIONS:
-                found.append((-value, name[-1] == "*", -len(name), name, i))
+    able = [(i, v) for i, (_, a, b) in enumerate(candidates) if b >= PRECISION * (a + b) and (v := g2(a, b)) >= least]
+    lists, holders = [np.asarray(at, dtype=np.int64) for at in documents], {i: [] for i, _ in able}
+    for d, at in enumerate(documents):
+        for i in at:
+            if i in holders:
+                holders[i].append(d)
+    heads = np.array([hash(c[0][:STEMS[0]].rstrip("*")) for c in candidates])
+    for i, value in able:  # a candidate's company is counted over the documents that hold it, one candidate at a time
+        own = holders[i]
+        together = np.bincount(np.concatenate([lists[d] for d in own]), minlength=len(candidates)) if own else np.zeros(len(candidates))
+        company = np.unique(heads[(together > COMPANY * max(len(own), 1)) & (heads != heads[i])])
+        if len(company) <= COMPANIONS:
+            name = candidates[i][0]
+            found.append((-value, name[-1] == "*", -len(name), name, i))
     out: list[int] = []
     for *_, name, i in sorted(found):
         if not any(_related(name, candidates[j][0]) for j in out):
@@ -425,7 +426,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_words = words.count()
     few = 2 * math.log(max(n_words, 2)) / (2 * math.log((n0 + n1) / n1)) if n0 and n1 else 2  # as many pass the test without an exception
     top = words.filter((F.col("n1") >= few) & (F.col("n1") >= PRECISION * (F.col("n0") + F.col("n1"))))
-    top = [(r["word"], r["n0"], r["n1"]) for r in top.orderBy(F.desc("n1"), "word").limit(MAX_CANDIDATES).collect()]
+    # as many as there are: words of the labelled rows, of which there are MAX_LABELS at most
+    top = [(r["word"], r["n0"], r["n1"]) for r in top.orderBy(F.desc("n1"), "word").collect()]
     names = [t[0] for t in top]
 
     def which(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
