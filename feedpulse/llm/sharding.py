@@ -2,7 +2,9 @@
 
 The key of a record puts equal texts side by side: 40 bits of the text's hash, then 24 bits of
 the record's own hash, so that a text held by a third of all rows still has 2^24 places to cut.
-A size-weighted sample of keys gives quantile boundaries; the records are range-partitioned by
+A size-weighted sample of keys gives quantile boundaries in two levels: a fixed number of coarse
+ranges, whose boundaries are all that the driver and the plan hold, and inside each as many as its
+counted rows need, whose boundaries Spark works out and keeps as a table. The records are range-partitioned by
 them, ranges found overfull by exact counts are subdivided by new samples, and every record gets
 its exact place in the byte sequence from the totals before its range and the running total
 inside it. That place decides the shard, so shard sizes differ by less than one record.
@@ -13,16 +15,15 @@ rows are records of their own; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from feedpulse.llm.common import release, stored
 
-LEAST_RANGES = 256
+COARSE_RANGES = 256        # whatever the number of rows
 ROWS_PER_RANGE = 250_000   # rows that one window task sorts, about
+SMALL_RANGES = 1_000_000   # ranges up to which the tables of boundaries and totals (8 to 32 bytes each) are broadcast
 DRAWS_PER_RANGE = 16       # expected sample size: this times the number of ranges
 _LOOKUP = 64               # boundaries below one coarse step of the search
 
@@ -60,21 +61,34 @@ def _quantiles(sample: list[tuple[int, float]], n: int) -> list[int]:
     return sorted(set(cuts))
 
 
-def _in_ranges(cuts: list[int], ids: list[int]) -> Column:
-    edge = [None, *cuts, None]
-    some = F.lit(False)
-    for i in ids:
-        part = F.lit(True)
-        if edge[i] is not None:
-            part = part & (F.col("key") >= F.lit(edge[i]))
-        if edge[i + 1] is not None:
-            part = part & (F.col("key") < F.lit(edge[i + 1]))
-        some = some | part
-    return some
+def _inner(cuts: Column, key: Column, most: int) -> Column:
+    """How many of the sorted array ``cuts`` (``most`` at most) are not above ``key``: binary search in the row."""
+    bits = F.lit([1 << b for b in reversed(range(max(most, 1).bit_length()))])
+    return F.aggregate(bits, F.lit(0), lambda at, bit: at + F.when(F.coalesce(F.get(cuts, at + bit - 1) <= key, F.lit(False)), bit).otherwise(0))
+
+
+def _cuts(rows: DataFrame, by: list[str], weight: Column, seed: int, rows_per_range: int) -> DataFrame:
+    """(coarse, cuts): boundaries inside the ranges ``by`` (rows carry the range's ``held_rows`` and ``held_weight``),
+    quantiles of a weighted sample of about DRAWS_PER_RANGE records for each range to come."""
+    parts = F.ceil(F.col("held_rows") / F.lit(rows_per_range))
+    share = weight * parts * DRAWS_PER_RANGE / F.col("held_weight")
+    u = F.pmod(F.xxhash64("key", "tie", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.filter((parts > 1) & (u < share)).select(*by, "key", "tie", parts.alias("parts"), F.greatest(share, F.lit(1.0)).alias("w"))
+    one = Window.partitionBy(*by)  # a range's sample
+    run = F.sum("w").over(one.orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    step = F.col("parts") / F.sum("w").over(one)
+    d = drawn.select(*by, "key", F.floor(run * step).alias("now"), F.floor((run - F.col("w")) * step).alias("before"), "parts")
+    d = d.filter((F.col("now") > F.col("before")) & (F.col("before") < F.col("parts") - 1))
+    return d.groupBy("coarse").agg(F.array_sort(F.collect_set("key")).alias("cuts"))
+
+
+def _small(table: DataFrame, ranges: int) -> DataFrame:
+    """Broadcast while the number of ranges is small; joined by shuffle beyond."""
+    return F.broadcast(table) if ranges <= SMALL_RANGES else table
 
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
-          rows_per_range: int = ROWS_PER_RANGE, least_ranges: int = LEAST_RANGES) -> DataFrame:
+          rows_per_range: int = ROWS_PER_RANGE, coarse_ranges: int = COARSE_RANGES) -> DataFrame:
     """Every record with its ``shard`` (0 to n_shards - 1, sizes near equal) and ``slot`` (gapless from 0)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -88,36 +102,37 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     if not n:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
 
-    parts = max(least_ranges, -(-n // rows_per_range))
-    cuts = _quantiles(_sample(rows, F.col("size"), total, DRAWS_PER_RANGE * parts, 7), parts)
-    most = max(2 * -(-n // parts), 64)
-    for seed in range(8, 40):  # each turn cuts what is overfull to about `most` rows; one or two turns do
-        held = {r["range"]: (r["bytes"], r["rows"]) for r in rows.groupBy(_range_of(cuts, F.col("key")).alias("range"))
-                .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()}
-        over = sorted(i for i, (_, k) in held.items() if k > 4 * most)
-        if not over:
+    coarse = _quantiles(_sample(rows, F.col("size"), total, DRAWS_PER_RANGE * coarse_ranges, 7), coarse_ranges)
+    rows = rows.withColumn("coarse", _range_of(coarse, F.col("key")))
+    counts = rows.groupBy("coarse").agg(F.count(F.lit(1)).alias("held_rows"), F.sum("size").alias("held_weight"))  # one row per coarse range
+    cuts = stored(_cuts(rows.join(F.broadcast(stored(counts, "shard-coarse")), "coarse"), ["coarse"], F.col("size"), 8, rows_per_range), "shard-cuts")
+    for seed in range(9, 40):  # each turn cuts what is overfull; one or two turns do
+        ranges, most = cuts.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0)), F.coalesce(F.max(F.size("cuts")), F.lit(0))).first()
+        inner = _inner(F.col("cuts"), F.col("key"), most)
+        ranged = rows.join(_small(cuts, ranges), "coarse", "left").withColumn("inner", F.coalesce(inner, F.lit(0))).drop("cuts")
+        held = stored(ranged.groupBy("coarse", "inner").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "shard-ranges")
+        over = held.filter(F.col("rows") > 4 * max(rows_per_range, 16)).select(
+            "coarse", "inner", F.col("rows").alias("held_rows"), F.col("rows").cast("double").alias("held_weight"))
+        if over.isEmpty():
             break
-        there = sum(held[i][1] for i in over)
-        sample = _sample(rows.filter(_in_ranges(cuts, over)), F.lit(1.0), there,
-                         DRAWS_PER_RANGE * -(-there // most), seed)
-        new = set(cuts)
-        for i in over:
-            own = [(k, w) for k, w in sample if bisect_right(cuts, k) == i]
-            new.update(_quantiles(own, -(-held[i][1] // most)))
-        if new == set(cuts):  # copies of one key only
+        new = _cuts(ranged.join(_small(over, ranges), ["coarse", "inner"]), ["coarse", "inner"], F.lit(1.0), seed, rows_per_range)
+        new = stored(cuts.unionByName(new).groupBy("coarse").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts")), "shard-cuts")
+        if new.agg(F.sum(F.size("cuts"))).first()[0] == ranges:  # copies of one key only
             break
-        cuts = sorted(new)
-
-    before, at = [], [0, 0]
-    for i in sorted(held):
-        before.append((i, *at))
-        at = [at[0] + held[i][0], at[1] + held[i][1]]
-    offsets = spark.createDataFrame(before, "range int, bytes_before bigint, rows_before bigint")
-    inside = Window.partitionBy("range").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (rows.withColumn("range", _range_of(cuts, F.col("key")))
-              .withColumn("b", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        cuts = new
+
+    # totals before a range: of the coarse ranges before (a fixed number of rows), and inside its own
+    sums = held.groupBy("coarse").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r"))
+    earlier = Window.orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("coarse", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("b", "r")])
+    own = Window.partitionBy("coarse").orderBy("inner").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.join(F.broadcast(sums), "coarse").select(
+        "coarse", "inner", (F.col("b") + F.coalesce(F.sum("bytes").over(own), F.lit(0))).alias("bytes_before"),
+        (F.col("r") + F.coalesce(F.sum("rows").over(own), F.lit(0))).alias("rows_before"))
+    inside = Window.partitionBy("coarse", "inner").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (ranged.withColumn("b", F.coalesce(F.sum("size").over(inside), F.lit(0)))
               .withColumn("r", F.count(F.lit(1)).over(inside))
-              .join(F.broadcast(offsets), "range")  # one row per range: n / rows_per_range rows
+              .join(_small(offsets, ranges), ["coarse", "inner"])
               .select("doc_id", "size", "text_crc32",
                       F.least(F.lit(n_shards - 1), F.floor(
                           (2 * (F.col("bytes_before") + F.col("b")) + F.col("size")) * F.lit(n_shards) / F.lit(2 * total)

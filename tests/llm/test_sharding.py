@@ -35,7 +35,27 @@ def test_sizes_near_equal_with_a_hot_text_and_repeated_rows(spark):
 
 def test_overfull_ranges_are_subdivided(spark):
     rows = [(i, "same") for i in range(3000)] + [(5000, "x" * 900)]
-    check(rows, sharding.shard(docs(spark, rows), 8, rows_per_range=100, least_ranges=4).collect())
+    check(rows, sharding.shard(docs(spark, rows), 8, rows_per_range=100, coarse_ranges=4).collect())
+
+
+def test_boundaries_do_not_grow_in_the_plan(spark, monkeypatch):
+    """Ten times the ranges: the plan holds the same boundaries, and joins without a broadcast give the same shards."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(1, 60))) for i in range(1500)]
+    a = sharding.shard(docs(spark, rows), 8, rows_per_range=500, coarse_ranges=3)
+    b = sharding.shard(docs(spark, rows), 8, rows_per_range=20, coarse_ranges=3)
+    check(rows, a.collect())
+    check(rows, b.collect())
+    monkeypatch.setattr(sharding, "SMALL_RANGES", 0)
+    check(rows, sharding.shard(docs(spark, rows), 8, rows_per_range=20, coarse_ranges=3).collect())
+    cuts = [F.array(*[F.lit(x).cast("bigint") for x in c]) for c in ([], [5], [1, 5, 9])]
+    got = spark.range(12).select(*[sharding._inner(c, F.col("id"), 3) for c in cuts]).collect()
+    assert [tuple(r) for r in got] == [(0, int(i >= 5), (i >= 1) + (i >= 5) + (i >= 9)) for i in range(12)]
+
+
+def test_a_text_longer_than_a_mebibyte(spark):
+    rows = [(1, "long " * 250_000), (2, "b"), (3, None)]
+    check(rows, sharding.shard(docs(spark, rows), 2).collect(), 2)
 
 
 def test_search_of_ranges(spark):
