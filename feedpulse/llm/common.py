@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from feedpulse.session import scratch_path
@@ -60,6 +62,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+try:
+    _LIBC_TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _LIBC_TRIM = None
+
+
+def trim() -> None:
+    """Give a Python worker's freed memory back to the system: workers live on between the stages of a job,
+    and what they hold counts as their executor's."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC_TRIM is not None:
+        _LIBC_TRIM(0)
+
+
 def free_name(df_columns, base: str) -> str:
     """``base``, or ``base`` with underscores, so that it clashes with no column (any case)."""
     taken = {c.lower() for c in df_columns}
@@ -160,3 +176,4 @@ def word_chunks(texts: list, lower: bool = False, limit: int = 1 << 20):
         size += len(b) + 1
     if held:
         yield done(len(texts))
+    trim()
