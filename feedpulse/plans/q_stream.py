@@ -25,7 +25,7 @@ def _run_dir(spark, name):
 
 
 def event_stream(spark, sf):
-    return K.stream_feed(spark, sf, K.EVENT_SCHEMA, glob="events.parquet")
+    return K.stream_table(spark, sf, "events", K.EVENT_SCHEMA)
 
 
 def _feedback_stream(spark, sf):
@@ -114,8 +114,7 @@ def q_stream_alerts(spark, sf):
     from (select doc_id, {sql_clean_trend('text')} as c from documents) d
     group by 1, 2""")
 def q_stream_score(spark, sf):
-    docs = K.stream_feed(spark, sf, "doc_id bigint, text string, lang string, source string, n_chars bigint",
-                         glob="documents.parquet")
+    docs = K.stream_table(spark, sf, "documents", "doc_id bigint, text string, lang string, source string, n_chars bigint")
     d = docs.select(
         F.date_add(F.lit(DAY_ZERO).cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
         X.clean_trend("text").alias("clean_text"))
@@ -141,7 +140,7 @@ def q_stream_csv(spark, sf):
 def q_stream_trend_gold(spark, sf):
     """K2 with the production sink: update mode, changed (day, topic) partitions rewritten."""
     out, ck = _run_dir(spark, "trend_gold")
-    events = K.stream_feed(spark, sf, K.EVENT_SCHEMA, glob="events.parquet", max_files=1)
+    events = K.stream_table(spark, sf, "events", K.EVENT_SCHEMA, max_files=1)
     fb = events.select("ts", F.col("event_type").alias("topic"),
                        F.when(F.col("value") < NEGATIVE_BELOW, "Negative")
                         .when(F.col("value") < POSITIVE_BELOW, "Positive").otherwise("Neutral").alias("sentiment"))

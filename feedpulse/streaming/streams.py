@@ -33,6 +33,15 @@ def stream_feed(spark: SparkSession, folder: str, schema: str, glob: str | None
     return r.load(folder)
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """K1 over a table that is one Parquet file or a folder of them (``sources.tables``).
+
+    The last letter of the path is a pattern: Spark takes a plain path of a stream for a folder, and
+    ``pathGlobFilter`` looks at the names of the files only, not of their folder.
+    """
+    return stream_feed(spark, f"{folder.rstrip('/')}/{name}.parque[t]", schema, max_files=max_files)
+
+
 def stream_trend(df: DataFrame, ts: str = "ts", topic: str = "topic", sentiment: str = "sentiment",
                  late_delay: str = "1 day") -> DataFrame:
     """K2/K4: tumbling-day trend cube with a watermark (pivot replaced by conditional counts)."""
