@@ -71,6 +71,27 @@ def stream_rates(df: DataFrame, keys: Sequence[str], ts: str = "ts", width_secon
                     (F.col("n") / F.lit(float(width_seconds))).alias("rate"))
 
 
+CLOCK = "__clock"              # the key of rows that only move the watermark on
+END_OF_TIME = "9000-01-01"
+
+
+def rates_to_end(df: DataFrame, key: str, path: str, checkpoint: str, ts: str = "ts", **kw) -> DataFrame:
+    """K3 over an input that has come to its end: the rates of every window, the last ones too.
+
+    Append mode keeps the windows that the watermark has not passed. A first run takes all rows of ``df``; then a
+    row of a clock series, in a source of its own, goes through the same query and checkpoint, and the watermark
+    passes all windows. As it comes in a later micro-batch, no row is late for it. ``df`` has the columns ``ts`` and ``key``.
+    """
+    spark, clock = df.sparkSession, f"{checkpoint.rstrip('/')}-clock"
+    spark.createDataFrame([], df.schema).write.mode("append").parquet(clock)
+    rows = df.unionByName(spark.readStream.schema(df.schema).parquet(clock))
+    run_available(stream_rates(rows, [key], ts, **kw), path, checkpoint)
+    end = spark.range(1).select(F.lit(END_OF_TIME).cast(df.schema[ts].dataType).alias(ts), F.lit(CLOCK).alias(key))
+    end.write.mode("append").parquet(clock)
+    got = run_available(stream_rates(rows, [key], ts, **kw), path, checkpoint)
+    return got.where(~F.col(key).eqNullSafe(CLOCK))
+
+
 class AlertHold(StatefulProcessor):
     """K5: the J13 run logic of one series, in time order.
 

@@ -20,3 +20,14 @@ def test_table_in_several_files_is_streamed(spark, tmp_path):
     assert sum(r["n"] for r in got) == 60 and {r["topic"] for r in got} == {"Battery", "Shipping"}
     assert q_stream.q_stream_ingest(spark, str(tmp_path)).count() == 40
     assert sum(r["total_volume"] for r in q_stream.q_stream_trend_gold(spark, str(tmp_path)).collect()) == 40
+
+
+def test_rates_hold_every_window(spark, tmp_path):
+    _events(spark, tmp_path, 3)
+    want = {}
+    for e in spark.read.parquet(f"{tmp_path}/events.parquet").collect():
+        at = int(e["ts"].replace(tzinfo=dt.timezone.utc).timestamp()) // 15 * 15
+        for j in range(20):
+            want[at - 15 * j, e["event_type"]] = want.get((at - 15 * j, e["event_type"]), 0) + 1
+    got = q_stream.q_stream_rates(spark, str(tmp_path)).collect()
+    assert {(r["window_start"], r["event_type"]): r["n"] for r in got} == want and len(got) == len(want)
