@@ -51,6 +51,12 @@ def slice_of(ts: Column, splits: Sequence[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda pos, bit: pos + F.when(F.get(table, pos + bit - 1) <= x, bit).otherwise(0))
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of equal ``keys`` together, in as many partitions as a shuffle has: for sorts of long rows with few different
+    texts, which AQE would put into a few large tasks, as it merges partitions by their compressed size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "value",
                   splits: Sequence[int] | None = None) -> DataFrame:
     """``count(*) over (partition by keys order by order)`` (rows frame, 1-based).
@@ -62,7 +68,7 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     keys = list(keys)
     p = "__slice"
     splits = time_splits(df, order[0]) if splits is None else splits
-    d = df.withColumn(p, slice_of(F.col(order[0]), splits))
+    d = spread(df.withColumn(p, slice_of(F.col(order[0]), splits)), [*keys, p])
     counts = d.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n"))
     prior = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedpulse.operators.ordering import slice_of
+from feedpulse.operators.ordering import slice_of, spread
 
 US = 1_000_000
 
@@ -56,6 +56,7 @@ def reset_deltas(samples: DataFrame, keys: Sequence[str], step: int, ts: str = "
     d = samples.select(*keys, ts, value).withColumn("__b", grid_bucket(ts, step))
     d = d.withColumn("__s", slice_of(F.col(ts), splits) if splits else F.lit(0))
     inside = [*keys, "__b", "__s"]
+    d = spread(d, inside if splits else inside[:-1])  # a constant is no key of the windows
     prev = F.lag(value).over(Window.partitionBy(*inside).orderBy(ts, value))
 
     def delta(v, p):
