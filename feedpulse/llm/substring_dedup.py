@@ -18,6 +18,9 @@ that have two leaves. The tree is cut by prefixes of variable length, and only w
 Neighbouring windows merge into maximal repeats when a document's words are marked. Every step works on
 counts or on groups of bounded size, however many documents share a passage.
 
+Texts and prefixes that meet nothing stay where they are: before each join a bitmap of the other side's keys
+tells them apart, and only what may meet something is shuffled (equality is still decided by the join).
+
 Defined results: a null or empty text has no words and stays empty; null and repeated ids and
 repeated rows are documents of their own (a repeated row repeats all its windows); an empty table
 gives no rows; other columns are ignored, or carried along by ``dedup_documents``.
@@ -40,6 +43,8 @@ PREFIX = 8
 GROUP_ROWS = 32_000   # slices of a group; a prefix with more is lengthened
 SORT_ROWS = 8_000     # slices that are sorted at once; more only where one prefix has them
 SMALL_NODES = 20_000  # lengthened slices up to which their table is broadcast
+FILTER_BITS = 16      # bits of a bitmap for each of its keys, of which one is set
+FILTER_MOST = 1 << 27  # bits of a bitmap at most (16 MB); with more keys it lets more rows through, never fewer
 
 
 def least_places(g: np.ndarray, width: int) -> np.ndarray:
@@ -80,6 +85,34 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
+def split_by(df: DataFrame, on: list, keys: DataFrame, key_cols: list, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``on`` may be one of the ``n`` rows of ``keys``, and the rest: all that are one and few others
+    are among the first. Hashes of the keys are marked in a bitmap of bounded size, which is broadcast."""
+    size = min(FILTER_MOST, max(1 << 20, FILTER_BITS * n))
+    # the functions on bitmaps number bits from 1
+    marked = keys.select((F.pmod(F.xxhash64(*key_cols), F.lit(size)) + 1).alias("bit"))
+    p, q, bits = (free_name(df.columns, x) for x in ("bit", "bucket", "bits"))
+    bitmap = stored(marked.groupBy(F.bitmap_bucket_number("bit").alias(q))
+                    .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(bits)), "suffix-bitmap")
+    bit = F.pmod(F.xxhash64(*on), F.lit(size)) + 1
+    joined = (df.withColumns({p: F.bitmap_bit_position(bit), q: F.bitmap_bucket_number(bit)})
+              .join(F.broadcast(bitmap), q, "left"))
+    byte = F.conv(F.hex(F.substring(bits, (F.col(p) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    may = F.coalesce(F.getbit(byte, (F.col(p) % 8).cast("int")) == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return joined.filter(may).select(*own), joined.filter(~may).select(*own)
+
+
+def _with_starts(docs: DataFrame, starts: DataFrame, doc_id, th, name: str) -> DataFrame:
+    """``docs`` with their ``starts`` as column ``name`` (null: none); documents that cannot have any are not shuffled."""
+    d, t = (free_name([*docs.columns, name], x) for x in ("d", "t"))
+    some, rest = split_by(docs, [doc_id, th], starts, ["doc_id", "th"], starts.count())
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    right = starts.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("starts").alias(name))
+    met = some.join(right, doc_id.eqNullSafe(F.col(d)) & (th == F.col(t)), "left").select(*own, F.col(name))
+    return met.unionByName(rest.withColumn(name, F.lit(None).cast(right.schema[name].dataType)))
+
+
 def _nullable(batches):
     for b in batches:
         b["doc_id"] = b["doc_id"].astype("Int64")
@@ -148,9 +181,9 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     sparse = stored(keyed.mapInPandas(represent, "doc_id bigint, th bigint, key bigint, place int"), "suffix-prefixes")
     shared = stored(sparse.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-shared")
     release(spark)
-    members, most = shared.agg(F.sum("n"), F.max("n")).first()
+    prefixes, members, most = shared.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
     groups, hot = max(1, -(-(members or 0) // GROUP_ROWS)), (most or 0) > GROUP_ROWS
-    places = stored(sparse.join(shared, "key").groupBy("doc_id", "th")
+    places = stored(split_by(sparse, ["key"], shared, ["key"], prefixes)[0].join(shared, "key").groupBy("doc_id", "th")
                     .agg(F.collect_set(F.struct("place", (F.col("n") > GROUP_ROWS).alias("hot"))).alias("places"))
                     # a short number for the document: the slices, of which there are most, carry it
                     .withColumn("uid", F.monotonically_increasing_id()), "suffix-places")
@@ -175,8 +208,9 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                                     "key": g[rep[at]].view(np.int64) if len(at) else np.zeros(0, np.int64), "hot": wanted[rep[at]] == 2,
                                     "slice": [data[i:j] for i, j in zip(lo, hi)]})
 
-    some = keyed.join(places.withColumnsRenamed({"doc_id": "d", "th": "t"}),
-                      keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["th"] == F.col("t"))).select("uid", "text", "places")
+    some = split_by(keyed, ["doc_id", "th"], places, ["doc_id", "th"], places.count())[0]
+    some = some.join(places.withColumnsRenamed({"doc_id": "d", "th": "t"}),
+                     some["doc_id"].eqNullSafe(F.col("d")) & (some["th"] == F.col("t"))).select("uid", "text", "places")
     slices = some.mapInPandas(cut, "uid bigint, place int, key bigint, hot boolean, slice binary")
     slices = stored(slices, "suffix-slices") if hot else slices
 
@@ -199,8 +233,10 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         found = found.unionByName(_lengthened(slices.filter("hot"), window))
     found = stored(found, "suffix-found")
     release(spark)
-    starts = stored(found.groupBy("uid").agg(F.collect_list(F.struct("first", "count")).alias("starts")), "suffix-starts")
-    return starts.join(places.select("uid", "doc_id", "th"), "uid").select("doc_id", "th", "starts")
+    starts = found.groupBy("uid").agg(F.collect_list(F.struct("first", "count")).alias("starts"))
+    starts = stored(starts.join(places.select("uid", "doc_id", "th"), "uid").select("doc_id", "th", "starts"), "suffix-starts")
+    release(spark)
+    return starts
 
 
 def _lengthened(slices: DataFrame, window: int) -> DataFrame:
@@ -249,8 +285,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col: s
           text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the kept text of every document."""
     keyed = _keyed(docs, id_col, text_col)
-    starts = repeated_starts(docs, window, prefix, id_col, text_col).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    joined = keyed.join(starts, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["th"] == F.col("t")), "left")
+    starts = repeated_starts(docs, window, prefix, id_col, text_col)
+    joined = _with_starts(keyed, starts, F.col("doc_id"), F.col("th"), "starts")
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _nullable(batches):
@@ -272,10 +308,9 @@ def dedup_documents(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     """The documents with repeated windows removed from their texts (texts without any stay as they
     are) and their own columns; ``chars_col`` follows the text where it exists."""
     starts = repeated_starts(docs, window, prefix, id_col, text_col)
-    s, d, t, k = (free_name(docs.columns, x) for x in ("starts", "d", "t", "kept_text"))
-    starts = starts.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("starts").alias(s))
+    s, k = (free_name(docs.columns, x) for x in ("starts", "kept_text"))
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(starts, F.col(id_col).cast("bigint").eqNullSafe(F.col(d)) & (th == F.col(t)), "left")
+    joined = _with_starts(docs, starts, F.col(id_col).cast("bigint"), th, s)
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, places: pd.Series) -> pd.Series:

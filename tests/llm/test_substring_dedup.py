@@ -1,10 +1,15 @@
 """Operator 9 against brute force."""
 
 import hashlib
+import json
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from feedpulse.llm import substring_dedup as S
 
@@ -100,3 +105,60 @@ def test_least_places():
     g = rng.integers(0, 6, 60).astype(np.uint64)
     for width in (1, 2, 3, 7, 28):
         assert S.least_places(g, width).tolist() == [i + int(np.argmin(g[i:i + width])) for i in range(60 - width + 1)]
+
+
+def test_split_by(spark, monkeypatch):
+    """No key is lost, each row is in one part, few others are among the keys; a bitmap too small for its keys only lets more through."""
+    keys = spark.range(0, 30_000, 10).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("t"))
+    rows = spark.range(30_000).select(F.when(F.col("id") > 0, F.col("id")).alias("bit"), F.lit("x").alias("bits"), F.col("id").alias("a.b"))
+    for most in (S.FILTER_MOST, 8):
+        monkeypatch.setattr(S, "FILTER_MOST", most)
+        some, rest = S.split_by(rows, ["bit", "bits"], keys, ["k", "t"], 3_000)
+        assert some.columns == rest.columns == rows.columns
+        a, b = ([r["a.b"] for r in x.collect()] for x in (some, rest))
+        assert sorted(a + b) == list(range(30_000)) and not any(i % 10 == 0 for i in b)
+        assert len(a) < 3_500 or most == 8
+    assert len(a) == 30_000
+    assert S.split_by(rows, ["bit"], keys.limit(0), ["k"], 0)[1].count() == 30_000
+
+
+def test_full_bitmaps_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "FILTER_MOST", 8)
+    rows = rows_of_all_kinds()
+    assert Counter(map(tuple, S.digest(docs(spark, rows)).collect())) == brute(rows, 35)
+
+
+SHUFFLES = """
+import json, random, sys
+root, at, form = sys.argv[1:]
+sys.path[:0] = [root, root + "/tests/llm"]
+from pyspark.sql import SparkSession
+from llm_helpers import prose
+from feedpulse.llm import substring_dedup as S
+spark = SparkSession.builder.config(map={
+    "spark.master": "local[2]", "spark.driver.memory": "2g", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4",
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.checkpoint.dir": f"file://{at}/shared", "spark.eventLog.enabled": "true",
+    "spark.eventLog.dir": f"file://{at}/events", "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false"}).getOrCreate()
+rng = random.Random(5)
+passage = prose(rng, 60, 10 ** 6)
+rows = [(i, prose(rng, 300, 10 ** 6) + " " + (passage if i % 100 == 0 else "")) for i in range(3000)]
+spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(at + "/docs")
+getattr(S, form)(spark.read.parquet(at + "/docs")).write.parquet(at + "/out")
+print("BYTES", sum(len(t) for _, t in rows))
+spark.stop()
+"""
+
+
+def test_texts_that_repeat_nothing_are_not_shuffled(tmp_path):
+    """One document in a hundred repeats something: what is shuffled, by Spark's event log, is far less than the texts."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for form in ("digest", "dedup_documents"):
+        at = tmp_path / form
+        (at / "events").mkdir(parents=True)
+        done = subprocess.run([sys.executable, "-c", SHUFFLES, root, str(at), form], capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-2000:]
+        size = int(done.stdout.split("BYTES")[1])
+        log = [json.loads(x) for p in (at / "events").iterdir() if p.is_file() for x in p.read_text().splitlines()]
+        sent = sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in log
+                   if e["Event"] == "SparkListenerTaskEnd" and e.get("Task Metrics"))
+        assert 0 < sent < 0.5 * size, (form, sent, size)
