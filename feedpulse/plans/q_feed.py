@@ -17,6 +17,7 @@ from feedpulse.sources.tables import table
 from feedpulse.streaming import streams as K
 
 FEED_SPEC = TR.TextModelSpec(text_col="clean_text", max_features=TR.TOPIC_TERMS)
+DROP_GROUP = 4 << 20  # bytes of a row group in the files of a drop
 
 
 def feed_rows(spark, sf):
@@ -32,7 +33,11 @@ def cleaned_rows(spark, sf):
 
 
 def _fitted(rows, terms: int = TR.TOPIC_TERMS, max_iter: int = 20):
-    return TR.train_feed(rows, TR.TextModelSpec(text_col="clean_text", max_features=terms), max_iter=max_iter)
+    return TR.train_feed(rows, _spec(terms), max_iter=max_iter)
+
+
+def _spec(terms: int = TR.TOPIC_TERMS) -> TR.TextModelSpec:
+    return TR.TextModelSpec(text_col="clean_text", max_features=terms)
 
 
 def _scored(rows, model):
@@ -81,6 +86,11 @@ def q_feed_model_trend(spark, sf):
     return cube.groupBy(F.col("date").cast("date").alias("date")).agg(F.sum("total_volume").alias("total_volume"), F.bool_and(ok).alias("rates_ok"))
 
 
+def drop(rows, path):
+    """Files of many small row groups: a micro-batch takes few files, and all cores take part in it."""
+    rows.write.mode("append").option("parquet.block.size", DROP_GROUP).parquet(path)
+
+
 @register("stream_model_scores", "select doc_id, true as same, cast(1 as bigint) as version from documents")
 def q_stream_model_scores(spark, sf):
     """K6: the feed arrives in four drops. After two, the stream stops, the alias moves to another
@@ -89,15 +99,16 @@ def q_stream_model_scores(spark, sf):
     base = scratch_path(spark, f"stream/feed/{uuid.uuid4().hex[:12]}")
     labelled = cleaned_rows(spark, sf)
     rows = labelled.select("doc_id", "date", "clean_text")
-    first = _fitted(labelled)
+    tokens = TR.tokenise(labelled, _spec(), ["topic", "sentiment"], again=True)  # two models are fitted on them
+    first = _fitted(tokens)
     N.save_version(spark, base, "feed", first, 1)
     drops = rows.withColumn("drop", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
     for part in (0, 2):
-        drops.where(F.col("drop").between(part, part + 1)).drop("drop").write.mode("append").parquet(f"{base}/in")
+        drop(drops.where(F.col("drop").between(part, part + 1)).drop("drop"), f"{base}/in")
         src = K.stream_feed(spark, f"{base}/in", "doc_id bigint, date date, clean_text string", max_files=2)
         version = K.score_available(src, base, "feed", f"{base}/out", f"{base}/ckpt")
         if part == 0:
-            N.save_version(spark, base, "feed", _fitted(labelled, 500, 5), 2)
+            N.save_version(spark, base, "feed", _fitted(tokens, 500, 5), 2)
     got = spark.read.parquet(f"{base}/out").drop("batch_id")
     want = SC.score_two_heads(rows, first)
     cols = [c for c in want.columns if c not in ("doc_id", "clean_text")]

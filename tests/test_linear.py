@@ -122,3 +122,41 @@ def test_vocabulary_and_weights_stay_in_their_rows(spark):
     key = lambda r: (r["doc_id"], r["term"], r["idx"], r["tf"], round(r["weight"], 12))
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect())) and a.count() == 3
     assert D.bounded_vocab(voc, 2) is None
+
+
+def test_two_models_are_fitted_on_rows_read_and_counted_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        reads.add(1)
+        return x
+
+    text = [(i, f"w{i % 7} w{i % 3} common", ["a", "b"][i % 2], ["neg", "positive", None][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(text, "doc_id long, clean_text string, topic string, sentiment string")
+    tokens = TR.tokenise(df.withColumn("clean_text", seen("clean_text")), TR.TextModelSpec(text_col="clean_text"), ["topic", "sentiment"], again=True)
+    for terms in (50, 3):
+        spec = TR.TextModelSpec(text_col="clean_text", max_features=terms)
+        once, apart = (SC.score_two_heads(df.select("doc_id", "clean_text"), TR.train_feed(x, spec, max_iter=3)) for x in (tokens, df))
+        assert sorted(once.collect()) == sorted(apart.collect())
+    assert reads.value == 60 and not tokens.counts.isEmpty()
+
+
+def test_terms_are_counted_in_their_batches(spark, monkeypatch):
+    monkeypatch.setattr(D, "COUNTED_TERMS", 5)  # rows are counted a few at a time, a long one alone
+    docs = [None, [], ["a", "b", "a", None], ["b"] * 9, [None], ["c", "a", "đ", "a", "c"]] * 3
+    got = D.count_terms(spark.createDataFrame([(x,) for x in docs], "t array<string>").coalesce(1), "t")
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", 12, 6), ("b", 30, 6), ("c", 6, 3), ("đ", 3, 3)]
+
+
+def test_the_files_of_a_drop_can_be_read_by_many_tasks(spark, tmp_path):
+    from feedpulse.plans import q_feed
+    d = spark.range(0, 12000, 1, 2).select(F.col("id").alias("doc_id"), F.current_date().alias("date"),
+                                          F.concat_ws(" ", *[F.sha2(F.concat(F.lit(str(i)), F.col("id")), 512) for i in range(16)]).alias("clean_text"))
+    q_feed.drop(d, str(tmp_path / "in"))
+    src = K.stream_feed(spark, str(tmp_path / "in"), "doc_id bigint, date date, clean_text string", max_files=2)
+    K.run_by_batch(src.withColumn("task", F.spark_partition_id()), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 12000 and got.select("batch_id", "task").distinct().count() > 2  # one micro-batch of two files
+    assert got.select("batch_id").distinct().count() == 1
